@@ -1,7 +1,11 @@
 """HTML -> text and HTML -> Markdown as chains of regexp_replace (JVM side).
 
 Extraction of binary document formats is out of scope; raw web pages stand in for
-documents. Patterns use only constructs shared by Java and RE2 (no lookaround)."""
+documents. Each conversion is a list of rewrite steps ``(kind, pattern, replacement)``
+with kind ``re`` (regex, ``$1`` group references) or ``lit`` (literal replace). Patterns
+use only constructs shared by Java and RE2 (no lookaround), so the same list also
+generates the DuckDB oracle.
+"""
 
 from __future__ import annotations
 
@@ -10,64 +14,57 @@ from pyspark.sql import functions as F
 
 # Elements whose content is never text.
 DROP_BLOCKS = (
-    r"(?is)<script[^>]*>.*?</script\s*>",
-    r"(?is)<style[^>]*>.*?</style\s*>",
-    r"(?s)<!--.*?-->",
+    ("re", r"(?is)<script[^>]*>.*?</script\s*>", ""),
+    ("re", r"(?is)<style[^>]*>.*?</style\s*>", ""),
+    ("re", r"(?s)<!--.*?-->", ""),
 )
-HEAD = r"(?is)<head[^>]*>.*?</head\s*>"
-# Tags after which a line ends in plain text.
-LINE_BREAK_TAGS = r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|title|article|section|header|footer|nav|ul|ol|table)\s*>"
-ANY_TAG = r"<[^>]*>"
 # Named/numeric entities decoded; &amp; last so "&amp;lt;" stays "&lt;".
-ENTITIES = (
+ENTITIES = tuple(("lit", e, c) for e, c in (
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+))
+TIDY = (
+    ("re", r"[ \t\r\f]+", " "),
+    ("re", r" ?\n ?", "\n"),
 )
+TRIM = (("re", r"^[ \n]+|[ \n]+$", ""),)
 
+TEXT_STEPS = DROP_BLOCKS + (
+    ("re", r"(?i)<br\s*/?>|</(?:p|div|h[1-6]|li|tr|title|article|section|header|footer|nav|ul|ol|table)\s*>", "\n"),
+    ("re", r"<[^>]*>", ""),
+) + ENTITIES + TIDY + (("re", r"\n{2,}", "\n"),) + TRIM
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+MARKDOWN_STEPS = DROP_BLOCKS + (("re", r"(?is)<head[^>]*>.*?</head\s*>", ""),) + tuple(
+    ("re", rf"(?is)<h{n}[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)
+) + (
+    ("re", r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"),
+    ("re", r"(?i)</?(?:b|strong)\s*>", "**"),
+    ("re", r"(?i)<li[^>]*>", "\n- "),
+    ("re", r"(?i)<br\s*/?>", "\n"),
+    ("re", r"(?i)</(?:p|div|ul|ol|nav|article|section|footer|header)\s*>", "\n\n"),
+    ("re", r"<[^>]*>", ""),
+) + ENTITIES + TIDY + (("re", r"\n{3,}", "\n\n"),) + TRIM
 
 
-def _decode_entities(c: Column) -> Column:
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def _tidy_lines(c: Column) -> Column:
-    c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
-    c = F.regexp_replace(c, r" ?\n ?", "\n")
-    c = F.regexp_replace(c, r"\n{2,}", "\n")
-    return F.regexp_replace(c, r"^[ \n]+|[ \n]+$", "")
+def apply_steps(c, steps) -> Column:
+    out = _col(c)
+    for kind, pattern, repl in steps:
+        if kind == "re":
+            out = F.regexp_replace(out, pattern, repl)
+        else:
+            out = F.replace(out, F.lit(pattern), F.lit(repl))
+    return out
 
 
 def html_to_text(c) -> Column:
-    """Visible text of a page, one line per block element; '' when nothing is left."""
-    out = _col(c)
-    for pattern in DROP_BLOCKS:
-        out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, LINE_BREAK_TAGS, "\n")
-    out = F.regexp_replace(out, ANY_TAG, "")
-    return _tidy_lines(_decode_entities(out))
+    """Visible text of a page, one line per block element; '' when nothing is left."""
+    return apply_steps(c, TEXT_STEPS)
 
 
 def html_to_markdown(c) -> Column:
-    """Structure-keeping conversion: headings, list items, links, bold, paragraphs."""
-    out = _col(c)
-    for pattern in DROP_BLOCKS + (HEAD,):
-        out = F.regexp_replace(out, pattern, "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{level}[^>]*>(.*?)</h{level}\s*>",
-                               "\n\n" + "#" * level + " $1\n\n")
-    out = F.regexp_replace(out, r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)")
-    out = F.regexp_replace(out, r"(?i)</?(?:b|strong)\s*>", "**")
-    out = F.regexp_replace(out, r"(?i)<li[^>]*>", "\n- ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(?:p|div|ul|ol|nav|article|section|footer|header)\s*>", "\n\n")
-    out = F.regexp_replace(out, ANY_TAG, "")
-    out = _decode_entities(out)
-    out = F.regexp_replace(out, r"[ \t\r\f]+", " ")
-    out = F.regexp_replace(out, r" ?\n ?", "\n")
-    out = F.regexp_replace(out, r"\n{3,}", "\n\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    """Structure-keeping conversion: headings, list items, links, bold, paragraphs."""
+    return apply_steps(c, MARKDOWN_STEPS)
