@@ -163,7 +163,9 @@ def q_chunk_recursive(spark, sf):
 
 def q_embed_hash(spark, sf):
     emb = corpus(spark, sf)
-    return (emb.select("id", F.posexplode("embedding").alias("dim", "value"))
+    # posexplode_outer: a plain posexplode makes the optimizer infer size(embedding) > 0 and
+    # push it below the projections, inlining (and recomputing) the whole embedding.
+    return (emb.select("id", F.posexplode_outer("embedding").alias("dim", "value"))
             .filter(F.col("value") != 0)
             .select("id", "dim", F.round(F.col("value").cast("double"), 6).alias("value")))
 
