@@ -63,22 +63,46 @@ def split_sentences(df: DataFrame, text: str = "text", keys=("doc_id",)) -> Data
     return df.select(*keys, F.posexplode(T.sentences(text)).alias("sentence_index", "sentence"))
 
 
+def _bind(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a one-element transform binds it)."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _slices(items: Column, bounds: Column) -> Column:
+    """Chunks from flattened [start, end) pairs over an array of pieces, joined by ' '.
+    ``bounds`` must be a bound value (column or lambda variable), not an expression:
+    it is read several times per chunk."""
+    n = F.size(bounds) / 2
+    idx = F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda j: F.array_join(
+        F.slice(items, bounds[2 * j] + 1, bounds[2 * j + 1] - bounds[2 * j]), " "))
+
+
 def sentence_chunks(sentences: Column, max_size: int = DEFAULTS.sentence_max_chunk) -> Column:
-    """Greedy packing: append ' ' + sentence while len(current) + len(sentence) <= max."""
-    init = F.struct(F.array().cast("array<string>").alias("ch"), F.lit("").alias("cur"))
+    """Greedy packing: append ' ' + sentence while len(current) + len(sentence) <= max.
+
+    The fold carries only the current length and chunk boundaries (O(1) per sentence);
+    chunks are sliced from the sentence array at the end. ``current`` starts as '' so the
+    first chunk counts one leading space, which strip() removes on emit."""
+    def build(ss):
+        init = F.struct(F.array().cast("array<int>").alias("b"), F.lit(0).alias("c"),
+                        F.lit(0).alias("st"), F.lit(0).alias("i"))
+
+        def step(acc, s):
+            n = F.length(s)
+            fits = acc["c"] + n <= max_size
+            closed = F.when(acc["c"] > 0, F.concat(acc["b"], F.array(acc["st"], acc["i"]))).otherwise(acc["b"])
+            return F.when(fits, F.struct(acc["b"].alias("b"), (acc["c"] + n + 1).alias("c"),
+                                         acc["st"].alias("st"), (acc["i"] + 1).alias("i"))) \
+                .otherwise(F.struct(closed.alias("b"), n.alias("c"), acc["i"].alias("st"),
+                                    (acc["i"] + 1).alias("i")))
 
-    def step(acc, s):
-        fits = F.length(acc["cur"]) + F.length(s) <= max_size
-        closed = F.when(acc["cur"] != "", F.array_append(acc["ch"], T.strip_ws(acc["cur"]))) \
-            .otherwise(acc["ch"])
-        return F.when(fits, F.struct(acc["ch"].alias("ch"), F.concat(acc["cur"], F.lit(" "), s).alias("cur"))) \
-            .otherwise(F.struct(closed.alias("ch"), s.alias("cur")))
+        def finish(acc):
+            return F.when(acc["c"] > 0, F.concat(acc["b"], F.array(acc["st"], acc["i"]))).otherwise(acc["b"])
 
-    def finish(acc):
-        return F.when(acc["cur"] != "", F.array_append(acc["ch"], T.strip_ws(acc["cur"]))) \
-            .otherwise(acc["ch"])
+        return _bind(F.aggregate(ss, init, step, finish), lambda b: _slices(ss, b))
 
-    return F.aggregate(sentences, init, step, finish)
+    return _bind(sentences, build)
 
 
 def chunk_sentence(df: DataFrame, text: str = "text", keys=("doc_id",),
@@ -91,23 +115,28 @@ def chunk_sentence(df: DataFrame, text: str = "text", keys=("doc_id",),
 
 def word_chunks(text, size: int = DEFAULTS.word_chunk_size) -> Column:
     """Close a chunk when size + len(word) > limit; each kept word counts len+1, the word
-    that opens a chunk counts len. A first word longer than the limit yields '' first."""
-    init = F.struct(F.array().cast("array<string>").alias("ch"), F.lit("").alias("cur"),
-                    F.lit(0).alias("n"), F.lit(0).alias("s"))
-
-    def step(acc, w):
-        wl = F.length(w)
-        close = F.struct(F.array_append(acc["ch"], acc["cur"]).alias("ch"), w.alias("cur"),
-                         F.lit(1).alias("n"), wl.alias("s"))
-        extend = F.struct(acc["ch"].alias("ch"),
-                          F.when(acc["n"] == 0, w).otherwise(F.concat(acc["cur"], F.lit(" "), w)).alias("cur"),
-                          (acc["n"] + 1).alias("n"), (acc["s"] + wl + 1).alias("s"))
-        return F.when(acc["s"] + wl > size, close).otherwise(extend)
-
-    def finish(acc):
-        return F.when(acc["n"] > 0, F.array_append(acc["ch"], acc["cur"])).otherwise(acc["ch"])
-
-    return F.aggregate(T.words(text), init, step, finish)
+    that opens a chunk counts len. A first word longer than the limit yields '' first.
+
+    The fold carries counters and chunk boundaries only; chunks are sliced from the word
+    array at the end."""
+    def build(ws):
+        init = F.struct(F.array().cast("array<int>").alias("b"), F.lit(0).alias("s"),
+                        F.lit(0).alias("n"), F.lit(0).alias("st"), F.lit(0).alias("i"))
+
+        def step(acc, w):
+            wl = F.length(w)
+            close = F.struct(F.concat(acc["b"], F.array(acc["st"], acc["i"])).alias("b"), wl.alias("s"),
+                             F.lit(1).alias("n"), acc["i"].alias("st"), (acc["i"] + 1).alias("i"))
+            extend = F.struct(acc["b"].alias("b"), (acc["s"] + wl + 1).alias("s"), (acc["n"] + 1).alias("n"),
+                              acc["st"].alias("st"), (acc["i"] + 1).alias("i"))
+            return F.when(acc["s"] + wl > size, close).otherwise(extend)
+
+        def finish(acc):
+            return F.when(acc["n"] > 0, F.concat(acc["b"], F.array(acc["st"], acc["i"]))).otherwise(acc["b"])
+
+        return _bind(F.aggregate(ws, init, step, finish), lambda b: _slices(ws, b))
+
+    return _bind(T.words(text), build)
 
 
 def chunk_words(df: DataFrame, text: str = "text", keys=("doc_id",),
