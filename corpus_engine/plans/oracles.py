@@ -271,6 +271,53 @@ def fanout_sql(models) -> str:
 QC = "qc AS (SELECT q.query_id, q.question, ctx.context FROM questions q LEFT JOIN ctx ON q.query_id = ctx.query_id)"
 
 
+def bucket_counts(text_expr: str) -> str:
+    """Hash-embedder bucket counts (list of DIM doubles) of one text, hashing once."""
+    buckets = (f"list_transform(regexp_extract_all(lower({text_expr}), '[\\p{{L}}\\p{{N}}]+'), "
+               f"lambda tk_: (('0x' || substr(md5(tk_), 1, 8))::BIGINT % {DIM})::INTEGER)")
+    return (f"list_transform([{buckets}], lambda b_: list_transform(range({DIM}), lambda i_: "
+            f"(len(b_) - len(list_filter(b_, lambda y_: y_ <> i_)))::DOUBLE))[1]")
+
+
+def semantic_sql(threshold: float = DEFAULTS.semantic_threshold) -> str:
+    dd = lambda a, b: dot(a, b)
+    sim = (f"CASE WHEN sqrt({dd('acc_.cv', 'acc_.cv')}) * sqrt({dd('it_.v', 'it_.v')}) > 0 "
+           f"THEN {dd('acc_.cv', 'it_.v')} / (sqrt({dd('acc_.cv', 'acc_.cv')}) * sqrt({dd('it_.v', 'it_.v')})) "
+           f"ELSE 0.0 END")
+    vadd = "list_transform(list_zip(acc_.cv, it_.v), lambda p_: p_[1] + p_[2])"
+    step = (f"lambda acc_, it_: CASE WHEN {sim} > {threshold!r} "
+            f"THEN {{'ch': acc_.ch, 'cur': acc_.cur || ' ' || it_.s, 'cv': {vadd}}} "
+            f"ELSE {{'ch': list_append(acc_.ch, acc_.cur), 'cur': it_.s, 'cv': it_.v}} END")
+    fold = (f"list_reduce(list_slice(items, 2, len(items)), {step}, "
+            f"{{'ch': []::VARCHAR[], 'cur': items[1].s, 'cv': items[1].v}})")
+    return (f"WITH sem_a AS (SELECT doc_id, {sentences('text')} AS ss FROM documents),\n"
+            f"sem_b AS (SELECT doc_id, list_transform(ss, lambda s_: {{'s': s_, 'v': {bucket_counts('s_')}}}) "
+            f"AS items FROM sem_a),\n"
+            f"sem_c AS (SELECT doc_id, CASE WHEN len(items) = 0 THEN []::VARCHAR[] ELSE "
+            f"list_transform([{fold}], lambda r_: list_append(r_.ch, r_.cur))[1] END AS chs FROM sem_b)\n"
+            + with_ids(explode_chunks("sem_c", "doc_id", "chs"), "doc_id"))
+
+
+def lsh_sql(k: int = DEFAULTS.top_k_loader) -> str:
+    from corpus_engine.operators.retrieve import _hyperplanes
+
+    tables, bits = DEFAULTS.lsh_tables, DEFAULTS.lsh_bits
+    planes = _hyperplanes(DIM, tables, bits, DEFAULTS.lsh_seed)
+    lit_planes = "[" + ", ".join("[" + ", ".join(f"'{float(x)!r}'::DOUBLE" for x in row) + "]" for row in planes) + "]"
+    code = (f"list_transform(range({tables}), lambda t_: list_reduce(list_transform(range({bits}), lambda j_: "
+            f"CASE WHEN {dot('embedding', 'p[t_ * ' + str(bits) + ' + j_ + 1]')} > 0 THEN (1 << j_) ELSE 0 END), "
+            f"lambda a_, x_: a_ + x_))")
+    return (f"WITH planes AS (SELECT {lit_planes} AS p),\n"
+            f"codes AS (SELECT vec_id AS id, {code} AS cs FROM embeddings, planes),\n"
+            f"ex AS (SELECT id, unnest(generate_series(0, {tables - 1})) AS t, unnest(cs) AS code FROM codes),\n"
+            f"pairs AS (SELECT DISTINCT q.id AS query_id, c.id AS cid FROM ex q JOIN ex c ON q.t = c.t AND q.code = c.code),\n"
+            f"d AS (SELECT pairs.query_id, pairs.cid AS id, round({sq_l2('qe.embedding', 'ce.embedding')}, "
+            f"{DEFAULTS.distance_decimals}) AS distance FROM pairs JOIN embeddings qe ON qe.vec_id = pairs.query_id "
+            f"JOIN embeddings ce ON ce.vec_id = pairs.cid)\n"
+            f"SELECT query_id, rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
+            f"ORDER BY distance, id)::INTEGER AS rank FROM d) WHERE rank <= {k}")
+
+
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["clean_steps"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
@@ -293,6 +340,8 @@ def _sql() -> dict[str, str]:
     o["chunk_fixed"] = (f"WITH f AS (SELECT doc_id, {fixed_chunks('text')} AS chs FROM documents)\n"
                         + with_ids(explode_chunks("f", "doc_id", "chs"), "doc_id"))
     o["chunk_sentence"] = f"WITH {SENT_CHUNKS}\nSELECT doc_id, chunk_index, id, text FROM chunks"
+    o["chunk_semantic"] = semantic_sql()
+    o["knn_lsh"] = lsh_sql()
     o["chunk_words"] = (f"WITH w AS (SELECT doc_id, {word_chunks('text')} AS chs FROM documents)\n"
                         + with_ids(explode_chunks("w", "doc_id", "chs"), "doc_id"))
     o["embed_hash"] = (
