@@ -318,9 +318,20 @@ def lsh_sql(k: int = DEFAULTS.top_k_loader) -> str:
             f"ORDER BY distance, id)::INTEGER AS rank FROM d) WHERE rank <= {k}")
 
 
+def o_knn_vectors() -> str:
+    return (f"WITH vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings),\n"
+            f"vc AS (SELECT vec_id AS id, embedding AS e FROM embeddings),\n"
+            f"{knn_ctes(DEFAULTS.top_k_loader, 'vq', 'vc', 'knn', 'q.query_id', 'c.id')}\n"
+            f"SELECT query_id, rank, id, distance FROM knn")
+
+
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["clean_steps"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
+    o["stage_reload"] = o["clean_steps"]
+    o["scan_text_files"] = (f"SELECT {safe_name('doc_id::VARCHAR')} AS safe_name, {clean('text')} || {NL} AS text "
+                            f"FROM documents")
+    o["scan_binary_files"] = "SELECT page_id, '.txt' AS ext, (strlen(html) + 1)::BIGINT AS n_bytes FROM pages"
     o["word_count"] = f"SELECT doc_id, {word_count('text')} AS n_words FROM documents"
     o["normalize_text"] = f"SELECT doc_id, {normalize('text')} AS norm FROM documents"
     o["annotate_entities"] = f"WITH {ENTITIES}\nSELECT doc_id, word, entity FROM ents"
@@ -340,8 +351,14 @@ def _sql() -> dict[str, str]:
     o["chunk_fixed"] = (f"WITH f AS (SELECT doc_id, {fixed_chunks('text')} AS chs FROM documents)\n"
                         + with_ids(explode_chunks("f", "doc_id", "chs"), "doc_id"))
     o["chunk_sentence"] = f"WITH {SENT_CHUNKS}\nSELECT doc_id, chunk_index, id, text FROM chunks"
+    o["collection_write"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id, chunk_index, text FROM chunks"
     o["chunk_semantic"] = semantic_sql()
     o["knn_lsh"] = lsh_sql()
+    exact_v = o_knn_vectors()
+    o["lsh_recall"] = (
+        f"WITH e AS ({exact_v}),\na AS ({lsh_sql()})\n"
+        "SELECT sum(CASE WHEN a.id IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE / count(*) AS recall, "
+        "count(*)::BIGINT AS exact_pairs FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.id = a.id")
     o["chunk_words"] = (f"WITH w AS (SELECT doc_id, {word_chunks('text')} AS chs FROM documents)\n"
                         + with_ids(explode_chunks("w", "doc_id", "chs"), "doc_id"))
     o["embed_hash"] = (
@@ -356,11 +373,7 @@ def _sql() -> dict[str, str]:
                             f"AS distance {pairs}")
     o["knn_exact"] = (f"WITH {CORPUS},\n{QUESTIONS},\n{knn_ctes(DEFAULTS.top_k_loader)}\n"
                       f"SELECT query_id, rank, id, distance FROM knn")
-    o["knn_vectors"] = (
-        f"WITH vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings),\n"
-        f"vc AS (SELECT vec_id AS id, embedding AS e FROM embeddings),\n"
-        f"{knn_ctes(DEFAULTS.top_k_loader, 'vq', 'vc', 'knn', 'q.query_id', 'c.id')}\n"
-        f"SELECT query_id, rank, id, distance FROM knn")
+    o["knn_vectors"] = o_knn_vectors()
     o["retrieve_preview"] = (
         f"WITH {CORPUS},\n{QUESTIONS},\n{knn_ctes(DEFAULTS.top_k_loader)}\n"
         f"SELECT query_id, rank, id, round(1.0 - distance, 4) AS relevance, substring(text, 1, 200) || '...' AS preview FROM knn")
@@ -404,6 +417,7 @@ def _sql() -> dict[str, str]:
              f"coalesce(min({word_count('text')}), 0)::BIGINT AS min_word_count, "
              f"coalesce(max({word_count('text')}), 0)::BIGINT AS max_word_count")
     o["corpus_stats"] = f"SELECT {stats} FROM documents"
+    o["write_report"] = f"WITH {CLEANED}\nSELECT {stats} FROM cleaned"
     o["stage_stats"] = (f"WITH {CLEANED}\nSELECT 'process' AS stage, {stats} FROM documents\nUNION ALL\n"
                         f"SELECT 'clean' AS stage, {stats} FROM cleaned")
     o["pipeline_counts"] = (

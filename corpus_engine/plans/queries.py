@@ -392,6 +392,64 @@ def q_stream_ingest(spark, sf):
     return ingest_documents_once(spark, sf)
 
 
+# --- files written under the shared folder and read back --------------------------------
+
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from corpus_engine.session import shared_path
+    return shared_path(spark, name, uuid.uuid4().hex)
+
+
+def q_scan_text_files(spark, sf):
+    """K3 + S1: cleaned documents written one text file per safe name, then scanned back
+    whole (the text writer ends each file with a newline)."""
+    from corpus_engine.sources.files import scan_text_files
+    base = _scratch(spark, "texts")
+    named = cleaned(spark, sf).withColumn("safe_name", T.safe_filename(F.col("doc_id").cast("string")))
+    named.filter(F.col("safe_name").isNotNull()).select("safe_name", "text") \
+        .write.partitionBy("safe_name").text(base)
+    scanned = scan_text_files(spark, base, glob="*.txt", recursive=True)
+    return scanned.select(F.regexp_extract("path", "safe_name=([^/]*)/", 1).alias("safe_name"), "text")
+
+
+def q_scan_binary_files(spark, sf):
+    """Pages written as files, scanned back as bytes with name and extension."""
+    from corpus_engine.sources.files import scan_binary_files
+    base = _scratch(spark, "pages")
+    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(base)
+    scanned = scan_binary_files(spark, base, glob="*.txt", recursive=True, extensions=(".txt",))
+    return scanned.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+                          "ext", F.length("content").cast("bigint").alias("n_bytes"))
+
+
+def q_stage_reload(spark, sf):
+    """The cleaned stage is written once and reloaded on the second call."""
+    from corpus_engine.sources.files import stage_reload
+    path = _scratch(spark, "stage")
+    stage_reload(spark, path, lambda: cleaned(spark, sf))
+    return stage_reload(spark, path, lambda: cleaned(spark, sf))
+
+
+def q_write_report(spark, sf):
+    """K2: papers and statistics written as JSON datasets; the statistics read back."""
+    from corpus_engine.sources.sinks import write_report
+    path = _scratch(spark, "report")
+    clean = cleaned(spark, sf)
+    write_report(clean, S.corpus_stats(clean), path)
+    return spark.read.schema("total_papers bigint, average_word_count double, min_word_count bigint, "
+                             "max_word_count bigint").json(f"{path}/statistics")
+
+
+def q_collection_write(spark, sf):
+    """K5/K6: sentence chunks appended to the collection in files of at most 5,000 rows."""
+    from corpus_engine.sources.sinks import write_collection
+    path = _scratch(spark, "collection")
+    write_collection(sentence_chunks(spark, sf).select("id", "doc_id", "chunk_index", "text"), path,
+                     DEFAULTS.insert_batch, mode="overwrite")
+    return spark.read.parquet(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -17,8 +17,8 @@ def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt",
                     recursive: bool = False) -> DataFrame:
     """One row per file ``(id = file name, text)``, read whole, UTF-8; the glob is
     case-sensitive and the listing is not recursive unless asked."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", recursive).text(path))
+    df = (spark.read.option("pathGlobFilter", glob)
+          .option("recursiveFileLookup", recursive).text(path, wholetext=True))
     return df.select(base_name(F.col("_metadata.file_path")).alias("id"), F.col("value").alias("text"),
                      F.col("_metadata.file_path").alias("path"))
 
