@@ -44,6 +44,22 @@ DISALLOWED = r'[^A-Za-z0-9.,?!:;"(){}\[\]<>@#$%\^&*_+=/\\|~' + ASCII_WS_CLASS +
 ANCHORS = r"\b(?:vol\.|no\.|fig\.|pp\.|p\.|pg\.|table)" + ASCII_S + r"[0-9]+\b"
 ELLIPSIS = r"\.\.\.+"
 
+
+
+def _ascii_class(pattern: str) -> str:
+    """The ASCII characters a single-character class matches, as a positive class of runs."""
+    import re
+
+    chars = [chr(c) for c in range(128) if re.fullmatch(pattern, chr(c))]
+    return "[" + "".join(re.escape(ch) if ch.isprintable() else f"\\x{ord(ch):02x}" for ch in chars) + "]+"
+
+
+# Speed-up with identical output: by the time the whitelist rule runs, the first rule has
+# removed every non-ASCII character, so deleting runs of the ASCII characters the
+# whitelist rejects (derived from the pattern above) equals deleting each rejected
+# character; Java evaluates this small positive class far faster than the negated one.
+DISALLOWED_ASCII_RUNS = _ascii_class(DISALLOWED)
+
 # (step name, pattern) in application order; "isbn" has a lookahead that RE2 lacks.
 CLEAN_STEPS = (
     ("non_ascii", NON_ASCII),
@@ -51,7 +67,7 @@ CLEAN_STEPS = (
     ("url", URL),
     ("email", EMAIL),
     ("reference", REFERENCE),
-    ("allowed_chars", DISALLOWED),
+    ("allowed_chars", DISALLOWED_ASCII_RUNS),
     ("anchors", ANCHORS),
     ("ellipsis", ELLIPSIS),
 )
@@ -91,8 +107,14 @@ def clean_chain(c, steps=None, min_line_length: int = 5, with_isbn: bool = True)
 
 
 def word_count(c) -> Column:
-    """``len(text.split())`` with Python's whitespace set."""
-    return F.regexp_count(_col(c), F.lit(NON_WS + "+")).cast("bigint")
+    """``len(text.split())`` with Python's whitespace set: pieces of a split on whitespace
+    runs, minus the empty piece a leading and a trailing run leave (a split on the
+    positive class is several times faster in Java than matching the negated class)."""
+    parts = F.split(_col(c), WS + "+", -1)
+    n = F.size(parts)
+    lead = F.when(F.element_at(parts, 1) == F.lit(""), 1).otherwise(0)
+    trail = F.when((n > 1) & (F.element_at(parts, -1) == F.lit("")), 1).otherwise(0)
+    return (n - lead - trail).cast("bigint")
 
 
 def words(c) -> Column:

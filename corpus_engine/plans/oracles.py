@@ -56,12 +56,14 @@ def clean(expr: str) -> str:
     for name, pattern in T.CLEAN_STEPS:
         if name == "isbn":
             continue  # lookahead: not expressible in RE2
+        if name == "allowed_chars":
+            pattern = T.DISALLOWED  # the oracle keeps the whitelist's own negated class
         out = rx(out, pattern)
     return filter_lines(out)
 
 
 def word_count(expr: str) -> str:
-    return f"len(regexp_extract_all({expr}, {lit(T.NON_WS + '+')}))::BIGINT"
+    return f"len(regexp_extract_all({expr}, {lit(T.NON_WS + '+')}))::BIGINT"  # matches, not a split
 
 
 def normalize(expr: str) -> str:

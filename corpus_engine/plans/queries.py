@@ -27,7 +27,7 @@ from corpus_engine.operators import entities as EN
 from corpus_engine.operators import ingest as I
 from corpus_engine.operators import retrieve as R
 from corpus_engine.operators import stats as S
-from corpus_engine.sources.tables import table
+from corpus_engine.sources.tables import balance, table
 
 EMBEDDER = E.HashEmbedder(DEFAULTS.embed_dim)
 
@@ -35,7 +35,7 @@ EMBEDDER = E.HashEmbedder(DEFAULTS.embed_dim)
 # --- shared inputs ------------------------------------------------------------------
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return balance(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 def cleaned(spark, sf, with_isbn: bool = False) -> DataFrame:
@@ -59,7 +59,7 @@ def questions(spark, sf) -> DataFrame:
 
 
 def page_files(spark, sf) -> DataFrame:
-    pages = table(spark, sf, "pages")
+    pages = balance(table(spark, sf, "pages"))
     return pages.select("page_id", "url", FI.base_name("url").alias("filename"), "html")
 
 

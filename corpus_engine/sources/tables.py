@@ -12,3 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (file sizes scaled by the projected columns)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def balance(df: DataFrame, max_bytes: int = 1 << 30, per_core: int = 2) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy per-row work.
+
+    A file with a single row group is read by one task however many splits it is cut
+    into, so text processing on it would run on one core. Inputs up to ``max_bytes``
+    (by Catalyst's estimate) are round-robin repartitioned, a cheap shuffle; larger inputs
+    keep their file splits, which already give one task per row group, and are not
+    shuffled."""
+    if estimated_bytes(df) > max_bytes:
+        return df
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
