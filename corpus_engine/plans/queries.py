@@ -123,9 +123,7 @@ def q_annotate_entities(spark, sf):
 
 
 def q_remove_entities(spark, sf):
-    docs = cleaned(spark, sf)
-    ents = EN.annotate_entities(docs, gazetteer(spark, sf))
-    return EN.remove_entities(docs, ents).select("doc_id", "text")
+    return EN.remove_gazetteer_entities(cleaned(spark, sf), gazetteer(spark, sf)).select("doc_id", "text")
 
 
 def q_debug_sample(spark, sf):

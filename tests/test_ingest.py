@@ -76,3 +76,13 @@ def test_stream_ingest_runs_are_idempotent(spark):
     run_ingest(spark, src, coll, f"{base}/ckpt2")
     assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).select(F.countDistinct("id")).first()[0] == 3
     assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).count() == 3
+
+
+def test_fused_gazetteer_removal_equals_general_path(spark):
+    names = spark.createDataFrame([("NEW YORK",), ("YORK",), ("PARIS",), ("NL",)], "name string")
+    gz = EN.gazetteer_from_names(names, "name")
+    docs = spark.createDataFrame([(1, "new york and york in paris, parisian"), (2, "nl nothing")],
+                                 "doc_id long, text string")
+    general = EN.remove_entities(docs, EN.annotate_entities(docs, gz))
+    fused = EN.remove_gazetteer_entities(docs, gz)
+    assert sorted(map(tuple, general.collect())) == sorted(map(tuple, fused.collect()))
