@@ -21,13 +21,17 @@ def first_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFram
     return agg.select(key, *[F.col(f"__w.{c}").alias(c) for c in others])
 
 
+def absent_rows(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of ``incoming`` whose key the collection does not hold yet (one per key)."""
+    fresh = first_per_key(incoming.select(*existing.columns), key).select(*existing.columns)
+    return fresh.join(existing.select(key), key, "left_anti")
+
+
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
     """K5: the collection after adding ``incoming``; ids already present keep their old row
     (add ignores existing ids: insert-if-absent, not upsert). Duplicate ids within the batch
     are reduced to one row first."""
-    fresh = first_per_key(incoming.select(*existing.columns), key).select(*existing.columns)
-    new_rows = fresh.join(existing.select(key), key, "left_anti")
-    return existing.unionByName(new_rows)
+    return existing.unionByName(absent_rows(existing, incoming, key))
 
 
 def new_files(batch: DataFrame, ledger: DataFrame, name: str = "filename") -> DataFrame:
