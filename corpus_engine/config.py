@@ -34,6 +34,8 @@ class Config:
     # Largest query matrix (bytes) shipped to every task for exact kNN; larger query
     # sets are processed in blocks of this size.
     max_broadcast_query_bytes: int = 64 * 1024 * 1024
+    # Largest per-partition top-k state (k rows per query) of one query block.
+    max_topk_state_rows: int = 200_000
     # Largest gazetteer (rows) turned into a broadcast side of a join.
     max_broadcast_rows: int = 2_000_000
     lsh_tables: int = 8
