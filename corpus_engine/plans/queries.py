@@ -191,7 +191,7 @@ def q_knn_exact(spark, sf):
 
 
 def _vectors(spark, sf):
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return balance(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
 def q_knn_vectors(spark, sf):

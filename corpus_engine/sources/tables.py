@@ -19,14 +19,19 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def balance(df: DataFrame, max_bytes: int = 1 << 30, per_core: int = 2) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy per-row work.
+def balance(df: DataFrame, max_bytes: int = 1 << 30, per_core: int = 2,
+            min_task_bytes: int = 1 << 18) -> DataFrame:
+    """Spread a small input over the cores before CPU-heavy per-row work.
 
     A file with a single row group is read by one task however many splits it is cut
-    into, so text processing on it would run on one core. Inputs up to ``max_bytes``
-    (by Catalyst's estimate) are round-robin repartitioned, a cheap shuffle; larger inputs
-    keep their file splits, which already give one task per row group, and are not
-    shuffled."""
-    if estimated_bytes(df) > max_bytes:
+    into, so text processing on it would run on one core. Inputs up to ``max_bytes`` (by
+    Catalyst's estimate) are round-robin repartitioned into at most ``per_core`` tasks per
+    core and at least ``min_task_bytes`` per task, a cheap shuffle; an input that fits one
+    task is left alone, and larger inputs keep their file splits (one task per row group)
+    and are never shuffled here."""
+    size = estimated_bytes(df)
+    if size > max_bytes:
         return df
-    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    target = min(per_core * cores, -(-size // min_task_bytes))
+    return df if target <= 1 else df.repartition(int(target))
