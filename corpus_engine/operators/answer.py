@@ -6,7 +6,9 @@ error)`` (or the JSON bodies) that these operators clean and compare."""
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Iterator, Sequence
+
+import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,13 +72,13 @@ def clean_answers(df: DataFrame, answer: str = "answer", out: str = "answer") ->
 
 
 def compare_answers(answers: DataFrame, contexts: DataFrame | None = None,
-                    models: Sequence[str] = DEFAULTS.models, query_id: str = "query_id",
-                    uncaught: DataFrame | None = None) -> DataFrame:
+                    models: Sequence[str] = DEFAULTS.models, query_id: str = "query_id") -> DataFrame:
     """One row per query with the context and one column per model.
 
     A failed call shows ``<error prefix><message>`` in its own cell; the pivot uses a fixed
     model list, so no extra pass discovers the values, and models without an answer stay
-    null (left join semantics)."""
+    null (left join semantics). Rows with ``uncaught = true`` (an exception that escaped the
+    caller) show ``Error: <message>`` instead."""
     prefix = F.lit("An error occurred: ")
     for m, (_, _, p) in P.MODEL_PROMPTS.items():
         prefix = F.when(F.col("model") == m, F.lit(p)).otherwise(prefix)
@@ -88,3 +90,37 @@ def compare_answers(answers: DataFrame, contexts: DataFrame | None = None,
     if contexts is not None:
         wide = contexts.join(wide, query_id, "left")
     return wide
+
+
+def extractive_answers(hits: DataFrame, model: str = "extractive", query_id: str = "query_id") -> DataFrame:
+    """U5 offline stand-in: the answer is the top-ranked retrieved text."""
+    return hits.filter(F.col("rank") == 1).select(
+        query_id, F.lit(model).alias("model"), F.col("text").alias("answer"),
+        F.lit(None).cast("string").alias("error"))
+
+
+def answer_with_model(prompts: DataFrame, factory: Callable, query_id: str = "query_id") -> DataFrame:
+    """U5 hook: ``factory()`` returns ``generate(list[str]) -> list[str]``, built once per
+    Python worker and applied to Arrow batches of prompts. A failing batch is retried row
+    by row so one failure only fills its own ``error`` cell."""
+    schema = f"{query_id} {dict(prompts.dtypes)[query_id]}, model string, answer string, error string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate = factory()
+        for pdf in batches:
+            prompts_ = pdf["prompt"].fillna("").tolist()
+            try:
+                answers, errors = list(generate(prompts_)), [None] * len(prompts_)
+            except Exception:  # noqa: BLE001  (isolate per row)
+                answers, errors = [], []
+                for p in prompts_:
+                    try:
+                        answers.append(generate([p])[0])
+                        errors.append(None)
+                    except Exception as e:  # noqa: BLE001
+                        answers.append(None)
+                        errors.append(str(e))
+            yield pd.DataFrame({query_id: pdf[query_id], "model": pdf["model"],
+                                "answer": answers, "error": errors})
+
+    return prompts.select(query_id, "model", "prompt").mapInPandas(run, schema)

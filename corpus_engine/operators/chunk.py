@@ -232,18 +232,18 @@ def _join(parts: list[str]) -> str | None:
     return joined or None
 
 
-def _merge(splits: list[str], size: int, overlap: int) -> list[str]:
+def _merge(splits: list[str], size: int, overlap: int, length=len) -> list[str]:
     docs: list[str] = []
     window: list[str] = []
     total = 0
     for piece in splits:
-        n = len(piece)
+        n = length(piece)
         if total + n > size and window:
             doc = _join(window)
             if doc is not None:
                 docs.append(doc)
             while total > overlap or (total + n > size and total > 0):
-                total -= len(window[0])
+                total -= length(window[0])
                 window = window[1:]
         window.append(piece)
         total += n
@@ -255,7 +255,8 @@ def _merge(splits: list[str], size: int, overlap: int) -> list[str]:
 
 def recursive_split(text: str, size: int = DEFAULTS.recursive_chunk_size,
                     overlap: int = DEFAULTS.recursive_overlap,
-                    separators: Sequence[str] = RECURSIVE_SEPARATORS) -> list[str]:
+                    separators: Sequence[str] = RECURSIVE_SEPARATORS, length=len) -> list[str]:
+    """Split ``text``; ``length`` measures pieces (code points by default, U1)."""
     sep, rest = separators[-1], []
     for i, s in enumerate(separators):
         if s == "":
@@ -267,24 +268,24 @@ def recursive_split(text: str, size: int = DEFAULTS.recursive_chunk_size,
     out: list[str] = []
     good: list[str] = []
     for piece in _split_keep_start(text, sep):
-        if len(piece) < size:
+        if length(piece) < size:
             good.append(piece)
             continue
         if good:
-            out.extend(_merge(good, size, overlap))
+            out.extend(_merge(good, size, overlap, length))
             good = []
         if rest:
-            out.extend(recursive_split(piece, size, overlap, rest))
+            out.extend(recursive_split(piece, size, overlap, rest, length))
         else:
             out.append(piece)
     if good:
-        out.extend(_merge(good, size, overlap))
+        out.extend(_merge(good, size, overlap, length))
     return out
 
 
 def chunk_recursive(df: DataFrame, text: str = "text", keys=("doc_id",),
                     size: int = DEFAULTS.recursive_chunk_size,
-                    overlap: int = DEFAULTS.recursive_overlap) -> DataFrame:
+                    overlap: int = DEFAULTS.recursive_overlap, length=len) -> DataFrame:
     if overlap > size:
         raise ValueError("overlap must not exceed chunk_size")
     keys = _keys(keys)
@@ -302,7 +303,7 @@ def chunk_recursive(df: DataFrame, text: str = "text", keys=("doc_id",),
                 body = d["text"]
                 if body is None:
                     continue
-                for i, c in enumerate(recursive_split(body, size, overlap)):
+                for i, c in enumerate(recursive_split(body, size, overlap, RECURSIVE_SEPARATORS, length)):
                     for k in keys:
                         rows[k].append(d[k])
                     idx.append(i)

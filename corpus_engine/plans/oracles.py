@@ -439,6 +439,15 @@ def _sql() -> dict[str, str]:
     o["html_to_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {html_steps('html', H.TEXT_STEPS)} AS text "
                          f"FROM pages) WHERE text <> ''")
     o["html_to_markdown"] = f"SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
+    ext_ = f"regexp_extract({base_name('url')}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
+    stem_ = f"substring({base_name('url')}, 1, length({base_name('url')}) - length({ext_}))"
+    o["markdown_files"] = (
+        f"WITH m AS (SELECT url AS path, {stem_} || '.md' AS md_path, {html_steps('html', H.MARKDOWN_STEPS)} "
+        f"AS markdown FROM pages)\nSELECT path, md_path, CASE WHEN markdown IS NULL THEN 'unreadable file' "
+        f"WHEN markdown = '' THEN 'no content converted' END AS error FROM m")
+    o["extractive_answers"] = (f"WITH {CORPUS},\n{QUESTIONS},\n{knn_ctes(FETCH)},\n{dedup_ctes('knn', K_APP)}\n"
+                               f"SELECT query_id, 'extractive' AS model, text AS answer, NULL::VARCHAR AS error "
+                               f"FROM dd WHERE rank = 1")
     o["ingest_new_files"] = f"WITH {PAGE_FILES},\n{LEDGER},\n{NEW_FILES}\nSELECT filename, page_id FROM new_files"
     o["ledger_merge"] = (f"WITH {PAGE_FILES},\n{LEDGER},\n{NEW_FILES}\n"
                          f"SELECT filename FROM ledger UNION SELECT filename FROM new_files")

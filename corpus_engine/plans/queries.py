@@ -325,6 +325,17 @@ def q_html_to_text(spark, sf):
     return p.filter(F.col("text") != "")
 
 
+def q_markdown_files(spark, sf):
+    from corpus_engine.sources.sinks import markdown_outputs
+    return markdown_outputs(page_files(spark, sf), "url", "html").select("path", "md_path", "error")
+
+
+def q_extractive_answers(spark, sf):
+    hits = R.retrieve_dedup(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
+                            DEFAULTS.top_k_app, DEFAULTS.overfetch_factor)
+    return A.extractive_answers(hits)
+
+
 def q_html_to_markdown(spark, sf):
     return table(spark, sf, "pages").select("page_id", H.html_to_markdown("html").alias("markdown"))
 

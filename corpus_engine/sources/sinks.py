@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULTS
+from corpus_engine.functions.files import stem
+from corpus_engine.functions.html import html_to_markdown
 from corpus_engine.functions.text import safe_filename
 from corpus_engine.operators.ingest import first_per_key
 
@@ -48,3 +50,18 @@ def write_collection(df: DataFrame, path: str, batch: int = DEFAULTS.insert_batc
                      mode: str = "append") -> None:
     """K5/K6: append to the collection; ``batch`` only bounds the rows per file."""
     df.write.mode(mode).option("maxRecordsPerFile", batch).parquet(path)
+
+
+def markdown_outputs(df: DataFrame, path: str = "path", content: str = "html") -> DataFrame:
+    """``(path, md_path, markdown, error)``: the output name is ``<stem>.md``; a file
+    that cannot be read or converts to nothing gets an error instead of stopping the rest."""
+    md = html_to_markdown(F.col(content))
+    return df.select(F.col(path).alias("path"), F.concat(stem(F.col(path)), F.lit(".md")).alias("md_path"),
+                     md.alias("markdown")) \
+        .withColumn("error", F.when(F.col("markdown").isNull(), F.lit("unreadable file"))
+                    .when(F.col("markdown") == "", F.lit("no content converted")))
+
+
+def write_markdown(df: DataFrame, path: str) -> None:
+    """K4 sink: converted documents keyed by md_path (failed ones are skipped)."""
+    df.filter(F.col("error").isNull()).select("md_path", "markdown").write.mode("overwrite").parquet(path)

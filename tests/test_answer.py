@@ -77,3 +77,25 @@ def test_corpus_stats_empty(spark):
 def test_response_paths(spark):
     df = spark.createDataFrame([('{"choices": []}',), ('{"choices": [{"message": {"content": "hi"}}]}',)], "b string")
     assert [r[0] for r in df.select(P.response_text("b", "chat")).collect()] == ["No content generated.", "hi"]
+
+
+def _failing_model():
+    def generate(prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("model failed")
+        return [p.upper() for p in prompts]
+    return generate
+
+
+def test_answer_with_model_isolates_errors(spark):
+    prompts = spark.createDataFrame([(1, "gpt", "hello"), (2, "gpt", "boom"), (3, "gpt", "ok")],
+                                    "query_id int, model string, prompt string").coalesce(1)
+    got = sorted(map(tuple, A.answer_with_model(prompts, _failing_model).collect()))
+    assert got == [(1, "gpt", "HELLO", None), (2, "gpt", None, "model failed"), (3, "gpt", "OK", None)]
+
+
+def test_recursive_length_function():
+    from corpus_engine.operators.chunk import recursive_split
+    by_bytes = recursive_split("éé éé éé", 5, 0, length=lambda s: len(s.encode()))
+    assert by_bytes == ["éé", "éé", "éé"]
+    assert recursive_split("éé éé éé", 5, 0) == ["éé éé", "éé"]
