@@ -79,15 +79,14 @@ def test_response_paths(spark):
     assert [r[0] for r in df.select(P.response_text("b", "chat")).collect()] == ["No content generated.", "hi"]
 
 
-def _failing_model():
-    def generate(prompts):
-        if any("boom" in p for p in prompts):
-            raise RuntimeError("model failed")
-        return [p.upper() for p in prompts]
-    return generate
-
-
 def test_answer_with_model_isolates_errors(spark):
+    def _failing_model():  # defined here so it is pickled by value for the workers
+        def generate(prompts):
+            if any("boom" in p for p in prompts):
+                raise RuntimeError("model failed")
+            return [p.upper() for p in prompts]
+        return generate
+
     prompts = spark.createDataFrame([(1, "gpt", "hello"), (2, "gpt", "boom"), (3, "gpt", "ok")],
                                     "query_id int, model string, prompt string").coalesce(1)
     got = sorted(map(tuple, A.answer_with_model(prompts, _failing_model).collect()))
