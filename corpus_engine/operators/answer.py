@@ -77,7 +77,8 @@ def compare_answers(answers: DataFrame, contexts: DataFrame | None = None,
 
     A failed call shows ``<error prefix><message>`` in its own cell; the pivot uses a fixed
     model list, so no extra pass discovers the values, and models without an answer stay
-    null (left join semantics). Rows with ``uncaught = true`` (an exception that escaped the
+    null (left join semantics); if a model answered twice the smaller text is kept, so the
+    result does not depend on row order. Rows with ``uncaught = true`` (an exception that escaped the
     caller) show ``Error: <message>`` instead."""
     prefix = F.lit("An error occurred: ")
     for m, (_, _, p) in P.MODEL_PROMPTS.items():
@@ -86,7 +87,7 @@ def compare_answers(answers: DataFrame, contexts: DataFrame | None = None,
         prefix = F.when(F.col("uncaught"), F.lit(P.UNCAUGHT_PREFIX)).otherwise(prefix)
     cell = F.coalesce(F.col("answer"), F.concat(prefix, F.col("error")))
     wide = (answers.withColumn("__cell", cell)
-            .groupBy(query_id).pivot("model", list(models)).agg(F.first("__cell")))
+            .groupBy(query_id).pivot("model", list(models)).agg(F.min("__cell")))
     if contexts is not None:
         wide = contexts.join(wide, query_id, "left")
     return wide

@@ -246,12 +246,11 @@ ENTITIES = (CLEANED + ",\n" + gazetteer_ctes() + ",\n"
             "ents AS (SELECT dt.doc_id, dt.word, gz.entity FROM dt JOIN gz ON dt.word = gz.word)")
 
 ANSWERS = (
-    "conv AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i_ "
-    "FROM conversations WHERE role = 'assistant'),\n"
-    "answers AS (SELECT conv_id AS query_id, " + "list_value(" + ", ".join(lit(m) for m in DEFAULTS.models)
-    + ")[i_] AS model, CASE WHEN length(text) >= 20 THEN text END AS answer, "
-    "CASE WHEN length(text) < 20 THEN 'empty response: ' || text END AS error FROM conv WHERE i_ <= "
-    + str(len(DEFAULTS.models)) + ")"
+    "answers AS (SELECT conv_id::VARCHAR || ':' || (turn // " + str(len(DEFAULTS.models)) + ")::VARCHAR AS query_id, "
+    "list_value(" + ", ".join(lit(m) for m in DEFAULTS.models) + ")[(turn % " + str(len(DEFAULTS.models))
+    + ") + 1] AS model, CASE WHEN length(text) >= 20 THEN text END AS answer, "
+    "CASE WHEN length(text) < 20 THEN 'empty response: ' || text END AS error FROM conversations "
+    "WHERE role = 'assistant')"
 )
 
 
@@ -411,7 +410,7 @@ def _sql() -> dict[str, str]:
         f"coalesce(json_extract_string(bh, '$.choices[0].message.content'), {lit(P.NO_CONTENT)}) AS chat_text FROM b")
     o["clean_answer"] = (f"SELECT conv_id, turn, {clean_answer('text')} AS answer FROM conversations "
                          f"WHERE role = 'assistant'")
-    cells = ", ".join(f"max(CASE WHEN model = {lit(m)} THEN cell END) AS {m}" for m in DEFAULTS.models)
+    cells = ", ".join(f"min(CASE WHEN model = {lit(m)} THEN cell END) AS {m}" for m in DEFAULTS.models)
     o["compare_answers"] = (
         f"WITH {ANSWERS},\nc AS (SELECT query_id, model, coalesce(answer, {model_prefix()} || error) AS cell FROM answers)\n"
         f"SELECT query_id, {cells} FROM c GROUP BY query_id")

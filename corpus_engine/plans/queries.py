@@ -70,19 +70,21 @@ def gazetteer(spark, sf) -> DataFrame:
 
 
 def answers(spark, sf) -> DataFrame:
-    """Answers table derived from conversations: the i-th assistant turn of a conversation
-    is model i of the fixed model list; a turn shorter than 20 characters counts as a
-    failed call (answer null, error = its text)."""
+    """Answers table derived from every assistant turn of the conversations: each block of
+    four turns is one query and turn ``t`` holds model ``t mod 4`` of the fixed model list
+    (query ``<conv_id>:<turn div 4>``), so every assistant turn has its own cell. A turn
+    shorter than 20 characters counts as a failed call (answer null, error set). No
+    window: a very long conversation is spread over many queries and tasks."""
     conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
     models = F.array(*[F.lit(m) for m in DEFAULTS.models])
-    from pyspark.sql import Window
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    ranked = conv.withColumn("__i", F.row_number().over(w)).filter(F.col("__i") <= len(DEFAULTS.models))
+    n = len(DEFAULTS.models)
     failed = F.length("text") < 20
-    return ranked.select(F.col("conv_id").alias("query_id"),
-                         F.element_at(models, F.col("__i")).alias("model"),
-                         F.when(~failed, F.col("text")).alias("answer"),
-                         F.when(failed, F.concat(F.lit("empty response: "), F.col("text"))).alias("error"))
+    return conv.select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.floor(F.col("turn") / n).cast("string"))
+        .alias("query_id"),
+        F.element_at(models, (F.pmod(F.col("turn"), F.lit(n)) + 1).cast("int")).alias("model"),
+        F.when(~failed, F.col("text")).alias("answer"),
+        F.when(failed, F.concat(F.lit("empty response: "), F.col("text"))).alias("error"))
 
 
 def contexts(spark, sf) -> DataFrame:
