@@ -69,13 +69,17 @@ def gazetteer(spark, sf) -> DataFrame:
     return EN.gazetteer_from_names(names, "name", "LOC")
 
 
+def conversations(spark, sf) -> DataFrame:
+    return balance(table(spark, sf, "conversations").filter(F.col("role") == "assistant"))
+
+
 def answers(spark, sf) -> DataFrame:
     """Answers table derived from every assistant turn of the conversations: each block of
     four turns is one query and turn ``t`` holds model ``t mod 4`` of the fixed model list
     (query ``<conv_id>:<turn div 4>``), so every assistant turn has its own cell. A turn
     shorter than 20 characters counts as a failed call (answer null, error set). No
     window: a very long conversation is spread over many queries and tasks."""
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    conv = conversations(spark, sf)
     models = F.array(*[F.lit(m) for m in DEFAULTS.models])
     n = len(DEFAULTS.models)
     failed = F.length("text") < 20
@@ -263,7 +267,7 @@ def q_request_bodies(spark, sf):
 
 
 def q_parse_responses(spark, sf):
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    conv = conversations(spark, sf)
     t = F.col("text")
     bodies = conv.select(
         "conv_id", "turn",
@@ -278,7 +282,7 @@ def q_parse_responses(spark, sf):
 
 
 def q_clean_answer(spark, sf):
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
+    conv = conversations(spark, sf)
     return conv.select("conv_id", "turn", P.clean_answer("text").alias("answer"))
 
 
@@ -323,7 +327,7 @@ def q_safe_filename(spark, sf):
 
 
 def q_html_to_text(spark, sf):
-    p = table(spark, sf, "pages").select("page_id", H.html_to_text("html").alias("text"))
+    p = balance(table(spark, sf, "pages")).select("page_id", H.html_to_text("html").alias("text"))
     return p.filter(F.col("text") != "")
 
 
@@ -339,7 +343,7 @@ def q_extractive_answers(spark, sf):
 
 
 def q_html_to_markdown(spark, sf):
-    return table(spark, sf, "pages").select("page_id", H.html_to_markdown("html").alias("markdown"))
+    return balance(table(spark, sf, "pages")).select("page_id", H.html_to_markdown("html").alias("markdown"))
 
 
 def _ledger(spark, sf):
