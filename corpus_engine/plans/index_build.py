@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.chunk import chunk
 from corpus_engine.operators.embed import HashEmbedder
-from corpus_engine.operators.ingest import absent_rows
-from corpus_engine.sources.files import COLLECTION_SCHEMA, open_collection
-from corpus_engine.sources.sinks import write_collection
+from corpus_engine.sources.collection import DEFAULT_BUCKETS, BucketedCollection
 
 
 def chunk_and_embed(papers: DataFrame, method: str = DEFAULTS.default_chunking, embedder=None,
@@ -24,15 +22,10 @@ def chunk_and_embed(papers: DataFrame, method: str = DEFAULTS.default_chunking,
 
 def build_index(spark: SparkSession, papers: DataFrame, collection_path: str,
                 method: str = DEFAULTS.default_chunking, embedder=None, id_col: str = "id",
-                text: str = "text", batch: int = DEFAULTS.insert_batch) -> int:
-    """Append the chunks whose id the collection lacks; returns the number added. Running
-    it again with the same papers adds nothing (ids already present are ignored)."""
-    existing = open_collection(spark, collection_path, COLLECTION_SCHEMA)
-    new = absent_rows(existing, chunk_and_embed(papers, method, embedder, id_col, text), "id")
-    new = new.select(*[f.name for f in spark.createDataFrame([], COLLECTION_SCHEMA).schema.fields])
-    staged = f"{collection_path.rstrip('/')}_staging"
-    # Stage first: the anti-join reads the collection, so it must not be appended to while read.
-    new.write.mode("overwrite").parquet(staged)
-    added = spark.read.parquet(staged)
-    write_collection(added, collection_path, batch, mode="append")
-    return spark.read.parquet(staged).count()
+                text: str = "text", buckets: int = DEFAULT_BUCKETS) -> int:
+    """Add the chunks whose id the collection lacks; returns the number added. Running it
+    again with the same papers adds nothing (ids already present are ignored). The
+    collection is a bucketed table at ``collection_path``, so each run shuffles only the
+    new batch, never the stored collection."""
+    coll = BucketedCollection(spark, collection_path, buckets)
+    return coll.insert_if_absent(chunk_and_embed(papers, method, embedder, id_col, text))

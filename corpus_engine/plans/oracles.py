@@ -353,6 +353,7 @@ def _sql() -> dict[str, str]:
                         + with_ids(explode_chunks("f", "doc_id", "chs"), "doc_id"))
     o["chunk_sentence"] = f"WITH {SENT_CHUNKS}\nSELECT doc_id, chunk_index, id, text FROM chunks"
     o["collection_write"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id, chunk_index, text FROM chunks"
+    o["stream_ingest"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id::VARCHAR AS doc_id, chunk_index, text FROM chunks"
     o["chunk_semantic"] = semantic_sql()
     o["knn_lsh"] = lsh_sql()
     exact_v = o_knn_vectors()

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.operators.chunk import chunk
 from corpus_engine.session import shared_path
-from corpus_engine.sources.files import open_collection
-from corpus_engine.sources.sinks import write_collection
+from corpus_engine.sources.collection import BucketedCollection
 
 CHUNK_SCHEMA = "id string, doc_id string, chunk_index int, text string"
 
@@ -32,12 +31,11 @@ def start_ingest(spark: SparkSession, source_dir: str, collection_dir: str, chec
                  fmt: str = "parquet"):
     """Start the stream (trigger availableNow: process what is there, then stop)."""
     stream = spark.readStream.schema(source_schema).format(fmt).load(source_dir)
+    collection = BucketedCollection(spark, collection_dir, schema=CHUNK_SCHEMA)
 
     def add_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = _chunk_rows(batch, method).dropDuplicates(["id"])
-        existing = open_collection(spark, collection_dir, CHUNK_SCHEMA)
-        fresh = rows.join(existing.select("id"), "id", "left_anti")
-        write_collection(fresh, collection_dir, mode="append")
+        # insert-if-absent against the bucketed collection: only the batch is shuffled
+        collection.insert_if_absent(_chunk_rows(batch, method))
 
     return (stream.writeStream.foreachBatch(add_batch)
             .option("checkpointLocation", checkpoint)
