@@ -381,6 +381,11 @@ def _sql() -> dict[str, str]:
         f"SELECT query_id, rank, id, round(1.0 - distance, 4) AS relevance, substring(text, 1, 200) || '...' AS preview FROM knn")
     o["retrieve_dedup"] = (f"WITH {CORPUS},\n{QUESTIONS},\n{knn_ctes(FETCH)},\n{dedup_ctes('knn', K_APP)}\n"
                            f"SELECT query_id, rank, id, text, distance FROM dd")
+    filtered = (SENT_CHUNKS.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT doc_id FROM labels "
+                                    "WHERE quality = 1 AND toxic = 0))", 1)
+                + ",\n" + embed_ctes("chunks", "id, text", "text", "corpus"))
+    o["retrieve_filtered"] = (f"WITH {filtered},\n{QUESTIONS},\n{knn_ctes(FETCH)},\n{dedup_ctes('knn', K_APP)}\n"
+                              f"SELECT query_id, rank, id, text, distance FROM dd")
     o["retrieve_expanded"] = (
         f"WITH {CORPUS},\n{QUESTIONS},\n{knn_ctes(1, name='first')},\n"
         + embed_ctes("(SELECT query_id, text AS expansion FROM first)", "query_id", "expansion", "exq") + ",\n"
