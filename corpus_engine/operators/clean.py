@@ -11,9 +11,25 @@ from corpus_engine.functions import text as T
 
 def clean_text(df: DataFrame, text: str = "text", out: str = "text", with_isbn: bool = True,
                min_line_length: int = DEFAULTS.min_line_length) -> DataFrame:
-    """Lower, the pattern rules in order, ellipses, line filter."""
-    return df.withColumn(out, T.clean_chain(F.col(text), min_line_length=min_line_length,
-                                            with_isbn=with_isbn))
+    """Lower, the pattern rules in order, ellipses, line filter.
+
+    Same result as ``functions.text.clean_chain``; each step is its own projection so a
+    step with a literal guard (``STEP_GUARDS``) can skip its regex pass on texts that
+    cannot match without recomputing the steps before it."""
+    tmp = "__clean"
+    cur = F.col(tmp)
+    df = df.withColumn(tmp, F.lower(F.col(text)))
+    for name, pattern in T.CLEAN_STEPS:
+        if name == "isbn" and not with_isbn:
+            continue
+        step = T.remove(cur, pattern)
+        if name in T.STEP_GUARDS:
+            hit = F.lit(False)
+            for literal in T.STEP_GUARDS[name]:
+                hit = hit | (F.instr(cur, literal) > 0)
+            step = F.when(hit, step).otherwise(cur)
+        df = df.withColumn(tmp, step)
+    return df.withColumn(out, T.filter_lines(cur, min_line_length)).drop(tmp)
 
 
 def clean_trace(df: DataFrame, text: str = "text", with_isbn: bool = True) -> DataFrame:
