@@ -174,7 +174,10 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
 
     With the (linear) hash embedder the chunk vector is the running sum of its sentences'
     token-bucket counts, so each step is O(dim) instead of re-embedding the chunk. Sentence
-    splitting and token hashing run in the JVM; only the ordered loop runs in Python."""
+    splitting and token hashing run in the JVM; only the ordered loop runs in Python.
+    (A pure-SQL ``aggregate`` fold of the same loop gave identical chunks but was ~50x
+    slower at sf0.1 -- 83 s against 1.7 s -- because interpreted lambdas allocate a struct
+    and two arrays per sentence; the Arrow batch loop is the faster plan here.)"""
     from corpus_engine.operators.embed import HashEmbedder
 
     embedder = embedder or HashEmbedder()
