@@ -24,11 +24,16 @@ class Answered:
 
 def answer_questions(collection: DataFrame, questions: DataFrame, embedder=None,
                      k: int = DEFAULTS.top_k_app, factor: int = DEFAULTS.overfetch_factor,
-                     models=("rag", "gpt", "claude", "mistral"), expanded: bool = False) -> Answered:
+                     models=("rag", "gpt", "claude", "mistral"), expanded: bool = False,
+                     collection_path: str | None = None) -> Answered:
     """``questions(query_id, question)`` -> top-k distinct hits, one context per question,
     one prompt per (question, model) and the JSON request bodies for an offline batch call.
-    With ``expanded`` the retrieval uses a hypothetical answer (R5)."""
+    With ``expanded`` the retrieval uses a hypothetical answer (R5). With
+    ``collection_path`` the collection's embedder stamp is checked first (E2)."""
     embedder = embedder or HashEmbedder()
+    if collection_path is not None:
+        from corpus_engine.plans.index_build import check_embedder
+        check_embedder(questions.sparkSession, collection_path, embedder)
     q = embedder.embed(questions, "question", "embedding")
     if expanded:
         hits = R.retrieve_expanded(collection, q, embedder, k, factor, query_text="question").drop("question")

@@ -24,7 +24,11 @@ def test_prepare_index_answer(spark):
     assert added > 0 and again == 0 and collection.count() == added
     questions = table(spark, SF001, "benchmark").select(F.col("item_id").alias("query_id"),
                                                        F.col("text").alias("question"))
-    out = answer_questions(collection, questions)
+    out = answer_questions(collection, questions, collection_path=f"{base}/collection")
+    import pytest
+    from corpus_engine.operators.embed import HashEmbedder
+    with pytest.raises(ValueError):
+        answer_questions(collection, questions, HashEmbedder(32), collection_path=f"{base}/collection")
     n_q = questions.count()
     assert out.contexts.count() == n_q
     assert out.prompts.count() == 4 * n_q
