@@ -64,24 +64,45 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
 _SHIPPED: set = set()
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Make ``corpus_engine`` importable in Python workers (executors) via addPyFile.
-
-    Functions run by mapInPandas / pandas UDFs are unpickled in the workers, which import
-    this package; on a cluster it is shipped as a zip built once per driver process."""
+def _package_zip() -> bytes:
+    import io
     import zipfile
 
-    key = id(spark.sparkContext)
-    if key in _SHIPPED:
-        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    fd, zpath = tempfile.mkstemp(prefix="corpus_engine-", suffix=".zip", dir="/tmp")
-    os.close(fd)
-    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
-    spark.sparkContext.addPyFile(zpath)
+    return buf.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``corpus_engine`` importable in Python workers (executors) via addPyFile.
+
+    Functions run by mapInPandas / pandas UDFs are unpickled in the workers, which import
+    this package. The zip is built in memory; on a cluster it is written to the shared
+    checkpoint folder (never a machine-local temporary folder), locally to /tmp."""
+    key = id(spark.sparkContext)
+    if key in _SHIPPED:
+        return
+    data = _package_zip()
+    sc = spark.sparkContext
+    if sc.master.startswith("local"):
+        fd, zpath = tempfile.mkstemp(prefix="corpus_engine-", suffix=".zip", dir="/tmp")
+        with os.fdopen(fd, "wb") as fh:
+            fh.write(data)
+    else:
+        import hashlib
+
+        zpath = shared_path(spark, "pyfiles", f"corpus_engine-{hashlib.sha1(data).hexdigest()[:12]}.zip")
+        jvm = sc._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(zpath)
+        fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+        out = fs.create(hpath, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(zpath)
     _SHIPPED.add(key)

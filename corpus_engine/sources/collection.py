@@ -12,6 +12,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.ingest import absent_rows
 from corpus_engine.sources.files import COLLECTION_SCHEMA
 
@@ -20,8 +21,9 @@ DEFAULT_BUCKETS = 64
 
 class BucketedCollection:
     def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS,
-                 schema: str = COLLECTION_SCHEMA, key: str = "id"):
+                 schema: str = COLLECTION_SCHEMA, key: str = "id", batch: int = DEFAULTS.insert_batch):
         self.spark, self.path, self.buckets, self.schema, self.key = spark, path.rstrip("/"), buckets, schema, key
+        self.batch = batch
         self.name = "collection_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
         self.staging = f"{self.path}_staging"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet "
@@ -37,6 +39,6 @@ class BucketedCollection:
         fresh = absent_rows(self.read(), incoming.select(*cols), self.key)
         fresh.write.mode("overwrite").parquet(self.staging)
         staged = self.spark.read.parquet(self.staging)
-        staged.write.mode("append").insertInto(self.name)
+        staged.write.mode("append").option("maxRecordsPerFile", self.batch).insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return self.spark.read.parquet(self.staging).count()
