@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,19 +33,3 @@ def cosine(a, b) -> Column:
     den = norm(a) * norm(b)
     return F.when(den > 0, dot(a, b) / den).otherwise(F.lit(0.0))
 
-
-def squared_l2_batch(a, b) -> Column:
-    """Squared L2 of two array<float> columns, vectorised over Arrow batches.
-
-    Summed left to right (cumulative sum, last element) in double, so each value is
-    bit-identical to ``squared_l2``'s sequential fold; used where many pairs are scored."""
-    @F.pandas_udf("double")
-    def _sq_l2(x: pd.Series, y: pd.Series) -> pd.Series:
-        if len(x) == 0:
-            return pd.Series([], dtype="float64")
-        xa = np.stack(x.to_numpy()).astype(np.float64)
-        ya = np.stack(y.to_numpy()).astype(np.float64)
-        diff = xa - ya
-        return pd.Series(np.cumsum(diff * diff, axis=1)[:, -1])
-
-    return _sq_l2(_col(a), _col(b))
