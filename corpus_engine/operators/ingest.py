@@ -9,6 +9,18 @@ from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.chunk import word_chunks
 
 
+def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 32,
+                 salt_by: str | None = None) -> DataFrame:
+    """Join where ``small`` has at most one row per key and ``big`` may hold a third of
+    its rows under one key: ``big`` gets a salt in [0, salts) (from ``salt_by``, default
+    the key and the row's other columns) and ``small`` is replicated once per salt, so a
+    hot key is spread over ``salts`` tasks instead of one."""
+    salt_cols = [F.col(salt_by)] if salt_by else [F.col(c) for c in big.columns]
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*salt_cols), F.lit(salts)))
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [key, "__salt"], how).drop("__salt")
+
+
 def first_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """One row per key, the smallest ``order`` (default: the whole row) wins.
 
@@ -40,8 +52,9 @@ def new_files(batch: DataFrame, ledger: DataFrame, name: str = "filename") -> Da
 
 
 def skipped_count(batch: DataFrame, ledger: DataFrame, name: str = "filename") -> DataFrame:
-    """Number of batch rows (not names) already in the ledger."""
-    return batch.join(ledger.select(name).distinct(), name, "left_semi").agg(
+    """Number of batch rows (not names) already in the ledger: a salted semi-join, so a
+    name repeated in a third of the batch is counted by many tasks."""
+    return salted_join(batch, ledger.select(name).distinct(), name, "left_semi").agg(
         F.count(F.lit(1)).alias("skipped_files"))
 
 

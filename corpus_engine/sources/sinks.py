@@ -9,7 +9,7 @@ from corpus_engine.config import DEFAULTS
 from corpus_engine.functions.files import stem
 from corpus_engine.functions.html import html_to_markdown
 from corpus_engine.functions.text import safe_filename
-from corpus_engine.operators.ingest import first_per_key
+from corpus_engine.operators.ingest import first_per_key, salted_join
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -28,11 +28,12 @@ def write_report(papers: DataFrame, stats: DataFrame | None, path: str) -> None:
 def with_safe_names(df: DataFrame, id_col: str = "id") -> DataFrame:
     """K3 naming: ``safe_name`` and a ``collision`` flag for ids that sanitise alike.
 
-    The count per name is a hash aggregate joined back on the name; AQE splits a hot
-    name's partition (skew join) instead of one task holding all of its rows."""
+    The count per name is a hash aggregate (partial counts before the shuffle) joined back
+    on the name with a salted join, so a name shared by a third of all rows is spread
+    over many tasks."""
     named = df.withColumn("safe_name", safe_filename(F.col(id_col)))
     counts = named.groupBy("safe_name").agg(F.count(F.lit(1)).alias("__n"))
-    return (named.join(counts, "safe_name", "left")
+    return (salted_join(named, counts, "safe_name", "left")
             .withColumn("collision", F.col("__n") > 1).drop("__n"))
 
 

@@ -86,3 +86,15 @@ def test_fused_gazetteer_removal_equals_general_path(spark):
     general = EN.remove_entities(docs, EN.annotate_entities(docs, gz))
     fused = EN.remove_gazetteer_entities(docs, gz)
     assert sorted(map(tuple, general.collect())) == sorted(map(tuple, fused.collect()))
+
+
+def test_salted_join_equals_plain_join_on_hot_key(spark):
+    big = spark.range(0, 3000).select((F.when(F.col("id") % 3 == 0, F.lit("hot"))
+                                        .otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))).alias("k"),
+                                       F.col("id").alias("v"))
+    small = big.groupBy("k").count()
+    plain = sorted(map(tuple, big.join(small, "k", "left").collect()))
+    salted = sorted(map(tuple, I.salted_join(big, small, "k", "left", salts=8).select("k", "v", "count").collect()))
+    assert plain == salted
+    semi = I.salted_join(big, small.filter("k = 'hot'").select("k"), "k", "left_semi").count()
+    assert semi == 1000
