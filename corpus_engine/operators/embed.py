@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import text as T
@@ -68,12 +69,14 @@ class PandasEmbedder:
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         factory, dim = self.factory, self.dim
-        schema = df.schema.add(out, "array<float>")
+        schema = T_.StructType([f for f in df.schema.fields if f.name != out]
+                               + [T_.StructField(out, T_.ArrayType(T_.FloatType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             encode = _worker_model(factory)
             for pdf in batches:
-                vecs = np.asarray(encode(pdf[text].fillna("").tolist()), dtype=np.float32)
+                texts = [t if isinstance(t, str) else "" for t in pdf[text].tolist()]
+                vecs = np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), -1)
                 if vecs.ndim != 2 or vecs.shape[1] != dim:
                     raise ValueError(f"embedder returned shape {vecs.shape}, expected (n, {dim})")
                 pdf[out] = list(vecs)
