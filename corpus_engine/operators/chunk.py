@@ -168,6 +168,28 @@ def _semantic_pack(bucket_lists, sentences, dim: int, threshold: float) -> list[
     return chunks
 
 
+def _semantic_pack_model(sentences, encode, threshold: float) -> list[str]:
+    """The same loop for an arbitrary (non-linear) model: the sentences of a document are
+    encoded in one call; the chunk is re-encoded only when it grows."""
+    if len(sentences) == 0:
+        return []
+    vecs = np.asarray(encode(list(sentences)), dtype=np.float64)
+    chunks: list[str] = []
+    cur_text, cur_vec = sentences[0], vecs[0]
+    for sent, vec in zip(sentences[1:], vecs[1:]):
+        den = np.sqrt(cur_vec @ cur_vec) * np.sqrt(vec @ vec)
+        sim = (cur_vec @ vec) / den if den > 0 else 0.0
+        if sim > threshold:
+            cur_text = cur_text + " " + sent
+            cur_vec = np.asarray(encode([cur_text]), dtype=np.float64)[0]
+        else:
+            chunks.append(cur_text.strip())
+            cur_text, cur_vec = sent, vec
+    if cur_text:
+        chunks.append(cur_text.strip())
+    return chunks
+
+
 def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder=None,
                    threshold: float = DEFAULTS.semantic_threshold) -> DataFrame:
     """Left-to-right merge: append the next sentence while cosine(chunk, sentence) > threshold.
@@ -183,20 +205,30 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
     embedder = embedder or HashEmbedder()
     keys = _keys(keys)
     dim = embedder.dim
-    prepared = df.select(*keys, T.sentences(text).alias("sentences")).select(
-        *keys, "sentences",
-        F.transform("sentences", lambda s: embedder.buckets(s)).alias("buckets"))
+    linear = hasattr(embedder, "buckets")
+    factory = None if linear else embedder.factory
+    prepared = df.select(*keys, T.sentences(text).alias("sentences"))
+    if linear:
+        prepared = prepared.select(*keys, "sentences",
+                                   F.transform("sentences", lambda s: embedder.buckets(s)).alias("buckets"))
     key_fields = [f for f in prepared.schema.fields if f.name in keys]
     key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
     schema = f"{key_ddl}, chunk_index int, text string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = None
+        if not linear:
+            from corpus_engine.operators.embed import _worker_model
+            encode = _worker_model(factory)
         for pdf in batches:
             rows = {k: [] for k in keys}
             idx, texts = [], []
             for rec in pdf.itertuples(index=False):
                 d = rec._asdict()
-                chunks = _semantic_pack(list(d["buckets"]), list(d["sentences"]), dim, threshold)
+                if linear:
+                    chunks = _semantic_pack(list(d["buckets"]), list(d["sentences"]), dim, threshold)
+                else:
+                    chunks = _semantic_pack_model(list(d["sentences"]), encode, threshold)
                 for i, c in enumerate(chunks):
                     for k in keys:
                         rows[k].append(d[k])

@@ -48,3 +48,38 @@ def test_annotate_with_model_then_remove(spark):
     cleaned = dict(map(tuple, EN.remove_entities(docs, ents).collect()))
     assert cleaned == {1: "in  and ", 2: "nothing"}
     assert np.isclose(1.0, 1.0)
+
+
+def test_semantic_chunking_with_a_model(spark):
+    from corpus_engine.operators import chunk as C
+
+    def factory():
+        import numpy as np
+
+        def encode(texts):  # a non-linear toy model: letter presence, normalised
+            out = np.array([[1.0 if ch in t.lower() else 0.0 for ch in "abcdefghij"] for t in texts])
+            n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+            return np.where(n > 0, out / np.where(n > 0, n, 1), 0.0)
+        return encode
+
+    emb = E.PandasEmbedder(factory, dim=10)
+    text = "Abc abc. Abd cab! Hij ghi. Jig hig. Abc."
+    df = spark.createDataFrame([(1, text), (2, "")], "doc_id long, text string")
+    got = [r["text"] for r in C.chunk_semantic(df, embedder=emb, threshold=0.6).orderBy("chunk_index").collect()]
+    enc = factory()
+
+    def brute(sentences, thr):
+        chunks, cur = [], sentences[0]
+        for s in sentences[1:]:
+            a, b = enc([cur])[0], enc([s])[0]
+            den = np.sqrt(a @ a) * np.sqrt(b @ b)
+            sim = a @ b / den if den > 0 else 0.0
+            if sim > thr:
+                cur += " " + s
+            else:
+                chunks.append(cur.strip())
+                cur = s
+        chunks.append(cur.strip())
+        return chunks
+
+    assert got == brute(["Abc abc.", "Abd cab!", "Hij ghi.", "Jig hig.", "Abc."], 0.6)
