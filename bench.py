@@ -31,6 +31,7 @@ HEADLINE = (
     "knn_exact",
     "retrieve_dedup",
     "assemble_context",
+    "retrieve_expanded",
     "knn_vectors",
     "knn_lsh",
     "dedup_normalized",
