@@ -373,12 +373,6 @@ def q_ledger_merge(spark, sf):
     return I.ledger_merge(_ledger(spark, sf), _new_files(spark, sf), "filename")
 
 
-def _upload(spark, sf, files):
-    units = F.split(H.html_to_text("html"), "\n", -1)
-    pf = files.join(page_files(spark, sf).select("page_id", "html"), "page_id")
-    return I.upload_chunks(pf.select("page_id", "filename", units.alias("units")), "units", "filename")
-
-
 def q_upload_chunks(spark, sf):
     pages = page_files(spark, sf)
     up = I.upload_chunks(pages.select("page_id", "filename",
@@ -388,14 +382,18 @@ def q_upload_chunks(spark, sf):
 
 
 def q_upload_status(spark, sf):
-    batch = page_files(spark, sf).select("filename", "page_id")
+    """G4 over the I1 batch: each page's chunk count is computed in the scan's projection,
+    so only (filename, page_id, n_chunks) crosses the dedup/anti-join shuffles, never HTML."""
+    units = F.split(H.html_to_text("html"), "\n", -1)
+    n_chunks = F.size(F.flatten(F.transform(units, lambda u: C.word_chunks(u))))
+    batch = page_files(spark, sf).select("filename", "page_id", n_chunks.alias("n_chunks"))
     ledger = _ledger(spark, sf)
     new = I.new_files(batch, ledger, "filename")
-    n_new = new.agg(F.count(F.lit(1)).alias("new_files"))
-    chunks = _upload(spark, sf, new.select("page_id", "filename")).agg(F.count(F.lit(1)).alias("total_chunks"))
-    skipped = I.skipped_count(batch, ledger, "filename")
-    tagged = (n_new.select(F.col("new_files").alias("v"), F.lit(0).alias("k"))
-              .unionAll(chunks.select(F.col("total_chunks").alias("v"), F.lit(1).alias("k")))
+    counts = new.agg(F.count(F.lit(1)).alias("new_files"),
+                     F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("bigint").alias("total_chunks"))
+    skipped = I.skipped_count(batch.select("filename"), ledger, "filename")
+    tagged = (counts.select(F.col("new_files").alias("v"), F.lit(0).alias("k"))
+              .unionAll(counts.select(F.col("total_chunks").alias("v"), F.lit(1).alias("k")))
               .unionAll(skipped.select(F.col("skipped_files").alias("v"), F.lit(2).alias("k"))))
     row = tagged.agg(*[F.max(F.when(F.col("k") == i, F.col("v"))).alias(n)
                        for i, n in enumerate(("new_files", "total_chunks", "skipped_files"))])
