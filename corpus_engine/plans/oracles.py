@@ -106,7 +106,7 @@ def fixed_chunks(expr: str, size: int = DEFAULTS.fixed_chunk_size, overlap: int
             f"ELSE []::BIGINT[] END, lambda i_: substring({expr}, i_ * {step} + 1, {size}))")
 
 
-def explode_chunks(src: str, key: str, arr: str, keys_out: str | None = None) -> str:
+def explode_chunks(src: str, key: str, arr: str) -> str:
     """Rows (key, chunk_index, id, text) from a table with a chunk array column."""
     return (f"SELECT {key}, unnest(generate_series(0, len({arr}) - 1))::INTEGER AS chunk_index, "
             f"unnest({arr}) AS text FROM {src}")

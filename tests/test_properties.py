@@ -4,12 +4,10 @@ Python node in the plans of the operators that are meant to be pure SQL."""
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from corpus_engine.plans.queries import QUERIES
 from corpus_engine.sources.sinks import with_safe_names
-from corpus_engine.sources.tables import table
 
 PURE_SQL = ["clean_steps", "clean_text", "clean_isbn", "word_count", "normalize_text", "annotate_entities",
             "remove_entities", "split_sentences", "chunk_fixed", "chunk_sentence", "chunk_words",
