@@ -402,12 +402,17 @@ def q_upload_status(spark, sf):
 
 
 def q_insert_if_absent(spark, sf):
+    """K5 on the stored, bucketed collection: seed it with the fixed-size chunks of the
+    English documents, then add the sentence chunks of all documents; ids already present
+    keep their first text. Only the incoming batches are shuffled by the anti-join."""
+    from corpus_engine.sources.collection import BucketedCollection
+    schema = "id string, doc_id string, chunk_index int, text string"
+    coll = BucketedCollection(spark, _scratch(spark, "collection"), schema=schema)
     docs = documents(spark, sf)
-    existing = C.chunk_fixed(docs.filter(F.col("lang") == "en")).select(
-        "id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_index", "text")
-    incoming = C.chunk_sentence(docs).select(
-        "id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_index", "text")
-    return I.insert_if_absent(existing, incoming, "id")
+    cols = ["id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_index", "text"]
+    coll.insert_if_absent(C.chunk_fixed(docs.filter(F.col("lang") == "en")).select(*cols))
+    coll.insert_if_absent(C.chunk_sentence(docs).select(*cols))
+    return coll.read()
 
 
 def q_stream_ingest(spark, sf):
