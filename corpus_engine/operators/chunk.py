@@ -207,6 +207,7 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
     dim = embedder.dim
     linear = hasattr(embedder, "buckets")
     factory = None if linear else embedder.factory
+    model_key = None if linear else embedder.key
     prepared = df.select(*keys, T.sentences(text).alias("sentences"))
     if linear:
         prepared = prepared.select(*keys, "sentences",
@@ -219,7 +220,7 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
         encode = None
         if not linear:
             from corpus_engine.operators.embed import _worker_model
-            encode = _worker_model(factory)
+            encode = _worker_model(factory, model_key)
         for pdf in batches:
             rows = {k: [] for k in keys}
             idx, texts = [], []

@@ -63,17 +63,21 @@ class PandasEmbedder:
     name = "pandas"
 
     def __init__(self, factory: Callable[[], Callable[[list], np.ndarray]], dim: int, name: str = "pandas"):
+        import uuid
+
         self.factory = factory
         self.dim = dim
         self.name = name
+        # cache key for the worker-side model (object ids are reused inside a long-lived worker)
+        self.key = uuid.uuid4().hex
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
-        factory, dim = self.factory, self.dim
+        factory, dim, key = self.factory, self.dim, self.key
         schema = T_.StructType([f for f in df.schema.fields if f.name != out]
                                + [T_.StructField(out, T_.ArrayType(T_.FloatType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            encode = _worker_model(factory)
+            encode = _worker_model(factory, key)
             for pdf in batches:
                 texts = [t if isinstance(t, str) else "" for t in pdf[text].tolist()]
                 vecs = np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), -1)
@@ -88,8 +92,8 @@ class PandasEmbedder:
 _MODELS: dict = {}
 
 
-def _worker_model(factory):
-    key = id(factory)
+def _worker_model(factory, key: str):
+    """The model built by ``factory``, once per Python worker process and key."""
     if key not in _MODELS:
         _MODELS[key] = factory()
     return _MODELS[key]

@@ -16,7 +16,7 @@ PURE_SQL = ["clean_steps", "clean_text", "clean_isbn", "word_count", "normalize_
             "stage_stats", "pipeline_counts", "file_info", "validate_extension", "safe_filename",
             "ingest_new_files", "ledger_merge", "upload_chunks", "upload_status", "insert_if_absent",
             "markdown_files", "debug_sample"]
-PYTHON_NODES = ("MapInPandas", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
+PYTHON_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
                 "PythonUDF", "pythonUDF")
 
 

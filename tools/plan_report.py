@@ -10,7 +10,7 @@ from corpus_engine.plans.queries import QUERIES  # noqa: E402
 from corpus_engine.session import build_session  # noqa: E402
 
 NODES = ("Exchange hashpartitioning", "Exchange RoundRobinPartitioning", "Exchange SinglePartition",
-         "Exchange rangepartitioning", "BroadcastExchange", "MapInPandas", "ArrowEvalPython",
+         "Exchange rangepartitioning", "BroadcastExchange", "MapInPandas", "MapInArrow", "ArrowEvalPython",
          "WindowGroupLimit", "Window ", "HashAggregate", "SortAggregate", "ObjectHashAggregate",
          "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
          "CartesianProduct", "Generate", "WholeStageCodegen", "FileScan parquet")
