@@ -326,10 +326,96 @@ def o_knn_vectors() -> str:
             f"SELECT query_id, rank, id, distance FROM knn")
 
 
+# --- the ISBN rule without lookahead ------------------------------------------------------
+# RE2 has no lookahead. A recursive CTE replays Python's scan instead: find the leftmost
+# candidate (the rule with its lookahead removed), capture the run of lookahead-class
+# characters after the body, accept when body + run is at least the lookahead's minimum
+# (exactly the lookahead's condition at the body start), otherwise move on by one
+# character. One character of context is kept so \b sees the original text.
+ISBN_LOOKAHEAD = "(?=[-0-9xX ]{13,17})"
+
+
+def _isbn_candidate() -> tuple[str, int]:
+    head, body = T.ISBN.split(ISBN_LOOKAHEAD)
+    opening, closing = "\\b(?:", ")?"
+    assert head.startswith(opening) and head.endswith(closing)
+    prefix = head[len(opening):-len(closing)]
+    run_class = ISBN_LOOKAHEAD[len("(?="):ISBN_LOOKAHEAD.index("{")]
+    min_run = int(ISBN_LOOKAHEAD[ISBN_LOOKAHEAD.index("{") + 1:ISBN_LOOKAHEAD.index(",")])
+    return f"(?s)^(.)(.*?)\\b({prefix})?({body})({run_class}*)", min_run
+
+
+def isbn_ctes(src: str, key: str, text: str, name: str = "isbn") -> str:
+    """CTEs ending in ``{name}({key}, t)``; the SQL must start with WITH RECURSIVE."""
+    cand, min_run = _isbn_candidate()
+    c = lit(cand)
+    quick = lit("[0-9][-0-9xX ]{%d}" % (min_run - 1))
+    return f"""{name}_in AS (SELECT {key} AS k, {text} AS t FROM {src}),
+{name}_scan(k, rest, out, done) AS (
+  SELECT k, ' ' || t, '', NOT regexp_matches(t, {quick}) FROM {name}_in
+  UNION ALL
+  SELECT k,
+    CASE WHEN NOT m_ok THEN '' WHEN good
+         THEN right(m.body, 1) || substr(rest, 1 + length(m.c) + length(m.gap) + length(m.pre) + length(m.body))
+         ELSE substr(rest, 1 + length(m.c) + length(m.gap)) END,
+    CASE WHEN NOT m_ok THEN out || substr(rest, 2) WHEN good THEN out || m.gap
+         ELSE out || m.gap || substr(m.pre || m.body, 1, 1) END,
+    NOT m_ok
+  FROM (SELECT k, rest, out, regexp_matches(rest, {c}) AS m_ok,
+               regexp_extract(rest, {c}, ['c', 'gap', 'pre', 'body', 'inner', 'tail']) AS m,
+               length(regexp_extract(rest, {c}, 4)) + length(regexp_extract(rest, {c}, 6)) >= {min_run} AS good
+        FROM {name}_scan WHERE NOT done)
+),
+{name} AS (SELECT i.k AS {key}, CASE WHEN s.k IS NULL THEN i.t ELSE s.out END AS t
+           FROM {name}_in i LEFT JOIN (SELECT k, out FROM {name}_scan WHERE done AND rest = '') s ON i.k = s.k)"""
+
+
+def after_isbn(expr: str) -> str:
+    """The chain's steps after the ISBN rule, then the line filter."""
+    out, seen = expr, False
+    for name, pattern in T.CLEAN_STEPS:
+        if name == "isbn":
+            seen = True
+            continue
+        if not seen:
+            continue
+        out = rx(out, T.DISALLOWED if name == "allowed_chars" else pattern)
+    return filter_lines(out)
+
+
+NON_ASCII_LOWER = "regexp_replace(lower(text), " + lit(T.NON_ASCII) + ", '', 'g')"
+
+
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["clean_steps"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
     o["stage_reload"] = o["clean_steps"]
+    isbn_base = f"isbn_base AS (SELECT doc_id, {NON_ASCII_LOWER} AS t FROM documents)"
+    o["clean_isbn"] = f"WITH RECURSIVE {isbn_base},\n{isbn_ctes('isbn_base', 'doc_id', 't')}\nSELECT doc_id, t AS text FROM isbn"
+    o["clean_text"] = (f"WITH RECURSIVE {isbn_base},\n{isbn_ctes('isbn_base', 'doc_id', 't')}\n"
+                       f"SELECT doc_id, {after_isbn('t')} AS text FROM isbn")
+    steps = [("lower", None)] + list(T.CLEAN_STEPS)  # trace: one row per step, chars removed
+    trace_sql = [f"st1 AS (SELECT doc_id, text AS s0, lower(text) AS s1 FROM documents)"]
+    prev_cols = "s0, s1"
+    i = 1
+    for name, pattern in T.CLEAN_STEPS:
+        i += 1
+        if name == "isbn":
+            trace_sql.append(isbn_ctes(f"st{i - 1}", "doc_id", f"s{i - 1}", "tr_isbn"))
+            trace_sql.append(f"st{i} AS (SELECT st.doc_id, {prev_cols}, tr.t AS s{i} FROM st{i - 1} st "
+                             f"JOIN tr_isbn tr ON st.doc_id = tr.doc_id)")
+        else:
+            pat = T.DISALLOWED if name == "allowed_chars" else pattern
+            trace_sql.append(f"st{i} AS (SELECT doc_id, {prev_cols}, {rx(f's{i - 1}', pat)} AS s{i} FROM st{i - 1})")
+        prev_cols += f", s{i}"
+    i += 1
+    trace_sql.append(f"st{i} AS (SELECT doc_id, {prev_cols}, {filter_lines(f's{i - 1}')} AS s{i} FROM st{i - 1})")
+    names = [n for n, _ in steps] + ["line_filter"]
+    sums = ", ".join(f"coalesce(sum(length(s{j}) - length(s{j + 1})), 0)::BIGINT AS r{j}" for j in range(len(names)))
+    rows = "\nUNION ALL\n".join(f"SELECT {j + 1}::INTEGER AS step_order, {lit(n)} AS step, r{j} AS removed_chars FROM agg"
+                                  for j, n in enumerate(names))
+    o["clean_trace"] = ("WITH RECURSIVE " + ",\n".join(trace_sql) + f",\nagg AS (SELECT {sums} FROM st{i})\n" + rows)
+
     o["scan_text_files"] = (f"SELECT {safe_name('doc_id::VARCHAR')} AS safe_name, {clean('text')} || {NL} AS text "
                             f"FROM documents")
     o["scan_binary_files"] = "SELECT page_id, '.txt' AS ext, (strlen(html) + 1)::BIGINT AS n_bytes FROM pages"
