@@ -12,6 +12,7 @@ from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import html as H
 from corpus_engine.functions import prompts as P
 from corpus_engine.functions import text as T
+from corpus_engine.operators.chunk import RECURSIVE_SEPARATORS
 
 NL = "chr(10)"
 
@@ -386,6 +387,69 @@ def after_isbn(expr: str) -> str:
 NON_ASCII_LOWER = "regexp_replace(lower(text), " + lit(T.NON_ASCII) + ", '', 'g')"
 
 
+# --- the recursive character splitter, unrolled ----------------------------------------------
+# Recursion depth is bounded by the four separators, so each level is written out: pick the
+# first separator present, split keeping it at the start of the next piece, fold small pieces
+# into the sliding-window merge (its pop loop is an inner fold), expand big pieces with the
+# next level.
+SEPS = RECURSIVE_SEPARATORS
+
+
+def merge_sql(splits: str, size: int, overlap: int, d: int) -> str:
+    """Sliding-window merge of a list of pieces (restates _merge)."""
+    a, p, q = f"ma{d}_", f"mp{d}_", f"mq{d}_"
+    n = f"length({p})"
+    # number of front pieces to pop: fold over the window's pieces while the loop condition holds
+    pop = (f"list_reduce({a}.win, lambda {q}acc, {q}w: CASE WHEN NOT {q}acc.stop AND ({q}acc.t > {overlap} OR "
+           f"({q}acc.t + {n} > {size} AND {q}acc.t > 0)) THEN {{'t': {q}acc.t - length({q}w), 'i': {q}acc.i + 1, "
+           f"'stop': false}} ELSE {{'t': {q}acc.t, 'i': {q}acc.i, 'stop': true}} END, "
+           f"{{'t': {a}.total, 'i': 0, 'stop': false}})")
+    doc = strip_ws(f"array_to_string({a}.win, '')")
+    step = (f"lambda {a}, {p}: CASE WHEN {a}.total + {n} > {size} AND len({a}.win) > 0 THEN "
+            f"list_transform([{pop}], lambda {q}r: {{'docs': CASE WHEN {doc} <> '' THEN list_append({a}.docs, {doc}) "
+            f"ELSE {a}.docs END, 'win': list_append(list_slice({a}.win, {q}r.i + 1, len({a}.win)), {p}), "
+            f"'total': {q}r.t + {n}}})[1] "
+            f"ELSE {{'docs': {a}.docs, 'win': list_append({a}.win, {p}), 'total': {a}.total + {n}}} END")
+    init = "{'docs': []::VARCHAR[], 'win': []::VARCHAR[], 'total': 0::BIGINT}"
+    fin = strip_ws(f"array_to_string(mr{d}_.win, '')")
+    return (f"list_transform([list_reduce({splits}, {step}, {init})], lambda mr{d}_: CASE WHEN {fin} <> '' "
+            f"THEN list_append(mr{d}_.docs, {fin}) ELSE mr{d}_.docs END)[1]")
+
+
+def split_sql(t: str, sep: str, d: int) -> str:
+    if sep == "":
+        return f"list_filter(string_split({t}, ''), lambda e{d}_: e{d}_ <> '')"
+    s = lit(sep)
+    return (f"list_filter(list_transform(string_split({t}, {s}), lambda x{d}_, i{d}_: CASE WHEN i{d}_ = 1 "
+            f"THEN x{d}_ ELSE {s} || x{d}_ END), lambda e{d}_: e{d}_ <> '')")
+
+
+def level_sql(t: str, k: int, size: int, overlap: int, d: int = 0) -> str:
+    """F_k(t): chunks of t using separators from index k on."""
+    branches = []
+    for j in range(k, len(SEPS)):
+        pieces = split_sql(t, SEPS[j], d)
+        g, pc = f"g{d}_", f"pc{d}_"
+        if j + 1 < len(SEPS):
+            big = level_sql(pc, j + 1, size, overlap, d + 1)
+        else:
+            big = f"[{pc}]"
+        merged = merge_sql(f"{g}.good", size, overlap, d)
+        step = (f"lambda {g}, {pc}: CASE WHEN length({pc}) < {size} THEN {{'out': {g}.out, "
+                f"'good': list_append({g}.good, {pc})}} ELSE {{'out': list_concat(list_concat({g}.out, "
+                f"{merged}), {big}), 'good': []::VARCHAR[]}} END")
+        init = "{'out': []::VARCHAR[], 'good': []::VARCHAR[]}"
+        fold = f"list_reduce({pieces}, {step}, {init})"
+        final = merge_sql(f"{g}.good", size, overlap, d)
+        body = f"list_transform([{fold}], lambda {g}: list_concat({g}.out, {final}))[1]"
+        if SEPS[j] == "":
+            branches.append(("TRUE", body))
+        else:
+            branches.append((f"contains({t}, {lit(SEPS[j])})", body))
+    sql = "CASE " + " ".join(f"WHEN {c} THEN {b}" for c, b in branches) + " END"
+    return sql
+
+
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["clean_steps"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
@@ -530,6 +594,10 @@ def _sql() -> dict[str, str]:
     o["html_to_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {html_steps('html', H.TEXT_STEPS)} AS text "
                          f"FROM pages) WHERE text <> ''")
     o["html_to_markdown"] = f"SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
+    o["chunk_recursive"] = (
+        f"WITH md AS (SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS t FROM pages),\n"
+        f"r AS (SELECT page_id, {level_sql('t', 0, DEFAULTS.recursive_chunk_size, DEFAULTS.recursive_overlap)} "
+        f"AS chs FROM md)\n" + with_ids(explode_chunks("r", "page_id", "chs"), "page_id"))
     ext_ = f"regexp_extract({base_name('url')}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
     stem_ = f"substring({base_name('url')}, 1, length({base_name('url')}) - length({ext_}))"
     o["markdown_files"] = (
