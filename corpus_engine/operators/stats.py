@@ -30,7 +30,7 @@ def stage_stats(stages: dict) -> DataFrame:
     return out
 
 
-def pipeline_counts(processed: DataFrame, cleaned: DataFrame, saved: DataFrame) -> DataFrame:
+def stage_counts(processed: DataFrame, cleaned: DataFrame, saved: DataFrame) -> DataFrame:
     """Rows per stage as one row: a union of stage tags and one conditional aggregate
     (no join between the one-row results)."""
     tagged = (processed.select(F.lit(0).alias("__s"))

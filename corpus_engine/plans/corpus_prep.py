@@ -40,7 +40,7 @@ def prepare_corpus(papers: DataFrame, out_dir: str | None = None, gazetteer: Dat
     named = cleaned.withColumn("safe_name", F.regexp_replace(F.col(id_col).cast("string"), "[^a-zA-Z0-9]", "_"))
     saved = named.filter(F.col("safe_name") != "")
     out = Prepared(cleaned, S.corpus_stats(papers, text), S.corpus_stats(cleaned, text),
-                   S.pipeline_counts(papers, cleaned, saved))
+                   S.stage_counts(papers, cleaned, saved))
     if out_dir:
         sinks.write_stage(cleaned, f"{out_dir}/cleaned")
         cleaned = cleaned.sparkSession.read.parquet(f"{out_dir}/cleaned")  # cut the lineage

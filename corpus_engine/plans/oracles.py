@@ -577,7 +577,7 @@ def _sql() -> dict[str, str]:
     o["write_report"] = f"WITH {CLEANED}\nSELECT {stats} FROM cleaned"
     o["stage_stats"] = (f"WITH {CLEANED}\nSELECT 'process' AS stage, {stats} FROM documents\nUNION ALL\n"
                         f"SELECT 'clean' AS stage, {stats} FROM cleaned")
-    o["pipeline_counts"] = (
+    o["stage_counts"] = (
         f"WITH d AS (SELECT * FROM documents WHERE text <> '')\n"
         f"SELECT count(*)::BIGINT AS num_processed_papers, count(*)::BIGINT AS num_cleaned_papers, "
         f"count(CASE WHEN {safe_name('doc_id::VARCHAR')} IS NOT NULL THEN 1 END)::BIGINT AS num_saved_papers FROM d")

@@ -310,11 +310,11 @@ def q_stage_stats(spark, sf):
     return S.stage_stats({"process": documents(spark, sf), "clean": cleaned(spark, sf)})
 
 
-def q_pipeline_counts(spark, sf):
+def q_stage_counts(spark, sf):
     docs = documents(spark, sf).filter(F.col("text") != "")
     clean = CL.clean_text(docs, with_isbn=False)
     saved = clean.filter(T.safe_filename(F.col("doc_id").cast("string")).isNotNull())
-    return S.pipeline_counts(docs, clean, saved)
+    return S.stage_counts(docs, clean, saved)
 
 
 # --- files, ingestion ------------------------------------------------------------------------------------

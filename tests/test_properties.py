@@ -13,7 +13,7 @@ PURE_SQL = ["clean_steps", "clean_text", "clean_isbn", "word_count", "normalize_
             "remove_entities", "split_sentences", "chunk_fixed", "chunk_sentence", "chunk_words",
             "embed_hash", "cosine_pairs", "vector_distance", "dedup_normalized", "html_to_text",
             "html_to_markdown", "clean_answer", "parse_responses", "compare_answers", "corpus_stats",
-            "stage_stats", "pipeline_counts", "file_info", "validate_extension", "safe_filename",
+            "stage_stats", "stage_counts", "file_info", "validate_extension", "safe_filename",
             "ingest_new_files", "ledger_merge", "upload_chunks", "upload_status", "insert_if_absent",
             "markdown_files", "debug_sample"]
 PYTHON_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
