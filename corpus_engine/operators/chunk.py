@@ -147,47 +147,59 @@ def chunk_words(df: DataFrame, text: str = "text", keys=("doc_id",),
 
 # --- C3 semantic merge ----------------------------------------------------------------
 
+def _cosine(a: np.ndarray, b: np.ndarray) -> float:
+    den = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return float(a @ b / den) if den > 0 else 0.0
+
+
+def _semantic_starts(n: int, sentence_vec, merged_vec, threshold: float) -> list[int]:
+    """Indices of the sentences that open a chunk. A sentence joins the open chunk when the
+    cosine between the chunk's vector and its own is above ``threshold``; ``merged_vec``
+    gives the vector of the grown chunk."""
+    starts = [0]
+    chunk = sentence_vec(0)
+    for i in range(1, n):
+        vec = sentence_vec(i)
+        if _cosine(chunk, vec) > threshold:
+            chunk = merged_vec(starts[-1], i + 1, chunk, vec)
+        else:
+            starts.append(i)
+            chunk = vec
+    return starts
+
+
+def _join_groups(sentences, starts: list[int]) -> list[str]:
+    bounds = starts + [len(sentences)]
+    return [" ".join(sentences[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
 def _semantic_pack(bucket_lists, sentences, dim: int, threshold: float) -> list[str]:
-    if len(sentences) == 0:
+    """Hash embedder: all sentence vectors of a document come from one bincount, and a
+    grown chunk's vector is the sum of its sentences' vectors."""
+    n = len(sentences)
+    if n == 0:
         return []
-    chunks: list[str] = []
-    cur_text = sentences[0]
-    cur_vec = np.bincount(np.asarray(bucket_lists[0], dtype=np.int64), minlength=dim).astype(np.float64)
-    for buckets, sent in zip(bucket_lists[1:], sentences[1:]):
-        vec = np.bincount(np.asarray(buckets, dtype=np.int64), minlength=dim).astype(np.float64)
-        den = np.sqrt(cur_vec @ cur_vec) * np.sqrt(vec @ vec)
-        sim = (cur_vec @ vec) / den if den > 0 else 0.0
-        if sim > threshold:
-            cur_text = cur_text + " " + sent
-            cur_vec = cur_vec + vec
-        else:
-            chunks.append(cur_text.strip())
-            cur_text, cur_vec = sent, vec
-    if cur_text:
-        chunks.append(cur_text.strip())
-    return chunks
+    sizes = np.fromiter((len(b) for b in bucket_lists), dtype=np.int64, count=n)
+    flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in bucket_lists]) if sizes.sum() else \
+        np.zeros(0, dtype=np.int64)
+    owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
+    counts = np.bincount(owner * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+    starts = _semantic_starts(n, lambda i: counts[i], lambda a, b, chunk, vec: chunk + vec, threshold)
+    return _join_groups(sentences, starts)
 
 
 def _semantic_pack_model(sentences, encode, threshold: float) -> list[str]:
-    """The same loop for an arbitrary (non-linear) model: the sentences of a document are
-    encoded in one call; the chunk is re-encoded only when it grows."""
-    if len(sentences) == 0:
+    """Any (non-linear) batch model: the sentences of a document are encoded in one call; a
+    grown chunk is re-encoded from its text."""
+    n = len(sentences)
+    if n == 0:
         return []
     vecs = np.asarray(encode(list(sentences)), dtype=np.float64)
-    chunks: list[str] = []
-    cur_text, cur_vec = sentences[0], vecs[0]
-    for sent, vec in zip(sentences[1:], vecs[1:]):
-        den = np.sqrt(cur_vec @ cur_vec) * np.sqrt(vec @ vec)
-        sim = (cur_vec @ vec) / den if den > 0 else 0.0
-        if sim > threshold:
-            cur_text = cur_text + " " + sent
-            cur_vec = np.asarray(encode([cur_text]), dtype=np.float64)[0]
-        else:
-            chunks.append(cur_text.strip())
-            cur_text, cur_vec = sent, vec
-    if cur_text:
-        chunks.append(cur_text.strip())
-    return chunks
+
+    def merged(a, b, chunk, vec):
+        return np.asarray(encode([" ".join(sentences[a:b])]), dtype=np.float64)[0]
+
+    return _join_groups(sentences, _semantic_starts(n, lambda i: vecs[i], merged, threshold))
 
 
 def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder=None,

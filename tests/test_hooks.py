@@ -69,17 +69,14 @@ def test_semantic_chunking_with_a_model(spark):
     enc = factory()
 
     def brute(sentences, thr):
-        chunks, cur = [], sentences[0]
+        groups = [[sentences[0]]]
         for s in sentences[1:]:
-            a, b = enc([cur])[0], enc([s])[0]
+            a, b = enc([" ".join(groups[-1])])[0], enc([s])[0]
             den = np.sqrt(a @ a) * np.sqrt(b @ b)
-            sim = a @ b / den if den > 0 else 0.0
-            if sim > thr:
-                cur += " " + s
+            if den > 0 and a @ b / den > thr:
+                groups[-1].append(s)
             else:
-                chunks.append(cur.strip())
-                cur = s
-        chunks.append(cur.strip())
-        return chunks
+                groups.append([s])
+        return [" ".join(g) for g in groups]
 
     assert got == brute(["Abc abc.", "Abd cab!", "Hij ghi.", "Jig hig.", "Abc."], 0.6)
