@@ -52,3 +52,41 @@ def test_scans_are_pruned(spark):
     assert "ReadSchema: struct<text:string>" in plan
     plan = QUERIES["clean_answer"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,assistant)" in plan
+
+
+def test_bucketed_collection_is_not_reshuffled(spark):
+    import tempfile
+
+    from corpus_engine.operators.ingest import absent_rows
+    from corpus_engine.sources.collection import BucketedCollection
+
+    schema = "id string, doc_id string, chunk_index int, text string"
+    coll = BucketedCollection(spark, tempfile.mkdtemp(prefix="bucketed-", dir="/tmp") + "/c", 8, schema=schema)
+    rows = spark.createDataFrame([(f"d{i}_chunk_0", f"d{i}", 0, "t") for i in range(50)], schema)
+    coll.insert_if_absent(rows)
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = absent_rows(coll.read(), rows, "id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+    lines = plan.splitlines()
+    scan = next(i for i, ln in enumerate(lines) if "Bucketed: true" in ln)
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :+-"))
+    ancestors, level = [], depth(lines[scan])
+    for ln in reversed(lines[:scan]):  # the nearest shallower line is the parent
+        if depth(ln) < level:
+            ancestors.append(ln)
+            level = depth(ln)
+            if "SortMergeJoin" in ln:
+                break
+    assert "SortMergeJoin" in ancestors[-1]
+    assert not any("Exchange" in a for a in ancestors)  # only the incoming batch is shuffled
+
+
+def test_knn_limits_before_its_shuffle(spark):
+    plan = QUERIES["knn_exact"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    lines = [ln.strip() for ln in plan.splitlines()]
+    exchange = next(i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln)
+    assert any("WindowGroupLimit" in ln for ln in lines[exchange + 1:])  # partial top-k below it
+    assert any("WindowGroupLimit" in ln for ln in lines[:exchange])      # final top-k above it
