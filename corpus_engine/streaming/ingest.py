@@ -28,9 +28,13 @@ def _chunk_rows(batch: DataFrame, method: str) -> DataFrame:
 
 def start_ingest(spark: SparkSession, source_dir: str, collection_dir: str, checkpoint: str,
                  source_schema: str = "doc_id bigint, text string", method: str = "sentence",
-                 fmt: str = "parquet"):
-    """Start the stream (trigger availableNow: process what is there, then stop)."""
-    stream = spark.readStream.schema(source_schema).format(fmt).load(source_dir)
+                 fmt: str = "parquet", max_files_per_trigger: int | None = None):
+    """Start the stream (trigger availableNow: process what is there, then stop). With
+    ``max_files_per_trigger`` a large backlog is taken in bounded micro-batches."""
+    reader = spark.readStream.schema(source_schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.load(source_dir)
     collection = BucketedCollection(spark, collection_dir, schema=CHUNK_SCHEMA)
 
     def add_batch(batch: DataFrame, epoch_id: int) -> None:

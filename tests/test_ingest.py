@@ -98,3 +98,13 @@ def test_salted_join_equals_plain_join_on_hot_key(spark):
     assert plain == salted
     semi = I.salted_join(big, small.filter("k = 'hot'").select("k"), "k", "left_semi").count()
     assert semi == 1000
+
+
+def test_stream_in_bounded_micro_batches(spark):
+    base = tempfile.mkdtemp(prefix="ingest-mb-", dir="/tmp")
+    src, coll, ckpt = f"{base}/src", f"{base}/coll", f"{base}/ckpt"
+    for i in range(4):  # four files
+        spark.createDataFrame([(i, f"File {i}. Second {i}.")], "doc_id long, text string") \
+            .coalesce(1).write.mode("append").parquet(src)
+    run_ingest(spark, src, coll, ckpt, max_files_per_trigger=1)
+    assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).count() == 4
