@@ -3,8 +3,8 @@
 Fixed, sentence-packed and word-packed chunking are pure SQL (sequence/transform and
 ``aggregate`` folds) and run as narrow, codegen-friendly projections with no shuffle; a
 fold is bounded by the size of one document. Semantic and recursive chunking need an
-ordered loop with vector state or recursion and run as Arrow ``mapInPandas`` over
-document partitions (still no shuffle).
+ordered loop with vector state or recursion and run as Arrow ``mapInArrow`` (semantic) and
+``mapInPandas`` (recursive) over document partitions (still no shuffle).
 
 Output of every chunker: the key columns, ``chunk_index`` (int, zero-based, document
 order), ``text`` and ``id`` = ``<doc id>_chunk_<i>``.
@@ -168,38 +168,49 @@ def _semantic_starts(n: int, sentence_vec, merged_vec, threshold: float) -> list
     return starts
 
 
-def _join_groups(sentences, starts: list[int]) -> list[str]:
-    bounds = starts + [len(sentences)]
-    return [" ".join(sentences[a:b]) for a, b in zip(bounds, bounds[1:])]
-
-
-def _semantic_pack(bucket_lists, sentences, dim: int, threshold: float) -> list[str]:
-    """Hash embedder: all sentence vectors of a document come from one bincount, and a
-    grown chunk's vector is the sum of its sentences' vectors."""
-    n = len(sentences)
-    if n == 0:
-        return []
-    sizes = np.fromiter((len(b) for b in bucket_lists), dtype=np.int64, count=n)
-    flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in bucket_lists]) if sizes.sum() else \
-        np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n, dtype=np.int64), sizes)
-    counts = np.bincount(owner * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
-    starts = _semantic_starts(n, lambda i: counts[i], lambda a, b, chunk, vec: chunk + vec, threshold)
-    return _join_groups(sentences, starts)
-
-
-def _semantic_pack_model(sentences, encode, threshold: float) -> list[str]:
-    """Any (non-linear) batch model: the sentences of a document are encoded in one call; a
-    grown chunk is re-encoded from its text."""
-    n = len(sentences)
-    if n == 0:
-        return []
-    vecs = np.asarray(encode(list(sentences)), dtype=np.float64)
-
-    def merged(a, b, chunk, vec):
-        return np.asarray(encode([" ".join(sentences[a:b])]), dtype=np.float64)[0]
-
-    return _join_groups(sentences, _semantic_starts(n, lambda i: vecs[i], merged, threshold))
+def _semantic_batch(rb, keys: Sequence[str], dim: int, threshold: float, target, encode=None):
+    """One Arrow batch of documents -> chunk rows. Hash embedder: every sentence vector of
+    the batch comes from one bincount and a grown chunk's vector is the sum of its
+    sentences'. Other models: a document's sentences are encoded in one call and a grown
+    chunk is re-encoded from its text. Chunk texts are joined in Arrow."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sent = rb.column("sentences")
+    per_doc = pc.fill_null(pc.list_value_length(sent), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc_off = np.r_[0, np.cumsum(per_doc)]
+    flat_sent = sent.flatten()
+    if encode is None:
+        per_sent = rb.column("buckets").flatten()
+        n_tok = pc.fill_null(pc.list_value_length(per_sent), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        tokens = per_sent.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        owner = np.repeat(np.arange(len(n_tok), dtype=np.int64), n_tok)
+        counts = np.bincount(owner * dim + tokens, minlength=len(n_tok) * dim).reshape(len(n_tok), dim)
+        counts = counts.astype(np.float64)
+    else:
+        texts = flat_sent.to_pylist()
+    chunk_starts, doc_of_chunk, index_in_doc = [], [], []
+    for d in range(rb.num_rows):
+        s0, n = int(doc_off[d]), int(per_doc[d])
+        if n == 0:
+            continue
+        if encode is None:
+            starts = _semantic_starts(n, lambda i: counts[s0 + i], lambda a, b, c, v: c + v, threshold)
+        else:
+            vecs = np.asarray(encode(texts[s0:s0 + n]), dtype=np.float64)
+            starts = _semantic_starts(
+                n, lambda i: vecs[i],
+                lambda a, b, c, v: np.asarray(encode([" ".join(texts[s0 + a:s0 + b])]), dtype=np.float64)[0],
+                threshold)
+        chunk_starts.extend(s0 + st for st in starts)
+        doc_of_chunk.extend([d] * len(starts))
+        index_in_doc.extend(range(len(starts)))
+    offsets = pa.array(chunk_starts + [int(doc_off[-1])], pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, flat_sent), " ") if chunk_starts else \
+        pa.array([], pa.string())
+    take = pa.array(doc_of_chunk, pa.int64())
+    cols = [rb.column(k).take(take) for k in keys] + [pa.array(index_in_doc, pa.int32()), joined]
+    return pa.RecordBatch.from_arrays(cols, schema=target)
 
 
 def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder=None,
@@ -224,35 +235,23 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
     if linear:
         prepared = prepared.select(*keys, "sentences",
                                    F.transform("sentences", lambda s: embedder.buckets(s)).alias("buckets"))
-    key_fields = [f for f in prepared.schema.fields if f.name in keys]
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema = f"{key_ddl}, chunk_index int, text string"
+    from pyspark.sql import types as T_
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = T_.StructType([prepared.schema[k] for k in keys]
+                           + [T_.StructField("chunk_index", T_.IntegerType()), T_.StructField("text", T_.StringType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches):
         encode = None
         if not linear:
             from corpus_engine.operators.embed import _worker_model
             encode = _worker_model(factory, model_key)
-        for pdf in batches:
-            rows = {k: [] for k in keys}
-            idx, texts = [], []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                if linear:
-                    chunks = _semantic_pack(list(d["buckets"]), list(d["sentences"]), dim, threshold)
-                else:
-                    chunks = _semantic_pack_model(list(d["sentences"]), encode, threshold)
-                for i, c in enumerate(chunks):
-                    for k in keys:
-                        rows[k].append(d[k])
-                    idx.append(i)
-                    texts.append(c)
-            out = pd.DataFrame(rows)
-            out["chunk_index"] = pd.Series(idx, dtype="int32")
-            out["text"] = pd.Series(texts, dtype=object)
-            yield out
+        for rb in batches:
+            if rb.num_rows:
+                yield _semantic_batch(rb, keys, dim, threshold, target, encode)
 
-    out = prepared.mapInPandas(run, schema)
+    out = prepared.mapInArrow(run, schema)
     return out.withColumn("id", F.concat(F.col(keys[0]).cast("string"), F.lit("_chunk_"),
                                          F.col("chunk_index").cast("string")))
 
