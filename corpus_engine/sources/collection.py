@@ -25,7 +25,6 @@ class BucketedCollection:
         self.spark, self.path, self.buckets, self.schema, self.key = spark, path.rstrip("/"), buckets, schema, key
         self.batch = batch
         self.name = "collection_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
-        self.staging = f"{self.path}_staging"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet "
                   f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
@@ -33,12 +32,17 @@ class BucketedCollection:
         return self.spark.table(self.name)
 
     def insert_if_absent(self, incoming: DataFrame) -> int:
-        """K5 at scale: add the rows whose id is absent; returns how many were added. The new
-        rows are staged first (the anti-join reads the table being appended to)."""
+        """K5 at scale: add the rows whose id is absent; returns how many were added. The
+        table's files are listed when the plan is made, so the append does not see its
+        own output; the number added is observed during the write (no extra pass). A
+        failed append commits nothing, and a rerun adds exactly the rows still absent."""
+        from pyspark.sql import Observation
+        from pyspark.sql import functions as F
+
         cols = [f.name for f in self.read().schema.fields]
-        fresh = absent_rows(self.read(), incoming.select(*cols), self.key)
-        fresh.write.mode("overwrite").parquet(self.staging)
-        staged = self.spark.read.parquet(self.staging)
-        staged.write.mode("append").option("maxRecordsPerFile", self.batch).insertInto(self.name)
+        seen = Observation(f"{self.name}_insert")
+        fresh = absent_rows(self.read(), incoming.select(*cols), self.key) \
+            .observe(seen, F.count(F.lit(1)).alias("rows"))
+        fresh.write.mode("append").option("maxRecordsPerFile", self.batch).insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.read.parquet(self.staging).count()
+        return int(seen.get["rows"])
