@@ -38,6 +38,8 @@ class Config:
     max_topk_state_rows: int = 200_000
     # Largest gazetteer (rows) turned into a broadcast side of a join.
     max_broadcast_rows: int = 2_000_000
+    # Largest word list inlined into a plan as a literal array (every task gets the plan).
+    max_literal_words: int = 10_000
     lsh_tables: int = 20
     lsh_bits: int = 5
     lsh_seed: int = 17

@@ -1,9 +1,10 @@
 """Entity annotation (T11) and entity removal.
 
 Annotation takes either a user NER model (``mapInPandas`` hook) or a gazetteer table
-``(word, entity)``. The gazetteer is size-checked and, when within the bound, matched per
-row with ``array_intersect`` against a literal array (no explode, no shuffle); above the
-bound it becomes the build side of an equi-join on tokens, which Spark shuffles.
+``(word, entity)``. The gazetteer is size-checked: a small one is matched per row with
+``array_intersect`` against a literal array (no explode, no shuffle); a larger one is the
+broadcast side of a hash join on the documents' tokens; beyond the broadcast bound both
+sides are shuffled on the word.
 
 Removal groups the entity rows per document (bounded by that document's distinct words)
 and joins them to the documents; AQE turns the join into a broadcast when the entity side
@@ -31,24 +32,34 @@ def gazetteer_from_names(names: DataFrame, column: str, label: str = "LOC") -> D
 
 
 def annotate_entities(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text",
+                      max_literal: int = DEFAULTS.max_literal_words,
                       max_rows: int = DEFAULTS.max_broadcast_rows) -> DataFrame:
-    """Entity rows ``(doc_id, word, entity)`` for tokens of each document found in the gazetteer."""
+    """Entity rows ``(doc_id, word, entity)`` for tokens of each document found in the gazetteer.
+
+    Three plans by the gazetteer's checked size: up to ``max_literal`` rows it is a literal
+    array matched per row with ``array_intersect`` (no explode, no join); up to
+    ``max_rows`` it is the broadcast side of a hash join on the documents' distinct tokens
+    (no shuffle of tokens); beyond that both sides are shuffled on the word, salted."""
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), 0))
-    entries = gazetteer.select("word", "entity").limit(max_rows + 1).collect()
-    if len(entries) <= max_rows:
+    entries = gazetteer.select("word", "entity").limit(max_literal + 1).collect()
+    if len(entries) <= max_literal:
         words = sorted({r["word"] for r in entries})
         if not words:
             return docs.sparkSession.createDataFrame([], f"{key} long, word string, entity string")
-        lookup = F.create_map(*[x for r in entries for x in (F.lit(r["word"]), F.lit(r["entity"]))]) \
-            if len(words) == len(entries) else None
         found = docs.select(key, F.explode(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
                             .alias("word"))
         if len(words) == len(entries):
+            lookup = F.create_map(*[x for r in entries for x in (F.lit(r["word"]), F.lit(r["entity"]))])
             return found.withColumn("entity", F.element_at(lookup, F.col("word")))
-        # some word has several labels: keep one row per label (broadcast side is bounded)
+        # some word has several labels: keep one row per label (bounded broadcast side)
         return found.join(F.broadcast(gazetteer.select("word", "entity")), "word").select(key, "word", "entity")
     exploded = docs.select(key, F.explode(tokens).alias("word"))
-    return exploded.join(gazetteer.select("word", "entity"), "word").select(key, "word", "entity")
+    small = gazetteer.select("word", "entity")
+    if gazetteer.limit(max_rows + 1).count() <= max_rows:
+        return exploded.join(F.broadcast(small), "word").select(key, "word", "entity")
+    # both sides large: a salted join, so a word shared by a third of the tokens is spread out
+    from corpus_engine.operators.ingest import salted_join
+    return salted_join(exploded, small, "word", "inner", salt_by=key).select(key, "word", "entity")
 
 
 def annotate_with_model(docs: DataFrame, factory: Callable, key: str = "doc_id",
@@ -91,16 +102,16 @@ def remove_entities(docs: DataFrame, entities: DataFrame, key: str = "doc_id", t
 
 def remove_gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text",
                               labels=DEFAULTS.entity_labels, min_length: int = DEFAULTS.min_entity_length,
-                              max_rows: int = DEFAULTS.max_broadcast_rows) -> DataFrame:
-    """T11 + T12 fused for a bounded gazetteer: one projection, no join, no second pass.
+                              max_literal: int = DEFAULTS.max_literal_words) -> DataFrame:
+    """T11 + T12 fused for a small gazetteer: one projection, no join, no second pass.
 
     The removable words (label, length, no '##') are sorted once on the driver, longest
     first then by word, and kept as a literal; ``array_intersect`` with the document's
-    tokens preserves that order, and a fold deletes each word. Above the bound the
-    general annotate + group + join path runs instead."""
+    tokens preserves that order, and a fold deletes each word. Gazetteers above
+    ``max_literal`` words take the general annotate + group + join path."""
     words = (gazetteer.filter(F.col("entity").isin(list(labels)))
-             .select("word").distinct().limit(max_rows + 1).collect())
-    if len(words) > max_rows:
+             .select("word").distinct().limit(max_literal + 1).collect())
+    if len(words) > max_literal:
         return remove_entities(docs, annotate_entities(docs, gazetteer, key, text), key, text,
                                labels=labels, min_length=min_length)
     keep = sorted({r["word"] for r in words if len(r["word"]) >= min_length and not r["word"].startswith("##")},

@@ -108,3 +108,17 @@ def test_stream_in_bounded_micro_batches(spark):
             .coalesce(1).write.mode("append").parquet(src)
     run_ingest(spark, src, coll, ckpt, max_files_per_trigger=1)
     assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).count() == 4
+
+
+def test_annotation_plans_agree(spark):
+    names = spark.createDataFrame([("UNITED STATES",), ("FRANCE",), ("PERU",)], "name string")
+    gz = EN.gazetteer_from_names(names, "name")
+    docs = spark.createDataFrame([(1, "from france to united states"), (2, "peru and peruvian")],
+                                 "doc_id long, text string")
+    literal = sorted(map(tuple, EN.annotate_entities(docs, gz).collect()))
+    broadcast = sorted(map(tuple, EN.annotate_entities(docs, gz, max_literal=1).collect()))
+    shuffled = sorted(map(tuple, EN.annotate_entities(docs, gz, max_literal=1, max_rows=1).collect()))
+    assert literal == broadcast == shuffled
+    fused = sorted(map(tuple, EN.remove_gazetteer_entities(docs, gz).collect()))
+    general = sorted(map(tuple, EN.remove_gazetteer_entities(docs, gz, max_literal=1).collect()))
+    assert fused == general
