@@ -233,7 +233,8 @@ def q_retrieve_dedup(spark, sf):
 def q_retrieve_filtered(spark, sf):
     """R1/R2 over a metadata-filtered corpus: only documents labelled good quality and not
     toxic (a semi-join before chunking, so filtered documents are never chunked)."""
-    good = table(spark, sf, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    good = (table(spark, sf, "labels").filter((F.col("quality") == 1) & (F.col("toxic") == 0))
+            .select("doc_id").distinct())  # map-side dedup: a repeated label row is not a hot key
     docs = documents(spark, sf).join(good, "doc_id", "left_semi")
     chunks = EMBEDDER.embed(C.chunk_sentence(docs))
     return R.retrieve_dedup(chunks, questions(spark, sf).select("query_id", "embedding"),
