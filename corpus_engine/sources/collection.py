@@ -25,6 +25,11 @@ class BucketedCollection:
         self.spark, self.path, self.buckets, self.schema, self.key = spark, path.rstrip("/"), buckets, schema, key
         self.batch = batch
         self.name = "collection_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
+        jvm = spark.sparkContext._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hpath):
+            fs.mkdirs(hpath)  # an existing (empty) location: no probing warnings on CREATE TABLE
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet "
                   f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
