@@ -54,18 +54,26 @@ def main() -> None:
     QUERIES["corpus_stats"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     spark.range(0, 64, 1, 16).mapInPandas(lambda it: it, "id long").write.format("noop").mode("overwrite").save()
     times = {}
+    failed = []
     for name in names:
         t0 = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001  (one failing query must not hide the others)
+            times[name] = None
+            failed.append(name)
+            print(f"{name}: FAILED {type(e).__name__}: {str(e)[:300]}", file=sys.stderr)
+            continue
         print(f"{name}: {times[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total",
-        "value": round(sum(times.values()), 3),
+        "value": round(sum(v for v in times.values() if v is not None), 3),
         "unit": "sec",
         "queries": times,
         "sf": float(m.group(1)) if m else sf_dir,
+        **({"failed": failed} if failed else {}),
     }))
     spark.stop()
 
