@@ -32,6 +32,7 @@ HEADLINE = (
     "retrieve_dedup",
     "assemble_context",
     "retrieve_expanded",
+    "answer_from_collection",
     "knn_vectors",
     "knn_lsh",
     "dedup_normalized",

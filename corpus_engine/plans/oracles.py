@@ -545,6 +545,7 @@ def _sql() -> dict[str, str]:
         f"SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY {normalize('text')} "
         f"ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
     o["assemble_context"] = f"WITH {CONTEXT}\nSELECT query_id, context FROM ctx"
+    o["answer_from_collection"] = o["assemble_context"]
     o["render_prompt"] = (
         f"WITH {CONTEXT},\n{QC}\nSELECT query_id, {fill(P.STANDARD_TEMPLATE, query='question', context='context')} AS prompt, "
         f"{fill(P.EXPANSION_TEMPLATE, query='question')} AS expansion_prompt FROM qc")

@@ -416,6 +416,17 @@ def q_insert_if_absent(spark, sf):
     return coll.read()
 
 
+def q_answer_from_collection(spark, sf):
+    """End to end on the production path: documents indexed into a stored, bucketed
+    collection (embedder stamped), then the benchmark questions answered from it."""
+    from corpus_engine.plans.index_build import build_index
+    from corpus_engine.plans.qa import answer_questions
+    path = _scratch(spark, "qa_collection")
+    build_index(spark, documents(spark, sf).select(F.col("doc_id").alias("id"), "text"), path, embedder=EMBEDDER)
+    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return answer_questions(spark.read.parquet(path), qs, EMBEDDER, collection_path=path).contexts
+
+
 def q_stream_ingest(spark, sf):
     from corpus_engine.streaming.ingest import ingest_documents_once
     return ingest_documents_once(spark, sf)
