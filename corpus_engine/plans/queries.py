@@ -100,65 +100,80 @@ def contexts(spark, sf) -> DataFrame:
 # --- cleaning ---------------------------------------------------------------------------
 
 def q_clean_steps(spark, sf):
+    """The cleaning chain without the ISBN rule."""
     return cleaned(spark, sf, with_isbn=False)
 
 
 def q_clean_isbn(spark, sf):
+    """Lower, non-ASCII removal, then the ISBN rule (lookahead)."""
     d = documents(spark, sf)
     return d.select("doc_id", T.remove(T.remove(F.lower("text"), T.NON_ASCII), T.ISBN).alias("text"))
 
 
 def q_clean_text(spark, sf):
+    """The full cleaning chain."""
     return cleaned(spark, sf, with_isbn=True)
 
 
 def q_clean_trace(spark, sf):
+    """Characters removed by each cleaning step over the corpus."""
     return CL.clean_trace(documents(spark, sf), with_isbn=True)
 
 
 def q_word_count(spark, sf):
+    """Whitespace word count per document."""
     return documents(spark, sf).select("doc_id", T.word_count("text").alias("n_words"))
 
 
 def q_normalize_text(spark, sf):
+    """Comparison normaliser per document."""
     return documents(spark, sf).select("doc_id", T.normalize_for_comparison("text").alias("norm"))
 
 
 def q_annotate_entities(spark, sf):
+    """Entity rows from a gazetteer built from nation and region names."""
     return EN.annotate_entities(cleaned(spark, sf), gazetteer(spark, sf))
 
 
 def q_remove_entities(spark, sf):
+    """Removal of B-LOC entities from the cleaned documents."""
     return EN.remove_gazetteer_entities(cleaned(spark, sf), gazetteer(spark, sf)).select("doc_id", "text")
 
 
 def q_debug_sample(spark, sf):
+    """The first ten cleaned documents."""
     return CL.debug_sample(cleaned(spark, sf), "doc_id", DEFAULTS.debug_sample)
 
 
 # --- chunking -----------------------------------------------------------------------------
 
 def q_split_sentences(spark, sf):
+    """Rule-based sentence split."""
     return C.split_sentences(documents(spark, sf))
 
 
 def q_chunk_fixed(spark, sf):
+    """C1 + C8: fixed-size chunks with overlap."""
     return C.chunk_fixed(documents(spark, sf)).select("doc_id", "chunk_index", "id", "text")
 
 
 def q_chunk_sentence(spark, sf):
+    """C2 + C8: sentence-packed chunks."""
     return sentence_chunks(spark, sf).select("doc_id", "chunk_index", "id", "text")
 
 
 def q_chunk_words(spark, sf):
+    """C5 + C8: word-packed chunks."""
     return C.chunk_words(documents(spark, sf)).select("doc_id", "chunk_index", "id", "text")
 
 
 def q_chunk_semantic(spark, sf):
+    """C3 + C8: semantic merge with the hash embedder."""
     return C.chunk_semantic(documents(spark, sf), embedder=EMBEDDER).select("doc_id", "chunk_index", "id", "text")
 
 
 def q_chunk_recursive(spark, sf):
+    """C4 + C8: recursive character split of the pages' Markdown."""
     md = page_files(spark, sf).select("page_id", H.html_to_markdown("html").alias("text"))
     return C.chunk_recursive(md, keys=("page_id",)).select("page_id", "chunk_index", "id", "text")
 
@@ -166,6 +181,7 @@ def q_chunk_recursive(spark, sf):
 # --- embedding / similarity -------------------------------------------------------------------
 
 def q_embed_hash(spark, sf):
+    """Hash embedding of the sentence chunks (non-zero dimensions)."""
     emb = corpus(spark, sf)
     # posexplode_outer: a plain posexplode makes the optimizer infer size(embedding) > 0 and
     # push it below the projections, inlining (and recomputing) the whole embedding.
@@ -182,16 +198,19 @@ def _vector_pairs(spark, sf):
 
 
 def q_cosine_pairs(spark, sf):
+    """Cosine of consecutive vectors of the embeddings table."""
     return _vector_pairs(spark, sf).select("a_id", "b_id", F.round(V.cosine("a", "b"), 6).alias("cosine"))
 
 
 def q_vector_distance(spark, sf):
+    """E5: squared L2 of consecutive vectors of the embeddings table."""
     return _vector_pairs(spark, sf).select("a_id", "b_id", F.round(V.squared_l2("a", "b"), 6).alias("distance"))
 
 
 # --- retrieval ------------------------------------------------------------------------------------
 
 def q_knn_exact(spark, sf):
+    """R1 + R4: top-5 chunks for every benchmark question."""
     return R.knn_exact(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
                        DEFAULTS.top_k_loader, carry=())
 
@@ -201,24 +220,28 @@ def _vectors(spark, sf):
 
 
 def q_knn_vectors(spark, sf):
+    """Top-5 neighbours of every vector of the embeddings table."""
     v = _vectors(spark, sf)
     q = v.select(F.col("id").alias("query_id"), "embedding")
     return R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=())
 
 
 def q_knn_lsh(spark, sf):
+    """Approximate top-5 neighbours (random-hyperplane LSH)."""
     v = _vectors(spark, sf)
     q = v.select(F.col("id").alias("query_id"), "embedding")
     return R.knn_lsh(v, q, DEFAULTS.top_k_loader)
 
 
 def q_lsh_recall(spark, sf):
+    """Recall of the approximate top-5 against the exact one."""
     v = _vectors(spark, sf)
     q = v.select(F.col("id").alias("query_id"), "embedding")
     return R.recall(R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=()), R.knn_lsh(v, q, DEFAULTS.top_k_loader))
 
 
 def q_retrieve_preview(spark, sf):
+    """T17 + T18: preview and relevance of the top-5 hits."""
     hits = R.knn_exact(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
                        DEFAULTS.top_k_loader, carry=("text",))
     return hits.select("query_id", "rank", "id", T.relevance("distance").alias("relevance"),
@@ -226,6 +249,7 @@ def q_retrieve_preview(spark, sf):
 
 
 def q_retrieve_dedup(spark, sf):
+    """R2: over-fetch 15, normalised dedup, top-3, no refill."""
     return R.retrieve_dedup(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
                             DEFAULTS.top_k_app, DEFAULTS.overfetch_factor)
 
@@ -248,12 +272,14 @@ def q_retrieve_expanded(spark, sf):
 
 
 def q_dedup_normalized(spark, sf):
+    """One document per normalised text."""
     return R.dedup_normalized(documents(spark, sf).select("doc_id", "text"), "doc_id", "text")
 
 
 # --- prompts and answers -------------------------------------------------------------------------------
 
 def q_assemble_context(spark, sf):
+    """P1 (flagship): numbered context per question."""
     return contexts(spark, sf)
 
 
@@ -262,6 +288,7 @@ def _question_context(spark, sf):
 
 
 def q_render_prompt(spark, sf):
+    """P2 + P3: standard and expansion prompts."""
     qc = _question_context(spark, sf)
     return (A.render_prompt(qc, P.STANDARD_TEMPLATE, out="prompt")
             .withColumn("expansion_prompt", P.fill(P.EXPANSION_TEMPLATE, query=F.col("question")))
@@ -269,15 +296,18 @@ def q_render_prompt(spark, sf):
 
 
 def q_fanout_prompts(spark, sf):
+    """One prompt per (question, model)."""
     return A.fanout_prompts(_question_context(spark, sf), ("rag", "claude_v1", "gpt_v1", "gpt", "claude", "mistral"))
 
 
 def q_request_bodies(spark, sf):
+    """P5: JSON request bodies."""
     prompts = A.fanout_prompts(_question_context(spark, sf), ("claude", "mistral"))
     return A.request_bodies(prompts)
 
 
 def q_parse_responses(spark, sf):
+    """Generated text from three response-body formats."""
     conv = conversations(spark, sf)
     t = F.col("text")
     bodies = conv.select(
@@ -293,25 +323,30 @@ def q_parse_responses(spark, sf):
 
 
 def q_clean_answer(spark, sf):
+    """Answer cleanup of the assistant turns."""
     conv = conversations(spark, sf)
     return conv.select("conv_id", "turn", P.clean_answer("text").alias("answer"))
 
 
 def q_compare_answers(spark, sf):
+    """P8 + P9: one row per query with a cell per model, errors in their own cell."""
     return A.compare_answers(answers(spark, sf))
 
 
 # --- statistics ---------------------------------------------------------------------------------------
 
 def q_corpus_stats(spark, sf):
+    """G1: corpus statistics."""
     return S.corpus_stats(documents(spark, sf))
 
 
 def q_stage_stats(spark, sf):
+    """Statistics before and after cleaning."""
     return S.stage_stats({"process": documents(spark, sf), "clean": cleaned(spark, sf)})
 
 
 def q_stage_counts(spark, sf):
+    """Rows per stage."""
     docs = documents(spark, sf).filter(F.col("text") != "")
     clean = CL.clean_text(docs, with_isbn=False)
     saved = clean.filter(T.safe_filename(F.col("doc_id").cast("string")).isNotNull())
@@ -321,39 +356,46 @@ def q_stage_counts(spark, sf):
 # --- files, ingestion ------------------------------------------------------------------------------------
 
 def q_file_info(spark, sf):
+    """Base name and extension of each page URL."""
     return page_files(spark, sf).select("page_id", FI.base_name("url").alias("name"),
                                         FI.extension("url").alias("ext"))
 
 
 def q_validate_extension(spark, sf):
+    """Supported-type check with a reject reason."""
     from corpus_engine.sources.files import validate_extension
     info = q_file_info(spark, sf)
     return validate_extension(info, "ext").select("page_id", "name", "ext", "valid", "reject_reason")
 
 
 def q_safe_filename(spark, sf):
+    """K3: safe output names with collision flags."""
     from corpus_engine.sources.sinks import with_safe_names
     return with_safe_names(table(spark, sf, "pages").select("page_id", "url"), "url") \
         .select("page_id", "safe_name", "collision")
 
 
 def q_html_to_text(spark, sf):
+    """X1 (re-aimed to HTML): visible text of each page."""
     p = balance(table(spark, sf, "pages")).select("page_id", H.html_to_text("html").alias("text"))
     return p.filter(F.col("text") != "")
 
 
 def q_markdown_files(spark, sf):
+    """K4: output names and per-file errors of the Markdown conversion."""
     from corpus_engine.sources.sinks import markdown_outputs
     return markdown_outputs(page_files(spark, sf), "url", "html").select("path", "md_path", "error")
 
 
 def q_extractive_answers(spark, sf):
+    """Offline answerer (top-ranked retrieved text)."""
     hits = R.retrieve_dedup(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
                             DEFAULTS.top_k_app, DEFAULTS.overfetch_factor)
     return A.extractive_answers(hits)
 
 
 def q_html_to_markdown(spark, sf):
+    """X3 (re-aimed to HTML): Markdown of each page."""
     return balance(table(spark, sf, "pages")).select("page_id", H.html_to_markdown("html").alias("markdown"))
 
 
@@ -367,14 +409,17 @@ def _new_files(spark, sf):
 
 
 def q_ingest_new_files(spark, sf):
+    """Batch files not in the ledger, one per name."""
     return _new_files(spark, sf).select("filename", "page_id")
 
 
 def q_ledger_merge(spark, sf):
+    """K9: the ledger after the batch."""
     return I.ledger_merge(_ledger(spark, sf), _new_files(spark, sf), "filename")
 
 
 def q_upload_chunks(spark, sf):
+    """X2 + K7: word-packed chunks per page unit with upload ids and metadata."""
     pages = page_files(spark, sf)
     up = I.upload_chunks(pages.select("page_id", "filename",
                                       F.split(H.html_to_text("html"), "\n", -1).alias("units")),
