@@ -266,6 +266,7 @@ def q_retrieve_filtered(spark, sf):
 
 
 def q_retrieve_expanded(spark, sf):
+    """Retrieval by a pseudo-relevance expansion, answered for the original question."""
     out = R.retrieve_expanded(corpus(spark, sf), questions(spark, sf), EMBEDDER,
                               DEFAULTS.top_k_app, DEFAULTS.overfetch_factor, query_text="question")
     return out.select("query_id", "rank", "id", "distance", "question")
@@ -473,6 +474,7 @@ def q_answer_from_collection(spark, sf):
 
 
 def q_stream_ingest(spark, sf):
+    """Incremental ingestion stream, run three times (two file drops, then nothing new)."""
     from corpus_engine.streaming.ingest import ingest_documents_once
     return ingest_documents_once(spark, sf)
 
