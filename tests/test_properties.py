@@ -90,3 +90,15 @@ def test_knn_limits_before_its_shuffle(spark):
     exchange = next(i for i, ln in enumerate(lines) if "Exchange hashpartitioning" in ln)
     assert any("WindowGroupLimit" in ln for ln in lines[exchange + 1:])  # partial top-k below it
     assert any("WindowGroupLimit" in ln for ln in lines[:exchange])      # final top-k above it
+
+WRITES_FIRST = {"stream_ingest", "scan_text_files", "scan_binary_files", "stage_reload", "write_report",
+                "collection_write", "insert_if_absent", "answer_from_collection"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES_FIRST))
+def test_query_reads_the_given_tables(spark, name):
+    """Every registered query scans the given parquet tables (the ones that write first read
+    back data Spark derived from them)."""
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and SF001 in plan, name
+    assert "LocalTableScan" not in plan, name
