@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,6 +40,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _one_machine(spark_context) -> bool:
+    """True for local[...] masters only; local-cluster has executors of its own."""
+    return re.fullmatch(r"local(\[.*\])?", spark_context.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating one only when it is unset.
 
@@ -47,8 +53,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = checkpoint_dir(spark)
     if current:
         return current
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
+    if not _one_machine(spark.sparkContext):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = tempfile.mkdtemp(prefix="corpus-engine-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
@@ -90,7 +95,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     data = _package_zip()
     sc = spark.sparkContext
-    if sc.master.startswith("local"):
+    if _one_machine(sc):
         fd, zpath = tempfile.mkstemp(prefix="corpus_engine-", suffix=".zip", dir="/tmp")
         with os.fdopen(fd, "wb") as fh:
             fh.write(data)
@@ -101,8 +106,9 @@ def ship_package(spark: SparkSession) -> None:
         jvm = sc._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(zpath)
         fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
-        out = fs.create(hpath, True)
-        out.write(bytearray(data))
-        out.close()
+        if not fs.exists(hpath):
+            out = fs.create(hpath, True)
+            out.write(bytearray(data))
+            out.close()
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
