@@ -104,8 +104,7 @@ def quality_stats(docs: DataFrame, text: str = "text") -> DataFrame:
                        F.filter(F.split(t, "\n", -1), lambda x: without_space(x) != "").alias("ls"))
     size = lambda c: F.size(c).cast("long")
     stop = sorted({v for w in STOP_WORDS for v in (w, w.capitalize(), w.upper())})
-    return base.select(
-        "doc_id",
+    stats = F.struct(
         size("ws").alias("n_words"),
         F.length(without_space(F.col("t"))).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -119,6 +118,8 @@ def quality_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         size(F.filter("ls", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).alias("n_bullet_lines"),
         size(F.filter("ls", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_ellipsis_lines"),
     )
+    # one generated row each: filters on the statistics stay above it instead of repeating them
+    return base.select("doc_id", F.explode(F.array(stats)).alias("s")).select("doc_id", "s.*")
 
 
 def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
