@@ -16,11 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import without_space, words
-
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Frequent function words of English, German, French and Spanish (fixed values).
 STOP_WORDS = (
@@ -56,64 +52,84 @@ RULES = (
 )
 
 
-def repeated_window_words(ws: Column, n: int = WINDOW) -> Column:
-    """Words inside ``n``-word windows that occur twice or more in the array ``ws``.
+#: White space between words, as a regular expression class.
+SPACE = r"[ \t\n\x0B\f\r]"
 
-    Windows are compared by a 64-bit hash of their words. Sorting (hash, position) pairs puts
-    equal windows side by side; the covered words are then summed over the sorted positions
-    of repeated windows, so the work is n log n in the number of words."""
-    none = F.lit(None).cast("int")
-    count = F.size(ws) - n + 1
-    hashes = F.when(count > 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                                           lambda i: F.xxhash64(F.slice(ws, i, n))))
 
-    def covered(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+def word_list(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACE + "+"), "")
+
+
+def with_window_hashes(df: DataFrame) -> DataFrame:
+    """``df`` with ``hs``, the 64-bit hashes of the 8-word windows of its word array ``ws``.
+
+    Windows grow by doubling: 1, 2, 4, then 8 words. Each step is a projection of its own, so that
+    the array of the step before is made once and not repeated where it is used."""
+    df = df.withColumn("hs", F.transform("ws", lambda w: F.xxhash64(w)))
+    width = 1
+    while width < WINDOW:
+        left = F.greatest(F.size("hs") - width, F.lit(0))
+        df = df.withColumn("hs", F.zip_with(F.slice("hs", 1, left), F.slice("hs", width + 1, left),
+                                           lambda a, b: F.xxhash64(a, b)))
+        width *= 2
+    return df
+
 
-        def positions(p: Column) -> Column:
-            blank = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), none.alias("i")))
-            left = F.concat(blank, F.slice(p, 1, F.size(p) - 1))
-            right = F.concat(F.slice(p, 2, F.size(p) - 1), blank)
-            seen = F.zip_with(p, left, lambda a, b: F.struct(
-                a["h"].alias("h"), a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("d")))
-            hit = F.zip_with(seen, right, lambda a, b: F.when(
-                a["d"] | F.coalesce(a["h"] == b["h"], F.lit(False)), a["i"]))
-            return F.array_sort(F.array_compact(hit))
+def covered_words(hs: Column, n: int = WINDOW) -> Column:
+    """Words inside the ``n``-word windows whose hash occurs twice or more in ``hs``.
 
-        def total(pos: Column) -> Column:
-            nxt = F.concat(F.slice(pos, 2, F.size(pos)), F.array(none))
-            steps = F.zip_with(pos, nxt, lambda a, b: F.least(F.coalesce(b - a, F.lit(n)), F.lit(n)))
-            return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+    Sorting (hash, position) pairs puts equal windows side by side; the covered words are summed
+    over the sorted positions of repeated windows, so the work is n log n in the number of words."""
+    none = F.lit(None).cast("int")
+    pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def positions(p: Column) -> Column:
+        blank = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), none.alias("i")))
+        left = F.concat(blank, F.slice(p, 1, F.size(p) - 1))
+        right = F.concat(F.slice(p, 2, F.size(p) - 1), blank)
+        seen = F.zip_with(p, left, lambda a, b: F.struct(
+            a["h"].alias("h"), a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("d")))
+        hit = F.zip_with(seen, right, lambda a, b: F.when(
+            a["d"] | F.coalesce(a["h"] == b["h"], F.lit(False)), a["i"]))
+        return F.array_sort(F.array_compact(hit))
 
-        return _let(_let(pairs, positions), total)
+    def total(pos: Column) -> Column:
+        nxt = F.concat(F.slice(pos, 2, F.size(pos)), F.array(none))
+        steps = F.zip_with(pos, nxt, lambda a, b: F.least(F.coalesce(b - a, F.lit(n)), F.lit(n)))
+        return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
 
-    return _let(hashes, lambda hs: F.when(
-        F.size(F.array_distinct(hs)) < F.size(hs), covered(hs)).otherwise(F.lit(0)), F.lit(0))
+    return _let(_let(pairs, positions), total)
 
 
-def _let(value: Column, body, default: Column | None = None) -> Column:
+def _let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body`` (a one-element transform)."""
-    out = F.element_at(F.transform(F.array(value), body), 1)
-    return out if default is None else F.coalesce(F.when(value.isNotNull(), out), default)
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _left(text: Column, keep: str) -> Column:
+    """How many characters of the class ``keep`` a text has."""
+    return F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
 
 
 def quality_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` reduced to doc_id and the statistics of the whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select("doc_id", t.alias("t"), words(t).alias("ws"),
-                       F.filter(F.split(t, "\n", -1), lambda x: without_space(x) != "").alias("ls"))
     size = lambda c: F.size(c).cast("long")
+    t = F.coalesce(F.col(text), F.lit(""))
+    base = docs.select("doc_id", t.alias("t"), word_list(t).alias("ws"),
+                       F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")).alias("ls"))
+    base = with_window_hashes(base)
     stop = sorted({v for w in STOP_WORDS for v in (w, w.capitalize(), w.upper())})
     stats = F.struct(
         size("ws").alias("n_words"),
-        F.length(without_space(F.col("t"))).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("ws", "")).cast("long").alias("word_chars"),
+        _left(F.col("t"), "#*$%&|<>").alias("n_symbols"),
         (size("ls") - size(F.array_distinct("ls"))).alias("n_dup_lines"),
-        repeated_window_words(F.col("ws")).cast("long").alias("n_repeat_words"),
+        F.when(F.size(F.array_distinct("hs")) < F.size("hs"), covered_words(F.col("hs"))).otherwise(
+            F.lit(0)).cast("long").alias("n_repeat_words"),
         size("ls").alias("n_lines"),
-        (F.length("t") - F.length(F.translate("t", UPPER, ""))).cast("long").alias("n_upper"),
+        _left(F.col("t"), "A-Z").alias("n_upper"),
         size(F.filter("ws", lambda w: w.isin(*stop))).alias("n_stop_words"),
-        size(F.filter(F.zip_with(F.slice("ws", 2, F.size("ws")), F.col("ws"), lambda b, a: b == a),
+        size(F.filter(F.zip_with(F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))), F.col("ws"), lambda b, a: b == a),
                       lambda same: same)).alias("n_adjacent_repeats"),
         size(F.filter("ls", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).alias("n_bullet_lines"),
         size(F.filter("ls", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))).alias("n_ellipsis_lines"),

@@ -4,16 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpus_engine.llm import decontaminate, jaccard_join, mixing, quality, secrets
+from corpus_engine.llm import (
+    decontaminate,
+    extract,
+    jaccard_join,
+    mixing,
+    pii,
+    quality,
+    secrets,
+    span_dedup,
+    token_counts,
+    warc,
+)
 from corpus_engine.llm.common import shipped
 from corpus_engine.sources.tables import table
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as ARC records, converted to WARC and read back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (doc_id, item_id) where a document holds a benchmark item, verbatim or re-parameterised."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lose repeated sentence spans, with the text left and who keeps the spans."""
+    return span_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of the threshold table for every document."""
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(
@@ -26,11 +53,21 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and what fits the limit."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and component of every document."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, through a new ledger."""
     docs = table(spark, sf_dir, "documents")
@@ -46,6 +83,7 @@ def _run(fn):
 
 
 LLM_QUERIES = {f.__name__: _run(f) for f in (
-    op2_template_decontamination, op5_quality_rules, op6_mix_sources, op8_jaccard_join, op10_secret_ledger)}
+    op1_arc_to_warc, op2_template_decontamination, op3_span_dedup, op4_extract_text, op5_quality_rules, op6_mix_sources,
+    op7_token_counts, op8_jaccard_join, op9_personal_data, op10_secret_ledger)}
 
 LLM_ORACLES: dict[str, str] = {}
