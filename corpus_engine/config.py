@@ -15,7 +15,6 @@ class Config:
     word_chunk_size: int = 1000
     recursive_chunk_size: int = 1000
     recursive_overlap: int = 200
-    insert_batch: int = 5000
     top_k_loader: int = 5
     top_k_app: int = 3
     overfetch_factor: int = 5
@@ -36,12 +35,10 @@ class Config:
     max_broadcast_query_bytes: int = 64 * 1024 * 1024
     # Largest per-partition top-k state (k rows per query) of one query block.
     max_topk_state_rows: int = 200_000
-    # Largest gazetteer (rows) turned into a broadcast side of a join.
-    max_broadcast_rows: int = 2_000_000
-    # Largest word list inlined into a plan as a literal array (every task gets the plan).
-    max_literal_words: int = 10_000
-    lsh_tables: int = 20
-    lsh_bits: int = 5
+    lsh_tables: int = 4
+    # Width of a bucket, in median nearest-neighbour distances of a bounded sample of rows.
+    lsh_widths: float = 2.0
+    lsh_sample: int = 500
     lsh_seed: int = 17
     models: tuple = field(default=("rag", "enhanced", "gpt", "claude"))
 

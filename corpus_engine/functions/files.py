@@ -17,6 +17,11 @@ def base_name(path) -> Column:
     return F.regexp_extract(_col(path), r"([^/]*)$", 1)
 
 
+def file_name(path) -> Column:
+    """``Path(path).name``: the last segment that is not empty (a trailing '/' does not hide it)."""
+    return F.regexp_extract(_col(path), r"([^/]+)/*$", 1)
+
+
 def extension(path) -> Column:
     """``os.path.splitext(basename)[1].lower()``: last '.' segment, leading dots ignored."""
     return F.lower(F.regexp_extract(base_name(path), r"^\.*[^.].*(\.[^.]*)$", 1))

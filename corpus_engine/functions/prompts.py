@@ -32,11 +32,11 @@ EXPANSION_TEMPLATE = """<|begin_of_text|><|start_header_id|>system<|end_header_i
         <|eot_id|><|start_header_id|>user<|end_header_id|>
         {query}<|eot_id|><|start_header_id|>assistant<|end_header_id|>"""
 
-EXPERT_QUESTION_TEMPLATE = ("You are a haptics domain expert. Please answer the following question:\n"
-                            "        \n"
-                            """Question: {query}
+EXPERT_QUESTION_TEMPLATE = """You are a haptics domain expert. Please answer the following question:
+        
+Question: {query}
 
-Please provide a clear and concise response focusing on haptics-related information.""")
+Please provide a clear and concise response focusing on haptics-related information."""
 
 CONTEXT_QUESTION_TEMPLATE = "Context: {context}\n\nQuestion: {query}"
 CONTEXT_QUESTION_ANSWER_TEMPLATE = ("Context: {context}\n\nQuestion: {query}\n\n"
@@ -145,6 +145,36 @@ def mistral_request_body(prompt) -> Column:
     ))
 
 
+# Sampling parameters of the chat and messages calls.
+GPT_SAMPLING = {"model": "gpt-4", "temperature": 0.7, "max_tokens": 500}
+GPT_V1_SAMPLING = {"model": "gpt-4o"}
+CLAUDE_V1_SAMPLING = {"model": "claude-3-sonnet-20240229", "max_tokens": 1024, "temperature": 0.7}
+
+
+def chat_request_body(prompt, system: str | None, sampling: dict) -> Column:
+    """Chat-style JSON body: an optional system turn, one user turn and sampling parameters."""
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    turns = ([turn("system", F.lit(system))] if system else []) + [turn("user", _col(prompt))]
+    return F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in sampling.items()], F.array(*turns).alias("messages")))
+
+
+def generation_request_body(prompt) -> Column:
+    """Body for a local text-generation model: the rendered prompt alone."""
+    return F.to_json(F.struct(_col(prompt).alias("inputs")))
+
+
+#: model -> builder of its request body.
+REQUEST_BODIES = {
+    "rag": generation_request_body,
+    "enhanced": generation_request_body,
+    "gpt": lambda p: chat_request_body(p, CONTEXT_SYSTEM_PROMPT, GPT_SAMPLING),
+    "gpt_v1": lambda p: chat_request_body(p, None, GPT_V1_SAMPLING),
+    "claude": claude_request_body,
+    "claude_v1": lambda p: chat_request_body(p, None, CLAUDE_V1_SAMPLING),
+    "mistral": mistral_request_body,
+}
+
+
 # Where each response format keeps the generated text.
 RESPONSE_PATHS = {
     "messages": "$.content[0].text",

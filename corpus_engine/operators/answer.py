@@ -6,6 +6,7 @@ error)`` (or the JSON bodies) that these operators clean and compare."""
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import prompts as P
+from corpus_engine.operators.embed import worker_model
 
 
 def assemble_context(hits: DataFrame, query_id: str = "query_id", rank: str = "rank",
@@ -52,9 +54,11 @@ def fanout_prompts(df: DataFrame, models: Sequence[str] = ("rag", "gpt", "claude
 
 
 def request_bodies(prompts: DataFrame, query_id: str = "query_id") -> DataFrame:
-    """P5: JSON request bodies per model family (messages-style vs completion-style)."""
-    body = (F.when(F.col("model") == "mistral", P.mistral_request_body("prompt"))
-            .otherwise(P.claude_request_body("prompt")))
+    """P5: JSON request bodies, one builder per model. A prompt of a model without a builder
+    fails the query with the model's name."""
+    body = F.raise_error(F.concat(F.lit("no request body for model "), F.coalesce("model", F.lit("null"))))
+    for model, build in P.REQUEST_BODIES.items():
+        body = F.when(F.col("model") == model, build("prompt")).otherwise(body)
     return prompts.select(query_id, "model", body.alias("body"))
 
 
@@ -77,19 +81,29 @@ def compare_answers(answers: DataFrame, contexts: DataFrame | None = None,
 
     A failed call shows ``<error prefix><message>`` in its own cell; the pivot uses a fixed
     model list, so no extra pass discovers the values, and models without an answer stay
-    null (left join semantics); if a model answered twice the smaller text is kept, so the
-    result does not depend on row order. Rows with ``uncaught = true`` (an exception that escaped the
-    caller) show ``Error: <message>`` instead."""
+    null (left join semantics); if a model answered a query with several texts, the smallest is
+    shown and ``other_answers`` counts the others of the row. Rows with ``uncaught = true`` (an exception that escaped the
+    caller) show ``Error: <message>`` instead. ``contexts`` (query_id, context, and ``error`` where
+    retrieval failed) come first; a failed query shows its message in all its cells."""
     prefix = F.lit("An error occurred: ")
     for m, (_, _, p) in P.MODEL_PROMPTS.items():
         prefix = F.when(F.col("model") == m, F.lit(p)).otherwise(prefix)
     if "uncaught" in answers.columns:
         prefix = F.when(F.col("uncaught"), F.lit(P.UNCAUGHT_PREFIX)).otherwise(prefix)
     cell = F.coalesce(F.col("answer"), F.concat(prefix, F.col("error")))
-    wide = (answers.withColumn("__cell", cell)
-            .groupBy(query_id).pivot("model", list(models)).agg(F.min("__cell")))
+    known = answers.where(F.col("model").isin(list(models))).withColumn("__cell", cell)
+    shown = [F.min(F.when(F.col("model") == m, F.col("__cell"))).alias(m) for m in models]
+    # a query has few answers, so the sets are small
+    held = F.count_distinct("model", "__cell") - F.count_distinct(F.when(F.col("__cell").isNotNull(), F.col("model")))
+    wide = known.groupBy(query_id).agg(*shown, held.alias("other_answers"))
     if contexts is not None:
         wide = contexts.join(wide, query_id, "left")
+        if "error" in contexts.columns:
+            # retrieval failed: the message fills the context and every answer of the row
+            told = F.concat(F.lit("An error occurred: "), F.col("error"))
+            for c in ("context", *models):
+                wide = wide.withColumn(c, F.coalesce(told, F.col(c)))
+            wide = wide.drop("error")
     return wide
 
 
@@ -105,9 +119,10 @@ def answer_with_model(prompts: DataFrame, factory: Callable, query_id: str = "qu
     Python worker and applied to Arrow batches of prompts. A failing batch is retried row
     by row so one failure only fills its own ``error`` cell."""
     schema = f"{query_id} {dict(prompts.dtypes)[query_id]}, model string, answer string, error string"
+    mark = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        generate = factory()
+        generate = worker_model(factory, mark)
         for pdf in batches:
             prompts_ = pdf["prompt"].fillna("").tolist()
             try:

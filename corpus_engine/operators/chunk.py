@@ -3,8 +3,8 @@
 Fixed, sentence-packed and word-packed chunking are pure SQL (sequence/transform and
 ``aggregate`` folds) and run as narrow, codegen-friendly projections with no shuffle; a
 fold is bounded by the size of one document. Semantic and recursive chunking need an
-ordered loop with vector state or recursion and run as Arrow ``mapInArrow`` (semantic) and
-``mapInPandas`` (recursive) over document partitions (still no shuffle).
+ordered loop with vector state or recursion and run as ``mapInArrow`` over document
+partitions (still no shuffle).
 
 Output of every chunker: the key columns, ``chunk_index`` (int, zero-based, document
 order), ``text`` and ``id`` = ``<doc id>_chunk_<i>``.
@@ -12,12 +12,18 @@ order), ``text`` and ``id`` = ``<doc id>_chunk_<i>``.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, groupby
 from typing import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import text as T
@@ -169,13 +175,10 @@ def _semantic_starts(n: int, sentence_vec, merged_vec, threshold: float) -> list
 
 
 def _semantic_batch(rb, keys: Sequence[str], dim: int, threshold: float, target, encode=None):
-    """One Arrow batch of documents -> chunk rows. Hash embedder: every sentence vector of
-    the batch comes from one bincount and a grown chunk's vector is the sum of its
+    """One Arrow batch of documents -> chunk rows. Hash embedder: the sentence vectors of a
+    document come from one bincount and a grown chunk's vector is the sum of its
     sentences'. Other models: a document's sentences are encoded in one call and a grown
     chunk is re-encoded from its text. Chunk texts are joined in Arrow."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
     sent = rb.column("sentences")
     per_doc = pc.fill_null(pc.list_value_length(sent), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     doc_off = np.r_[0, np.cumsum(per_doc)]
@@ -184,9 +187,7 @@ def _semantic_batch(rb, keys: Sequence[str], dim: int, threshold: float, target,
         per_sent = rb.column("buckets").flatten()
         n_tok = pc.fill_null(pc.list_value_length(per_sent), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         tokens = per_sent.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        owner = np.repeat(np.arange(len(n_tok), dtype=np.int64), n_tok)
-        counts = np.bincount(owner * dim + tokens, minlength=len(n_tok) * dim).reshape(len(n_tok), dim)
-        counts = counts.astype(np.float64)
+        tok_off = np.r_[0, np.cumsum(n_tok)]
     else:
         texts = flat_sent.to_pylist()
     chunk_starts, doc_of_chunk, index_in_doc = [], [], []
@@ -195,7 +196,11 @@ def _semantic_batch(rb, keys: Sequence[str], dim: int, threshold: float, target,
         if n == 0:
             continue
         if encode is None:
-            starts = _semantic_starts(n, lambda i: counts[s0 + i], lambda a, b, c, v: c + v, threshold)
+            # one document's sentences at a time, so memory follows the longest document
+            owner = np.repeat(np.arange(n, dtype=np.int64), n_tok[s0:s0 + n])
+            counts = np.bincount(owner * dim + tokens[tok_off[s0]:tok_off[s0 + n]], minlength=n * dim)
+            counts = counts.reshape(n, dim).astype(np.float64)
+            starts = _semantic_starts(n, lambda i: counts[i], lambda a, b, c, v: c + v, threshold)
         else:
             vecs = np.asarray(encode(texts[s0:s0 + n]), dtype=np.float64)
             starts = _semantic_starts(
@@ -235,9 +240,6 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
     if linear:
         prepared = prepared.select(*keys, "sentences",
                                    F.transform("sentences", lambda s: embedder.buckets(s)).alias("buckets"))
-    from pyspark.sql import types as T_
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     schema = T_.StructType([prepared.schema[k] for k in keys]
                            + [T_.StructField("chunk_index", T_.IntegerType()), T_.StructField("text", T_.StringType())])
     target = to_arrow_schema(schema)
@@ -245,8 +247,8 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
     def run(batches):
         encode = None
         if not linear:
-            from corpus_engine.operators.embed import _worker_model
-            encode = _worker_model(factory, model_key)
+            from corpus_engine.operators.embed import worker_model
+            encode = worker_model(factory, model_key)
         for rb in batches:
             if rb.num_rows:
                 yield _semantic_batch(rb, keys, dim, threshold, target, encode)
@@ -257,110 +259,88 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
 
 
 # --- C4 recursive character split ----------------------------------------------------
-# Restated from the public description of the recursive character splitter: try the
-# separators in order, split on the first one that occurs (keeping it at the start of the
-# following piece), recurse into pieces that are too long, and merge small pieces in a
-# sliding window of at most chunk_size characters that keeps up to chunk_overlap
-# characters of trailing context.
+# Works on offsets of the text: separator positions cut a stretch into pieces, cumulative
+# lengths place the windows over consecutive short pieces by binary search, and each chunk is
+# one slice of the text.
 
+# The separators in the order they are tried.
 RECURSIVE_SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def _split_keep_start(text: str, sep: str) -> list[str]:
-    if sep == "":
-        return [c for c in text]
-    pieces = text.split(sep)
-    out = [pieces[0]] + [sep + p for p in pieces[1:]]
-    return [p for p in out if p != ""]
-
-
-def _join(parts: list[str]) -> str | None:
-    joined = "".join(parts).strip()
-    return joined or None
-
-
-def _merge(splits: list[str], size: int, overlap: int, length=len) -> list[str]:
-    docs: list[str] = []
-    window: list[str] = []
-    total = 0
-    for piece in splits:
-        n = length(piece)
-        if total + n > size and window:
-            doc = _join(window)
-            if doc is not None:
-                docs.append(doc)
-            while total > overlap or (total + n > size and total > 0):
-                total -= length(window[0])
-                window = window[1:]
-        window.append(piece)
-        total += n
-    doc = _join(window)
-    if doc is not None:
-        docs.append(doc)
-    return docs
+def _cuts(text: str, lo: int, hi: int, sep: str) -> list[int]:
+    """Offsets that cut ``text[lo:hi]`` before every separator (between all characters for '')."""
+    if not sep:
+        return list(range(lo, hi + 1))
+    at = [m.start() for m in re.finditer(re.escape(sep), text[lo:hi])]
+    return [lo, *(lo + x for x in at if x), hi]
+
+
+def _windows(cuts: list[int], sizes: list[int], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Stretches over the pieces between ``cuts``, whose lengths are ``sizes``: each as long as
+    ``size`` allows, the next one reaching back over at most ``overlap`` of the last."""
+    total = [0, *accumulate(sizes)]
+    first, last = 0, len(sizes)
+    while True:
+        # the furthest cut that keeps the stretch within the size
+        end = max(first + 1, min(last, bisect_right(total, total[first] + size) - 1))
+        yield cuts[first], cuts[end]
+        if end >= last:
+            return
+        # the earliest piece that both the overlap and the size of the next stretch allow
+        first = min(end, max(bisect_left(total, total[end] - overlap), bisect_left(total, total[end + 1] - size)))
 
 
 def recursive_split(text: str, size: int = DEFAULTS.recursive_chunk_size,
                     overlap: int = DEFAULTS.recursive_overlap,
                     separators: Sequence[str] = RECURSIVE_SEPARATORS, length=len) -> list[str]:
-    """Split ``text``; ``length`` measures pieces (code points by default, U1)."""
-    sep, rest = separators[-1], []
-    for i, s in enumerate(separators):
-        if s == "":
-            sep = s
-            break
-        if s in text:
-            sep, rest = s, list(separators[i + 1:])
-            break
-    out: list[str] = []
-    good: list[str] = []
-    for piece in _split_keep_start(text, sep):
-        if length(piece) < size:
-            good.append(piece)
+    """Chunks of ``text``; ``length`` measures pieces (code points by default, U1)."""
+    chunks: list[str] = []
+    todo = [(0, len(text), 0)]  # stretches still to cut, the leftmost last; a done one has no level
+    while todo:
+        lo, hi, level = todo.pop()
+        if level is None:
+            chunks.append(text[lo:hi])
             continue
-        if good:
-            out.extend(_merge(good, size, overlap, length))
-            good = []
-        if rest:
-            out.extend(recursive_split(piece, size, overlap, rest, length))
-        else:
-            out.append(piece)
-    if good:
-        out.extend(_merge(good, size, overlap, length))
-    return out
+        level = next((i for i in range(level, len(separators)) if text.find(separators[i], lo, hi) >= 0), len(separators) - 1)
+        cuts = _cuts(text, lo, hi, separators[level])
+        sizes = [length(text[a:b]) for a, b in zip(cuts, cuts[1:])]
+        found: list[tuple[int, int, int | None]] = []
+        for short, run in groupby(range(len(sizes)), key=lambda i: sizes[i] < size):
+            run = list(run)
+            if short:
+                part = _windows(cuts[run[0]:run[-1] + 2], sizes[run[0]:run[-1] + 1], size, overlap)
+                found += [(a + len(c) - len(c.lstrip()), a + len(c.rstrip()), None)
+                          for a, b in part if (c := text[a:b]).strip()]
+            else:
+                deeper = level + 1 if separators[level] else None
+                found += [(cuts[i], cuts[i + 1], deeper) for i in run]
+        todo += reversed(found)
+    return chunks
 
 
 def chunk_recursive(df: DataFrame, text: str = "text", keys=("doc_id",),
                     size: int = DEFAULTS.recursive_chunk_size,
                     overlap: int = DEFAULTS.recursive_overlap, length=len) -> DataFrame:
+    """One row per chunk; Arrow batches in, one slice per chunk out."""
     if overlap > size:
         raise ValueError("overlap must not exceed chunk_size")
     keys = _keys(keys)
     prepared = df.select(*keys, F.col(text).alias("text"))
-    key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
-                        for f in prepared.schema.fields if f.name in keys)
-    schema = f"{key_ddl}, chunk_index int, text string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = {k: [] for k in keys}
-            idx, texts = [], []
-            for rec in pdf.itertuples(index=False):
-                d = rec._asdict()
-                body = d["text"]
-                if body is None:
-                    continue
-                for i, c in enumerate(recursive_split(body, size, overlap, RECURSIVE_SEPARATORS, length)):
-                    for k in keys:
-                        rows[k].append(d[k])
-                    idx.append(i)
-                    texts.append(c)
-            out = pd.DataFrame(rows)
-            out["chunk_index"] = pd.Series(idx, dtype="int32")
-            out["text"] = pd.Series(texts, dtype=object)
-            yield out
-
-    out = prepared.mapInPandas(run, schema)
+    schema = T_.StructType([prepared.schema[k] for k in keys]
+                           + [T_.StructField("chunk_index", T_.IntegerType()), T_.StructField("text", T_.StringType())])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            parts = [recursive_split(t, size, overlap, RECURSIVE_SEPARATORS, length) if t else []
+                     for t in rb.column(len(keys)).to_pylist()]
+            take = pa.array([d for d, p in enumerate(parts) for _ in p], pa.int64())
+            cols = [rb.column(i).take(take) for i in range(len(keys))]
+            cols.append(pa.array([i for p in parts for i in range(len(p))], pa.int32()))
+            cols.append(pa.array([c for p in parts for c in p], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, schema=target)
+
+    out = prepared.mapInArrow(run, schema)
     return out.withColumn("id", F.concat(F.col(keys[0]).cast("string"), F.lit("_chunk_"),
                                          F.col("chunk_index").cast("string")))
 

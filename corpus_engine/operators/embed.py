@@ -77,7 +77,7 @@ class PandasEmbedder:
                                + [T_.StructField(out, T_.ArrayType(T_.FloatType()))])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            encode = _worker_model(factory, key)
+            encode = worker_model(factory, key)
             for pdf in batches:
                 texts = [t if isinstance(t, str) else "" for t in pdf[text].tolist()]
                 vecs = np.asarray(encode(texts), dtype=np.float32).reshape(len(texts), -1)
@@ -92,7 +92,7 @@ class PandasEmbedder:
 _MODELS: dict = {}
 
 
-def _worker_model(factory, key: str):
+def worker_model(factory, key: str):
     """The model built by ``factory``, once per Python worker process and key."""
     if key not in _MODELS:
         _MODELS[key] = factory()

@@ -1,10 +1,7 @@
 """Entity annotation (T11) and entity removal.
 
-Annotation takes either a user NER model (``mapInPandas`` hook) or a gazetteer table
-``(word, entity)``. The gazetteer is size-checked: a small one is matched per row with
-``array_intersect`` against a literal array (no explode, no shuffle); a larger one is the
-broadcast side of a hash join on the documents' tokens; beyond the broadcast bound both
-sides are shuffled on the word.
+Annotation takes either a user NER model (``mapInArrow`` hook) or a gazetteer table
+``(word, entity)`` joined to the documents' tokens on the word.
 
 Removal groups the entity rows per document (bounded by that document's distinct words)
 and joins them to the documents; AQE turns the join into a broadcast when the entity side
@@ -13,13 +10,15 @@ is small at run time.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULTS
+from corpus_engine.operators.embed import worker_model
 
 
 def gazetteer_from_names(names: DataFrame, column: str, label: str = "LOC") -> DataFrame:
@@ -31,50 +30,36 @@ def gazetteer_from_names(names: DataFrame, column: str, label: str = "LOC") -> D
             .dropDuplicates(["word", "entity"]))
 
 
-def annotate_entities(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text",
-                      max_literal: int = DEFAULTS.max_literal_words,
-                      max_rows: int = DEFAULTS.max_broadcast_rows) -> DataFrame:
+def annotate_entities(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Entity rows ``(doc_id, word, entity)`` for tokens of each document found in the gazetteer.
 
-    Three plans by the gazetteer's checked size: up to ``max_literal`` rows it is a literal
-    array matched per row with ``array_intersect`` (no explode, no join); up to
-    ``max_rows`` it is the broadcast side of a hash join on the documents' distinct tokens
-    (no shuffle of tokens); beyond that both sides are shuffled on the word, salted."""
+    One plan for every size: the documents' distinct tokens joined to the gazetteer on the word.
+    Spark broadcasts the gazetteer when its own size check allows, and splits hot words of a
+    shuffled join. Null words match nothing."""
     tokens = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), 0))
-    entries = gazetteer.select("word", "entity").limit(max_literal + 1).collect()
-    if len(entries) <= max_literal:
-        words = sorted({r["word"] for r in entries})
-        if not words:
-            return docs.sparkSession.createDataFrame([], f"{key} long, word string, entity string")
-        found = docs.select(key, F.explode(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
-                            .alias("word"))
-        if len(words) == len(entries):
-            lookup = F.create_map(*[x for r in entries for x in (F.lit(r["word"]), F.lit(r["entity"]))])
-            return found.withColumn("entity", F.element_at(lookup, F.col("word")))
-        # some word has several labels: keep one row per label (bounded broadcast side)
-        return found.join(F.broadcast(gazetteer.select("word", "entity")), "word").select(key, "word", "entity")
-    exploded = docs.select(key, F.explode(tokens).alias("word"))
-    small = gazetteer.select("word", "entity")
-    if gazetteer.limit(max_rows + 1).count() <= max_rows:
-        return exploded.join(F.broadcast(small), "word").select(key, "word", "entity")
-    # both sides large: a salted join, so a word shared by a third of the tokens is spread out
-    from corpus_engine.operators.ingest import salted_join
-    return salted_join(exploded, small, "word", "inner", salt_by=key).select(key, "word", "entity")
+    words = gazetteer.where(F.col("word").isNotNull()).select("word", "entity").distinct()
+    return docs.select(key, F.explode(tokens).alias("word")).join(words, "word").select(key, "word", "entity")
 
 
 def annotate_with_model(docs: DataFrame, factory: Callable, key: str = "doc_id",
                         text: str = "text") -> DataFrame:
-    """U3 hook: ``factory()`` returns ``ner(text) -> [{'word':..,'entity':..}, ...]``; built once
-    per Python worker and applied to Arrow batches."""
-    schema = f"{key} long, word string, entity string"
+    """U3 hook: ``factory()`` returns ``ner(list of texts) -> list of entity lists``
+    (``{'word':..,'entity':..}``), built once per Python worker and called with the texts of an
+    Arrow batch. The key may have any type."""
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, word string, entity string"
+    mark = uuid.uuid4().hex
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ner = factory()
-        for pdf in batches:
-            rows = [(k, e["word"], e["entity"]) for k, t in zip(pdf[key], pdf[text]) for e in ner(t or "")]
-            yield pd.DataFrame(rows, columns=[key, "word", "entity"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ner = worker_model(factory, mark)
+        for b in batches:
+            found = ner([t or "" for t in b.column(1).to_pylist()])
+            at = [i for i, entities in enumerate(found) for _ in entities]
+            flat = [e for entities in found for e in entities]
+            yield pa.RecordBatch.from_arrays([
+                b.column(0).take(pa.array(at, pa.int64())), pa.array([e["word"] for e in flat], pa.string()),
+                pa.array([e["entity"] for e in flat], pa.string())], [key, "word", "entity"])
 
-    return docs.select(key, text).mapInPandas(run, schema)
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def entities_to_remove(entities: DataFrame, key: str = "doc_id",
@@ -101,23 +86,7 @@ def remove_entities(docs: DataFrame, entities: DataFrame, key: str = "doc_id", t
 
 
 def remove_gazetteer_entities(docs: DataFrame, gazetteer: DataFrame, key: str = "doc_id", text: str = "text",
-                              labels=DEFAULTS.entity_labels, min_length: int = DEFAULTS.min_entity_length,
-                              max_literal: int = DEFAULTS.max_literal_words) -> DataFrame:
-    """T11 + T12 fused for a small gazetteer: one projection, no join, no second pass.
-
-    The removable words (label, length, no '##') are sorted once on the driver, longest
-    first then by word, and kept as a literal; ``array_intersect`` with the document's
-    tokens preserves that order, and a fold deletes each word. Gazetteers above
-    ``max_literal`` words take the general annotate + group + join path."""
-    words = (gazetteer.filter(F.col("entity").isin(list(labels)))
-             .select("word").distinct().limit(max_literal + 1).collect())
-    if len(words) > max_literal:
-        return remove_entities(docs, annotate_entities(docs, gazetteer, key, text), key, text,
-                               labels=labels, min_length=min_length)
-    keep = sorted({r["word"] for r in words if len(r["word"]) >= min_length and not r["word"].startswith("##")},
-                  key=lambda w: (-len(w), w))
-    if not keep:
-        return docs
-    tokens = F.regexp_extract_all(F.col(text), F.lit("[a-z0-9]+"), 0)
-    present = F.array_intersect(F.array(*[F.lit(w) for w in keep]), tokens)
-    return docs.withColumn(text, F.aggregate(present, F.col(text), lambda t, w: F.replace(t, w, F.lit(""))))
+                              labels=DEFAULTS.entity_labels, min_length: int = DEFAULTS.min_entity_length) -> DataFrame:
+    """T11 + T12: annotate with the removable part of the gazetteer, then remove."""
+    wanted = gazetteer.filter(F.col("entity").isin(list(labels)))
+    return remove_entities(docs, annotate_entities(docs, wanted, key, text), key, text, labels=labels, min_length=min_length)

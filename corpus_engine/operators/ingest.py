@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULTS
@@ -34,9 +34,11 @@ def first_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFram
 
 
 def absent_rows(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """The rows of ``incoming`` whose key the collection does not hold yet (one per key)."""
-    fresh = first_per_key(incoming.select(*existing.columns), key).select(*existing.columns)
-    return fresh.join(existing.select(key), key, "left_anti")
+    """The rows of ``incoming`` whose key the collection does not hold yet (one per key).
+
+    The anti-join comes first: a replayed batch is dropped before anything is sorted."""
+    fresh = incoming.select(*existing.columns).join(existing.select(key), key, "left_anti")
+    return first_per_key(fresh, key).select(*existing.columns)
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
@@ -52,25 +54,52 @@ def new_files(batch: DataFrame, ledger: DataFrame, name: str = "filename") -> Da
 
 
 def skipped_count(batch: DataFrame, ledger: DataFrame, name: str = "filename") -> DataFrame:
-    """Number of batch rows (not names) already in the ledger: a salted semi-join, so a
-    name repeated in a third of the batch is counted by many tasks."""
-    return salted_join(batch, ledger.select(name).distinct(), name, "left_semi").agg(
-        F.count(F.lit(1)).alias("skipped_files"))
+    """Number of batch rows (not names) already in the ledger. The batch is counted per name
+    map-side, so a name repeated in a third of it is one row per task at the join."""
+    per_name = batch.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+    return per_name.join(ledger.select(name), name, "left_semi").agg(
+        F.coalesce(F.sum("__n"), F.lit(0)).alias("skipped_files"))
+
+
+def ledger_additions(ledger: DataFrame, processed: DataFrame, name: str = "filename") -> DataFrame:
+    """Names of the batch that the ledger lacks, once each."""
+    return processed.select(name).distinct().join(ledger.select(name), name, "left_anti")
 
 
 def ledger_merge(ledger: DataFrame, processed: DataFrame, name: str = "filename") -> DataFrame:
-    """K9: the ledger after a batch: union of names, distinct."""
-    return ledger.select(name).unionByName(processed.select(name)).distinct()
+    """K9: the ledger after a batch: what it holds and the names it lacks (the ledger itself is
+    not sorted or aggregated again)."""
+    return ledger.select(name).unionByName(ledger_additions(ledger, processed, name))
+
+
+#: Units of one file in one group of the two-level numbering.
+UNIT_GROUP = 4096
+
+
+def running_base(counts: DataFrame, file_col: str, unit: str, n: str) -> DataFrame:
+    """``base``: the sum of ``n`` over the earlier units of the same file.
+
+    Two levels: totals per group of ``UNIT_GROUP`` unit numbers, then order within a group, so
+    a file name that a third of all units share is still many small windows."""
+    grouped = counts.withColumn("__g", F.floor(F.col(unit) / UNIT_GROUP))
+    totals = grouped.groupBy(file_col, "__g").agg(F.sum(n).alias("__t"))
+    before = Window.partitionBy(file_col).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(file_col, "__g", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(file_col, "__g").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
+    return grouped.join(starts, [file_col, "__g"]).withColumn(
+        "base", F.col("__start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__g", "__t", "__start", n)
 
 
-def upload_chunks(files: DataFrame, units: str = "units", file_col: str = "filename",
+def upload_chunks(units: DataFrame, unit: str = "page_id", text: str = "text", file_col: str = "filename",
                   size: int = DEFAULTS.word_chunk_size) -> DataFrame:
-    """X2 + K7: chunk each unit (page) of a file with the word packer; chunks never cross a
-    unit; the index runs on across the units of one file. All inside one row (transform,
-    flatten, posexplode): no window, no shuffle."""
-    per_unit = F.transform(F.col(units), lambda u: word_chunks(u, size))
-    out = files.select(file_col, F.posexplode(F.flatten(per_unit)).alias("chunk_index", "text"))
+    """X2 + K7: each unit (page row) of a file is chunked with the word packer, so chunks never
+    cross a page; the index runs on across the pages of one file in page order, so ids are
+    unique. Only (file, page, number of chunks) takes part in the numbering."""
+    chunked = units.select(file_col, unit, word_chunks(F.col(text), size).alias("__chunks"))
+    bases = running_base(units.select(file_col, unit, F.size(word_chunks(F.col(text), size)).cast("bigint").alias("__n")),
+                         file_col, unit, "__n")
+    out = chunked.select(file_col, unit, F.posexplode("__chunks").alias("__pos", "text")).join(bases, [file_col, unit])
+    out = out.withColumn("chunk_index", (F.col("base") + F.col("__pos")).cast("int"))
     idx = F.col("chunk_index").cast("string")
-    return (out.withColumn("id", F.concat(F.lit("pdf_chunk_"), F.col(file_col), F.lit("_"), idx))
-            .withColumn("metadata", F.create_map(F.lit("source"),
-                                                 F.concat(F.col(file_col), F.lit("_chunk_"), idx))))
+    return out.select(file_col, "chunk_index", "text", F.concat(F.lit("pdf_chunk_"), F.col(file_col), F.lit("_"), idx).alias("id"),
+                      F.create_map(F.lit("source"), F.concat(F.col(file_col), F.lit("_chunk_"), idx)).alias("metadata"))

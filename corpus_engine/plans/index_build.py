@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.chunk import chunk
 from corpus_engine.operators.embed import HashEmbedder
-from corpus_engine.sources.collection import DEFAULT_BUCKETS, BucketedCollection
+from corpus_engine.sources.collection import BucketedCollection
 from corpus_engine.sources.files import path_exists
 
 
@@ -23,7 +23,7 @@ def chunk_and_embed(papers: DataFrame, method: str = DEFAULTS.default_chunking,
 
 def build_index(spark: SparkSession, papers: DataFrame, collection_path: str,
                 method: str = DEFAULTS.default_chunking, embedder=None, id_col: str = "id",
-                text: str = "text", buckets: int = DEFAULT_BUCKETS) -> int:
+                text: str = "text", buckets: int | None = None) -> int:
     """Add the chunks whose id the collection lacks; returns the number added. Running it
     again with the same papers adds nothing (ids already present are ignored). The
     collection is a bucketed table at ``collection_path``, so each run shuffles only the

@@ -12,7 +12,6 @@ from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import html as H
 from corpus_engine.functions import prompts as P
 from corpus_engine.functions import text as T
-from corpus_engine.operators.chunk import RECURSIVE_SEPARATORS
 
 NL = "chr(10)"
 
@@ -220,18 +219,19 @@ def safe_name(expr: str) -> str:
     return f"CASE WHEN regexp_replace({expr}, '[^a-zA-Z0-9]', '_', 'g') <> '' THEN regexp_replace({expr}, '[^a-zA-Z0-9]', '_', 'g') || '.txt' END"
 
 
-PAGE_FILES = f"page_files AS (SELECT page_id, url, {base_name('url')} AS filename, html FROM pages)"
+PAGE_FILES = "page_files AS (SELECT page_id, url, regexp_extract(url, '([^/]+)/*$', 1) AS filename, html FROM pages)"
 LEDGER = "ledger AS (SELECT DISTINCT filename FROM page_files WHERE starts_with(url, 'http://'))"
 NEW_FILES = ("new_files AS (SELECT filename, min(page_id) AS page_id FROM page_files GROUP BY filename "
              "HAVING filename NOT IN (SELECT filename FROM ledger))")
 
 
 def upload_rows(src: str) -> str:
-    units = f"string_split({html_steps('html', H.TEXT_STEPS)}, {NL})"
-    flat = f"flatten(list_transform({units}, lambda u_: {word_chunks('u_')}))"
-    return (f"up_a AS (SELECT page_id, filename, {flat} AS chs FROM {src}),\n"
-            f"up AS (SELECT filename, unnest(generate_series(0, len(chs) - 1))::INTEGER AS chunk_index, "
-            f"unnest(chs) AS text FROM up_a)")
+    """up(filename, chunk_index, text): chunks of page rows numbered through each file."""
+    return (f"up_a AS (SELECT page_id, filename, {html_steps('html', H.TEXT_STEPS)} AS t FROM {src}),\n"
+            f"up_b AS (SELECT page_id, filename, {word_chunks('t')} AS chs FROM up_a),\n"
+            f"up_c AS (SELECT page_id, filename, unnest(generate_series(1, len(chs))) AS pos, unnest(chs) AS text FROM up_b),\n"
+            f"up AS (SELECT filename, (row_number() OVER (PARTITION BY filename ORDER BY page_id, pos) - 1)::INTEGER "
+            f"AS chunk_index, text FROM up_c)")
 
 
 def gazetteer_ctes() -> str:
@@ -300,28 +300,8 @@ def semantic_sql(threshold: float = DEFAULTS.semantic_threshold) -> str:
             + with_ids(explode_chunks("sem_c", "doc_id", "chs"), "doc_id"))
 
 
-def lsh_sql(k: int = DEFAULTS.top_k_loader) -> str:
-    from corpus_engine.operators.retrieve import _hyperplanes
-
-    tables, bits = DEFAULTS.lsh_tables, DEFAULTS.lsh_bits
-    planes = _hyperplanes(DIM, tables, bits, DEFAULTS.lsh_seed)
-    lit_planes = "[" + ", ".join("[" + ", ".join(f"'{float(x)!r}'::DOUBLE" for x in row) + "]" for row in planes) + "]"
-    code = (f"list_transform(range({tables}), lambda t_: list_reduce(list_transform(range({bits}), lambda j_: "
-            f"CASE WHEN {dot('embedding', 'p[t_ * ' + str(bits) + ' + j_ + 1]')} > 0 THEN (1 << j_) ELSE 0 END), "
-            f"lambda a_, x_: a_ + x_))")
-    return (f"WITH planes AS (SELECT {lit_planes} AS p),\n"
-            f"codes AS (SELECT vec_id AS id, {code} AS cs FROM embeddings, planes),\n"
-            f"ex AS (SELECT id, unnest(generate_series(0, {tables - 1})) AS t, unnest(cs) AS code FROM codes),\n"
-            f"pairs AS (SELECT DISTINCT q.id AS query_id, c.id AS cid FROM ex q JOIN ex c ON q.t = c.t AND q.code = c.code),\n"
-            f"d AS (SELECT pairs.query_id, pairs.cid AS id, round({sq_l2('qe.embedding', 'ce.embedding')}, "
-            f"{DEFAULTS.distance_decimals}) AS distance FROM pairs JOIN embeddings qe ON qe.vec_id = pairs.query_id "
-            f"JOIN embeddings ce ON ce.vec_id = pairs.cid)\n"
-            f"SELECT query_id, rank, id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id "
-            f"ORDER BY distance, id)::INTEGER AS rank FROM d) WHERE rank <= {k}")
-
-
 def o_knn_vectors() -> str:
-    return (f"WITH vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings),\n"
+    return (f"WITH vq AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),\n"
             f"vc AS (SELECT vec_id AS id, embedding AS e FROM embeddings),\n"
             f"{knn_ctes(DEFAULTS.top_k_loader, 'vq', 'vc', 'knn', 'q.query_id', 'c.id')}\n"
             f"SELECT query_id, rank, id, distance FROM knn")
@@ -387,69 +367,6 @@ def after_isbn(expr: str) -> str:
 NON_ASCII_LOWER = "regexp_replace(lower(text), " + lit(T.NON_ASCII) + ", '', 'g')"
 
 
-# --- the recursive character splitter, unrolled ----------------------------------------------
-# Recursion depth is bounded by the four separators, so each level is written out: pick the
-# first separator present, split keeping it at the start of the next piece, fold small pieces
-# into the sliding-window merge (its pop loop is an inner fold), expand big pieces with the
-# next level.
-SEPS = RECURSIVE_SEPARATORS
-
-
-def merge_sql(splits: str, size: int, overlap: int, d: int) -> str:
-    """Sliding-window merge of a list of pieces (restates _merge)."""
-    a, p, q = f"ma{d}_", f"mp{d}_", f"mq{d}_"
-    n = f"length({p})"
-    # number of front pieces to pop: fold over the window's pieces while the loop condition holds
-    pop = (f"list_reduce({a}.win, lambda {q}acc, {q}w: CASE WHEN NOT {q}acc.stop AND ({q}acc.t > {overlap} OR "
-           f"({q}acc.t + {n} > {size} AND {q}acc.t > 0)) THEN {{'t': {q}acc.t - length({q}w), 'i': {q}acc.i + 1, "
-           f"'stop': false}} ELSE {{'t': {q}acc.t, 'i': {q}acc.i, 'stop': true}} END, "
-           f"{{'t': {a}.total, 'i': 0, 'stop': false}})")
-    doc = strip_ws(f"array_to_string({a}.win, '')")
-    step = (f"lambda {a}, {p}: CASE WHEN {a}.total + {n} > {size} AND len({a}.win) > 0 THEN "
-            f"list_transform([{pop}], lambda {q}r: {{'docs': CASE WHEN {doc} <> '' THEN list_append({a}.docs, {doc}) "
-            f"ELSE {a}.docs END, 'win': list_append(list_slice({a}.win, {q}r.i + 1, len({a}.win)), {p}), "
-            f"'total': {q}r.t + {n}}})[1] "
-            f"ELSE {{'docs': {a}.docs, 'win': list_append({a}.win, {p}), 'total': {a}.total + {n}}} END")
-    init = "{'docs': []::VARCHAR[], 'win': []::VARCHAR[], 'total': 0::BIGINT}"
-    fin = strip_ws(f"array_to_string(mr{d}_.win, '')")
-    return (f"list_transform([list_reduce({splits}, {step}, {init})], lambda mr{d}_: CASE WHEN {fin} <> '' "
-            f"THEN list_append(mr{d}_.docs, {fin}) ELSE mr{d}_.docs END)[1]")
-
-
-def split_sql(t: str, sep: str, d: int) -> str:
-    if sep == "":
-        return f"list_filter(string_split({t}, ''), lambda e{d}_: e{d}_ <> '')"
-    s = lit(sep)
-    return (f"list_filter(list_transform(string_split({t}, {s}), lambda x{d}_, i{d}_: CASE WHEN i{d}_ = 1 "
-            f"THEN x{d}_ ELSE {s} || x{d}_ END), lambda e{d}_: e{d}_ <> '')")
-
-
-def level_sql(t: str, k: int, size: int, overlap: int, d: int = 0) -> str:
-    """F_k(t): chunks of t using separators from index k on."""
-    branches = []
-    for j in range(k, len(SEPS)):
-        pieces = split_sql(t, SEPS[j], d)
-        g, pc = f"g{d}_", f"pc{d}_"
-        if j + 1 < len(SEPS):
-            big = level_sql(pc, j + 1, size, overlap, d + 1)
-        else:
-            big = f"[{pc}]"
-        merged = merge_sql(f"{g}.good", size, overlap, d)
-        step = (f"lambda {g}, {pc}: CASE WHEN length({pc}) < {size} THEN {{'out': {g}.out, "
-                f"'good': list_append({g}.good, {pc})}} ELSE {{'out': list_concat(list_concat({g}.out, "
-                f"{merged}), {big}), 'good': []::VARCHAR[]}} END")
-        init = "{'out': []::VARCHAR[], 'good': []::VARCHAR[]}"
-        fold = f"list_reduce({pieces}, {step}, {init})"
-        final = merge_sql(f"{g}.good", size, overlap, d)
-        body = f"list_transform([{fold}], lambda {g}: list_concat({g}.out, {final}))[1]"
-        if SEPS[j] == "":
-            branches.append(("TRUE", body))
-        else:
-            branches.append((f"contains({t}, {lit(SEPS[j])})", body))
-    sql = "CASE " + " ".join(f"WHEN {c} THEN {b}" for c, b in branches) + " END"
-    return sql
-
-
 def _sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["clean_steps"] = f"SELECT doc_id, {clean('text')} AS text FROM documents"
@@ -505,12 +422,6 @@ def _sql() -> dict[str, str]:
     o["collection_write"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id, chunk_index, text FROM chunks"
     o["stream_ingest"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id::VARCHAR AS doc_id, chunk_index, text FROM chunks"
     o["chunk_semantic"] = semantic_sql()
-    o["knn_lsh"] = lsh_sql()
-    exact_v = o_knn_vectors()
-    o["lsh_recall"] = (
-        f"WITH e AS ({exact_v}),\na AS ({lsh_sql()})\n"
-        "SELECT sum(CASE WHEN a.id IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE / count(*) AS recall, "
-        "count(*)::BIGINT AS exact_pairs FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.id = a.id")
     o["chunk_words"] = (f"WITH w AS (SELECT doc_id, {word_chunks('text')} AS chs FROM documents)\n"
                         + with_ids(explode_chunks("w", "doc_id", "chs"), "doc_id"))
     o["embed_hash"] = (
@@ -551,26 +462,41 @@ def _sql() -> dict[str, str]:
         f"{fill(P.EXPANSION_TEMPLATE, query='question')} AS expansion_prompt FROM qc")
     o["fanout_prompts"] = (f"WITH {CONTEXT},\n{QC}\n"
                            + fanout_sql(("rag", "claude_v1", "gpt_v1", "gpt", "claude", "mistral")))
-    o["request_bodies"] = (
-        f"WITH {CONTEXT},\n{QC},\nfp AS ({fanout_sql(('claude', 'mistral'))})\n"
-        "SELECT query_id, model, CASE WHEN model = 'mistral' THEN to_json({'prompt': prompt, 'max_tokens': 200, "
-        "'temperature': 0.5, 'top_p': 0.9, 'top_k': 50})::VARCHAR ELSE to_json({'anthropic_version': 'bedrock-2023-05-31', "
-        "'max_tokens': 1000, 'messages': [{'role': 'user', 'content': [{'type': 'text', 'text': prompt}]}]})::VARCHAR "
-        "END AS body FROM fp")
+    system = lit("You are an expert in haptics technology. Use the provided context to answer questions accurately and concisely.")
+    bodies = {
+        "rag": "to_json({'inputs': prompt})",
+        "enhanced": "to_json({'inputs': prompt})",
+        "gpt": f"to_json({{'model': 'gpt-4', 'temperature': 0.7, 'max_tokens': 500, 'messages': [{{'role': 'system', "
+               f"'content': {system}}}, {{'role': 'user', 'content': prompt}}]}})",
+        "gpt_v1": "to_json({'model': 'gpt-4o', 'messages': [{'role': 'user', 'content': prompt}]})",
+        "claude": "to_json({'anthropic_version': 'bedrock-2023-05-31', 'max_tokens': 1000, 'messages': [{'role': 'user', "
+                  "'content': [{'type': 'text', 'text': prompt}]}]})",
+        "claude_v1": "to_json({'model': 'claude-3-sonnet-20240229', 'max_tokens': 1024, 'temperature': 0.7, 'messages': "
+                     "[{'role': 'user', 'content': prompt}]})",
+        "mistral": "to_json({'prompt': prompt, 'max_tokens': 200, 'temperature': 0.5, 'top_p': 0.9, 'top_k': 50})",
+    }
+    cases = " ".join(f"WHEN model = {lit(m)} THEN {b}::VARCHAR" for m, b in bodies.items())
+    o["request_bodies"] = (f"WITH {CONTEXT},\n{QC},\nfp AS ({fanout_sql(tuple(bodies))})\n"
+                           f"SELECT query_id, model, CASE {cases} END AS body FROM fp")
     o["parse_responses"] = (
         "WITH b AS (SELECT conv_id, turn, to_json({'content': [{'type': 'text', 'text': text}]}) AS bm, "
         "to_json({'outputs': [{'text': text}]}) AS bc, "
-        "CASE WHEN length(text) >= 20 THEN to_json({'choices': [{'message': {'content': text}}]}) "
-        "ELSE to_json({'choices': []}) END AS bh FROM conversations WHERE role = 'assistant')\n"
+        "CASE WHEN turn % 3 <> 0 THEN to_json({'choices': [{'message': {'content': text}}]}) "
+        "ELSE to_json({'choices': []}) END AS bh FROM conversations)\n"
         "SELECT conv_id, turn, json_extract_string(bm, '$.content[0].text') AS messages_text, "
         "json_extract_string(bc, '$.outputs[0].text') AS completion_text, "
         f"coalesce(json_extract_string(bh, '$.choices[0].message.content'), {lit(P.NO_CONTENT)}) AS chat_text FROM b")
-    o["clean_answer"] = (f"SELECT conv_id, turn, {clean_answer('text')} AS answer FROM conversations "
-                         f"WHERE role = 'assistant'")
-    cells = ", ".join(f"min(CASE WHEN model = {lit(m)} THEN cell END) AS {m}" for m in DEFAULTS.models)
+    echo = f"{fill(P.STANDARD_TEMPLATE, query='text', context='role')} || 'Today Date: none' || {NL} || text"
+    o["clean_answer"] = (f"WITH e AS (SELECT conv_id, turn, {echo} AS t FROM conversations)\n"
+                         f"SELECT conv_id, turn, {clean_answer('t')} AS answer FROM e")
+    failed = "split_part(query_id, ':', 1)::BIGINT % 7 = 0"
+    cells = ", ".join(f"CASE WHEN {failed} THEN 'An error occurred: no collection' ELSE min(CASE WHEN model = {lit(m)} "
+                      f"THEN cell END) END AS {m}" for m in DEFAULTS.models)
     o["compare_answers"] = (
-        f"WITH {ANSWERS},\nc AS (SELECT query_id, model, coalesce(answer, {model_prefix()} || error) AS cell FROM answers)\n"
-        f"SELECT query_id, {cells} FROM c GROUP BY query_id")
+        f"WITH {ANSWERS},\nc AS (SELECT query_id, model, coalesce({clean_answer('answer')}, {model_prefix()} || error) AS cell "
+        f"FROM answers)\nSELECT query_id, CASE WHEN {failed} THEN 'An error occurred: no collection' ELSE 'context of ' || "
+        f"query_id END AS context, {cells}, (count(DISTINCT model || ' ' || cell) - count(DISTINCT CASE WHEN cell IS NOT NULL "
+        f"THEN model END))::BIGINT AS other_answers FROM c GROUP BY query_id")
     stats = (f"count(*)::BIGINT AS total_papers, coalesce(avg({word_count('text')}), 0.0) AS average_word_count, "
              f"coalesce(min({word_count('text')}), 0)::BIGINT AS min_word_count, "
              f"coalesce(max({word_count('text')}), 0)::BIGINT AS max_word_count")
@@ -586,19 +512,16 @@ def _sql() -> dict[str, str]:
     sup = DEFAULTS.supported_upload_extensions
     valid = " OR ".join(f"ends_with(ext, {lit(e)})" for e in sup)
     reason = lit("Unsupported file type. Supported types are: (" + ", ".join(f"'{e}'" for e in sup) + ")")
+    path_ = "url || (['.pdf', '.docx', '.PPTX', '.txt', '.jpg'])[page_id % 5 + 1]"
     o["validate_extension"] = (
-        f"WITH fi AS ({o['file_info']})\nSELECT page_id, name, ext, ({valid}) AS valid, "
-        f"CASE WHEN NOT ({valid}) THEN {reason} END AS reject_reason FROM fi")
+        f"WITH fi AS (SELECT page_id, {base_name(f'({path_})')} AS name, {extension(f'({path_})')} AS ext FROM pages)\n"
+        f"SELECT page_id, name, ext, ({valid}) AS valid, CASE WHEN NOT ({valid}) THEN {reason} END AS reject_reason FROM fi")
     o["safe_filename"] = (
         f"WITH n AS (SELECT page_id, {safe_name('url')} AS safe_name FROM pages)\n"
         f"SELECT page_id, safe_name, count(*) OVER (PARTITION BY safe_name) > 1 AS collision FROM n")
     o["html_to_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {html_steps('html', H.TEXT_STEPS)} AS text "
                          f"FROM pages) WHERE text <> ''")
     o["html_to_markdown"] = f"SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
-    o["chunk_recursive"] = (
-        f"WITH md AS (SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS t FROM pages),\n"
-        f"r AS (SELECT page_id, {level_sql('t', 0, DEFAULTS.recursive_chunk_size, DEFAULTS.recursive_overlap)} "
-        f"AS chs FROM md)\n" + with_ids(explode_chunks("r", "page_id", "chs"), "page_id"))
     ext_ = f"regexp_extract({base_name('url')}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
     stem_ = f"substring({base_name('url')}, 1, length({base_name('url')}) - length({ext_}))"
     o["markdown_files"] = (
@@ -619,15 +542,18 @@ def _sql() -> dict[str, str]:
           "|| ' text chunks to the database.'")
     sk = "'Skipped ' || skipped_files::VARCHAR || ' previously processed file(s).'"
     o["upload_status"] = (
-        f"WITH {PAGE_FILES},\n{LEDGER},\n{NEW_FILES},\n"
-        f"nf AS (SELECT n.page_id, n.filename, p.html FROM new_files n JOIN page_files p ON n.page_id = p.page_id),\n"
-        f"{upload_rows('nf')},\n"
-        f"cnt AS (SELECT (SELECT count(*) FROM new_files)::BIGINT AS new_files, (SELECT count(*) FROM up)::BIGINT "
-        f"AS total_chunks, (SELECT count(*) FROM page_files WHERE filename IN (SELECT filename FROM ledger))::BIGINT "
-        f"AS skipped_files)\n"
-        f"SELECT new_files, total_chunks, skipped_files, CASE WHEN concat_ws(' ', CASE WHEN new_files <> 0 THEN {ok} END, "
+        f"WITH {PAGE_FILES},\n{upload_rows('page_files')},\n"
+        f"n AS (SELECT (SELECT count(DISTINCT filename) FROM page_files)::BIGINT AS files, (SELECT count(*) FROM up)::BIGINT AS chunks),\n"
+        f"cnt AS (SELECT 1::INTEGER AS run, files AS new_files, chunks AS total_chunks, 0::BIGINT AS skipped_files FROM n "
+        f"UNION ALL SELECT 2::INTEGER, 0::BIGINT, 0::BIGINT, files FROM n)\n"
+        f"SELECT run, new_files, total_chunks, skipped_files, CASE WHEN concat_ws(' ', CASE WHEN new_files <> 0 THEN {ok} END, "
         f"CASE WHEN skipped_files > 0 THEN {sk} END) = '' THEN 'No new files to process.' ELSE concat_ws(' ', "
         f"CASE WHEN new_files <> 0 THEN {ok} END, CASE WHEN skipped_files > 0 THEN {sk} END) END AS status FROM cnt")
+    o["upload_retrieve"] = (
+        f"WITH {PAGE_FILES},\n{upload_rows('page_files')},\n"
+        f"ups AS (SELECT 'pdf_chunk_' || filename || '_' || chunk_index::VARCHAR AS id, text FROM up),\n"
+        + embed_ctes("ups", "id, text", "text", "corpus") + f",\n{QUESTIONS},\n{knn_ctes(DEFAULTS.top_k_loader)}\n"
+        "SELECT query_id, rank, id, distance FROM knn")
     o["insert_if_absent"] = (
         f"WITH f AS (SELECT doc_id, {fixed_chunks('text')} AS chs FROM documents WHERE lang = 'en'),\n"
         f"existing AS ({with_ids(explode_chunks('f', 'doc_id', 'chs'), 'doc_id')}),\n{SENT_CHUNKS}\n"

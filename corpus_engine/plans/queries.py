@@ -60,7 +60,7 @@ def questions(spark, sf) -> DataFrame:
 
 def page_files(spark, sf) -> DataFrame:
     pages = balance(table(spark, sf, "pages"))
-    return pages.select("page_id", "url", FI.base_name("url").alias("filename"), "html")
+    return pages.select("page_id", "url", FI.file_name("url").alias("filename"), "html")
 
 
 def gazetteer(spark, sf) -> DataFrame:
@@ -70,7 +70,7 @@ def gazetteer(spark, sf) -> DataFrame:
 
 
 def conversations(spark, sf) -> DataFrame:
-    return balance(table(spark, sf, "conversations").filter(F.col("role") == "assistant"))
+    return balance(table(spark, sf, "conversations"))
 
 
 def answers(spark, sf) -> DataFrame:
@@ -79,7 +79,7 @@ def answers(spark, sf) -> DataFrame:
     (query ``<conv_id>:<turn div 4>``), so every assistant turn has its own cell. A turn
     shorter than 20 characters counts as a failed call (answer null, error set). No
     window: a very long conversation is spread over many queries and tasks."""
-    conv = conversations(spark, sf)
+    conv = conversations(spark, sf).filter(F.col("role") == "assistant")
     models = F.array(*[F.lit(m) for m in DEFAULTS.models])
     n = len(DEFAULTS.models)
     failed = F.length("text") < 20
@@ -219,24 +219,27 @@ def _vectors(spark, sf):
     return balance(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
 
 
+def _asked(v):
+    """The stated query set of the vector searches: every row whose id is divisible by 50."""
+    return v.where(F.col("id") % 50 == 0).select(F.col("id").alias("query_id"), "embedding")
+
+
 def q_knn_vectors(spark, sf):
-    """Top-5 neighbours of every vector of the embeddings table."""
+    """Top-5 neighbours of the query vectors among all vectors of the embeddings table."""
     v = _vectors(spark, sf)
-    q = v.select(F.col("id").alias("query_id"), "embedding")
-    return R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=())
+    return R.knn_exact(v, _asked(v), DEFAULTS.top_k_loader, carry=())
 
 
 def q_knn_lsh(spark, sf):
-    """Approximate top-5 neighbours (random-hyperplane LSH)."""
+    """Approximate top-5 neighbours of the query vectors among all vectors."""
     v = _vectors(spark, sf)
-    q = v.select(F.col("id").alias("query_id"), "embedding")
-    return R.knn_lsh(v, q, DEFAULTS.top_k_loader)
+    return R.knn_lsh(v, _asked(v), DEFAULTS.top_k_loader)
 
 
 def q_lsh_recall(spark, sf):
     """Recall of the approximate top-5 against the exact one."""
     v = _vectors(spark, sf)
-    q = v.select(F.col("id").alias("query_id"), "embedding")
+    q = _asked(v)
     return R.recall(R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=()), R.knn_lsh(v, q, DEFAULTS.top_k_loader))
 
 
@@ -267,7 +270,9 @@ def q_retrieve_filtered(spark, sf):
 
 def q_retrieve_expanded(spark, sf):
     """Retrieval by a pseudo-relevance expansion, answered for the original question."""
-    out = R.retrieve_expanded(corpus(spark, sf), questions(spark, sf), EMBEDDER,
+    path = _scratch(spark, "expanded_corpus")
+    corpus(spark, sf).select("id", "text", "embedding").write.parquet(path)
+    out = R.retrieve_expanded(spark.read.parquet(path), questions(spark, sf), EMBEDDER,
                               DEFAULTS.top_k_app, DEFAULTS.overfetch_factor, query_text="question")
     return out.select("query_id", "rank", "id", "distance", "question")
 
@@ -302,20 +307,19 @@ def q_fanout_prompts(spark, sf):
 
 
 def q_request_bodies(spark, sf):
-    """P5: JSON request bodies."""
-    prompts = A.fanout_prompts(_question_context(spark, sf), ("claude", "mistral"))
-    return A.request_bodies(prompts)
+    """P5: JSON request bodies, each model's own."""
+    return A.request_bodies(A.fanout_prompts(_question_context(spark, sf), tuple(P.REQUEST_BODIES)))
 
 
 def q_parse_responses(spark, sf):
-    """Generated text from three response-body formats."""
+    """Generated text from three response-body formats; every third turn's chat body has no choices."""
     conv = conversations(spark, sf)
     t = F.col("text")
     bodies = conv.select(
         "conv_id", "turn",
         F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), t.alias("text"))).alias("content"))).alias("b_messages"),
         F.to_json(F.struct(F.array(F.struct(t.alias("text"))).alias("outputs"))).alias("b_completion"),
-        F.to_json(F.struct(F.when(F.length(t) >= 20, F.array(F.struct(F.struct(t.alias("content")).alias("message"))))
+        F.to_json(F.struct(F.when(F.col("turn") % 3 != 0, F.array(F.struct(F.struct(t.alias("content")).alias("message"))))
                            .otherwise(F.array().cast("array<struct<message:struct<content:string>>>")).alias("choices"))).alias("b_chat"))
     return bodies.select("conv_id", "turn",
                          P.response_text("b_messages", "messages").alias("messages_text"),
@@ -324,14 +328,24 @@ def q_parse_responses(spark, sf):
 
 
 def q_clean_answer(spark, sf):
-    """Answer cleanup of the assistant turns."""
+    """Cleanup of answers that repeat their prompt, as the local model's do: the rendered
+    prompt of each turn, a line with a date word and the turn's text."""
     conv = conversations(spark, sf)
-    return conv.select("conv_id", "turn", P.clean_answer("text").alias("answer"))
+    echo = F.concat(P.fill(P.STANDARD_TEMPLATE, query=F.col("text"), context=F.col("role")),
+                    F.lit("Today Date: none\n"), F.col("text"))
+    return conv.select("conv_id", "turn", P.clean_answer(echo).alias("answer"))
 
 
 def q_compare_answers(spark, sf):
-    """P8 + P9: one row per query with a cell per model, errors in their own cell."""
-    return A.compare_answers(answers(spark, sf))
+    """P8 + P9: one row per query with its context and a cleaned cell per model; a failed call
+    shows in its own cell, a failed retrieval (queries of every seventh conversation) in all."""
+    from corpus_engine.plans.qa import compare
+    got = answers(spark, sf)
+    conv = F.split_part("query_id", F.lit(":"), F.lit(1)).cast("bigint")
+    asked = got.select("query_id").distinct().select(
+        "query_id", F.concat(F.lit("context of "), F.col("query_id")).alias("context"),
+        F.when(conv % 7 == 0, F.lit("no collection")).alias("error"))
+    return compare(got, asked)
 
 
 # --- statistics ---------------------------------------------------------------------------------------
@@ -363,9 +377,11 @@ def q_file_info(spark, sf):
 
 
 def q_validate_extension(spark, sf):
-    """Supported-type check with a reject reason."""
+    """Supported-type check with a reject reason, over page names given an extension by page_id."""
     from corpus_engine.sources.files import validate_extension
-    info = q_file_info(spark, sf)
+    kinds = F.array(*[F.lit(e) for e in (".pdf", ".docx", ".PPTX", ".txt", ".jpg")])
+    path = F.concat("url", F.element_at(kinds, (F.col("page_id") % 5 + 1).cast("int")))
+    info = page_files(spark, sf).select("page_id", FI.base_name(path).alias("name"), FI.extension(path).alias("ext"))
     return validate_extension(info, "ext").select("page_id", "name", "ext", "valid", "reject_reason")
 
 
@@ -419,33 +435,34 @@ def q_ledger_merge(spark, sf):
     return I.ledger_merge(_ledger(spark, sf), _new_files(spark, sf), "filename")
 
 
+def _page_units(spark, sf):
+    """Page rows as the units of files: rows that share a file name are that file's pages."""
+    return page_files(spark, sf).select("filename", "page_id", H.html_to_text("html").alias("text"))
+
+
 def q_upload_chunks(spark, sf):
-    """X2 + K7: word-packed chunks per page unit with upload ids and metadata."""
-    pages = page_files(spark, sf)
-    up = I.upload_chunks(pages.select("page_id", "filename",
-                                      F.split(H.html_to_text("html"), "\n", -1).alias("units")),
-                         "units", "filename")
+    """X2 + K7: word-packed chunks per page with ids numbered through each file."""
+    up = I.upload_chunks(_page_units(spark, sf))
     return up.select("filename", "chunk_index", "id", "text", F.col("metadata")["source"].alias("source"))
 
 
 def q_upload_status(spark, sf):
-    """G4 over the I1 batch: each page's chunk count is computed in the scan's projection,
-    so only (filename, page_id, n_chunks) crosses the dedup/anti-join shuffles, never HTML."""
-    units = F.split(H.html_to_text("html"), "\n", -1)
-    n_chunks = F.size(F.flatten(F.transform(units, lambda u: C.word_chunks(u))))
-    batch = page_files(spark, sf).select("filename", "page_id", n_chunks.alias("n_chunks"))
-    ledger = _ledger(spark, sf)
-    new = I.new_files(batch, ledger, "filename")
-    counts = new.agg(F.count(F.lit(1)).alias("new_files"),
-                     F.coalesce(F.sum("n_chunks"), F.lit(0)).cast("bigint").alias("total_chunks"))
-    skipped = I.skipped_count(batch.select("filename"), ledger, "filename")
-    tagged = (counts.select(F.col("new_files").alias("v"), F.lit(0).alias("k"))
-              .unionAll(counts.select(F.col("total_chunks").alias("v"), F.lit(1).alias("k")))
-              .unionAll(skipped.select(F.col("skipped_files").alias("v"), F.lit(2).alias("k"))))
-    row = tagged.agg(*[F.max(F.when(F.col("k") == i, F.col("v"))).alias(n)
-                       for i, n in enumerate(("new_files", "total_chunks", "skipped_files"))])
-    return row.withColumn("status", S.upload_status(F.col("new_files"), F.col("total_chunks"),
-                                                    F.col("skipped_files")))
+    """The status of uploading all pages twice: the second run finds every file in the ledger."""
+    from corpus_engine.plans.upload import upload
+    base = _scratch(spark, "upload")
+    runs = [upload(spark, _page_units(spark, sf), f"{base}/collection", f"{base}/ledger", EMBEDDER) for _ in range(2)]
+    rows = [(i + 1, r.new_files, r.total_chunks, r.skipped_files) for i, r in enumerate(runs)]
+    out = spark.createDataFrame(rows, "run int, new_files bigint, total_chunks bigint, skipped_files bigint")
+    return out.withColumn("status", S.upload_status(F.col("new_files"), F.col("total_chunks"), F.col("skipped_files")))
+
+
+def q_upload_retrieve(spark, sf):
+    """E3 + K7 + R1: pages uploaded with their vectors, then the questions' nearest chunks."""
+    from corpus_engine.plans.upload import upload
+    base = _scratch(spark, "upload")
+    upload(spark, _page_units(spark, sf), f"{base}/collection", f"{base}/ledger", EMBEDDER)
+    stored = spark.read.parquet(f"{base}/collection")
+    return R.knn_exact(stored, questions(spark, sf).select("query_id", "embedding"), DEFAULTS.top_k_loader, carry=())
 
 
 def q_insert_if_absent(spark, sf):
@@ -529,11 +546,10 @@ def q_write_report(spark, sf):
 
 
 def q_collection_write(spark, sf):
-    """K5/K6: sentence chunks appended to the collection in files of at most 5,000 rows."""
+    """K5/K6: sentence chunks appended to the collection."""
     from corpus_engine.sources.sinks import write_collection
     path = _scratch(spark, "collection")
-    write_collection(sentence_chunks(spark, sf).select("id", "doc_id", "chunk_index", "text"), path,
-                     DEFAULTS.insert_batch, mode="overwrite")
+    write_collection(sentence_chunks(spark, sf).select("id", "doc_id", "chunk_index", "text"), path, mode="overwrite")
     return spark.read.parquet(path)
 
 

@@ -10,28 +10,56 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.ingest import absent_rows
-from corpus_engine.sources.files import COLLECTION_SCHEMA
+from corpus_engine.sources.files import COLLECTION_SCHEMA, path_exists
 
 DEFAULT_BUCKETS = 64
 
 
+def buckets_for(n_bytes: int, bucket_bytes: int = 1 << 30) -> int:
+    """Bucket count for a collection expected to hold ``n_bytes`` (a power of two, 64 at least)."""
+    count = DEFAULT_BUCKETS
+    while count * bucket_bytes < n_bytes:
+        count *= 2
+    return count
+
+
 class BucketedCollection:
-    def __init__(self, spark: SparkSession, path: str, buckets: int = DEFAULT_BUCKETS,
-                 schema: str = COLLECTION_SCHEMA, key: str = "id", batch: int = DEFAULTS.insert_batch):
-        self.spark, self.path, self.buckets, self.schema, self.key = spark, path.rstrip("/"), buckets, schema, key
-        self.batch = batch
+    """The bucket count, key and columns are stored next to the data when the collection is
+    made, and read when it is opened again: a layout that differs is refused, since rows hashed
+    another way would not meet the stored ones."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None,
+                 schema: str = COLLECTION_SCHEMA, key: str = "id"):
+        self.spark, self.path = spark, path.rstrip("/")
         self.name = "collection_" + hashlib.md5(self.path.encode()).hexdigest()[:12]
+        stored = self._layout()
+        if stored is None:
+            self.buckets, self.key, self.schema = buckets or DEFAULT_BUCKETS, key, schema
+            spark.createDataFrame([(self.buckets, key, schema)], "buckets int, key string, columns string") \
+                .coalesce(1).write.mode("overwrite").json(f"{self.path}_layout")
+        else:
+            asked = (buckets or stored["buckets"], key, schema)
+            if asked != (stored["buckets"], stored["key"], stored["columns"]):
+                raise ValueError(f"the collection at {self.path} has {stored['buckets']} buckets on {stored['key']} with "
+                                 f"columns {stored['columns']}, not {asked}")
+            self.buckets, self.key, self.schema = asked
         jvm = spark.sparkContext._jvm
         hpath = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(hpath):
             fs.mkdirs(hpath)  # an existing (empty) location: no probing warnings on CREATE TABLE
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({schema}) USING parquet "
-                  f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}'")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {self.name} ({self.schema}) USING parquet CLUSTERED BY ({self.key}) "
+                  f"SORTED BY ({self.key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+
+    def _layout(self):
+        path = f"{self.path}_layout"
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            return None
+        return self.spark.read.schema("buckets int, key string, columns string").json(path).first()
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -41,13 +69,10 @@ class BucketedCollection:
         table's files are listed when the plan is made, so the append does not see its
         own output; the number added is observed during the write (no extra pass). A
         failed append commits nothing, and a rerun adds exactly the rows still absent."""
-        from pyspark.sql import Observation
-        from pyspark.sql import functions as F
-
         cols = [f.name for f in self.read().schema.fields]
         seen = Observation(f"{self.name}_insert")
         fresh = absent_rows(self.read(), incoming.select(*cols), self.key) \
             .observe(seen, F.count(F.lit(1)).alias("rows"))
-        fresh.write.mode("append").option("maxRecordsPerFile", self.batch).insertInto(self.name)
+        fresh.write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
         return int(seen.get["rows"])

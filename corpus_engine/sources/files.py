@@ -19,7 +19,9 @@ def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt",
     case-sensitive and the listing is not recursive unless asked."""
     df = (spark.read.option("pathGlobFilter", glob)
           .option("recursiveFileLookup", recursive).text(path, wholetext=True))
-    return df.select(base_name(F.col("_metadata.file_path")).alias("id"), F.col("value").alias("text"),
+    # the metadata's names are URL-encoded but for a plus sign, which stands for itself
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return df.select(name.alias("id"), F.col("value").alias("text"),
                      F.col("_metadata.file_path").alias("path"))
 
 
@@ -30,8 +32,7 @@ def scan_binary_files(spark: SparkSession, path: str, glob: str | None = "*.pdf"
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    df = reader.load(path).select("path", base_name("path").alias("name"),
-                                  extension("path").alias("ext"), "content")
+    df = reader.load(path).select("path", base_name("path").alias("name"), extension("path").alias("ext"), "content")
     if extensions:
         df = df.filter(F.col("ext").isin(list(extensions)))
     return df
@@ -53,6 +54,12 @@ def validate_extension(df: DataFrame, ext: str = "ext",
     return df.withColumn("valid", ok).withColumn("reject_reason", reason)
 
 
+def scan_convertible_files(spark: SparkSession, path: str) -> DataFrame:
+    """S3: the files of a folder (not of its subfolders) that the Markdown conversion takes,
+    whatever the case of their extension."""
+    return scan_binary_files(spark, path, glob=None, recursive=False, extensions=DEFAULTS.convertible_extensions)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
@@ -68,10 +75,3 @@ def stage_reload(spark: SparkSession, path: str, compute: Callable[[], DataFrame
         return spark.read.parquet(path)
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
-
-
-def open_collection(spark: SparkSession, path: str, schema: str = COLLECTION_SCHEMA) -> DataFrame:
-    """Get-or-create: the stored collection, or an empty one with the fixed schema."""
-    if path_exists(spark, path):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)

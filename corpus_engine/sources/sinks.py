@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.config import DEFAULTS
 from corpus_engine.functions.files import stem
 from corpus_engine.functions.html import html_to_markdown
 from corpus_engine.functions.text import safe_filename
-from corpus_engine.operators.ingest import first_per_key, salted_join
+from corpus_engine.operators.ingest import first_per_key, ledger_additions, salted_join
+from corpus_engine.sources.files import path_exists
 
 
 def write_stage(df: DataFrame, path: str) -> None:
@@ -28,29 +28,52 @@ def write_report(papers: DataFrame, stats: DataFrame | None, path: str) -> None:
 def with_safe_names(df: DataFrame, id_col: str = "id") -> DataFrame:
     """K3 naming: ``safe_name`` and a ``collision`` flag for ids that sanitise alike.
 
-    The count per name is a hash aggregate (partial counts before the shuffle) joined back
-    on the name with a salted join, so a name shared by a third of all rows is spread
+    Names are counted map-side; only names met twice or more are replicated for the salted
+    join back, so unique names cost nothing and a name shared by a third of all rows is spread
     over many tasks."""
     named = df.withColumn("safe_name", safe_filename(F.col(id_col)))
-    counts = named.groupBy("safe_name").agg(F.count(F.lit(1)).alias("__n"))
-    return (salted_join(named, counts, "safe_name", "left")
-            .withColumn("collision", F.col("__n") > 1).drop("__n"))
+    shared = named.groupBy("safe_name").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return (salted_join(named, shared, "safe_name", "left")
+            .withColumn("collision", F.col("__n").isNotNull()).drop("__n"))
 
 
 def write_texts(df: DataFrame, path: str, id_col: str = "id", text: str = "text") -> int:
     """K3: write one text per safe name; rows with an empty name are skipped. Returns the
-    number of rows written. Texts go to a Parquet table keyed by ``safe_name`` (one file
-    per document does not scale); colliding names keep the smallest id."""
+    number of texts saved. Texts go to a Parquet table keyed by ``safe_name`` (one file per
+    document does not scale). Of colliding names the smallest id is saved; the ids that were
+    not are listed in the table ``<path>_collisions``."""
     named = with_safe_names(df, id_col).filter(F.col("safe_name").isNotNull())
-    keep = first_per_key(named.select("safe_name", id_col, text), "safe_name", order=id_col)
-    keep.select("safe_name", text).write.mode("overwrite").parquet(path)
-    return named.count()
-
-
-def write_collection(df: DataFrame, path: str, batch: int = DEFAULTS.insert_batch,
-                     mode: str = "append") -> None:
-    """K5/K6: append to the collection; ``batch`` only bounds the rows per file."""
-    df.write.mode(mode).option("maxRecordsPerFile", batch).parquet(path)
+    single = named.filter(~F.col("collision")).select("safe_name", text)
+    shared = named.filter("collision")
+    first = shared.groupBy("safe_name").agg(F.min(id_col).alias("__first"))
+    kept = first_per_key(shared.select("safe_name", id_col, text), "safe_name", order=id_col)
+    single.unionByName(kept.select("safe_name", text)).write.mode("overwrite").parquet(path)
+    lost = salted_join(shared.select("safe_name", id_col), first, "safe_name", "inner").filter(
+        F.col(id_col) != F.col("__first")).select("safe_name", id_col)
+    lost.write.mode("overwrite").parquet(f"{path}_collisions")
+    return df.sparkSession.read.parquet(path).count()
+
+
+def write_collection(df: DataFrame, path: str, mode: str = "append") -> None:
+    """K5/K6: append to the collection. File sizes follow the partitions' bytes (the reference's
+    5,000 rows are a limit of one client call, not a file size)."""
+    df.write.mode(mode).parquet(path)
+
+
+def append_ledger(spark: SparkSession, path: str, processed: DataFrame, name: str = "filename") -> int:
+    """K9 sink: add the batch's names that the stored ledger lacks, after the chunks are
+    written; returns how many. A rerun adds nothing."""
+    fresh = ledger_additions(read_ledger(spark, path, name), processed, name)
+    seen = Observation("ledger")
+    fresh.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return int(seen.get["rows"])
+
+
+def read_ledger(spark: SparkSession, path: str, name: str = "filename") -> DataFrame:
+    """The stored ledger; empty before its first batch."""
+    if path_exists(spark, path):
+        return spark.read.schema(f"{name} string").parquet(path)
+    return spark.createDataFrame([], f"{name} string")
 
 
 def markdown_outputs(df: DataFrame, path: str = "path", content: str = "html") -> DataFrame:

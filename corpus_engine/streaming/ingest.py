@@ -1,7 +1,7 @@
 """Incremental ingestion with Structured Streaming.
 
 A file source picks up new document files; each micro-batch is chunked and added to the
-collection with insert-if-absent (anti-join on chunk id) inside ``foreachBatch``. The
+collection, with its vectors, by insert-if-absent (anti-join on chunk id) inside ``foreachBatch``. The
 stream's checkpoint plays the role of the processed-files ledger. Because the write is
 insert-if-absent, a micro-batch that is replayed after a failure (chunks written, offsets
 not yet committed) adds nothing twice: at-least-once delivery gives exactly-once rows.
@@ -15,31 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.operators.chunk import chunk
+from corpus_engine.operators.embed import HashEmbedder
+from corpus_engine.plans.index_build import stamp_embedder
 from corpus_engine.session import shared_path
 from corpus_engine.sources.collection import BucketedCollection
+from corpus_engine.sources.files import COLLECTION_SCHEMA
 
-CHUNK_SCHEMA = "id string, doc_id string, chunk_index int, text string"
 
 
-def _chunk_rows(batch: DataFrame, method: str) -> DataFrame:
+def _chunk_rows(batch: DataFrame, method: str, embedder) -> DataFrame:
     out = chunk(batch.select("doc_id", "text"), method)
-    return out.select("id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_index", "text")
+    return embedder.embed(out.select("id", F.col("doc_id").cast("string").alias("doc_id"), "chunk_index", "text"))
 
 
 def start_ingest(spark: SparkSession, source_dir: str, collection_dir: str, checkpoint: str,
                  source_schema: str = "doc_id bigint, text string", method: str = "sentence",
-                 fmt: str = "parquet", max_files_per_trigger: int | None = None):
+                 fmt: str = "parquet", max_files_per_trigger: int | None = None, embedder=None):
     """Start the stream (trigger availableNow: process what is there, then stop). With
     ``max_files_per_trigger`` a large backlog is taken in bounded micro-batches."""
     reader = spark.readStream.schema(source_schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source_dir)
-    collection = BucketedCollection(spark, collection_dir, schema=CHUNK_SCHEMA)
+    embedder = embedder or HashEmbedder()
+    stamp_embedder(spark, collection_dir, embedder)
+    collection = BucketedCollection(spark, collection_dir, schema=COLLECTION_SCHEMA)
 
     def add_batch(batch: DataFrame, epoch_id: int) -> None:
         # insert-if-absent against the bucketed collection: only the batch is shuffled
-        collection.insert_if_absent(_chunk_rows(batch, method))
+        collection.insert_if_absent(_chunk_rows(batch, method, embedder))
 
     return (stream.writeStream.foreachBatch(add_batch)
             .option("checkpointLocation", checkpoint)
@@ -65,4 +69,4 @@ def ingest_documents_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs.filter(F.col("lang").eqNullSafe("en")).drop("lang").write.mode("append").parquet(source)
     run_ingest(spark, source, collection, ckpt)
     run_ingest(spark, source, collection, ckpt)
-    return spark.read.schema(CHUNK_SCHEMA).parquet(collection)
+    return spark.read.schema(COLLECTION_SCHEMA).parquet(collection).drop("embedding")

@@ -1,5 +1,6 @@
 """Context, prompts, answer cleanup, error cells, status message."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpus_engine.functions import prompts as P
@@ -11,30 +12,28 @@ def one(spark, expr, value):
     return spark.createDataFrame([(value,)], "t string").select(expr(F.col("t")).alias("o")).first()["o"]
 
 
-def py_clean_response(response):
-    """Plain-Python statement of the cleanup rule, for comparison with the Spark version."""
-    import functools
-
-    pieces = response.split(P.QUESTION_SPLIT)
-    segment = pieces[1] if len(pieces) > 1 else response
-    segment = functools.reduce(lambda acc, marker: acc.replace(marker, ""), P.ANSWER_MARKERS, segment)
-    kept = [ln for ln in segment.split("\n") if all(w not in ln.lower() for w in P.DROP_LINE_WORDS)]
-    return "\n".join(kept).strip()
-
-
 def test_clean_answer_edges(spark):
     assert one(spark, P.clean_answer, "a The question is = b The question is = c") == "b"
     echo = ("prompt The question is = users of the system\nCutting Knowledge Date: Dec\n"
             "Today Date: x\nYour Answer = ok  ")
-    assert one(spark, P.clean_answer, echo) == "s of the \n ok" == py_clean_response(echo)
+    assert one(spark, P.clean_answer, echo) == "s of the \n ok"
     assert one(spark, P.clean_answer, "User") == "User"
 
 
-def test_clean_answer_matches_python(spark):
-    samples = ["<|begin_of_text|>system\nhello user\n  today is\nThe question is = x",
-               "nothing to do", "    pad 　", "assistant: Date: none\nkeep me"]
-    for s in samples:
-        assert one(spark, P.clean_answer, s) == py_clean_response(s)
+def test_clean_answer_rows(spark):
+    cases = {"<|begin_of_text|>system\nhello user\n  today is\nThe question is = x": "x", "nothing to do": "nothing to do",
+             "    pad \u3000": "pad", "assistant: Date: none\nkeep me": "keep me"}
+    for given, expected in cases.items():
+        assert one(spark, P.clean_answer, given) == expected
+
+
+def test_clean_answer_changes_echoed_prompts(spark):
+    """Over prompts that answers repeat, markers, the split and the date lines all take effect."""
+    from conftest import SF001
+    from corpus_engine.plans.queries import QUERIES
+    rows = QUERIES["clean_answer"](spark, SF001).collect()
+    assert rows and not any(m in r["answer"] for r in rows for m in P.ANSWER_MARKERS if m.startswith("<|"))
+    assert not any(P.QUESTION_SPLIT in r["answer"] or "Today Date" in r["answer"] for r in rows)
 
 
 def test_context_format(spark):
@@ -60,6 +59,33 @@ def test_error_cells_and_pivot(spark):
     assert A.compare_answers(v1, models=("gpt_v1",)).first()["gpt_v1"] == "An error occurred while calling GPT API: x"
 
 
+def test_repeated_answers_are_counted(spark):
+    ans = spark.createDataFrame([(1, "rag", "b", None), (1, "rag", "a", None), (1, "gpt", "x", None)],
+                                "query_id int, model string, answer string, error string")
+    row = A.compare_answers(ans).first()
+    assert (row["rag"], row["gpt"], row["other_answers"]) == ("a", "x", 1)
+
+
+def test_failed_retrieval_fills_the_row(spark):
+    ans = spark.createDataFrame([(1, "rag", "a", None), (2, "rag", "b", None)],
+                                "query_id int, model string, answer string, error string")
+    ctx = spark.createDataFrame([(1, "c1", None), (2, None, "gone")], "query_id int, context string, error string")
+    got = {r["query_id"]: r for r in A.compare_answers(ans, ctx).collect()}
+    assert (got[1]["context"], got[1]["rag"], got[1]["gpt"]) == ("c1", "a", None)
+    assert {got[2][c] for c in ("context", "rag", "enhanced", "gpt", "claude")} == {"An error occurred: gone"}
+
+
+def test_each_model_has_its_own_body(spark):
+    import json
+
+    prompts = spark.createDataFrame([(1, m, "p") for m in P.REQUEST_BODIES], "query_id int, model string, prompt string")
+    got = {r["model"]: json.loads(r["body"]) for r in A.request_bodies(prompts).collect()}
+    assert got["rag"] == {"inputs": "p"} and got["mistral"]["prompt"] == "p" and got["claude"]["max_tokens"] == 1000
+    assert got["gpt"]["messages"][0] == {"role": "system", "content": P.CONTEXT_SYSTEM_PROMPT} and got["gpt"]["max_tokens"] == 500
+    with pytest.raises(Exception, match="no request body for model other"):
+        A.request_bodies(spark.createDataFrame([(1, "other", "p")], "query_id int, model string, prompt string")).collect()
+
+
 def test_upload_status(spark):
     df = spark.createDataFrame([(0, 0, 0), (2, 7, 0), (0, 0, 3), (1, 2, 1)], "n long, c long, s long")
     got = [r[0] for r in df.select(S.upload_status(F.col("n"), F.col("c"), F.col("s"))).collect()]

@@ -2,11 +2,13 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpus_engine.operators import entities as EN
 from corpus_engine.operators import ingest as I
-from corpus_engine.streaming.ingest import CHUNK_SCHEMA, run_ingest
+from corpus_engine.sources.files import COLLECTION_SCHEMA
+from corpus_engine.streaming.ingest import run_ingest
 
 
 def test_insert_if_absent_idempotent(spark):
@@ -28,13 +30,74 @@ def test_skip_processed_files(spark):
     assert merged == ["a.pdf", "b.pdf"]
 
 
-def test_upload_chunks_index_runs_across_units(spark):
-    df = spark.createDataFrame([("f.pdf", ["aaa bb cc", "dd ee"])], "filename string, units array<string>")
-    out = I.upload_chunks(df, size=5).orderBy("chunk_index").collect()
+def test_upload_chunks_index_runs_across_pages(spark):
+    df = spark.createDataFrame([("f.pdf", 4, "aaa bb cc"), ("f.pdf", 5000, "dd ee"), ("g.pdf", 7, "x"), ("f.pdf", 5001, None),
+                                ("f.pdf", 5002, "z")], "filename string, page_id long, text string")
+    out = I.upload_chunks(df, size=5).orderBy("filename", "chunk_index").collect()
     assert [(r["chunk_index"], r["text"], r["id"], r["metadata"]["source"]) for r in out] == [
         (0, "aaa", "pdf_chunk_f.pdf_0", "f.pdf_chunk_0"),
         (1, "bb cc", "pdf_chunk_f.pdf_1", "f.pdf_chunk_1"),
-        (2, "dd ee", "pdf_chunk_f.pdf_2", "f.pdf_chunk_2")]
+        (2, "dd ee", "pdf_chunk_f.pdf_2", "f.pdf_chunk_2"),
+        (3, "z", "pdf_chunk_f.pdf_3", "f.pdf_chunk_3"),
+        (0, "x", "pdf_chunk_g.pdf_0", "g.pdf_chunk_0")]
+
+
+def test_upload_ids_are_unique(spark):
+    from conftest import SF01
+    from corpus_engine.plans.queries import QUERIES
+    up = QUERIES["upload_chunks"](spark, SF01)
+    assert up.count() == up.select("id").distinct().count() > 0
+
+
+def test_new_files_by_last_segment(spark):
+    from conftest import SF01
+    from corpus_engine.plans.queries import QUERIES
+    names = [r["filename"] for r in QUERIES["ingest_new_files"](spark, SF01).collect()]
+    assert len(names) == len(set(names)) == 159 and "" not in names
+
+
+def test_reopening_with_another_layout_is_refused(spark):
+    from corpus_engine.sources.collection import BucketedCollection
+
+    path = tempfile.mkdtemp(prefix="layout-", dir="/tmp") + "/c"
+    schema = "id string, text string"
+    rows = spark.createDataFrame([(f"i{i}", "t") for i in range(100)], schema)
+    assert BucketedCollection(spark, path, 8, schema).insert_if_absent(rows) == 100
+    assert BucketedCollection(spark, path, schema=schema).insert_if_absent(rows) == 0
+    with pytest.raises(ValueError, match="8 buckets"):
+        BucketedCollection(spark, path, 16, schema)
+
+
+def test_write_texts_reports_collisions(spark):
+    from corpus_engine.sources.sinks import write_texts
+
+    path = tempfile.mkdtemp(prefix="texts-", dir="/tmp") + "/t"
+    df = spark.createDataFrame([("a-b", "1"), ("a_b", "2"), ("c", "3"), ("", "4")], "id string, text string")
+    assert write_texts(df, path) == 2
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a_b.txt", "1"), ("c.txt", "3")]
+    assert [tuple(r) for r in spark.read.parquet(f"{path}_collisions").collect()] == [("a_b.txt", "a_b")]
+
+
+def test_scanned_names_are_as_stored(spark):
+    from corpus_engine.sources.files import scan_convertible_files, scan_text_files
+
+    base = tempfile.mkdtemp(prefix="names-", dir="/tmp")
+    for n in ("a b%é.txt", "plus+sign.txt", "Report.PDF", "x.Docx", "note.md"):
+        with open(f"{base}/{n}", "w") as fh:
+            fh.write("x")
+    assert sorted(r["id"] for r in scan_text_files(spark, base).collect()) == ["a b%é.txt", "plus+sign.txt"]
+    assert sorted((r["name"], r["ext"]) for r in scan_convertible_files(spark, base).collect()) == [
+        ("Report.PDF", ".pdf"), ("x.Docx", ".docx")]
+
+
+def test_document_qualified_ids_keep_both_documents(spark):
+    """K8: per-document counters would give both documents the id chunk_0 and lose one."""
+    from corpus_engine.plans.index_build import build_index
+
+    path = tempfile.mkdtemp(prefix="ids-", dir="/tmp") + "/c"
+    papers = spark.createDataFrame([("a", "First text."), ("b", "Second text.")], "id string, text string")
+    assert build_index(spark, papers, path) == 2
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == ["a_chunk_0", "b_chunk_0"]
 
 
 def test_entity_removal_edges(spark):
@@ -65,27 +128,17 @@ def test_stream_ingest_runs_are_idempotent(spark):
     mk = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     mk([(1, "File a."), (2, "File b.")]).write.mode("append").parquet(src)
     run_ingest(spark, src, coll, ckpt)
-    n1 = spark.read.schema(CHUNK_SCHEMA).parquet(coll).count()
+    n1 = spark.read.schema(COLLECTION_SCHEMA).parquet(coll).count()
     run_ingest(spark, src, coll, ckpt)
-    n2 = spark.read.schema(CHUNK_SCHEMA).parquet(coll).count()
+    n2 = spark.read.schema(COLLECTION_SCHEMA).parquet(coll).count()
     mk([(3, "File c.")]).write.mode("append").parquet(src)
     run_ingest(spark, src, coll, ckpt)
-    n3 = spark.read.schema(CHUNK_SCHEMA).parquet(coll).count()
+    n3 = spark.read.schema(COLLECTION_SCHEMA).parquet(coll).count()
     assert (n1, n2, n3) == (2, 2, 3)
     # a replayed batch (same files, fresh checkpoint) adds nothing
     run_ingest(spark, src, coll, f"{base}/ckpt2")
-    assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).select(F.countDistinct("id")).first()[0] == 3
-    assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).count() == 3
-
-
-def test_fused_gazetteer_removal_equals_general_path(spark):
-    names = spark.createDataFrame([("NEW YORK",), ("YORK",), ("PARIS",), ("NL",)], "name string")
-    gz = EN.gazetteer_from_names(names, "name")
-    docs = spark.createDataFrame([(1, "new york and york in paris, parisian"), (2, "nl nothing")],
-                                 "doc_id long, text string")
-    general = EN.remove_entities(docs, EN.annotate_entities(docs, gz))
-    fused = EN.remove_gazetteer_entities(docs, gz)
-    assert sorted(map(tuple, general.collect())) == sorted(map(tuple, fused.collect()))
+    assert spark.read.schema(COLLECTION_SCHEMA).parquet(coll).select(F.countDistinct("id")).first()[0] == 3
+    assert spark.read.schema(COLLECTION_SCHEMA).parquet(coll).count() == 3
 
 
 def test_salted_join_equals_plain_join_on_hot_key(spark):
@@ -107,18 +160,15 @@ def test_stream_in_bounded_micro_batches(spark):
         spark.createDataFrame([(i, f"File {i}. Second {i}.")], "doc_id long, text string") \
             .coalesce(1).write.mode("append").parquet(src)
     run_ingest(spark, src, coll, ckpt, max_files_per_trigger=1)
-    assert spark.read.schema(CHUNK_SCHEMA).parquet(coll).count() == 4
+    assert spark.read.schema(COLLECTION_SCHEMA).parquet(coll).count() == 4
 
 
-def test_annotation_plans_agree(spark):
-    names = spark.createDataFrame([("UNITED STATES",), ("FRANCE",), ("PERU",)], "name string")
-    gz = EN.gazetteer_from_names(names, "name")
-    docs = spark.createDataFrame([(1, "from france to united states"), (2, "peru and peruvian")],
-                                 "doc_id long, text string")
-    literal = sorted(map(tuple, EN.annotate_entities(docs, gz).collect()))
-    broadcast = sorted(map(tuple, EN.annotate_entities(docs, gz, max_literal=1).collect()))
-    shuffled = sorted(map(tuple, EN.annotate_entities(docs, gz, max_literal=1, max_rows=1).collect()))
-    assert literal == broadcast == shuffled
-    fused = sorted(map(tuple, EN.remove_gazetteer_entities(docs, gz).collect()))
-    general = sorted(map(tuple, EN.remove_gazetteer_entities(docs, gz, max_literal=1).collect()))
-    assert fused == general
+def test_annotation_takes_null_words_and_any_key(spark):
+    gz = spark.createDataFrame([("france", "B-LOC"), (None, "B-LOC"), ("peru", "B-LOC"), ("peru", "B-PER")],
+                               "word string, entity string")
+    docs = spark.createDataFrame([("k1", "from france to peru"), ("k2", None)], "doc_id string, text string")
+    got = sorted(map(tuple, EN.annotate_entities(docs, gz).collect()))
+    assert got == [("k1", "france", "B-LOC"), ("k1", "peru", "B-LOC"), ("k1", "peru", "B-PER")]
+    left = dict(map(tuple, EN.remove_gazetteer_entities(docs, gz).select("doc_id", "text").collect()))
+    assert left == {"k1": "from  to ", "k2": None}
+    assert EN.annotate_entities(docs, gz.limit(0)).dtypes[0] == ("doc_id", "string")

@@ -14,7 +14,7 @@ PURE_SQL = ["clean_steps", "clean_text", "clean_isbn", "word_count", "normalize_
             "embed_hash", "cosine_pairs", "vector_distance", "dedup_normalized", "html_to_text",
             "html_to_markdown", "clean_answer", "parse_responses", "compare_answers", "corpus_stats",
             "stage_stats", "stage_counts", "file_info", "validate_extension", "safe_filename",
-            "ingest_new_files", "ledger_merge", "upload_chunks", "upload_status", "insert_if_absent",
+            "ingest_new_files", "ledger_merge", "upload_chunks", "insert_if_absent",
             "markdown_files", "debug_sample"]
 PYTHON_NODES = ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas",
                 "PythonUDF", "pythonUDF")
@@ -41,7 +41,7 @@ def test_pure_sql_plans_have_no_python(spark, name):
 
 
 def test_no_query_has_a_cross_join(spark):
-    for name in ("knn_exact", "knn_lsh", "retrieve_dedup", "assemble_context", "fanout_prompts",
+    for name in ("knn_exact", "knn_lsh", "upload_retrieve", "retrieve_dedup", "assemble_context", "fanout_prompts",
                  "retrieve_expanded", "lsh_recall"):
         plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
         assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin", plan), name
@@ -50,10 +50,16 @@ def test_no_query_has_a_cross_join(spark):
 def test_scans_are_pruned(spark):
     plan = QUERIES["corpus_stats"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<text:string>" in plan
-    plan = QUERIES["clean_answer"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["compare_answers"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(role,assistant)" in plan
 
 
+def test_dedup_aggregates_ids_not_texts(spark):
+    """Texts are neither sorted nor aggregated, and no name is replicated for a join it does not need."""
+    plan = QUERIES["dedup_normalized"](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_bucketed_collection_is_not_reshuffled(spark):
     import tempfile
 
@@ -92,7 +98,8 @@ def test_knn_limits_before_its_shuffle(spark):
     assert any("WindowGroupLimit" in ln for ln in lines[:exchange])      # final top-k above it
 
 WRITES_FIRST = {"stream_ingest", "scan_text_files", "scan_binary_files", "stage_reload", "write_report",
-                "collection_write", "insert_if_absent", "answer_from_collection"}
+                "collection_write", "insert_if_absent", "answer_from_collection", "upload_status", "upload_retrieve",
+                "retrieve_expanded"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES_FIRST))
