@@ -17,6 +17,7 @@ from corpus_engine.llm import (
     warc,
 )
 from corpus_engine.llm.common import shipped
+from corpus_engine.llm.oracles import LLM_ORACLES
 from corpus_engine.sources.tables import table
 
 
@@ -86,4 +87,4 @@ LLM_QUERIES = {f.__name__: _run(f) for f in (
     op1_arc_to_warc, op2_template_decontamination, op3_span_dedup, op4_extract_text, op5_quality_rules, op6_mix_sources,
     op7_token_counts, op8_jaccard_join, op9_personal_data, op10_secret_ledger)}
 
-LLM_ORACLES: dict[str, str] = {}
+__all__ = ["LLM_ORACLES", "LLM_QUERIES"]
