@@ -16,7 +16,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpus_engine.plans.queries import QUERIES  # noqa: E402
-from corpus_engine.session import build_session, ship_package  # noqa: E402
+from corpus_engine.session import build_session, release_scratch, ship_package  # noqa: E402
 
 HEADLINE = (
     "clean_text",
@@ -67,6 +67,7 @@ def main() -> None:
             print(f"{name}: FAILED {type(e).__name__}: {str(e)[:300]}", file=sys.stderr)
             continue
         print(f"{name}: {times[name]}s", file=sys.stderr)
+        release_scratch(spark)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "headline_queries_total",

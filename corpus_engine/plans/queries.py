@@ -499,10 +499,8 @@ def q_stream_ingest(spark, sf):
 # --- files written under the shared folder and read back --------------------------------
 
 def _scratch(spark, name: str) -> str:
-    import uuid
-
-    from corpus_engine.session import shared_path
-    return shared_path(spark, name, uuid.uuid4().hex)
+    from corpus_engine.session import scratch_path
+    return scratch_path(spark, name)
 
 
 def q_scan_text_files(spark, sf):
@@ -521,6 +519,7 @@ def q_scan_binary_files(spark, sf):
     """Pages written as files, scanned back as bytes with name and extension."""
     from corpus_engine.sources.files import scan_binary_files
     base = _scratch(spark, "pages")
+    # the operator reads whole files, so this query needs a file per page: its input is made one
     table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(base)
     scanned = scan_binary_files(spark, base, glob="*.txt", recursive=True, extensions=(".txt",))
     return scanned.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -66,6 +67,26 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base.rstrip("/")] + [p.strip("/") for p in parts])
 
 
+_SCRATCH: list[str] = []
+
+
+def scratch_path(spark: SparkSession, *parts: str) -> str:
+    """A new path under the shared folder, remembered until :func:`release_scratch`."""
+    path = shared_path(spark, *parts, uuid.uuid4().hex)
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote under its scratch paths, once the results that read them
+    have been consumed; returns the number of paths."""
+    jvm, n = spark.sparkContext._jvm, len(_SCRATCH)
+    while _SCRATCH:
+        hpath = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    return n
+
+
 _SHIPPED: set = set()
 
 

@@ -9,15 +9,13 @@ not yet committed) adds nothing twice: at-least-once delivery gives exactly-once
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.operators.chunk import chunk
 from corpus_engine.operators.embed import HashEmbedder
 from corpus_engine.plans.index_build import stamp_embedder
-from corpus_engine.session import shared_path
+from corpus_engine.session import scratch_path
 from corpus_engine.sources.collection import BucketedCollection
 from corpus_engine.sources.files import COLLECTION_SCHEMA
 
@@ -61,7 +59,7 @@ def ingest_documents_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     holds each sentence chunk once."""
     from corpus_engine.sources.tables import table
 
-    base = shared_path(spark, "stream_ingest", uuid.uuid4().hex)
+    base = scratch_path(spark, "stream_ingest")
     source, collection, ckpt = f"{base}/source", f"{base}/collection", f"{base}/checkpoint"
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     docs.filter(~F.col("lang").eqNullSafe("en")).drop("lang").write.mode("append").parquet(source)

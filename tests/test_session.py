@@ -24,3 +24,13 @@ def test_balance_is_size_checked(spark):
     one = balance(docs, min_task_bytes=size * 10)  # fits one task: left alone
     assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, spread.collect())) == sorted(map(tuple, docs.collect()))
+
+
+def test_scratch_is_released(spark):
+    from corpus_engine.session import release_scratch, scratch_path
+    from corpus_engine.sources.files import path_exists
+
+    path = scratch_path(spark, "release-test")
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path) and release_scratch(spark) >= 1
+    assert not path_exists(spark, path)
