@@ -2,8 +2,8 @@
 
 Extraction of binary document formats is out of scope; raw web pages stand in for
 documents. Each conversion is a list of rewrite steps ``(kind, pattern, replacement)``
-with kind ``re`` (regex, ``$1`` group references) or ``lit`` (literal replace). Patterns
-use only constructs shared by Java and RE2 (no lookaround), so the same list also
+with kind ``re`` (regex, ``$1`` group references), ``lit`` (literal replace) or ``num`` (numeric
+character references, the replacement names the base). Patterns use only constructs shared by Java and RE2 (no lookaround), so the same list also
 generates the DuckDB oracle.
 """
 
@@ -18,9 +18,10 @@ DROP_BLOCKS = (
     ("re", r"(?is)<style[^>]*>.*?</style\s*>", ""),
     ("re", r"(?s)<!--.*?-->", ""),
 )
-# Named/numeric entities decoded; &amp; last so "&amp;lt;" stays "&lt;".
-ENTITIES = tuple(("lit", e, c) for e, c in (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+# Numeric references to any code point, then the named ones; &amp; last so "&amp;lt;" stays "&lt;".
+DECIMAL, HEXADECIMAL = r"&#[0-9]{1,6};", r"&#[xX][0-9a-fA-F]{1,5};"
+ENTITIES = (("num", DECIMAL, "dec"), ("num", HEXADECIMAL, "hex")) + tuple(("lit", e, c) for e, c in (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
     ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ))
 TIDY = (
@@ -38,7 +39,13 @@ MARKDOWN_STEPS = DROP_BLOCKS + (("re", r"(?is)<head[^>]*>.*?</head\s*>", ""),) +
     ("re", rf"(?is)<h{n}[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)
 ) + (
     ("re", r"(?is)<a\s[^>]*href=\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[$2]($1)"),
+    ("re", r"(?is)<a\s[^>]*href='([^']*)'[^>]*>(.*?)</a\s*>", "[$2]($1)"),
+    ("re", r"(?is)<img\s[^>]*src=[\"']([^\"']*)[\"'][^>]*>", "![]($1)"),
     ("re", r"(?i)</?(?:b|strong)\s*>", "**"),
+    ("re", r"(?i)</?(?:em|i)\s*>", "*"),
+    ("re", r"(?i)</?code\s*>", "`"),
+    ("re", r"(?i)</t[dh]\s*>", " | "),
+    ("re", r"(?i)</tr\s*>", "\n"),
     ("re", r"(?i)<li[^>]*>", "\n- "),
     ("re", r"(?i)<br\s*/?>", "\n"),
     ("re", r"(?i)</(?:p|div|ul|ol|nav|article|section|footer|header)\s*>", "\n\n"),
@@ -55,11 +62,25 @@ def apply_steps(c, steps) -> Column:
     for kind, pattern, repl in steps:
         if kind == "re":
             out = F.regexp_replace(out, pattern, repl)
+        elif kind == "num":
+            out = _decoded(out, pattern, repl)
         else:
             out = F.replace(out, F.lit(pattern), F.lit(repl))
     return out
 
 
+def _decoded(c: Column, pattern: str, base: str) -> Column:
+    """Numeric character references replaced by their characters; impossible ones stay."""
+    def char(ref):
+        digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);", 1)
+        point = (F.conv(digits, 16, 10) if base == "hex" else digits).cast("int")
+        known = point.between(1, 0xD7FF) | point.between(0xE000, 0xFFFF) | point.between(0x10000, 0xFFFFF)
+        return F.when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(ref)
+
+    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    return F.when(F.contains(c, F.lit("&#")), F.aggregate(refs, c, lambda t, r: F.replace(t, r, char(r)))).otherwise(c)
+
+
 def html_to_text(c) -> Column:
     """Visible text of a page, one line per block element; '' when nothing is left."""
     return apply_steps(c, TEXT_STEPS)

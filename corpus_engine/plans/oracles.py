@@ -194,7 +194,13 @@ def fill(template: str, **cols) -> str:
 def html_steps(expr: str, steps) -> str:
     out = expr
     for kind, pattern, repl in steps:
-        out = rx(out, pattern, repl) if kind == "re" else f"replace({out}, {lit(pattern)}, {lit(repl)})"
+        if kind == "num":
+            digits = "regexp_extract(r_, '([0-9a-fA-F]+);', 1)"
+            point = f"('0x' || {digits})::INTEGER" if repl == "hex" else f"{digits}::INTEGER"
+            out = (f"list_reduce(list_distinct(regexp_extract_all({out}, {lit(pattern)})), lambda t_, r_: CASE WHEN {point} BETWEEN 1 "
+                   f"AND 55295 OR {point} BETWEEN 57344 AND 1048575 THEN replace(t_, r_, chr({point})) ELSE t_ END, {out})")
+        else:
+            out = rx(out, pattern, repl) if kind == "re" else f"replace({out}, {lit(pattern)}, {lit(repl)})"
     return out
 
 

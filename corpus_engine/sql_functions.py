@@ -17,6 +17,13 @@ from corpus_engine.functions import files as FI
 from corpus_engine.functions import html as H
 from corpus_engine.functions import text as T
 
+
+
+def _without_lambdas(steps) -> list:
+    """SQL functions take no lambdas, so numeric character references stay as they are there."""
+    return [s for s in steps if s[0] != "num"]
+
+
 # name -> (argument list, return type, builder over the argument columns)
 SQL_FUNCTIONS = {
     "ce_normalize": ("t STRING", "STRING", lambda: T.normalize_for_comparison(F.col("t"))),
@@ -25,8 +32,8 @@ SQL_FUNCTIONS = {
     "ce_safe_filename": ("t STRING", "STRING", lambda: T.safe_filename(F.col("t"))),
     "ce_preview": ("t STRING", "STRING", lambda: T.preview(F.col("t"))),
     "ce_relevance": ("d DOUBLE", "DOUBLE", lambda: T.relevance(F.col("d"))),
-    "ce_html_to_text": ("t STRING", "STRING", lambda: H.html_to_text(F.col("t"))),
-    "ce_html_to_markdown": ("t STRING", "STRING", lambda: H.html_to_markdown(F.col("t"))),
+    "ce_html_to_text": ("t STRING", "STRING", lambda: H.apply_steps("t", _without_lambdas(H.TEXT_STEPS))),
+    "ce_html_to_markdown": ("t STRING", "STRING", lambda: H.apply_steps("t", _without_lambdas(H.MARKDOWN_STEPS))),
     "ce_base_name": ("t STRING", "STRING", lambda: FI.base_name(F.col("t"))),
     "ce_extension": ("t STRING", "STRING", lambda: FI.extension(F.col("t"))),
 }

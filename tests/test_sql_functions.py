@@ -28,3 +28,12 @@ def test_sql_functions_equal_column_functions(spark):
         T.safe_filename("url").alias("f"))
     assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, api.collect()))
     assert spark.sql("SELECT ce_relevance(0.25) AS r").first()["r"] == 0.75
+
+
+def test_html_rules(spark):
+    page = ("<p>It&#8217;s &#x1F600; &#39;ok&#39; &#0; &amp;#65;</p><a class='x' href='/u'>t</a> <em>e</em> <code>c</code>"
+            "<table><tr><td>1</td><td>2</td></tr></table><img alt='' src='i.png'>")
+    df = spark.createDataFrame([(page,)], "h string")
+    row = df.select(H.html_to_text("h").alias("t"), H.html_to_markdown("h").alias("m")).first()
+    assert row["t"].startswith("It\u2019s \U0001F600 'ok' &#0; &#65;\n")
+    assert "[t](/u) *e* `c`" in row["m"] and "1 | 2 |" in row["m"] and "![](i.png)" in row["m"]
