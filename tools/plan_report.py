@@ -15,7 +15,7 @@ NODES = ("Exchange hashpartitioning", "Exchange RoundRobinPartitioning", "Exchan
          "BroadcastHashJoin", "SortMergeJoin", "ShuffledHashJoin", "BroadcastNestedLoopJoin",
          "CartesianProduct", "Generate", "WholeStageCodegen", "FileScan parquet")
 SKIP = {"stream_ingest", "scan_text_files", "scan_binary_files", "stage_reload", "write_report",
-        "collection_write", "insert_if_absent", "answer_from_collection"}  # these write before they return
+        "collection_write", "insert_if_absent", "answer_from_collection", "upload_status", "upload_retrieve"}  # these write before they return
 
 
 def summary(plan: str) -> str:
