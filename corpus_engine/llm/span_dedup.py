@@ -32,37 +32,48 @@ SPAN_WORDS = 20
 LONG_SENTENCE = 16
 #: One word in so many ends a piece of a long sentence.
 CUT = 6
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?…]+[\"')\]]*(?=\s|$)|(?=\n|$))\s*")
+_END = re.compile(r"[.!?…]+[\"')\]]*(?=\s|$)\s*|\n\s*")
+_WORD = re.compile(r"\S+\s*")
+_CUTS: dict[str, bool] = {}
 
 
 def _cut_here(word: str) -> bool:
-    return xxhash.xxh64_intdigest(word) % CUT == 0
+    found = _CUTS.get(word)
+    if found is None:
+        if len(_CUTS) > 500_000:
+            _CUTS.clear()
+        found = _CUTS[word] = xxhash.xxh64_intdigest(word) % CUT == 0
+    return found
 
 
 def units(text: str) -> list[str]:
     """The pieces of a text, which joined give the text."""
-    out = []
-    for m in _SENTENCE.finditer(text):
-        sentence = m[0]
-        if not sentence:
-            continue
+    ends = [m.end() for m in _END.finditer(text)]
+    if not ends or ends[-1] < len(text):
+        ends.append(len(text))
+    out, start = [], 0
+    for end in ends:
+        sentence = text[start:end]
+        start = end
         if sentence.count(" ") < LONG_SENTENCE:
-            out.append(sentence)
+            if sentence:
+                out.append(sentence)
             continue
-        start = 0
-        for w in re.finditer(r"\S+\s*", sentence):
+        at = 0
+        for w in _WORD.finditer(sentence):
             if _cut_here(w[0].strip().lower()):
-                out.append(sentence[start:w.end()])
-                start = w.end()
-        if start < len(sentence):
-            out.append(sentence[start:])
+                out.append(sentence[at:w.end()])
+                at = w.end()
+        if at < len(sentence):
+            out.append(sentence[at:])
     return out
 
 
 def spans(pieces: list[str]) -> list[tuple[int, int, int]]:
     """(first unit, end unit, hash) of the spans of a text; white space and case do not count."""
-    norm = [" ".join(p.lower().split()) for p in pieces]
-    sizes = [len(n.split()) for n in norm]
+    words_of = [p.lower().split() for p in pieces]
+    norm = [" ".join(w) for w in words_of]
+    sizes = [len(w) for w in words_of]
     out = []
     for i in range(len(norm)):
         if not sizes[i]:
@@ -117,7 +128,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spans, for every document that loses a unit."""
     shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInArrow(_emit, "doc_id long, hash long, start int, end int, again boolean")
+    # written once: both the count of spans and the join back read them
+    rows = written(docs.mapInArrow(_emit, "doc_id long, hash long, start int, end int, again boolean"), "spans")
     firsts = rows.groupBy(F.col("hash").alias("h")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                                        F.max("again").alias("inside")).where("first < last OR inside")
     cuts = rows.join(firsts, F.col("hash") == F.col("h")).where("again OR doc_id <> first").select(
