@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpus_engine.session import ship_package, shared_path
+from corpus_engine.session import scratch_path, ship_package
 
 #: White space between words: space and the five ASCII controls from tab to carriage return.
 SPACE_CONTROLS = "\t\n\x0b\x0c\r"
@@ -18,9 +17,10 @@ SPACE_CONTROLS = "\t\n\x0b\x0c\r"
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
-    The table cuts the lineage: a lost executor re-reads it instead of recomputing."""
+    The table cuts the lineage: a lost executor re-reads it instead of recomputing. It stays until
+    ``corpus_engine.session.release_scratch``."""
     spark = df.sparkSession
-    path = shared_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "llm", name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -14,8 +14,8 @@ only hits are shuffled, keyed by window hash and then by (document, item, alignm
 spreads a document or an item that a third of all rows share.
 
 A document is contaminated by an item when aligned windows cover ``COVERAGE`` of the item's
-words, or ``LONG_RUN`` words of it. Items of fewer than ``WINDOW`` words have one window, the
-whole item.
+words, or ``LONG_RUN`` words of it. An item of fewer than ``WINDOW`` words is one window, which
+only a document that is no longer meets: so short a text inside a long one is no evidence.
 
 Null or empty texts, of documents or items, have no windows and never match. Rows that share a
 doc_id are one document, whose windows are taken together; rows that share an item_id are
@@ -104,11 +104,8 @@ _HITS = pa.schema([("key", pa.int64()), ("hash", pa.int64()), ("pos", pa.int32()
                    ("slots", pa.list_(pa.string()))])
 
 
-def _emit(wanted: np.ndarray | None, whole: bool):
-    """Batches of (key, text) to window rows; only the hashes in sorted ``wanted`` if given.
-
-    ``whole`` tells that texts shorter than a window make one window of their own; documents
-    also try each benchmark length below a window, given in ``wanted`` by the caller's items."""
+def _emit(wanted: np.ndarray | None):
+    """Batches of (key, text) to window rows; only the hashes in sorted ``wanted`` if given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -143,11 +140,11 @@ def template_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # rows that share an item_id stay items of their own: an item is its id and its text
     items = items.select(F.xxhash64("item_id", "text").alias("key"), "text", "item_id").dropDuplicates(["key"])
     items = written(items, "bench-items")
-    bench = written(items.select("key", "text").mapInArrow(_emit(None, True), _TYPES), "bench-windows")
+    bench = written(items.select("key", "text").mapInArrow(_emit(None), _TYPES), "bench-windows")
     sides = []
     for block in in_blocks(bench.select("hash").distinct(), ["hash"], BLOCK):
         wanted = np.sort(np.array([h for (h,) in block], np.int64).view(np.uint64))
-        sides.append(docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(_emit(wanted, False), _TYPES))
+        sides.append(docs.select("doc_id", "text").where("text IS NOT NULL").mapInArrow(_emit(wanted), _TYPES))
     if not sides:
         sides.append(spark.createDataFrame([], _TYPES))
     hits = sides[0]

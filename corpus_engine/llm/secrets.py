@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.common import written
-from corpus_engine.session import shared_path
+from corpus_engine.session import scratch_path
 
 
 @dataclass(frozen=True)
@@ -195,9 +195,4 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
 
 def fresh_ledger(docs: DataFrame, name: str) -> str:
     """A new ledger folder in the cluster's shared folder."""
-    import uuid
-
-    return shared_path(docs.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
-
-
-__all__ = ["RULES", "Rule", "scan", "report", "redact", "spans", "fresh_ledger", "rule_version", "written"]
+    return scratch_path(docs.sparkSession, "llm", name)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.common import shipped, written
-from corpus_engine.session import shared_path
+from corpus_engine.session import scratch_path
 
 REVISIT_BYTES = 1000
 ARC_DATE = "20000101000000"
@@ -292,6 +292,6 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as ARC records, convert them to WARC in the shared folder and read them back."""
-    path = shared_path(pages.sparkSession, "llm", f"warc-{uuid.uuid4().hex}")
+    path = scratch_path(pages.sparkSession, "llm", "warc")
     convert(arc_pieces(pages), path)
     return read_warc(pages.sparkSession, path)
