@@ -6,19 +6,20 @@ Distance is one minus the Jaccard similarity of two shingle sets. The join runs
 2. **Token pivots.** A shingle ``t`` is the singleton pivot ``{t}``; a set is nearer to it than
    1 only if it holds ``t``. Shingles are ordered globally, frequent ones last. A set lies in
    the region of its first shingle and is replicated to the regions of its first
-   ``n - ceil(0.75 n) + GUARANTEE`` shingles: by the triangle inequality through the empty
-   difference, two linked sets share at least ``GUARANTEE`` of these boundary regions (all
-   regions for tiny sets). Any global order gives the same links; putting shingles of many
-   documents last keeps regions small.
+   ``n - ceil(0.75 n) + GUARANTEE`` shingles: two linked sets share at least ``GUARANTEE`` of
+   these boundary regions (all regions for tiny sets). Sets that meet others in fewer regions
+   have no link. Of a set's regions the ``GUARANTEE - 1`` largest can be left out of the search for
+   pairs: the smallest region that two linked sets share is among the largest of neither.
 3. **Document pivots.** The smallest document of a region is its pivot; members whose distance
    to it is at most the radius link to it directly. A region whose members are one component
    is finished: a large group of near copies leaves here without its pairs.
 4. **Recursion.** Regions that still hold several components and many members choose their
-   next pivot among the rest and repeat. What then remains is joined within its regions,
-   across components only, inside the triangle-inequality windows: members whose distances to the
-   region's pivot differ by more than the radius cannot link, nor can sets whose sizes differ
-   too much, nor pairs whose order positions leave too small an overlap. Survivors are compared
-   in full.
+   next pivot among the rest and repeat. What then remains is joined, across components only,
+   inside the triangle-inequality windows: members whose distances to the region's pivot
+   differ by more than the radius cannot link, nor can sets whose sizes differ too much, nor
+   pairs that share too few boundary shingles. Small regions join on their shingle. Large regions
+   of one pivot are one group, cut into blocks of bounded size that meet two at a time. Survivors
+   are compared in full.
 
 So every link between different components is found, and components are exact. Shingles are
 compared by 64-bit hashes; regions by 40 bits of them, which only adds candidates.
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.common import shipped, written
@@ -45,13 +46,15 @@ from corpus_engine.llm.common import shipped, written
 SHINGLE = 5
 #: A link is 100 * intersection >= LINK * union.
 LINK = 75
-GUARANTEE = 4
+GUARANTEE = 12
 #: Shingles of so many documents are frequent; raised until at most FREQUENT_MAX are.
 FREQUENT = 32
 FREQUENT_MAX = 500_000
 #: Regions of more members choose further pivots before they are joined.
 LARGE = 64
-ROUNDS = 4
+ROUNDS = 2
+#: Members of one block of a large group.
+BLOCK = 512
 _K = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
 _WORDS: dict[bytes, int] = {}
@@ -243,14 +246,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token"))
     regions = rows.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where(
         "pivot < top").select("token", "pivot")
-    live = written(rows.join(regions, "token").select("token", "doc", "n", "pos", "pivot").distinct(), "regions")
-
-    # documents that meet others in too few regions have no link
-    need = F.least(F.lit(GUARANTEE), F.ceil(F.col("n") * LINK / 100))
-    busy = written(live.groupBy("doc", "n").agg(F.countDistinct("token").alias("k")).where(F.col("k") >= need).select(
-        "doc", "n"), "busy")
-    rows = live.join(busy.select("doc").distinct(), "doc", "left_semi")
-    texts = written(docs.join(busy.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "busy-texts")
+    live = written(rows.join(regions, "token").select("token", "doc", "n", "pos").distinct(), "regions")
+
+    # documents that meet others in too few regions have no link; without them regions shrink
+    need = _need("n")
+    for _ in range(2):
+        busy = live.groupBy("doc", "n").agg(F.countDistinct("token").alias("k")).where(F.col("k") >= need).select("doc").distinct()
+        rows = live.join(busy, "doc", "left_semi")
+        regions = rows.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count(
+            F.lit(1)).alias("members")).where("pivot < top").select("token", "pivot", "members")
+        live = written(rows.select("token", "doc", "n", "pos").join(regions, "token"), "regions")
+    rows = live
+    texts = written(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "busy-texts")
 
     # document pivots: members that share much of their boundary with the region's smallest document
     star = rows.where("doc <> pivot").groupBy("doc", "n", "pivot").agg(F.count(F.lit(1)).alias("c")).where(
@@ -261,6 +268,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     delta = far.groupBy(F.col("a").alias("doc"), F.col("b").alias("pivot")).agg(
         F.min(1 - F.col("both") / F.col("either")).alias("delta"))
+    # the largest regions of a document, as many as it can do without, search no pairs
+    by_size = Window.partitionBy("doc", "n").orderBy(F.desc("members"), "token")
+    rows = rows.withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") >= need).drop("rank")
     placed = written(rows.join(delta, ["doc", "pivot"], "left"), "placed")
     for _ in range(ROUNDS):
         now = _with_comps(placed, comps)
@@ -283,20 +293,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # what remains: pairs across components within their regions
     now = written(_with_comps(placed, comps), "placed-comps")
-    rest = written(now.join(_open_regions(now).select("token"), "token"), "open-regions")
-    x = rest.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"),
-                    F.col("comp").alias("ca"), F.col("delta").alias("da"))
-    y = rest.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"),
-                    F.col("comp").alias("cb"), F.col("delta").alias("db"))
-    meet = x.join(y, "token").where("a < b AND ca <> cb").where(_window("na", "nb", "da", "db"))
-    pairs = meet.groupBy("a", "b", "na", "nb").agg(
-        F.count(F.lit(1)).alias("c"), F.max("pa").alias("ia"), F.max("pb").alias("ib"))
-    # the shingles up to the last shared one are known: what lies before it and is not shared
-    # differs, what lies behind it can be shared at best
-    least = F.ceil((F.col("na") + F.col("nb")) * LINK / F.lit(100 + LINK))
-    best = F.col("c") + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1)
-    pairs = pairs.where((best >= least) & (F.col("c") >= F.least(
-        F.lit(GUARANTEE), F.ceil(F.least("na", "nb") * LINK / 100)))).select("a", "b").distinct()
+    rest = now.join(_open_regions(now).select("token", F.col("members").alias("held")), "token")
+    rest = written(rest.withColumn("big", F.sum(F.when(F.col("held") > LARGE, 1).otherwise(0)).over(
+        Window.partitionBy("doc", "n"))), "open-regions")
+    pairs = _small_pairs(rest.where(F.col("held") <= LARGE)).unionByName(
+        _large_pairs(rest.where(F.col("held") > LARGE), base)).distinct()
     links = links.union(_linked(_distances(pairs, texts)))
     comps = components(links)
     out = members.join(comps.withColumnRenamed("v", "rep"), "rep", "left")
@@ -304,6 +305,83 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                       F.coalesce("comp", "rep", "doc_id").alias("component_id"))
 
 
+def _need(n: str) -> Column:
+    """Boundary regions that a set of ``n`` shares with any set it links to, at least."""
+    return F.least(F.lit(GUARANTEE), F.ceil(F.col(n) * LINK / 100))
+
+
+def _behind(na: str, nb: str) -> Column:
+    """Shingles behind the boundary, which a pair may share unseen."""
+    behind = lambda n: F.greatest(F.ceil(F.col(n) * LINK / 100) - GUARANTEE, F.lit(0))
+    return F.greatest(behind(na), behind(nb))
+
+
+def _least_shared(na: str, nb: str) -> Column:
+    return F.ceil((F.col(na) + F.col(nb)) * LINK / (100 + LINK))
+
+
+def _small_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet in small regions and share enough of their boundary shingles.
+
+    ``big`` is the number of a document's large regions, where a pair may share shingles unseen."""
+    def side(d, n, c, delta, big):
+        return rows.select("token", F.col("doc").alias(d), F.col("n").alias(n), F.col("comp").alias(c),
+                           F.col("delta").alias(delta), F.col("big").alias(big))
+
+    meet = side("a", "na", "ca", "da", "la").join(side("b", "nb", "cb", "db", "lb"), "token").where(
+        "a < b AND ca <> cb").where(_window("na", "nb", "da", "db"))
+    pairs = meet.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max(F.least("la", "lb")).alias("l"))
+    unseen = _need("na") - 1 + _need("nb") - 1 + F.col("l") + _behind("na", "nb")
+    return pairs.where(F.col("c") + unseen >= _least_shared("na", "nb")).select("a", "b")
+
+
+def _blocks_meet(key, table):
+    """Members of two blocks of a group to the pairs (a, b) that may link, by boundary shingles."""
+    ids, n, comp, delta, block, lists = (table.column(c).to_pylist() for c in ("doc", "n", "comp", "delta", "block", "prefix"))
+    first, second = key[1].as_py(), key[2].as_py()
+    left = [i for i in range(len(ids)) if block[i] == first]
+    right = [i for i in range(len(ids)) if block[i] == second]
+    sizes = np.array(n)
+    comps = np.array(comp)
+    away = np.array([np.nan if d is None else d for d in delta], np.float64)
+    behind = np.maximum(-(-LINK * sizes // 100) - GUARANTEE, 0)
+    homes: dict[int, list[int]] = {}
+    for j, i in enumerate(right):
+        for t in lists[i]:
+            homes.setdefault(t, []).append(j)
+    right_at = np.array(right, np.int64)
+    out_a, out_b = [], []
+    for i in left:
+        met = [j for t in lists[i] for j in homes.get(t, ())]
+        if not met:
+            continue
+        shared = np.bincount(np.array(met), minlength=len(right))
+        least = -(-LINK * (sizes[i] + sizes[right_at]) // (100 + LINK))
+        ok = (shared > 0) & (comps[right_at] != comps[i]) & (shared + np.maximum(behind[i], behind[right_at]) >= least)
+        ok &= 100 * np.minimum(sizes[i], sizes[right_at]) >= LINK * np.maximum(sizes[i], sizes[right_at])
+        ok &= ~(np.abs(away[right_at] - away[i]) > (100 - LINK) / 100 + 1e-9)
+        for j in right_at[ok]:
+            if ids[i] != ids[j]:
+                out_a.append(min(ids[i], ids[j]))
+                out_b.append(max(ids[i], ids[j]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _large_pairs(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """Pairs (a, b) of large regions: the members of one pivot's regions are a group, dealt into
+    blocks of about ``BLOCK`` by a hash; two blocks meet in one task, which holds their boundary lists."""
+    group = rows.select("pivot", "doc", "n", "comp", "delta").distinct()
+    sizes = group.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    group = group.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    lists = base.where("n > 0").select(F.col("doc_id").alias("doc"), "n", "prefix").join(
+        group.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc", "n"])
+    group = group.join(lists, ["doc", "n"])
+    meet = group.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meet = meet.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+                       "doc", "n", "comp", "delta", "block", "prefix")
+    return meet.groupBy("pivot", "low", "high").applyInArrow(_blocks_meet, "a long, b long")
+
+
 def _window(na: str, nb: str, da: str, db: str):
     """Pairs that the sizes and the distances to the region's pivot allow to link."""
     size = F.lit(100) * F.least(na, nb) >= F.lit(LINK) * F.greatest(na, nb)
