@@ -12,7 +12,7 @@ that lose units.
 
 Null and empty texts have no spans. Rows with a null doc_id come first in nothing and lose only
 what repeats within their own text. Rows that share a doc_id are one document: they do not
-count as repeats of each other. Empty tables give an empty result. Further columns are ignored.
+count as repeats of each other, and each of their texts loses its own units only. Empty tables give an empty result. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,19 +92,20 @@ def spans(pieces: list[str]) -> list[tuple[int, int, int]]:
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, firsts, ends, hashes, again = [], [], [], [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        ids, bodies, firsts, ends, hashes, again = [], [], [], [], [], []
+        for key, body, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             seen = set()
             for i, end, h in spans(units(text or "")):
                 ids.append(key)
+                bodies.append(body)
                 firsts.append(i)
                 ends.append(end)
                 hashes.append(h)
                 again.append(h in seen)
                 seen.add(h)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int32()),
-                                          pa.array(ends, pa.int32()), pa.array(again, pa.bool_())],
-                                         ["doc_id", "hash", "start", "end", "again"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.int64()), pa.array(hashes, pa.int64()),
+                                          pa.array(firsts, pa.int32()), pa.array(ends, pa.int32()), pa.array(again, pa.bool_())],
+                                         ["doc_id", "body", "hash", "start", "end", "again"])
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +128,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, units, removed units, the text left and the documents that keep the removed
     spans, for every document that loses a unit."""
     shipped(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # unit numbers mean something in one text only: cuts are kept by document and text
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body"), "text")
     # written once: both the count of spans and the join back read them
-    rows = written(docs.mapInArrow(_emit, "doc_id long, hash long, start int, end int, again boolean"), "spans")
+    rows = written(docs.mapInArrow(_emit, "doc_id long, body long, hash long, start int, end int, again boolean"), "spans")
     firsts = rows.groupBy(F.col("hash").alias("h")).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
                                                        F.max("again").alias("inside")).where("first < last OR inside")
     cuts = rows.join(firsts, F.col("hash") == F.col("h")).where("again OR doc_id <> first").select(
-        "doc_id", "start", "end", "first")
-    # spans of one document: bounded by its own text
-    cuts = written(cuts.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("cuts"),
-                                              F.array_sort(F.collect_set("first")).alias("first_doc_ids")), "span-cuts")
-    cuts = cuts.select(F.col("doc_id").alias("_doc"), "cuts", "first_doc_ids")
-    hit = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc"])).select("doc_id", "text", "cuts", "first_doc_ids")
+        "doc_id", "body", "start", "end", "first")
+    # spans of one text: bounded by it
+    cuts = written(cuts.groupBy("doc_id", "body").agg(F.collect_set(F.struct("start", "end")).alias("cuts"),
+                                                      F.array_sort(F.collect_set("first")).alias("first_doc_ids")), "span-cuts")
+    cuts = cuts.select(F.col("doc_id").alias("_doc"), F.col("body").alias("_body"), "cuts", "first_doc_ids")
+    hit = docs.join(cuts, (docs["body"] == cuts["_body"]) & docs["doc_id"].eqNullSafe(cuts["_doc"])).select(
+        "doc_id", "text", "cuts", "first_doc_ids")
     return hit.mapInArrow(_strip, "doc_id long, n_units int, n_removed int, text_kept string, first_doc_ids array<long>")

@@ -217,6 +217,16 @@ def test_span_dedup(spark):
     assert [r["doc_id"] for r in span_dedup.repeated_spans(df).collect()] == [2]
 
 
+def test_spans_of_texts_under_one_id(spark):
+    """Texts under a null id or one id lose their own repeats, not the units of each other."""
+    clean = " ".join(f"Clean sentence number {i} has words of its own." for i in range(30))
+    twice = f"{PASSAGE} Middle words stand here. {PASSAGE} End."
+    df = spark.createDataFrame([(None, clean), (None, twice), (7, clean + " More."), (7, twice)], "doc_id long, text string")
+    got = [(r["doc_id"], r["text_kept"]) for r in span_dedup.repeated_spans(df).collect()]
+    assert sorted(str(d) for d, _ in got) == ["7", "None"]
+    assert all(t.count("third sentence") == 1 and "Middle words" in t for _, t in got)
+
+
 def test_units_join_to_the_text():
     for t in (PASSAGE, "a\n\nb. c", "no end", "x " * 100, "", "…!? a"):
         assert "".join(span_dedup.units(t)) == t
