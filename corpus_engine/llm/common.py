@@ -12,6 +12,11 @@ from corpus_engine.session import scratch_path, ship_package
 
 #: White space between words: space and the five ASCII controls from tab to carriage return.
 SPACE_CONTROLS = "\t\n\x0b\x0c\r"
+#: Characters of scripts written without spaces (Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han), and
+#: their punctuation, for a regular expression's class.
+UNSEGMENTED = ("\u0e01-\u0e4e\u0e81-\u0ece\u0f40-\u0fbc\u1000-\u1049\u1780-\u17d3\u3005-\u3007\u3041-\u30fa\u30fc-\u30ff\u31f0-\u31ff"
+               "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff")
+UNSEGMENTED_MARKS = "\u0e2f\u0e5a\u0e5b\u104a-\u104f\u17d4-\u17da\u3001-\u3003\u3008-\u301f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\u2026"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -191,6 +191,21 @@ def test_decontamination(spark):
     assert {3, 4, 5, None} <= {r["doc_id"] for r in left.collect()} and not {1, 2} & {r["doc_id"] for r in left.collect()}
 
 
+def found_items(spark, items, texts):
+    """(document, item) pairs found, both numbered from 0, with the covered words."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["covered_words"] for r in decontaminate.contaminated(docs, bench).collect()}
+
+
+def test_decontamination_short_items(spark):
+    """Items shorter than a window stand verbatim in longer documents; unsegmented scripts count characters."""
+    items = ["tiny item here now", "Buy 3 red pens", "水の沸点は何度ですか。", "この国で一番高い山の名前は何ですか"]
+    texts = ["so Tiny item here now stands in a longer text of many words", "we buy 3 red pens and buy 4 blue pens as well today",
+             "we buy 4 red pens and buy 3 blue pens as well today", "昨日の問題は、水の沸点は何度ですか。答えは百度です。", "そして、この国で一番高い山の名前は何ですか?答えは"]
+    assert set(found_items(spark, items, texts)) == {(0, 0), (1, 1), (3, 2), (4, 3)}
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {r["doc_id"] for r in docs.collect() for b in bench if b["text"] in r["text"]}
