@@ -3,8 +3,10 @@
 Texts are canonicalised to templates: numbers, names (capitalised words inside a sentence) and
 units become the typed placeholders below, other words are lower-cased and lose their outer
 punctuation; scripts written without spaces are cut into characters. Windows of ``WINDOW`` template words
-are hash-joined between the benchmark and all documents. A hit's slots (the values behind placeholders) go along; on one
-alignment of a document with an item, the slot values must map one to one. So a question asked again with other numbers or names is
+are hash-joined between the benchmark and all documents. Windows of fewer than ``LITERALS`` literal words
+meet by their values instead, verbatim. A hit's slots (the values behind placeholders) go along; on one
+alignment of a document with an item, the share ``CONSISTENT`` of the slots in a run of windows must follow a one-to-one
+map, else the run's clashing windows do not count. So a question asked again with other numbers or names is
 caught, while windows that only share a frame with clashing values are not.
 
 Work per document is linear in its words. Benchmark windows are sent to the tasks in blocks of
@@ -41,8 +43,10 @@ COVERAGE = 0.6
 LONG_RUN = 24
 #: Benchmark windows sent to the tasks at once (16 bytes each).
 BLOCK = 1 << 20
-#: A window needs as many literal words to count.
+#: A window of fewer literal words meets by its values, verbatim.
 LITERALS = 4
+#: Share of a run's slots that must follow the one-to-one map.
+CONSISTENT = 0.5
 
 #: Placeholders and units (fixed values).
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
@@ -151,9 +155,7 @@ def _emit(wanted: np.ndarray | None, shorts: tuple[int, ...] = ()):
                 hs, exact = _full(ws, values)
                 signed = hs.view(np.int64)
                 for p in range(len(hs)) if wanted is None else found(hs):
-                    if exact[p]:
-                        continue
-                    places = [i for i in range(p, p + WINDOW) if ws[i] in _SLOTS]
+                    places = [] if exact[p] else [i for i in range(p, p + WINDOW) if ws[i] in _SLOTS]
                     for col, v in zip(cols, (key, int(signed[p]), int(p), len(ws), bool(exact[p]), [values[i] for i in places],
                                              [i - p for i in places]), strict=True):
                         col.append(v)
@@ -216,13 +218,24 @@ def _one_to_one(pairs: set[tuple[int, str, str]]) -> set[tuple[str, str]]:
 def consistent(hits: list[dict]) -> tuple[list[int], bool]:
     """The item positions of one alignment's windows that count, and whether their slot values differ.
 
-    None counts if the slot values do not map one to one."""
+    A run of overlapping or adjoining windows counts whole if the share ``CONSISTENT`` of its slots follow the
+    alignment's one-to-one map; of other runs, the windows that hold a clashing slot are dropped."""
     slots = [(h["ipos"], {(h["ipos"] + p, i, d) for p, i, d in zip(h["places"], h["islots"], h["dslots"], strict=True)}) for h in hits]
-    every = set().union(*(s for _, s in slots))
-    held = _one_to_one(every)
-    if any((i, d) not in held for _, i, d in every):
-        return [], False
-    return sorted({p for p, _ in slots}), any(i != d for _, i, d in every)
+    slots.sort(key=lambda s: s[0])
+    held = _one_to_one(set().union(*(s for _, s in slots)))
+    at, reworded, run = [], False, []
+    for k, (pos, own) in enumerate(slots):
+        run.append((pos, own))
+        if k + 1 < len(slots) and slots[k + 1][0] <= pos + WINDOW:
+            continue
+        every = set().union(*(s for _, s in run))
+        whole = sum((i, d) in held for _, i, d in every) >= CONSISTENT * len(every)
+        for p, s in run:
+            if whole or all((i, d) in held for _, i, d in s):
+                at.append(p)
+                reworded = reworded or any(i != d for _, i, d in s)
+        run = []
+    return sorted(set(at)), reworded
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE,

@@ -206,6 +206,23 @@ def test_decontamination_short_items(spark):
     assert set(found_items(spark, items, texts)) == {(0, 0), (1, 1), (3, 2), (4, 3)}
 
 
+def test_decontamination_slots(spark):
+    """Copies dense in numbers or names, and copies with a clashing slot, are found."""
+    items = ["Compute 12 + 7 13 22 9 41 18 5 66 times 31 60 2 44 8", "The Great Gatsby By Scott Fitzgerald And Other Famous American Short Novels",
+             "If one box holds 3 apples and another box holds 3 pears how much fruit is there",
+             "If one jar holds 3 olives and another jar weighs 5 less what does the shopkeeper charge"]
+    texts = [f"Exercise one. {items[0]}. Done.", f"Here it is. {items[1]}. Done.",
+             "So. If one box holds 4 apples and another box holds 5 pears how much fruit is there? Yes.",
+             "So. If one jar holds 4 olives and another jar weighs 4 less what does the shopkeeper charge? Yes.",
+             "Compute 1 + 2 3 4 5 6 7 8 9 times 10 11 12 13 14"]
+    assert set(found_items(spark, items, texts)) == {(0, 0), (1, 1), (2, 2), (3, 3)}
+    # of a run whose slots mostly clash, only the windows that hold them go
+    hit = {"places": [1], "islots": ["3"]}
+    hits = [hit | {"ipos": p, "places": [8 - p], "dslots": [d]} for p, d in ((2, "4"), (5, "4"))]
+    hits += [{"ipos": 10 + 3 * k, "places": [0], "islots": ["3"], "dslots": [d]} for k, d in enumerate("56")]
+    assert decontaminate.consistent(hits) == ([2, 5], True)
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {r["doc_id"] for r in docs.collect() for b in bench if b["text"] in r["text"]}
