@@ -14,7 +14,7 @@ a fixed number of windows, whatever the size of the benchmark, and filter the wi
 only hits are shuffled, keyed by window hash and then by (document, item, alignment), which
 spreads a document or an item that a third of all rows share.
 
-A document is contaminated by an item when aligned windows cover ``COVERAGE`` of the
+A document is contaminated by an item when the union of aligned windows covers ``COVERAGE`` of the
 item's words, or ``LONG_RUN`` words of it. An item of fewer than ``WINDOW`` words is one window, which
 documents meet verbatim: they send windows of the lengths that such items have, too.
 
@@ -256,17 +256,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     lines = lines.select(*keys, "hits").mapInArrow(
         judge, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", at array<int>, reworded boolean")
+    # the alignments of one document and item cover the union of their positions: an insertion
+    # splits an alignment in two, and a window that the document repeats covers its words once
+    whole = lines.select(*keys, F.explode("at").alias("ipos"), "reworded").groupBy(*keys).agg(
+        F.collect_set("ipos").alias("at"), F.max("reworded").alias("reworded"))
     steps = F.array_sort("at")
     nxt = F.concat(F.slice(steps, 2, F.size(steps)), F.array(F.lit(None).cast("int")))
     span = F.least(F.lit(WINDOW), F.col("n_item"))
     covered = F.aggregate(F.zip_with(steps, nxt, lambda a, b: F.least(F.coalesce(b - a, span), span)),
                           F.lit(0), lambda s, x: s + x)
-    # an insertion splits an alignment in two: those of one document and item add up
-    whole = lines.select(*keys, covered.alias("covered"), "reworded").groupBy(*keys).agg(
-        F.sum("covered").alias("covered"), F.max("reworded").alias("reworded"))
+    whole = whole.select(*keys, covered.alias("covered"), "reworded")
     bad = whole.where((F.col("covered") >= F.lit(coverage) * F.col("n_item")) | (F.col("covered") >= long_run))
     return bad.groupBy("doc_id", "item_id").agg(
-        F.max(F.least("covered", "n_item")).cast("long").alias("covered_words"),
+        F.max("covered").cast("long").alias("covered_words"),
         F.max("n_item").cast("long").alias("item_words"), F.max("reworded").alias("reworded"))
 
 

@@ -223,6 +223,15 @@ def test_decontamination_slots(spark):
     assert decontaminate.consistent(hits) == ([2, 5], True)
 
 
+def test_decontamination_counts_repeated_windows_once(spark):
+    item = " ".join(f"w{i}x" for i in range(24)).replace("w", "word").replace("x", "th")
+    shared = " ".join(item.split()[4:12])
+    other = "quite other words between them"
+    texts = [f"{shared} {other} {shared}", f"{shared} {other} {shared} {other} more {shared}",
+             " ".join(item.split()[:9]) + " inserted " + " ".join(item.split()[9:18])]
+    assert found_items(spark, [item], texts) == {(2, 0): 18}
+
+
 def test_decontamination_finds_all_copied_items(spark):
     docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     want = {r["doc_id"] for r in docs.collect() for b in bench if b["text"] in r["text"]}
