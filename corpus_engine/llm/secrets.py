@@ -44,6 +44,14 @@ class Rule:
     version: int = 1
 
 
+#: A private key from its first line to its last. Without an end line the lines of base64 after the first, and
+#: a shorter one that closes them, belong to it.
+_PEM = (r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:"
+        r"(?:(?:\s|\\[rn])*+[A-Z][A-Za-z]*+(?:-[A-Z][a-z]*+)?+:\x20[^\r\n\\]*+){0,8}+[^-]*+-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:\s|\\[rn])*+[A-Z][A-Za-z]*+(?:-[A-Z][a-z]*+)?+:\x20[^\r\n\\]*+){0,8}+"
+        r"(?:(?:\s|\\[rn]){1,8}+[A-Za-z0-9+/]{16,}+={0,2}+){1,400}+(?:(?:\r?\n|\\n)[A-Za-z0-9+/]++={0,2}+(?=[\x20\t]*+(?:[\r\n\\]|\z)))?+"
+        r")?+")
+
 #: Fixed rules. Keywords match in either case of ASCII letters.
 RULES = (
     Rule("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -52,7 +60,7 @@ RULES = (
     Rule("forge", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, False),
     Rule("chat", r"(?<![A-Za-z0-9])xox[abprs]-[0-9A-Za-z-]{10,}", 0, 15, False),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 32, False),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20, False),
+    Rule("pem", _PEM, 0, 20, False, 2),
 )
 
 #: Rows without any of these cannot match a rule (cheap tests before the pattern scans).

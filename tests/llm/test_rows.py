@@ -108,6 +108,22 @@ def test_secrets(spark):
         assert not brute.secrets(clean[i])[4]
 
 
+def test_whole_private_keys(spark):
+    """The body goes with the first line, with and without an end line, and nothing after it."""
+    body = "\n".join("MIIEpAIBAAKCAQEA" + f"{i:02d}+/" * 12 for i in range(50)) + "\nQm9keQ=="
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    cases = [(f"Key:\n{begin}\n{body}\n{end}\nText after.", "Key:\n[SECRET]\nText after."),
+             (f"{begin}\n{head}{body}\n{end} after", "[SECRET] after"),
+             (f"a {begin}\n{body}\nText after it.", "a [SECRET]\nText after it."),
+             (f"a {begin}\n{body}", "a [SECRET]"),
+             ("json " + f"{begin}\n{body}\n{end}".replace("\n", "\\n") + " after", "json [SECRET] after"),
+             (f"The line {begin} starts a key.", "The line [SECRET] starts a key.")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.fresh_ledger(df, "pem")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
 def test_new_rule_version_scans_again(spark):
     df = spark.createDataFrame([(1, "token = abcdef1"), (2, "nothing")], "doc_id long, text string")
     ledger = secrets.fresh_ledger(df, "test")
