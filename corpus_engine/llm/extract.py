@@ -5,7 +5,9 @@ counted on labelled pages, those that mark their content with an ``article`` or
 how much likelier a token class is inside the marked content than outside it. A linear scan
 (the running sum restarts below zero) finds the best contiguous run. Blocks that the run touches
 give the text; subtrees that are never content (menus, forms, notices, adverts, comments, by
-element, role, class or id) score no words and are left out inside the run too.
+element, role, class or id) score nothing and are left out inside the run too. What holds the content is not dropped for
+its class, id or role: ``main``, an ``article`` that is not inside another, what holds a ``main``, and what holds most of
+the page's words outside links, unless an article apart from it holds a tenth of them.
 
 Every page is one row of a narrow kernel; weights are fitted on a sample of at most about
 ``SAMPLE`` labelled pages (a documented bound), one number per token class, sent with the tasks.
@@ -55,34 +57,63 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+|[^>]*)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A class of these says what a page has or is about, not what the element is.
+_STATE = re.compile(r"(?:has|have|no|not|non|with|without|category|tag|format)[-_]")
 _HINT_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
 
 
-def _dropped(name: str, attrs: str, marked: bool) -> bool:
-    """Whether an element is never content. ``header`` is content inside marked content."""
+def _dropped(name: str, attrs: str, marked: bool) -> str:
+    """Why an element is never content: ``never`` by its kind, ``hint`` by its class, id or role, else empty.
+    ``header`` is content inside marked content."""
     if name in NEVER or (name == "header" and not marked):
-        return True
+        return "never"
     if not attrs.strip() or name in ("body", "html"):
-        return False
+        return ""
+    why = ""
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return "never"
         if key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key in ("class", "id", "role") and any(w.lower() in HINTS for w in _HINT_WORD.findall(value)):
-            return True
-    return False
+            return "never"
+        if key in ("class", "id", "role") and any(w.lower() in HINTS for token in value.split() if not _STATE.match(token.lower())
+                                                  for w in _HINT_WORD.findall(token)):
+            why = "hint"
+    return why
+
+
+class _Census:
+    """Words outside links of a page, of its hinted elements (by their place), and of articles outside those."""
+
+    def __init__(self):
+        self.words = self.clear = 0
+        self.held: dict[int, int] = {}
+        self.mains: set[int] = set()
 
+    def spared(self) -> frozenset[int]:
+        """Places of the hinted elements that hold the content."""
+        most = {at for at, n in self.held.items() if n * 2 > self.words and self.clear * 10 < self.words}
+        return frozenset(most | self.mains)
 
-def tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
+
+def _spared(page: str) -> frozenset[int]:
+    """Places of the hinted elements that are not dropped."""
+    census = _Census()
+    for _ in tokens(page, frozenset(), census):
+        pass
+    return census.spared() if census.held else frozenset()
+
+
+def tokens(page: str, spared: frozenset[int] = frozenset(), census: _Census | None = None) -> Iterator[tuple[str, str, int, bool, bool]]:
     """(kind, value, block, marked, linked) in page order; kind is ``tag`` or ``text``.
 
     ``block`` numbers the block the token lies in. Tags and texts of subtrees that are never
     content come with kind ``drop``. Open elements are kept on a stack; an end tag closes up to its
-    start tag, and a new block closes an open paragraph."""
+    start tag, and a new block closes an open paragraph. ``spared`` are places of elements that are not
+dropped for a hint; with a ``census`` none is, and words are counted there."""
     stack: list[tuple[str, bool, bool]] = []  # name, dropped here or above, marked here or above
+    hinted: list[tuple[int, int, int]] = []  # place, depth on the stack, words before; with a census only
     at = block = links = 0
     end = len(page)
 
@@ -93,6 +124,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
         nonlocal links
         links -= sum(1 for n, _, _ in stack[i:] if n == "a")
         del stack[i:]
+        while hinted and hinted[-1][1] >= i:
+            place, _, before = hinted.pop()
+            census.held[place] = census.words - before
 
     while at < end:
         lt = page.find("<", at)
@@ -102,6 +136,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
         stop = lt if m or lt == end else lt + 1  # a lone < is text
         if stop > at:
             drop, marked = state()
+            if census is not None and not drop and not links:
+                n = len(page[at:stop].split())
+                census.words += n
+                if not hinted and any(e == "article" for e, _, _ in stack):
+                    census.clear += n
             yield ("drop" if drop else "text"), page[at:stop], block, marked, links > 0
         if m is None:
             at = stop if stop > at else at + 1
@@ -134,7 +173,16 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
                 if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "div") or (name in ("td", "th") and stack[i][0] == "tr"):
                     break
         drop, marked = state()
-        here = drop or _dropped(name, m["attrs"], marked)
+        why = "" if drop else _dropped(name, m["attrs"], marked)
+        if why == "hint" and (name == "main" or lt in spared or (
+                name == "article" and not any(e == "article" for e, _, _ in stack))):
+            why = ""
+        here = drop or why == "never" or (why == "hint" and census is None)
+        if census is not None and not here:
+            if why == "hint" and name not in VOID and name not in _END and not m["attrs"].endswith("/"):
+                hinted.append((lt, len(stack), census.words))
+            if name == "main":
+                census.mains.update(place for place, _, _ in hinted)
         yield ("drop" if here else "tag"), name, block, marked, False
         if name in CELL:
             yield "text", " ", block, marked, False
@@ -147,11 +195,12 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool, bool]]:
         if name == "a":
             links += 1
         stack.append((name, here, marked or (name in MARKED and not here)))
+    close(0)
 
 
 def _classes(page: str):
     """(class, words or 1, block, text or None) per token; classes carry what the weights depend on."""
-    run = list(tokens(page))
+    run = list(tokens(page, _spared(page)))
     has = any(marked and kind == "text" and value.strip() for kind, value, _, marked, _ in run)
     for kind, value, block, marked, linked in run:
         if kind == "text":
@@ -172,6 +221,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not any(c == "word in" and n for c, n, *_ in rows):
                 continue  # not a labelled page
             for c, n, _, _, marked in rows:
+                if c.startswith("drop"):
+                    continue  # scores nothing
                 name = c.split()[1] if c.startswith("tag") else ""
                 counts[(c if not name or name in BLOCK or len(name) <= 10 else "tag other", marked)] += n
         keys = list(counts)
@@ -204,7 +255,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
 
 #: Weights of classes that no labelled page shows.
 DEFAULTS = {"word in": 1.0, "word any": 1.0, "word in link": 0.5, "word any link": -0.5, "word out": -1.0,
-            "word out link": -2.0, "drop": -1.0}
+            "word out link": -2.0}
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -224,6 +275,9 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     rows = list(_classes(page or ""))
     scores = []
     for c, n, _, _, _ in rows:
+        if c.startswith("drop"):
+            scores.append(0.0)  # left out anyway: a long menu does not split the run
+            continue
         w = weights.get(c)
         if w is None:
             w = DEFAULTS.get(c, -LEAST)

@@ -329,6 +329,20 @@ def test_extract_one_page():
     assert extract.main_text(None, {}) == "" == extract.main_text("<p></p>", {})
 
 
+def test_extract_keeps_what_holds_the_content():
+    """Hint words in the classes of content and its wrappers do not drop it; dropped parts do not split it."""
+    text = "Words of the text stand here in a long row."
+    menu = "<div class='related-posts'>" + "<ul><li><a href=x>Other</a></li></ul>" * 40 + "</div>"
+    for page in ("<body class=x><div class='layout has-sidebar'>{}</div></body>", "<main class='with-sidebar'>{}</main>",
+                 "<div class='no-comments'>{}</div>", "<article class='post category-social tag-advertising social'>{}</article>",
+                 "<div class='page-widget'><main>{}</main></div>", "<div class='social-policy'>{}</div><div class=sidebar>Side words</div>"):
+        assert extract.main_text(page.format(f"<p>{text}</p>"), {}) == text, page
+    assert extract.main_text(f"<div><p>{text}</p>{menu}<p>{text}</p></div>", {"drop": -3.0}) == f"{text}\n\n{text}"
+    # comments are no content, however many, beside an article or in articles of their own
+    comments = f"<div id='comments'><article class='comment-body'><p>{'Reader says no. ' * 30}</p></article></div>"
+    assert extract.main_text(f"<main><article><p>{text}</p></article>{comments}</main>", {}) == text
+
+
 def test_extract_pages(spark):
     import html
     import re
