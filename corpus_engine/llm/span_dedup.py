@@ -1,7 +1,8 @@
 """Substring de-duplication by sliding spans of sentences.
 
-A text is cut into units: sentences, and pieces of long sentences cut after words chosen by
-their content, so a passage gets the same cuts wherever it stands. From every unit a span runs
+A text is cut into units: sentences, and pieces of at most ``PIECE`` words of longer sentences, cut
+before the word of least hash in every ``PIECE`` words, so a passage gets the same cuts wherever it stands
+and every passage of 50 words that occurs twice holds a whole span. Scripts written without spaces count characters. From every unit a span runs
 over ``SPAN_UNITS`` units, further to the first that makes ``SPAN_WORDS`` words. Spans are hashed and
 joined globally; the first document (smallest doc_id) that holds a span keeps it, and the first place in
 it. Units covered by any non-first span are removed.
@@ -25,27 +26,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import shipped, written
+from corpus_engine.llm.common import UNSEGMENTED, shipped, written
 
 SPAN_UNITS = 3
 SPAN_WORDS = 20
-LONG_SENTENCE = 16
-#: One word in so many ends a piece of a long sentence.
-CUT = 6
-_END = re.compile(r"[.!?…]+[\"')\]]*(?=\s|$)\s*|\n\s*")
-_WORD = re.compile(r"\S+\s*")
-_CUTS: dict[str, bool] = {}
-
-
-def _cut_here(word: str) -> bool:
-    found = _CUTS.get(word)
+#: Most words of a piece. 4 * PIECE + SPAN_WORDS - 3 words in a row always hold a whole span: up to 2 * PIECE - 2 to the
+#: first cut that both copies have, SPAN_WORDS + PIECE - 1 to the end of its span, PIECE to the passage's end.
+PIECE = 8
+_END = re.compile(rf"[.!?…]+[\"')\]]*(?=\s|$)\s*|[。！？｡؟۔।॥]+[\"')\]”’」』）]*\s*|\n\s*")
+#: Words; scripts written without spaces count characters.
+_WORD = re.compile(rf"(?:[{UNSEGMENTED}]|[^\s{UNSEGMENTED}]+)\s*")
+_UNSEGMENTED = re.compile(f"[{UNSEGMENTED}]")
+_ORDER: dict[str, int] = {}
+
+
+def _order(word: str) -> int:
+    found = _ORDER.get(word)
     if found is None:
-        if len(_CUTS) > 500_000:
-            _CUTS.clear()
-        found = _CUTS[word] = xxhash.xxh64_intdigest(word) % CUT == 0
+        if len(_ORDER) > 500_000:
+            _ORDER.clear()
+        found = _ORDER[word] = xxhash.xxh64_intdigest(word)
     return found
 
 
+def words(text: str) -> list[str]:
+    if _UNSEGMENTED.search(text) is None:
+        return text.split()
+    return [w.rstrip() for w in _WORD.findall(text)]
+
+
+def _starts(sentence: list[str]) -> list[int]:
+    """Words of a long sentence that start a piece: the least (last of equals) of every ``PIECE`` words after the first."""
+    h = [_order(w) for w in sentence]
+    out, at = [], 0
+    for end in range(PIECE, len(h)):
+        first = end - PIECE + 1
+        if at < first:
+            at = min(range(end, first - 1, -1), key=h.__getitem__)
+        elif h[end] <= h[at]:
+            at = end
+        if not out or out[-1] != at:
+            out.append(at)
+    return out
+
+
 def units(text: str) -> list[str]:
     """The pieces of a text, which joined give the text."""
     ends = [m.end() for m in _END.finditer(text)]
@@ -55,35 +79,36 @@ def units(text: str) -> list[str]:
     for end in ends:
         sentence = text[start:end]
         start = end
-        if sentence.count(" ") < LONG_SENTENCE:
-            if sentence:
-                out.append(sentence)
+        if not sentence:
+            continue
+        ws = words(sentence.lower())
+        if len(ws) <= PIECE:
+            out.append(sentence)
             continue
+        places = [m.start() for m in _WORD.finditer(sentence)]
         at = 0
-        for w in _WORD.finditer(sentence):
-            if _cut_here(w[0].strip().lower()):
-                out.append(sentence[at:w.end()])
-                at = w.end()
-        if at < len(sentence):
-            out.append(sentence[at:])
+        for k in _starts(ws):
+            out.append(sentence[at:places[k]])
+            at = places[k]
+        out.append(sentence[at:])
     return out
 
 
 def spans(pieces: list[str]) -> list[tuple[int, int, int]]:
     """(first unit, end unit, hash) of the spans of a text; white space and case do not count."""
-    words_of = [p.lower().split() for p in pieces]
+    words_of = [words(p.lower()) for p in pieces]
     norm = [" ".join(w) for w in words_of]
     sizes = [len(w) for w in words_of]
     out = []
     for i in range(len(norm)):
         if not sizes[i]:
             continue
-        end, words, used = i, 0, 0
-        while end < len(norm) and (used < SPAN_UNITS or words < SPAN_WORDS):
+        end, count, used = i, 0, 0
+        while end < len(norm) and (used < SPAN_UNITS or count < SPAN_WORDS):
             used += sizes[end] > 0
-            words += sizes[end]
+            count += sizes[end]
             end += 1
-        if used < SPAN_UNITS or words < SPAN_WORDS:
+        if used < SPAN_UNITS or count < SPAN_WORDS:
             break
         h = xxhash.xxh64_intdigest(" ".join(n for n in norm[i:end] if n))
         out.append((i, end, h - (1 << 63)))

@@ -284,8 +284,26 @@ def test_spans_of_texts_under_one_id(spark):
     assert all(t.count("third sentence") == 1 and "Middle words" in t for _, t in got)
 
 
+def test_every_repeated_passage_holds_a_span():
+    """50 words in a row, set anywhere, with and without punctuation, and 50 characters without spaces."""
+    rng = random.Random(4)
+
+    def text(n, kind):
+        if kind is None:
+            return "".join(chr(0x4e00 + rng.randrange(3000)) + ("。" if rng.random() < 0.05 else "") for _ in range(n))
+        return " ".join(f"w{rng.randrange(5000)}" + ("." if kind and rng.random() < 1 / kind else "") for _ in range(n))
+
+    for kind in (0, 4, 10, 30, None):
+        for _ in range(400):
+            gap = "" if kind is None else " "
+            passage = text(50, kind)
+            one, two = (gap.join((text(40, kind), passage, text(40, kind))) for _ in range(2))
+            held = [{h for _, _, h in span_dedup.spans(span_dedup.units(t))} for t in (one, two)]
+            assert held[0] & held[1], (kind, passage)
+
+
 def test_units_join_to_the_text():
-    for t in (PASSAGE, "a\n\nb. c", "no end", "x " * 100, "", "…!? a"):
+    for t in (PASSAGE, "a\n\nb. c", "no end", "x " * 100, "", "…!? a", "これは。長い文" * 9, "İİ " * 30 + "ไทย"):
         assert "".join(span_dedup.units(t)) == t
 
 
