@@ -69,6 +69,33 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id GR
 """
 
 
+STREAM_DEDUP = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
+FROM d WINDOW g AS (PARTITION BY t)
+"""
+
+
+def _orchard(k: int = 16, rounds: int = 3) -> str:
+    """k-means by full search: the result that Orchard's search must give."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    ctes = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+            f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS c, x
+FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min(({{'d': d, 'c': c}})) AS best
+FROM (SELECT v.vec_id, v.x, c.c, {distance} AS d FROM v, c{r} c) GROUP BY vec_id)""")
+        if r < rounds:
+            ctes.append(f"""m{r} AS (SELECT c, list(m ORDER BY i) AS x FROM (SELECT best.c AS c, i, floor(sum(x[i])::DOUBLE / count(*))::BIGINT AS m
+FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY c)""")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c0.c, coalesce(m.x, c0.x) AS x FROM c{r} c0 LEFT JOIN m{r} m ON m.c = c0.c)")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, a.best.c AS cluster, a.best.d::BIGINT AS distance, (sum(a.best.d) OVER (PARTITION BY a.best.c))::BIGINT AS cluster_inertia,
+       (sum(a.best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.best.c"""
+
+
 def _stop_list() -> str:
     from corpus_engine.llm.quality import STOP_WORDS
 
@@ -81,4 +108,6 @@ LLM_ORACLES = {
     "op5_quality_rules": QUALITY_RULES.replace("{stop}", _stop_list()).strip(),
     "op6_mix_sources": MIX_SOURCES.strip(),
     "op8_jaccard_join": JACCARD_JOIN.strip(),
+    "op12_orchard_clusters": _orchard(),
+    "op13_stream_dedup": STREAM_DEDUP.strip(),
 }

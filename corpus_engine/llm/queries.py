@@ -9,10 +9,13 @@ from corpus_engine.llm import (
     extract,
     jaccard_join,
     mixing,
+    orchard,
     pii,
     quality,
     secrets,
     span_dedup,
+    stream_dedup,
+    token_align,
     token_counts,
     warc,
 )
@@ -75,6 +78,22 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.fresh_ledger(docs, "ledger")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers in every document, with corpus-wide pair counts."""
+    return token_align.align(table(spark, sf_dir, "documents"))
+
+
+def op12_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every kept vector after three rounds."""
+    return orchard.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row that stays, group size and digest of every document, through a stream with keyed state."""
+    return stream_dedup.deduplicate(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def _run(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(shipped(spark), sf_dir)
@@ -85,6 +104,7 @@ def _run(fn):
 
 LLM_QUERIES = {f.__name__: _run(f) for f in (
     op1_arc_to_warc, op2_template_decontamination, op3_span_dedup, op4_extract_text, op5_quality_rules, op6_mix_sources,
-    op7_token_counts, op8_jaccard_join, op9_personal_data, op10_secret_ledger)}
+    op7_token_counts, op8_jaccard_join, op9_personal_data, op10_secret_ledger,
+    op11_token_alignment, op12_orchard_clusters, op13_stream_dedup)}
 
 __all__ = ["LLM_ORACLES", "LLM_QUERIES"]

@@ -18,6 +18,10 @@ COLUMNS = {
     "op8_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op9_personal_data": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     "op10_secret_ledger": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op11_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, "
+                            "groups_sha256 string",
+    "op12_orchard_clusters": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    "op13_stream_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
 }
 
 
@@ -30,7 +34,7 @@ def test_columns(spark, name):
 @pytest.mark.parametrize("name", sorted(LLM_ORACLES))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     cursor = con.execute(LLM_ORACLES[name])
     want = cursor.fetchall()
@@ -43,7 +47,7 @@ def test_oracle(spark, name):
     assert plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["op5_quality_rules", "op9_personal_data", "op10_secret_ledger"])
+@pytest.mark.parametrize("name", ["op5_quality_rules", "op9_personal_data", "op10_secret_ledger", "op13_stream_dedup"])
 def test_native_plans_run_no_python(spark, name):
     plan = LLM_QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(n in plan for n in ("MapInPandas", "MapInArrow", "ArrowEvalPython", "BatchEvalPython"))
