@@ -70,15 +70,28 @@ def apply_steps(c, steps) -> Column:
 
 
 def _decoded(c: Column, pattern: str, base: str) -> Column:
-    """Numeric character references replaced by their characters; impossible ones stay."""
+    """Numeric character references replaced by their characters; impossible ones stay.
+
+    ``c`` is a long chain of steps, so it is bound once as a lambda's variable: each mention of the column
+    itself would be one more copy of the chain in the plan."""
     def char(ref):
         digits = F.regexp_extract(ref, r"([0-9a-fA-F]+);", 1)
         point = (F.conv(digits, 16, 10) if base == "hex" else digits).cast("int")
         known = point.between(1, 0xD7FF) | point.between(0xE000, 0xFFFF) | point.between(0x10000, 0xFFFFF)
         return F.when(known, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(ref)
 
-    refs = F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
-    return F.when(F.contains(c, F.lit("&#")), F.aggregate(refs, c, lambda t, r: F.replace(t, r, char(r)))).otherwise(c)
+    def decoded(t):
+        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(refs, t, lambda x, r: F.replace(x, r, char(r)))).otherwise(t)
+
+    return F.transform(F.array(c), decoded)[0]
+
+
+def with_text(pages, html: str = "html", out: str = "text"):
+    """``pages`` with the column ``out``, the text of each page that has any. A generator makes the text once; a filter
+    on a projected column would be pushed below the projection and run the chain again."""
+    text = F.filter(F.array(html_to_text(html)), lambda t: t != "")
+    return pages.select(*(c for c in pages.columns if c not in (html, out)), F.explode_outer(text).alias(out)).where(F.col(out).isNotNull())
 
 
 def html_to_text(c) -> Column:

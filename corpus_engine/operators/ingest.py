@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpus_engine.config import DEFAULTS
 from corpus_engine.operators.chunk import word_chunks
+from corpus_engine.session import scratch_path
 
 
 def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", salts: int = 32,
@@ -72,33 +73,45 @@ def ledger_merge(ledger: DataFrame, processed: DataFrame, name: str = "filename"
     return ledger.select(name).unionByName(ledger_additions(ledger, processed, name))
 
 
-#: Units of one file in one group of the two-level numbering.
+#: Units of one file, and rows of one unit, in one group of the numbering.
 UNIT_GROUP = 4096
 
 
-def running_base(counts: DataFrame, file_col: str, unit: str, n: str) -> DataFrame:
-    """``base``: the sum of ``n`` over the earlier units of the same file.
+def running_base(counts: DataFrame, file_col: str, unit: str, key: str, n: str) -> DataFrame:
+    """``base``: the sum of ``n`` over the earlier rows of the same file, by (unit, key); null units come first.
 
-    Two levels: totals per group of ``UNIT_GROUP`` unit numbers, then order within a group, so
-    a file name that a third of all units share is still many small windows."""
-    grouped = counts.withColumn("__g", F.floor(F.col(unit) / UNIT_GROUP))
-    totals = grouped.groupBy(file_col, "__g").agg(F.sum(n).alias("__t"))
-    before = Window.partitionBy(file_col).orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(file_col, "__g", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(file_col, "__g").orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)
-    return grouped.join(starts, [file_col, "__g"]).withColumn(
-        "base", F.col("__start") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("__g", "__t", "__start", n)
+    Sums descend from groups of ``UNIT_GROUP`` unit numbers to units, groups of ``UNIT_GROUP`` keys and keys. So a file
+    name that a third of all rows share is many small windows, and so is one page number that they share. Files and
+    units may be null."""
+    out = counts.withColumns({"__g": F.floor(F.col(unit) / UNIT_GROUP), "__h": F.floor(F.col(key) / UNIT_GROUP), "base": F.lit(0).cast("bigint")})
+    within = [file_col]
+    for level in ("__g", unit, "__h", key):
+        totals = out.groupBy(*within, level).agg(F.sum(n).alias("__t"))
+        before = Window.partitionBy(*within).orderBy(F.col(level).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        within = [*within, level]
+        starts = totals.select(*(F.col(c).alias(f"__s{i}") for i, c in enumerate(within)),
+                               F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
+        same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(within)]
+        out = out.join(starts, same).withColumn("base", F.col("base") + F.col("__start")).select(*out.columns)
+    return out.select(file_col, unit, key, "base")
 
 
 def upload_chunks(units: DataFrame, unit: str = "page_id", text: str = "text", file_col: str = "filename",
                   size: int = DEFAULTS.word_chunk_size) -> DataFrame:
     """X2 + K7: each unit (page row) of a file is chunked with the word packer, so chunks never
     cross a page; the index runs on across the pages of one file in page order, so ids are
-    unique. Only (file, page, number of chunks) takes part in the numbering."""
-    chunked = units.select(file_col, unit, word_chunks(F.col(text), size).alias("__chunks"))
-    bases = running_base(units.select(file_col, unit, F.size(word_chunks(F.col(text), size)).cast("bigint").alias("__n")),
-                         file_col, unit, "__n")
-    out = chunked.select(file_col, unit, F.posexplode("__chunks").alias("__pos", "text")).join(bases, [file_col, unit])
+    unique. Rows are chunked once, into a table of the shared folder; only (file, page, row, number of chunks) takes part in
+    the numbering. Equal rows of a page are numbered one after the other; rows without a page number come first in their
+    file, and rows without a file name are one file, named ''."""
+    spark = units.sparkSession
+    path = scratch_path(spark, "upload-chunks")
+    units.select(F.coalesce(F.col(file_col), F.lit("")).alias(file_col), F.col(unit).alias("__unit"),
+                 F.monotonically_increasing_id().alias("__row"),
+                 word_chunks(F.col(text), size).alias("__chunks")).write.parquet(path)
+    chunked = spark.read.parquet(path)
+    counts = chunked.select(file_col, "__unit", "__row", F.size("__chunks").cast("bigint").alias("__n")).where("__n > 0")
+    bases = running_base(counts, file_col, "__unit", "__row", "__n").select("__row", "base")
+    out = chunked.select(file_col, "__row", F.posexplode("__chunks").alias("__pos", "text")).join(bases, "__row")
     out = out.withColumn("chunk_index", (F.col("base") + F.col("__pos")).cast("int"))
     idx = F.col("chunk_index").cast("string")
     return out.select(file_col, "chunk_index", "text", F.concat(F.lit("pdf_chunk_"), F.col(file_col), F.lit("_"), idx).alias("id"),

@@ -527,6 +527,9 @@ def _sql() -> dict[str, str]:
         f"SELECT page_id, safe_name, count(*) OVER (PARTITION BY safe_name) > 1 AS collision FROM n")
     o["html_to_text"] = (f"SELECT page_id, text FROM (SELECT page_id, {html_steps('html', H.TEXT_STEPS)} AS text "
                          f"FROM pages) WHERE text <> ''")
+    # the tokeniser reads line breaks as white space, and references to & without their semicolon
+    page_ = "regexp_replace(translate(coalesce(html, ''), chr(10), ' '), '&amp([^;])', '&amp;\\1', 'g')"
+    o["page_text"] = f"SELECT page_id, {html_steps(page_, H.TEXT_STEPS)} AS text FROM pages"
     o["html_to_markdown"] = f"SELECT page_id, {html_steps('html', H.MARKDOWN_STEPS)} AS markdown FROM pages"
     ext_ = f"regexp_extract({base_name('url')}, '^\\.*[^.].*(\\.[^.]*)$', 1)"
     stem_ = f"substring({base_name('url')}, 1, length({base_name('url')}) - length({ext_}))"

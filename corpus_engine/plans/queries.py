@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import files as FI
 from corpus_engine.functions import html as H
+from corpus_engine.functions import pages as PG
 from corpus_engine.functions import prompts as P
 from corpus_engine.functions import text as T
 from corpus_engine.functions import vectors as V
@@ -394,8 +395,17 @@ def q_safe_filename(spark, sf):
 
 def q_html_to_text(spark, sf):
     """X1 (re-aimed to HTML): visible text of each page."""
-    p = balance(table(spark, sf, "pages")).select("page_id", H.html_to_text("html").alias("text"))
-    return p.filter(F.col("text") != "")
+    return H.with_text(balance(table(spark, sf, "pages").select("page_id", "html")))
+
+
+def q_page_text(spark, sf):
+    """X1 by the tag tokeniser: text of each page, one line per block element."""
+    return balance(table(spark, sf, "pages")).select("page_id", PG.page_text("html").alias("text"))
+
+
+def q_page_markdown(spark, sf):
+    """X3 by the tag tokeniser: Markdown with nested lists, quotes, tables and preformatted text."""
+    return balance(table(spark, sf, "pages")).select("page_id", PG.page_markdown("html").alias("markdown"))
 
 
 def q_markdown_files(spark, sf):

@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -18,7 +15,3 @@ def spark():
     ship_package(s)
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    return [tuple(r[c] for c in cols) if cols else tuple(r) for r in df.collect()]

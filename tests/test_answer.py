@@ -29,7 +29,7 @@ def test_clean_answer_rows(spark):
 
 def test_clean_answer_changes_echoed_prompts(spark):
     """Over prompts that answers repeat, markers, the split and the date lines all take effect."""
-    from conftest import SF001
+    from helpers import SF001
     from corpus_engine.plans.queries import QUERIES
     rows = QUERIES["clean_answer"](spark, SF001).collect()
     assert rows and not any(m in r["answer"] for r in rows for m in P.ANSWER_MARKERS if m.startswith("<|"))

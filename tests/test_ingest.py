@@ -42,15 +42,28 @@ def test_upload_chunks_index_runs_across_pages(spark):
         (0, "x", "pdf_chunk_g.pdf_0", "g.pdf_chunk_0")]
 
 
+def test_upload_chunks_of_repeated_and_null_keys(spark):
+    """Every row's chunks are there, whatever its file name and page number, under ids that are unique."""
+    rows = [("f", 1, "aaa bbb ccc"), ("f", 1, "aaa bbb ccc"), ("f", None, "x y z"), ("f", None, "x y z"), (None, 1, "n"), (None, None, "m"),
+            ("f", 9000, "end")] + [("g", None, "one")] * 50
+    out = I.upload_chunks(spark.createDataFrame(rows, "filename string, page_id long, text string").repartition(3), size=5).collect()
+    of = lambda name: [r["text"] for r in sorted((r for r in out if r["filename"] == name), key=lambda r: r["chunk_index"])]
+    assert of("f") == ["x y z"] * 2 + ["aaa", "bbb", "ccc"] * 2 + ["end"]
+    assert of("") == ["m", "n"] and of("g") == ["one"] * 50
+    assert len({r["id"] for r in out}) == len(out)
+    for name in ("f", "", "g"):
+        assert sorted(r["chunk_index"] for r in out if r["filename"] == name) == list(range(len(of(name))))
+
+
 def test_upload_ids_are_unique(spark):
-    from conftest import SF01
+    from helpers import SF01
     from corpus_engine.plans.queries import QUERIES
     up = QUERIES["upload_chunks"](spark, SF01)
     assert up.count() == up.select("id").distinct().count() > 0
 
 
 def test_new_files_by_last_segment(spark):
-    from conftest import SF01
+    from helpers import SF01
     from corpus_engine.plans.queries import QUERIES
     names = [r["filename"] for r in QUERIES["ingest_new_files"](spark, SF01).collect()]
     assert len(names) == len(set(names)) == 159 and "" not in names

@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from conftest import SF001
+from helpers import SF001
 from corpus_engine.plans.oracles import ORACLES
 from corpus_engine.plans.queries import QUERIES
 from corpus_engine.sources.tables import TABLES

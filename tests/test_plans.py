@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from corpus_engine.plans.corpus_prep import prepare_corpus
 from corpus_engine.plans.index_build import build_index
 from corpus_engine.plans.qa import answer_questions, compare

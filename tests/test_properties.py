@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from conftest import SF001
+from helpers import SF001
 from corpus_engine.plans.queries import QUERIES
 from corpus_engine.sources.sinks import with_safe_names
 

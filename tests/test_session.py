@@ -1,6 +1,6 @@
 """Session helpers: the checkpoint folder rule and size-checked input balancing."""
 
-from conftest import SF001
+from helpers import SF001
 from corpus_engine.session import checkpoint_dir, ensure_checkpoint_dir, shared_path
 from corpus_engine.sources.tables import balance, estimated_bytes, table
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from corpus_engine.functions import html as H
 from corpus_engine.functions import text as T
 from corpus_engine.sources.tables import table
