@@ -41,6 +41,8 @@ _CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
+    # a state has as many stores as shuffle partitions; allocating ahead costs each some MB of disk
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 _LEDGER = "doc_id long, path string, row long, text_sha256 string, digest string"
 
