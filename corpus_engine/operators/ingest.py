@@ -80,20 +80,22 @@ UNIT_GROUP = 4096
 def running_base(counts: DataFrame, file_col: str, unit: str, key: str, n: str) -> DataFrame:
     """``base``: the sum of ``n`` over the earlier rows of the same file, by (unit, key); null units come first.
 
-    Sums descend from groups of ``UNIT_GROUP`` unit numbers to units, groups of ``UNIT_GROUP`` keys and keys. So a file
-    name that a third of all rows share is many small windows, and so is one page number that they share. Files and
-    units may be null."""
+    Sums descend from groups of ``UNIT_GROUP`` unit numbers to groups of ``UNIT_GROUP`` keys of a unit, and to keys. So a
+    file name that a third of all rows share is many small windows, and so is one page number that they share. Files
+    and units may be null."""
+    first = Window.unboundedPreceding
     out = counts.withColumns({"__g": F.floor(F.col(unit) / UNIT_GROUP), "__h": F.floor(F.col(key) / UNIT_GROUP), "base": F.lit(0).cast("bigint")})
     within = [file_col]
-    for level in ("__g", unit, "__h", key):
-        totals = out.groupBy(*within, level).agg(F.sum(n).alias("__t"))
-        before = Window.partitionBy(*within).orderBy(F.col(level).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-        within = [*within, level]
+    for level in (["__g"], [unit, "__h"]):
+        totals = out.groupBy(*within, *level).agg(F.sum(n).alias("__t"))
+        before = Window.partitionBy(*within).orderBy(*(F.col(c).asc_nulls_first() for c in level)).rowsBetween(first, -1)
+        within = [*within, *level]
         starts = totals.select(*(F.col(c).alias(f"__s{i}") for i, c in enumerate(within)),
                                F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__start"))
         same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(within)]
         out = out.join(starts, same).withColumn("base", F.col("base") + F.col("__start")).select(*out.columns)
-    return out.select(file_col, unit, key, "base")
+    inside = Window.partitionBy(*within).orderBy(key).rowsBetween(first, -1)
+    return out.select(file_col, unit, key, (F.col("base") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("base"))
 
 
 def upload_chunks(units: DataFrame, unit: str = "page_id", text: str = "text", file_col: str = "filename",

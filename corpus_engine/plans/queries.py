@@ -244,6 +244,29 @@ def q_lsh_recall(spark, sf):
     return R.recall(R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=()), R.knn_lsh(v, q, DEFAULTS.top_k_loader))
 
 
+def _ivf(spark, v):
+    """A stored inverted-file index over the vectors, filled by two inserts that overlap, and calibrated."""
+    from corpus_engine.operators.ivf import IvfIndex
+    index = IvfIndex(spark, _scratch(spark, "ivf"))
+    index.insert(v.where(F.col("id") % 3 != 0))
+    index.insert(v)
+    index.calibrate(DEFAULTS.top_k_loader)
+    return index
+
+
+def q_knn_ivf(spark, sf):
+    """Approximate top-5 from the stored inverted-file index, for the query vectors among all vectors."""
+    v = _vectors(spark, sf)
+    return _ivf(spark, v).search(_asked(v), DEFAULTS.top_k_loader)
+
+
+def q_ivf_recall(spark, sf):
+    """Recall of the stored index against the exact top-5."""
+    v = _vectors(spark, sf)
+    q = _asked(v)
+    return R.recall(R.knn_exact(v, q, DEFAULTS.top_k_loader, carry=()), _ivf(spark, v).search(q, DEFAULTS.top_k_loader))
+
+
 def q_retrieve_preview(spark, sf):
     """T17 + T18: preview and relevance of the top-5 hits."""
     hits = R.knn_exact(corpus(spark, sf), questions(spark, sf).select("query_id", "embedding"),
