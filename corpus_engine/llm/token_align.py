@@ -32,26 +32,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpus_engine.llm.common import shipped, written
 
+#: Letters beyond those on whose classes the libraries' Unicode tables cannot differ.
+_BEYOND = re.compile("[^\x00-\u024f]")
 #: Most pairs of a shard (an A id with more is a shard of its own).
 SHARD_PAIRS = 1 << 17
 #: Most pairs whose functions, keys and counts the tasks hold at once: about 70 MB.
 BLOCK_PAIRS = 1 << 22
 #: Count vectors that one task of the tree sums.
 FAN_IN = 32
-#: Pieces whose tokens a worker keeps, of at most ``LONG`` letters.
-CACHE, LONG = 150_000, 64
+#: Pieces whose tokens a worker keeps from step to step, and their letters in all.
+CACHE, CACHE_LETTERS = 1_000_000, 1 << 25
+#: Longest piece that is encoded together with others.
+LONG = 64
 #: Longest piece that goes to the faster encoder.
 PLAIN = 4096
-#: Tokens aligned in one step.
-STEP = 1 << 20
+#: Letters of the pieces that are encoded in one call.
+TOGETHER = 8192
+#: Letters of the texts encoded, and tokens aligned, in one step.
+LETTERS, STEP = 1 << 20, 1 << 19
 #: Distinct pairs that a task gathers before it sends them.
 GATHER = 1 << 21
-_SPACE_RUN = re.compile(r"\s | \s|^\s|\s$")
+#: Places of a task's table of the pairs it met last.
+RECENT = 18
 
 
 def tokenizer_file(name: str) -> str:
@@ -79,24 +87,28 @@ class Pair:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         letter = _letter_bytes()
-        n_a = self.a.get_vocab_size(with_added_tokens=True)
-        self.bytes_a = [b""] * n_a
+        self.bytes_a = [b""] * self.a.get_vocab_size(with_added_tokens=True)
         for token, i in self.a.get_vocab(with_added_tokens=False).items():
             self.bytes_a[i] = bytes(letter[c] for c in token)
         self.bytes_b = [_piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.size_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.most = max(len(self.bytes_a), len(self.bytes_b))
+        self.kind = np.uint16 if self.most <= 1 << 16 else np.uint32
         self.plain = _rank_encoder(byte_level, self.bytes_a)
         # a piece that goes on after its first other letter with a space would join what is cut apart here
         self.cuts = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
-        self.known: dict[str, tuple] = {}
+        self._forget()
+        # decimal numbers before a comma, a bar and a semicolon
+        numbers = np.array([f"{i}{mark}".encode() for mark in ",|;" for i in range(self.most)], "S8")
+        self.numbers, self.digits = numbers.view(np.uint64), np.char.str_len(numbers).astype(np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """Parts of a text, each without the space before it, that both tokenizers treat apart."""
         if not self.cuts:
             return [text]
         parts = text.split(" ")
-        if _SPACE_RUN.search(text) is None:
+        if "" not in parts and list(map(str.strip, parts)) == parts:
             return parts
         out = [parts[0]]
         for before, part in zip(parts, parts[1:], strict=False):
@@ -106,51 +118,155 @@ class Pair:
                 out[-1] += " " + part
         return out
 
-    def encode(self, parts: list[str]) -> list[tuple]:
-        """(A ids as bytes, B ids as bytes, groups, numbers of A, B and groups) of each part; None where bytes differ."""
-        b_ids = self.b.encode(parts, num_threads=1)
-        if self.plain is None:
-            a_ids = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+    def _forget(self) -> None:
+        self.known, self.letters = _Numbers(), 0
+        self.table_a, self.table_b = _Table(self.kind), _Table(self.kind)
+        self.spelled = np.empty(0, bool)
+
+    def _alone(self, part: str) -> tuple[np.ndarray, np.ndarray, bool]:
+        """A and B ids of a piece, and whether they spell its bytes."""
+        text = " " + part
+        if self.plain is not None and len(part) <= PLAIN and max(part, default="") < "ɐ":
+            a = self.plain.encode_ordinary(text)
         else:
-            a_ids = [self.plain.encode_ordinary(" " + p) if len(p) <= PLAIN and max(p, default="") < "ɐ" else
-                     self.a.encode(" " + p, add_special_tokens=False).ids for p in parts]
-        return [self._groups(p, a, b) for p, a, b in zip(parts, a_ids, b_ids, strict=True)]
-
-    def _groups(self, part: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = (" " + part).encode()
-        ba, bb = self.bytes_a, self.bytes_b
-        if b"".join([ba[i] for i in a]) != raw or b"".join([bb[i] for i in b]) != raw:
-            return None
-        groups, at_a, at_b, i, first_a, first_b = [], 0, 0, 0, 0, 0
-        for j, y in enumerate(b):
-            at_b += len(bb[y])
-            while at_a < at_b:
-                at_a += len(ba[a[i]])
-                i += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j + 1])))
-                first_a, first_b = i, j + 1
-        return (np.array(a, np.uint32).tobytes(), np.array(b, np.uint32).tobytes(), ";".join(groups).encode(),
-                len(a), len(b), len(groups))
-
-    def document(self, text: str) -> tuple | None:
-        """What :meth:`encode` gives, of a whole text."""
-        parts = self.pieces(text)
-        known = self.known
-        found = list(map(known.get, parts, [()] * len(parts)))
-        if () in found:
-            new = list({p for p, f in zip(parts, found, strict=True) if f == ()})
-            made = {}
-            for at in range(0, len(new), 4096):
-                made |= zip(new[at:at + 4096], self.encode(new[at:at + 4096]), strict=True)
-            found = [made[p] if f == () else f for p, f in zip(parts, found, strict=True)]
-            if len(known) + len(made) > CACHE:
-                known.clear()
-            known |= {p: v for p, v in made.items() if len(p) <= LONG} if len(made) <= CACHE else {}
-        if None in found:
-            return None
-        a, b, groups, n_a, n_b, n_groups = zip(*found, strict=True)
-        return b"".join(a), b"".join(b), b";".join(groups), sum(n_a), sum(n_b), sum(n_groups)
+            a = self.a.encode(text, add_special_tokens=False).ids
+        b, raw = self.b.encode(part), text.encode()
+        spelled = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+        return np.array(a, self.kind), np.array(b, self.kind), spelled
+
+    def _together(self, parts: list[str]) -> bool:
+        """Learn pieces without white space at their ends: joined by spaces they are encoded in one call, and their tokens cut
+        apart by bytes. False, and nothing learnt, where that is not possible."""
+        text = " " + " ".join(parts)
+        if not text.isascii() and _BEYOND.search(text):
+            return False
+        raw = text.encode()
+        a = np.array(self.plain.encode_ordinary(text), self.kind)
+        b = np.array(self.b.encode(text[1:]), self.kind)
+        if b"".join([self.bytes_b[i] for i in b.tolist()]) != raw:
+            return False
+        letters = np.frombuffer(raw, np.uint8)
+        spaces = np.flatnonzero(letters == 32) if text.count(" ") == len(parts) else None
+        ends = np.append(spaces[1:], len(raw)) if spaces is not None else np.cumsum([1 + len(p.encode()) for p in parts])
+        for ids, size, table in ((a, self.size_a, self.table_a), (b, self.size_b, self.table_b)):
+            table.add(ids, np.searchsorted(np.cumsum(size[ids]), ends) + 1)
+        return True
+
+    def _learn(self, parts: list[str]) -> None:
+        """Add the pieces' tokens to the tables, in order."""
+        fine, held, letters = [], [], 0
+
+        def together():
+            if held and self._together(held):
+                fine.extend([True] * len(held))
+            else:
+                one_by_one(held)
+
+        def one_by_one(some):
+            for p in some:
+                a, b, spelled = self._alone(p)
+                self.table_a.add(a, np.array([len(a)]))
+                self.table_b.add(b, np.array([len(b)]))
+                fine.append(spelled)
+
+        for p in parts:
+            self.letters += len(p)
+            if self.plain is None or not self.cuts or not p or len(p) > LONG or p != p.strip():
+                together()
+                held, letters = [], 0
+                one_by_one([p])
+                continue
+            held.append(p)
+            letters += len(p)
+            if letters > TOGETHER:
+                together()
+                held, letters = [], 0
+        together()
+        self.table_a.close()
+        self.table_b.close()
+        self.spelled = np.concatenate([self.spelled, np.array(fine, bool)])
+
+    def documents(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A and B ids of all texts, one after the other, and how many each has; none where there is no text or the ids do not
+        spell it."""
+        if len(self.known) > CACHE or self.letters > CACHE_LETTERS:
+            self._forget()
+        numbers, ends = [], []
+        number = self.known.__getitem__
+        for t in texts:
+            if t:
+                numbers.extend(map(number, self.pieces(t)))
+            ends.append(len(numbers))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        at, ends = np.array(numbers, np.int64), np.array(ends, np.int64)
+        wrong = np.diff(np.concatenate([[0], np.cumsum(~self.spelled[at])])[ends], prepend=0) > 0
+        if wrong.any():
+            keep = ~np.repeat(wrong, np.diff(ends, prepend=0))
+            ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+            at = at[keep]
+        (a, n_a), (b, n_b) = self.table_a.rows(at, ends), self.table_b.rows(at, ends)
+        return a, b, n_a, n_b
+
+    def groups(self, a: np.ndarray, b: np.ndarray, upto_a: np.ndarray, upto_b: np.ndarray) -> tuple[list[int], list[str]]:
+        """Numbers of groups and SHA-256 of the groups of documents whose tokens follow one another, up to the given ends."""
+        end_a, end_b, mark = _marks(a, b, self.size_a, self.size_b)
+        last_a, last_b = mark[end_a] == 3, mark[end_b] == 3
+        # a group's A tokens stand before its B tokens
+        of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        first_b = np.concatenate([[0], np.flatnonzero(last_b) + 1])
+        behind_a = np.flatnonzero(last_a) + 1
+        what = np.empty(len(a) + len(b), np.int64)
+        what[np.arange(len(a)) + first_b[of_a]] = a + np.where(last_a, self.most, 0)
+        what[np.arange(len(b)) + behind_a[of_b]] = b + np.where(last_b, 2 * self.most, 0)
+        letters = self.numbers[what].view(np.uint8)
+        text = letters[letters != 0].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.digits[what])])[upto_a + upto_b].tolist()
+        groups = np.concatenate([[0], np.cumsum(last_a)])[upto_a]
+        shas, start = [], 0
+        for end in ends:
+            shas.append(hashlib.sha256(text[start:end - 1]).hexdigest() if end > start else "")
+            start = end
+        return np.diff(groups, prepend=0).tolist(), shas
+
+
+class _Numbers(dict):
+    """Numbers of pieces in the order in which they are first asked for; ``new`` lists those not learnt yet."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.new.append(piece)
+        n = self[piece] = len(self)
+        return n
+
+
+class _Table:
+    """Rows of ids, one after the other."""
+
+    def __init__(self, kind):
+        self.ids, self.starts = np.empty(0, kind), np.zeros(1, np.int64)
+        self._ids, self._ends, self._n = [], [], 0
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Rows that end at ``ends`` of ``ids``; they show after :meth:`close`."""
+        self._ids.append(ids)
+        self._ends.append(ends + self._n)
+        self._n += len(ids)
+
+    def close(self) -> None:
+        self.ids = np.concatenate([self.ids, *self._ids])
+        self.starts = np.concatenate([self.starts, *self._ends])
+        self._ids, self._ends = [], []
+
+    def rows(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows ``at``, one after the other, and the number of ids up to each of ``ends``, as differences."""
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        upto = np.cumsum(n)
+        place = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(first - (upto - n), n)
+        return self.ids[place], np.diff(np.concatenate([[0], upto])[ends], prepend=0)
 
 
 def _piece_bytes(piece: str) -> bytes:
@@ -188,22 +304,21 @@ def pair(a: str, b: str) -> Pair:
 
 
 def encoded(docs: DataFrame, a: str, b: str) -> DataFrame:
-    """part, row, doc_id, n_a, n_b, n_groups, groups_sha256 and the token ids of every document (``a``, ``b``: 32-bit binary)."""
+    """doc_id, n_a, n_b, n_groups, groups_sha256, the token ids of every document (``a``, ``b``: binary) and ``row``, a number."""
     shipped(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a, b)
         for batch in batches:
-            cols = [[] for _ in range(6)]
-            for text in batch.column(1).to_pylist():
-                found = both.document(text) if text else None
-                x, y, groups, n_a, n_b, n_groups = found or (b"", b"", None, 0, 0, 0)
-                sha = "" if groups is None else hashlib.sha256(groups).hexdigest()
-                for col, v in zip(cols, (n_a, n_b, n_groups, sha, x, y), strict=True):
-                    col.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)],
-                                             ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b"])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for at, end in _ranges(sizes, LETTERS):
+                part = batch.slice(at, end - at)
+                ids_a, ids_b, n_a, n_b = both.documents(part.column(1).to_pylist())
+                n_groups, shas = both.groups(ids_a, ids_b, np.cumsum(n_a), np.cumsum(n_b))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(n_groups, pa.int64()),
+                     pa.array(shas, pa.string()), _binary(ids_a, n_a), _binary(ids_b, n_b)],
+                    ["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "a", "b"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(
@@ -211,55 +326,93 @@ def encoded(docs: DataFrame, a: str, b: str) -> DataFrame:
         "row", F.monotonically_increasing_id())
 
 
-def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (A id * 2^32 + B id) of all links of two token sequences over the same bytes, and the byte at which each ends.
+def _ranges(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` in all, one row at least."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        before = int(upto[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + most, side="right")))
+        yield at, end
+        at = end
+
 
-    Every stretch between neighbouring token ends belongs to one token of each, and two tokens overlap in one
-    stretch: the stretches are the links."""
+def _marks(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ends of the tokens of both sequences, and for every byte 1 (A ends), 2 (B ends), 3 or 0."""
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     mark = np.zeros(int(end_a[-1]) + 1 if len(end_a) else 1, np.uint8)
     mark[end_a] = 1
     mark[end_b] |= 2
-    ends = np.flatnonzero(mark)
-    kind = mark[ends]
+    return end_a, end_b, mark
+
+
+def links(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+    """Codes (A id * 2^32 + B id) of all links of two token sequences over the same bytes, in byte order.
+
+    Every stretch between neighbouring token ends belongs to one token of each, and two tokens overlap in one
+    stretch: the stretches are the links."""
+    _, _, mark = _marks(a, b, size_a, size_b)
+    kind = mark[mark != 0]
     in_a, in_b = kind & 1, kind >> 1
-    at_a, at_b = np.cumsum(in_a, dtype=np.int64) - in_a, np.cumsum(in_b, dtype=np.int64) - in_b
-    return a[at_a].astype(np.int64) << 32 | b[at_b].astype(np.int64), ends
+    at_a, at_b = np.cumsum(in_a, dtype=np.int32) - in_a, np.cumsum(in_b, dtype=np.int32) - in_b
+    return a[at_a].astype(np.int64) << 32 | b[at_b].astype(np.int64)
+
+
+def _binary(ids: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column of the ids, ``n`` of them in each row."""
+    ends = np.concatenate([[0], np.cumsum(n)]) * ids.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids)]).cast(
+        pa.binary())
+
+
+def _ids(column: pa.Array, kind) -> np.ndarray:
+    """The ids of all rows of a binary column, one after the other."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(kind) if offsets[-1] > offsets[0] else np.empty(0, kind)
 
 
 def _steps(batches: Iterator[pa.RecordBatch], both: Pair):
-    """(rows, link codes, number of links of each row) in steps of about ``STEP`` tokens; ``a`` and ``b`` lead the columns."""
+    """(rows, link codes, number of links of each row) in steps of about ``STEP`` tokens; the columns are a, b, n_a, n_b, n_groups
+    and others."""
     for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        at = 0
-        while at < len(a):
-            end, n = at, 0
-            while end < len(a) and (end == at or n < STEP):
-                n += len(a[end]) // 4
-                end += 1
-            ids_a = np.frombuffer(b"".join(a[at:end]), np.uint32)
-            ids_b = np.frombuffer(b"".join(b[at:end]), np.uint32)
-            codes, ends = links(ids_a, ids_b, both.size_a, both.size_b)
-            tokens = np.cumsum([len(x) // 4 for x in a[at:end]])
-            bytes_to = np.concatenate([[0], np.cumsum(both.size_a[ids_a])])[tokens]
-            upto = np.searchsorted(ends, bytes_to, side="right")
-            yield batch.slice(at, end - at), codes, np.diff(upto, prepend=0)
-            at = end
+        n_a, n_b, n_groups = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+        n = n_a + n_b - n_groups
+        for at, end in _ranges(n_a, STEP):
+            part = batch.slice(at, end - at)
+            yield part, links(_ids(part.column(0), both.kind), _ids(part.column(1), both.kind), both.size_a, both.size_b), n[at:end]
+
+
+STEP_COLUMNS = ("a", "b", "n_a", "n_b", "n_groups")
+
+
+class Recent:
+    """A table of the pairs met last, by a hash of theirs, with a number for each."""
+
+    def __init__(self):
+        self.codes = np.full(1 << RECENT, -1, np.int64)
+        self.numbers = np.zeros(1 << RECENT, np.int64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - RECENT)).astype(np.int64)
 
 
 def distinct_pairs(tokens: DataFrame, a: str, b: str) -> DataFrame:
     """code: the distinct linked pairs of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, held = pair(a, b), np.empty(0, np.int64)
+        both, held, recent = pair(a, b), np.empty(0, np.int64), Recent()
         for _, codes, _ in _steps(batches, both):
-            held = np.union1d(held, codes)
+            at = recent.places(codes)
+            new = recent.codes[at] != codes
+            recent.codes[at[new]] = codes[new]
+            held = np.union1d(held, codes[new])
             if len(held) > GATHER:
                 yield pa.RecordBatch.from_arrays([pa.array(held)], ["code"])
                 held = np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held)], ["code"])
 
-    return tokens.select("a", "b").mapInArrow(run, "code long").distinct()
+    return tokens.select(*STEP_COLUMNS).mapInArrow(run, "code long").distinct()
 
 
 def _mixed(keys: np.ndarray, level: int) -> np.ndarray:
@@ -335,6 +488,7 @@ class Block:
         self.low, self.high = low, high  # A ids from low on, below high
         self.parts = parts  # (first A id, packed function, keys by index)
         self._ready = None
+        self._recent = None
 
     def __getstate__(self):
         return self.low, self.high, self.parts
@@ -342,6 +496,7 @@ class Block:
     def __setstate__(self, state):
         self.low, self.high, self.parts = state
         self._ready = None
+        self._recent = None
 
     def ready(self):
         if self._ready is None:
@@ -353,14 +508,26 @@ class Block:
         return self._ready
 
     def index(self, codes: np.ndarray) -> np.ndarray:
-        """Index of each code of this block, verified by its key."""
+        """Index of each code of this block, verified by its key. Pairs met lately are found in a table."""
+        if self._recent is None:
+            self._recent = Recent()
+        recent = self._recent
+        at = recent.places(codes)
+        out = recent.numbers[at]
+        todo = np.flatnonzero(recent.codes[at] != codes)
+        if len(todo):
+            out[todo] = self._hashed(codes[todo])
+            recent.codes[at[todo]], recent.numbers[at[todo]] = codes[todo], out[todo]
+        return out
+
+    def _hashed(self, codes: np.ndarray) -> np.ndarray:
         starts, functions, keys, offsets = self.ready()
         shard = np.searchsorted(starts, codes >> 32, side="right") - 1
         out = np.empty(len(codes), np.int64)
         for s in np.unique(shard):
             here = np.flatnonzero(shard == s)
             out[here] = functions[s].index(codes[here]) + offsets[s]
-        if len(out) and not np.array_equal(keys[out], codes):
+        if not np.array_equal(keys[out], codes):
             raise ValueError("a pair of tokens is not among those counted")
         return out
 
@@ -411,13 +578,15 @@ def _counts(tokens: DataFrame, block: Block, a: str, b: str) -> list[bytes]:
         both, here = pair(a, b), sent.value
         offsets = here.ready()[3]
         total = np.zeros(int(offsets[-1]), np.int64)
-        for rows, codes, sizes in _steps(batches, both):
-            doc = np.repeat(np.arange(rows.num_rows), sizes)
+        for _, codes, sizes in _steps(batches, both):
             mine = here.inside(codes)
-            known, which = np.unique(codes[mine], return_inverse=True)
-            # a pair counts once a document
-            once = np.unique(doc[mine] * len(known) + which) % max(1, len(known))
-            total[here.index(known)] += np.bincount(once, minlength=len(known))
+            at = here.index(codes[mine])
+            upto = np.concatenate([[0], np.cumsum(mine)])[np.cumsum(sizes)].tolist()
+            start = 0
+            for end in upto:
+                # adds one to each place named, however often it is named: a pair counts once a document
+                total[at[start:end]] += 1
+                start = end
         branch = TaskContext.get().partitionId()
         for s in range(len(offsets) - 1):
             part = total[offsets[s]:offsets[s + 1]]
@@ -426,7 +595,7 @@ def _counts(tokens: DataFrame, block: Block, a: str, b: str) -> list[bytes]:
                                                   pa.array([part.tobytes()], pa.binary())], ["shard", "branch", "counts"])
 
     schema = "shard int, branch long, counts binary"
-    sums = written(tokens.select("a", "b").mapInArrow(run, schema), "align-counts")
+    sums = written(tokens.select(*STEP_COLUMNS).mapInArrow(run, schema), "align-counts")
     top = sums.agg(F.max("branch")).first()[0] or 0
     while True:
         up = sums.select("shard", F.floor(F.col("branch") / FAN_IN).alias("branch"), "counts")
@@ -457,22 +626,18 @@ def _looked_up(tokens: DataFrame, block: Block, counts: list[bytes], a: str, b:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, (here, vectors) = pair(a, b), sent.value
         count = np.concatenate([np.frombuffer(v, np.int64) for v in vectors])
-        best = _best(here.ready()[2], count)
+        best = _best(here.ready()[2], count).astype(np.int64)
         for rows, codes, sizes in _steps(batches, both):
-            doc = np.repeat(np.arange(rows.num_rows), sizes)
             mine = here.inside(codes)
-            known, which = np.unique(codes[mine], return_inverse=True)
-            at = here.index(known)
-            n = rows.num_rows
-            # sums of integers: exact, unlike weights of bincount
-            n_best, count_sum = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(n_best, doc[mine], best[at][which])
-            np.add.at(count_sum, doc[mine], count[at][which])
+            at = here.index(codes[mine])
+            upto = np.concatenate([[0], np.cumsum(mine)])[np.cumsum(sizes)]
+            # sums of integers, as differences of running sums
+            n_best, count_sum = (np.diff(np.concatenate([[0], np.cumsum(v[at])])[upto], prepend=0) for v in (best, count))
             yield pa.RecordBatch.from_arrays([rows.column(i) for i in range(2, rows.num_columns)]
                                              + [pa.array(n_best), pa.array(count_sum)],
                                              [*rows.schema.names[2:], "n_best", "count_sum"])
 
-    carry = [c for c in tokens.columns if c not in ("a", "b")]
+    carry = [*STEP_COLUMNS[2:], *(c for c in tokens.columns if c not in STEP_COLUMNS)]
     kinds = dict(tokens.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in carry)
     return tokens.select("a", "b", *carry).mapInArrow(run, f"{schema}, n_best long, count_sum long")

@@ -90,12 +90,16 @@ def test_alignment_of_no_rows(spark):
     assert sorted(tuple(r) for r in token_align.align(nothing).collect()) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2)]
 
 
-def test_small_steps_and_cache(monkeypatch):
+def test_pieces_forgotten_and_encoded_alone(monkeypatch):
+    """Ids do not depend on what is known, on neighbours, or on which encoder is used."""
     both = token_align.Pair(*map(token_align.tokenizer_file, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
-    text = "the cat, the dog.\nA  tab\there 'quoted' 1,234 über"
-    want = both.document(text)
-    monkeypatch.setattr(token_align, "CACHE", 3)
-    assert both.document(text) == want and both.document("x " + text) is not None and both.document(text) == want
+    batch = ["the cat, the dog.\nA  tab\there 'quoted' 1,234 über", None, "x▁y the", " lead", "the", "日本 the"]
+    want = [x.tolist() for x in both.documents(batch)]
+    assert [x.tolist() for x in both.documents(batch)] == want
+    for name, value in (("CACHE", 3), ("CACHE_LETTERS", 1), ("LONG", 0), ("TOGETHER", 5), ("PLAIN", 0)):
+        monkeypatch.setattr(token_align, name, value)
+        assert [x.tolist() for x in both.documents(batch)] == want
+        assert [x.tolist() for x in both.documents(batch)] == want
 
 
 def test_perfect_hash():
