@@ -12,6 +12,8 @@ from corpus_engine.config import DEFAULTS
 from corpus_engine.functions import html as H
 from corpus_engine.functions import prompts as P
 from corpus_engine.functions import text as T
+from corpus_engine.operators import feedback as FB
+from corpus_engine.operators import sentences as SE
 
 NL = "chr(10)"
 
@@ -180,6 +182,69 @@ CONTEXT = (CORPUS + ",\n" + QUESTIONS + ",\n" + knn_ctes(FETCH) + ",\n" + dedup_
            f"FROM dd GROUP BY query_id)")
 
 
+def tokens(expr: str) -> str:
+    return f"regexp_extract_all(lower({expr}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+_OPENINGS = " UNION ALL ".join(f"SELECT array_to_string(list_slice(w, {at}, {at + n - 1}), ' '), 'ITEM' FROM (SELECT {tokens('text')} AS w FROM benchmark)"
+                               for at, n in ((1, 2), (1, 5), (2, 3), (4, 4)))
+#: hit(doc_id, i, n, phrase, label): leftmost-longest matches; every longest phrase knows the next place behind it.
+PHRASE_HITS = (
+    f"names AS (SELECT n_name AS name, 'LOC' AS label FROM nation UNION ALL SELECT r_name, 'LOC' FROM region "
+    f"UNION ALL SELECT p_name, 'PROD' FROM part UNION ALL {_OPENINGS}),\n"
+    f"ph AS (SELECT array_to_string(w, ' ') AS phrase, min(label) AS label, len(any_value(w)) AS n FROM (SELECT {tokens('name')} AS w, label FROM names) "
+    f"WHERE len(w) > 0 GROUP BY 1),\n"
+    f"dt AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, {tokens('text')} AS w FROM documents)),\n"
+    f"win AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase FROM dt, (SELECT DISTINCT n FROM ph) WHERE i + n - 1 <= len(w)),\n"
+    f"cand AS MATERIALIZED (SELECT doc_id, i, max(win.n) AS n, arg_max(phrase, win.n) AS phrase, arg_max(label, win.n) AS label "
+    f"FROM win JOIN ph USING (phrase) GROUP BY doc_id, i),\n"
+    f"nxt AS MATERIALIZED (SELECT a.doc_id, a.i, b.i AS j FROM cand a ASOF JOIN cand b ON a.doc_id = b.doc_id AND a.i + a.n <= b.i),\n"
+    f"taken(doc_id, i) AS (SELECT doc_id, min(i) FROM cand GROUP BY doc_id UNION ALL "
+    f"SELECT t.doc_id, x.j FROM taken t JOIN nxt x ON x.doc_id = t.doc_id AND x.i = t.i),\n"
+    f"hit AS (SELECT * FROM cand JOIN taken USING (doc_id, i))"
+)
+
+_LLR = "({k} * ln({p}) + {m} * ln(1.0::DOUBLE - {p}))"
+#: abbr(word, n_period, n_plain, score): the learned abbreviations.
+ABBREVIATIONS = (
+    f"tw AS (SELECT unnest({words('text')}) AS w FROM documents),\n"
+    f"ty AS (SELECT lower(regexp_extract(w, {lit(SE._TYPE)}, 1)) AS word, regexp_extract(w, {lit(SE._TYPE)}, 2) = '.' AS p FROM tw),\n"
+    f"pc AS (SELECT word, count(*) FILTER (WHERE p) AS n_period, count(*) FILTER (WHERE NOT p) AS n_plain FROM ty WHERE word <> '' GROUP BY word),\n"
+    f"sh AS (SELECT sum(n_period)::DOUBLE / sum(n_period + n_plain)::DOUBLE AS share FROM pc),\n"
+    f"sc0 AS (SELECT word, n_period, n_plain, length(word) - length(replace(word, '.', '')) AS inner_, share FROM pc, sh),\n"
+    f"sc1 AS (SELECT *, (length(word) - inner_)::DOUBLE AS letters, -2.0::DOUBLE * ({_LLR.format(k='n_period', m='n_plain', p='share')} - "
+    f"{_LLR.format(k='n_period', m='n_plain', p=f'{SE.SURE}::DOUBLE')}) AS ratio FROM sc0),\n"
+    f"abbr AS (SELECT word, n_period, n_plain, round(ratio * exp(-letters) * (inner_ + 1) * pow(letters, -n_plain::DOUBLE), 6) AS score FROM sc1 "
+    f"WHERE n_period >= {SE.MIN_COUNT} AND round(ratio * exp(-letters) * (inner_ + 1) * pow(letters, -n_plain::DOUBLE), 6) >= {SE.THRESHOLD})"
+)
+_GOES_ON = (f"(list_contains(ab, lower(regexp_extract(p_, {lit(SE._LAST)}, 1))) OR regexp_matches(lower(regexp_extract(p_, {lit(SE._LAST)}, 1)), '^\\p{{L}}$')) "
+            f"AND NOT regexp_matches(p_, '\\n[\\t \\x0b\\f\\r]*$')")
+LEARNED_SENTENCES = (
+    f"ab AS (SELECT coalesce(list(word), []) AS ab FROM abbr),\n"
+    f"pieces AS (SELECT doc_id, string_split({rx('text', SE._BREAK, '$1' + SE._MARK)}, {lit(SE._MARK)}) AS p, ab FROM documents, ab WHERE text IS NOT NULL),\n"
+    f"flags AS (SELECT doc_id, p, list_transform(p, lambda p_: {_GOES_ON}) AS f FROM pieces),\n"
+    f"starts AS (SELECT doc_id, p, list_filter(range(1, len(p) + 1), lambda i_: i_ = 1 OR NOT f[i_ - 1]) AS s FROM flags),\n"
+    f"sents AS (SELECT doc_id, list_filter(list_transform(s, lambda s_, k_: {strip_ws("array_to_string(list_slice(p, s_, coalesce(s[k_ + 1], len(p) + 1) - 1), '')")}), "
+    f"lambda x_: x_ <> '') AS ss FROM starts)\n"
+    f"SELECT doc_id, unnest(generate_series(0, len(ss) - 1))::INTEGER AS sentence_index, unnest(ss) AS sentence FROM sents"
+)
+
+#: exq(query_id, e): the questions' vectors expanded by the terms of their first chunks.
+FEEDBACK_QUERIES = (
+    knn_ctes(FB.FEEDBACK, name="first") + ",\n"
+    f"ft AS (SELECT query_id, exp(-distance) AS w, {tokens('text')} AS t FROM first),\n"
+    f"fr AS (SELECT query_id, term, sum(w) AS w FROM (SELECT query_id, w / len(t) AS w, unnest(t) AS term FROM ft) GROUP BY ALL),\n"
+    f"fs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, term) AS r FROM fr) WHERE r <= {FB.TERMS}),\n"
+    f"fm AS (SELECT query_id, term, {1 - FB.WEIGHT} * w / sum(w) OVER (PARTITION BY query_id) AS w FROM fs),\n"
+    f"fo AS (SELECT query_id, term, {FB.WEIGHT} * sum(1.0::DOUBLE / n) AS w FROM (SELECT query_id, len(t) AS n, unnest(t) AS term "
+    f"FROM (SELECT query_id, {tokens('question')} AS t FROM questions)) GROUP BY ALL),\n"
+    f"fb AS (SELECT query_id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {DIM} AS at, sum(w) AS x FROM (SELECT * FROM fm UNION ALL SELECT * FROM fo) GROUP BY ALL),\n"
+    f"fn AS (SELECT query_id, sqrt(sum(x * x)) AS norm FROM fb GROUP BY query_id),\n"
+    f"exq AS (SELECT fn.query_id, list(round(coalesce(x, 0) / norm, 9)::FLOAT ORDER BY i) AS e FROM fn CROSS JOIN (SELECT unnest(range({DIM})) AS i) "
+    f"LEFT JOIN fb ON fb.query_id = fn.query_id AND fb.at = i GROUP BY fn.query_id)"
+)
+
+
 def fill(template: str, **cols) -> str:
     parts = []
     for kind, v in P.template_parts(template):
@@ -409,6 +474,13 @@ def _sql() -> dict[str, str]:
     o["word_count"] = f"SELECT doc_id, {word_count('text')} AS n_words FROM documents"
     o["normalize_text"] = f"SELECT doc_id, {normalize('text')} AS norm FROM documents"
     o["annotate_entities"] = f"WITH {ENTITIES}\nSELECT doc_id, word, entity FROM ents"
+    for name, select in (
+        ("annotate_phrases", "SELECT doc_id, (i - 1)::INTEGER AS start, n::INTEGER AS n_words, phrase, label FROM hit"),
+        ("phrase_entities", "SELECT DISTINCT doc_id, word, CASE WHEN pos = 1 THEN 'B-' ELSE 'I-' END || label AS entity FROM (SELECT doc_id, label, "
+                            "unnest(string_split(phrase, ' ')) AS word, unnest(range(1, n + 1)) AS pos FROM hit)")):
+        o[name] = f"WITH RECURSIVE {PHRASE_HITS}\n{select}"
+    o["learn_abbreviations"] = f"WITH {ABBREVIATIONS}\nSELECT word, n_period, n_plain, score FROM abbr"
+    o["sentences_learned"] = f"WITH {ABBREVIATIONS},\n{LEARNED_SENTENCES}"
     o["remove_entities"] = (
         f"WITH {ENTITIES},\n"
         f"rm AS (SELECT doc_id, list_transform(list_sort(list_transform(list_distinct(list(word)), "
@@ -458,6 +530,9 @@ def _sql() -> dict[str, str]:
         + embed_ctes("(SELECT query_id, text AS expansion FROM first)", "query_id", "expansion", "exq") + ",\n"
         + knn_ctes(FETCH, 'exq', 'corpus', 'knn2') + ",\n" + dedup_ctes("knn2", K_APP) + "\n"
         "SELECT dd.query_id, dd.rank, dd.id, dd.distance, q.question FROM dd JOIN questions q ON dd.query_id = q.query_id")
+    o["retrieve_feedback"] = (
+        f"WITH {CORPUS},\n{QUESTIONS},\n{FEEDBACK_QUERIES},\n" + knn_ctes(FETCH, 'exq', 'corpus', 'knn2') + ",\n" + dedup_ctes("knn2", K_APP) + "\n"
+        "SELECT dd.query_id, dd.rank, dd.id, dd.distance, q.question FROM dd JOIN questions q ON dd.query_id = q.query_id")
     o["dedup_normalized"] = (
         f"SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY {normalize('text')} "
         f"ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")

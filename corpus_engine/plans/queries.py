@@ -26,7 +26,10 @@ from corpus_engine.operators import clean as CL
 from corpus_engine.operators import embed as E
 from corpus_engine.operators import entities as EN
 from corpus_engine.operators import ingest as I
+from corpus_engine.operators import feedback as FB
+from corpus_engine.operators import phrases as PH
 from corpus_engine.operators import retrieve as R
+from corpus_engine.operators import sentences as SE
 from corpus_engine.operators import stats as S
 from corpus_engine.sources.tables import balance, table
 
@@ -136,6 +139,29 @@ def q_annotate_entities(spark, sf):
     return EN.annotate_entities(cleaned(spark, sf), gazetteer(spark, sf))
 
 
+def phrase_gazetteer(spark, sf) -> DataFrame:
+    """Names of several words, many of which overlap: nations, regions, parts, and the openings of the benchmark's items."""
+    items = table(spark, sf, "benchmark").select(T.tokens("text").alias("w"))
+    openings = [items.select(F.array_join(F.slice("w", at, n), " ").alias("name"), F.lit("ITEM").alias("label"))
+                for at, n in ((1, 2), (1, 5), (2, 3), (4, 4))]
+    names = [table(spark, sf, t).select(F.col(c).alias("name"), F.lit(label).alias("label"))
+             for t, c, label in (("nation", "n_name", "LOC"), ("region", "r_name", "LOC"), ("part", "p_name", "PROD"))]
+    rows = names[0]
+    for more in [*names[1:], *openings]:
+        rows = rows.unionByName(more)
+    return PH.phrase_table(rows, "name")
+
+
+def q_annotate_phrases(spark, sf):
+    """T11 for names of several words: leftmost-longest matches in every document."""
+    return PH.match_phrases(documents(spark, sf), phrase_gazetteer(spark, sf))
+
+
+def q_phrase_entities(spark, sf):
+    """B-/I- tagged words of the phrase matches."""
+    return PH.phrase_entities(PH.match_phrases(documents(spark, sf), phrase_gazetteer(spark, sf)))
+
+
 def q_remove_entities(spark, sf):
     """Removal of B-LOC entities from the cleaned documents."""
     return EN.remove_gazetteer_entities(cleaned(spark, sf), gazetteer(spark, sf)).select("doc_id", "text")
@@ -146,6 +172,17 @@ def q_debug_sample(spark, sf):
     return CL.debug_sample(cleaned(spark, sf), "doc_id", DEFAULTS.debug_sample)
 
 
+def q_learn_abbreviations(spark, sf):
+    """Words of the corpus whose period belongs to them."""
+    return SE.learn_abbreviations(documents(spark, sf))
+
+
+def q_sentences_learned(spark, sf):
+    """Sentences that do not end after a learned abbreviation or an initial."""
+    docs = documents(spark, sf)
+    return SE.split_sentences(docs, SE.learn_abbreviations(docs))
+
+
 # --- chunking -----------------------------------------------------------------------------
 
 def q_split_sentences(spark, sf):
@@ -301,6 +338,14 @@ def q_retrieve_expanded(spark, sf):
     return out.select("query_id", "rank", "id", "distance", "question")
 
 
+def q_retrieve_feedback(spark, sf):
+    """Retrieval by the question and the strongest terms of its first chunks."""
+    path = _scratch(spark, "feedback_corpus")
+    corpus(spark, sf).select("id", "text", "embedding").write.parquet(path)
+    out = FB.retrieve_feedback(spark.read.parquet(path), questions(spark, sf), EMBEDDER)
+    return out.select("query_id", "rank", "id", "distance", "question")
+
+
 def q_dedup_normalized(spark, sf):
     """One document per normalised text."""
     return R.dedup_normalized(documents(spark, sf).select("doc_id", "text"), "doc_id", "text")
