@@ -3,8 +3,8 @@
 ``HashEmbedder`` (the offline default) is a hashed bag of words: each lower-cased
 letter/number token goes to bucket ``md5(token)[:8] as hex mod dim``; the bucket counts are
 L2-normalised. It is a pure projection (md5, array_remove, transform) with no shuffle and
-no Python, so it scales with the number of executors; its cost is O(tokens * dim) per row
-of native array scans, and the same vectors come out of the DuckDB oracle.
+no Python, so it scales with the number of executors; the histogram is one sort of a row's
+buckets, and the same vectors come out of the DuckDB oracle.
 
 ``PandasEmbedder`` wraps any batch encoder (e.g. a neural model) for ``mapInPandas``; the
 model is built once per Python worker process and applied to Arrow batches.
@@ -37,9 +37,18 @@ class HashEmbedder:
         return F.transform(T.tokens(text), lambda t: self.bucket(t).cast("int"))
 
     def counts(self, buckets: Column) -> Column:
-        """Histogram of a bucket array: count of i = size - size(array_remove(b, i))."""
-        return F.transform(F.sequence(F.lit(0), F.lit(self.dim - 1)),
-                           lambda i: (F.size(buckets) - F.size(F.array_remove(buckets, i))).cast("double"))
+        """Histogram of a bucket array by sorting it: with every bucket added once, bucket i is the i-th run, one longer than its count.
+
+        The sorted array and the places where runs start are bound once, as lambda variables."""
+        def starts(s):
+            return F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def lengths(x):
+            return F.transform(x["p"], lambda p, k: (F.coalesce(F.get(x["p"], k + 1), F.size(x["s"])) - p - 1).cast("double"))
+
+        every = F.sort_array(F.concat(buckets, F.sequence(F.lit(0), F.lit(self.dim - 1))))
+        runs = F.transform(F.array(every), lambda s: F.struct(s.alias("s"), starts(s).alias("p")))
+        return F.transform(runs, lengths)[0]
 
     def embed(self, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
         # Each step is its own projection so the md5 hashing runs once per token and the

@@ -471,6 +471,18 @@ def _sql() -> dict[str, str]:
     o["scan_text_files"] = (f"SELECT {safe_name('doc_id::VARCHAR')} AS safe_name, {clean('text')} || {NL} AS text "
                             f"FROM documents")
     o["scan_binary_files"] = "SELECT page_id, '.txt' AS ext, (strlen(html) + 1)::BIGINT AS n_bytes FROM pages"
+    o["scan_convertible_files"] = (
+        "SELECT (['.pdf', '.png', '', '.jpg', '', '.pdf'])[page_id % 6 + 1] AS ext, sum(length(page_id::VARCHAR) + 1)::BIGINT AS n_bytes "
+        "FROM pages WHERE page_id % 6 NOT IN (2, 4) GROUP BY 1")
+    o["collection_compacted"] = f"WITH {SENT_CHUNKS}\nSELECT id, doc_id::VARCHAR AS doc_id, chunk_index, text FROM chunks"
+    o["sketch_statistics"] = (
+        f"SELECT count(*) AS n_docs, round(avg(n), 6) AS average_words, min(n) AS min_words, max(n) AS max_words, true AS q25_within, true AS q50_within, "
+        f"true AS q75_within, true AS q95_within, true AS distinct_within FROM (SELECT coalesce({word_count('text')}, 0) AS n FROM documents)")
+    o["stream_uploads"] = (
+        f"WITH {PAGE_FILES},\ndropped AS (SELECT *, min(page_id % 3) OVER (PARTITION BY filename) AS drop_ FROM page_files),\n"
+        f"first_ AS (SELECT * FROM dropped WHERE page_id % 3 <= drop_),\n{upload_rows('first_')}\n"
+        f"SELECT 'pdf_chunk_' || filename || '_' || chunk_index::VARCHAR AS id, filename AS doc_id, chunk_index, text, drop_::INTEGER AS drop "
+        f"FROM up JOIN (SELECT DISTINCT filename, drop_ FROM dropped) USING (filename)")
     o["word_count"] = f"SELECT doc_id, {word_count('text')} AS n_words FROM documents"
     o["normalize_text"] = f"SELECT doc_id, {normalize('text')} AS norm FROM documents"
     o["annotate_entities"] = f"WITH {ENTITIES}\nSELECT doc_id, word, entity FROM ents"
@@ -536,6 +548,7 @@ def _sql() -> dict[str, str]:
     o["dedup_normalized"] = (
         f"SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY {normalize('text')} "
         f"ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1")
+    o["dedup_batches"] = o["dedup_normalized"]
     o["assemble_context"] = f"WITH {CONTEXT}\nSELECT query_id, context FROM ctx"
     o["answer_from_collection"] = o["assemble_context"]
     o["render_prompt"] = (

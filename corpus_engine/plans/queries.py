@@ -557,6 +557,47 @@ def q_insert_if_absent(spark, sf):
     return coll.read()
 
 
+def q_collection_compacted(spark, sf):
+    """K5/K6: four appended batches of sentence chunks, compacted to one file a bucket, and a batch that adds nothing."""
+    from corpus_engine.sources.collection import BucketedCollection
+    schema = "id string, doc_id string, chunk_index int, text string"
+    coll = BucketedCollection(spark, _scratch(spark, "collection"), buckets=16, schema=schema)
+    rows = C.chunk_sentence(documents(spark, sf)).select("id", "doc_id", "chunk_index", "text")
+    for part in range(4):
+        coll.insert_if_absent(rows.where(F.col("doc_id") % 4 == part).withColumn("doc_id", F.col("doc_id").cast("string")))
+    coll.compact()
+    coll.insert_if_absent(rows.where(F.col("doc_id") % 4 == 1).withColumn("doc_id", F.col("doc_id").cast("string")))
+    return coll.read()
+
+
+def q_dedup_batches(spark, sf):
+    """R6 by the stored key index: the documents in two batches, in order of ids."""
+    from corpus_engine.operators.dedup_index import DedupIndex
+    index = DedupIndex(spark, _scratch(spark, "dedup_index"))
+    docs = documents(spark, sf).select("doc_id", "text")
+    half = docs.agg(F.percentile_approx("doc_id", 0.5)).first()[0]
+    kept = [index.add(docs.where(part), n, "doc_id") for n, part in enumerate((F.col("doc_id") <= half, F.col("doc_id") > half))]
+    return kept[0].unionByName(kept[1])
+
+
+def q_sketch_statistics(spark, sf):
+    """G1/G2 from stored sketches, one batch a language: exact counts, and whether quantiles and distinct words are within their bounds."""
+    from corpus_engine.operators import sketches as SK
+    docs = documents(spark, sf)
+    path = _scratch(spark, "sketches")
+    for lang in [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]:
+        SK.batch_sketch(docs.where(F.col("lang").eqNullSafe(F.lit(lang))), str(lang)).write.mode("append").parquet(path)
+    found = SK.statistics(SK.merged(spark.read.parquet(path))).first()  # one row
+    n = F.coalesce(T.word_count("text"), F.lit(0).cast("bigint"))
+    counts = docs.select(n.alias("n"))
+    within = [((F.count(F.when(F.col("n") < found[f"q{q}"], 1)) <= (q / 100 + 0.02) * F.count("*"))
+               & (F.count(F.when(F.col("n") <= found[f"q{q}"], 1)) >= (q / 100 - 0.02) * F.count("*"))).alias(f"q{q}_within") for q in (25, 50, 75, 95)]
+    distinct = docs.select(F.explode(T.words("text")).alias("w")).agg(F.count_distinct("w").alias("d")).first()["d"]
+    exact = [F.lit(found["n_docs"]).alias("n_docs"), F.round(F.lit(found["average_words"]), 6).alias("average_words"),
+             F.lit(found["min_words"]).cast("bigint").alias("min_words"), F.lit(found["max_words"]).cast("bigint").alias("max_words")]
+    return counts.agg(*within).select(*exact, "*", F.lit(abs(found["distinct_words"] - distinct) <= 0.06 * distinct).alias("distinct_within"))
+
+
 def q_answer_from_collection(spark, sf):
     """End to end on the production path: documents indexed into a stored, bucketed
     collection (embedder stamped), then the benchmark questions answered from it."""
@@ -574,6 +615,19 @@ def q_stream_ingest(spark, sf):
     return ingest_documents_once(spark, sf)
 
 
+def q_stream_uploads(spark, sf):
+    """I1 within I2: pages in three drops that repeat file names; a file counts with the pages of its first drop."""
+    from corpus_engine.streaming.uploads import UploadStream
+    base = _scratch(spark, "stream_uploads")
+    stream = UploadStream(spark, f"{base}/state", EMBEDDER)
+    pages = _page_units(spark, sf)
+    for drop in range(3):
+        pages.where(F.col("page_id") % 3 <= drop).write.mode("append").parquet(f"{base}/source")
+        stream.run(f"{base}/source")
+    first = stream.ledger.read().select(F.col("filename").alias("doc_id"), F.col("epoch").cast("int").alias("drop"))
+    return stream.collection.read().select("id", "doc_id", "chunk_index", "text").join(first, "doc_id")
+
+
 # --- files written under the shared folder and read back --------------------------------
 
 def _scratch(spark, name: str) -> str:
@@ -604,6 +658,17 @@ def q_scan_binary_files(spark, sf):
                           "ext", F.length("content").cast("bigint").alias("n_bytes"))
 
 
+def q_scan_convertible_files(spark, sf):
+    """S3: pages written as files with several extensions, in either case; the scan takes the convertible ones."""
+    from corpus_engine.sources.files import scan_convertible_files
+    base = _scratch(spark, "convertible")
+    ids = table(spark, sf, "pages").select("page_id")
+    for n, ext in enumerate(("pdf", "PNG", "txt", "Jpg", "csv", "pdF")):
+        ids.where(F.col("page_id") % 6 == n).write.mode("append").option("extension", ext).csv(base)
+    scanned = scan_convertible_files(spark, base)
+    return scanned.groupBy("ext").agg(F.sum(F.length("content")).alias("n_bytes"))
+
+
 def q_stage_reload(spark, sf):
     """The cleaned stage is written once and reloaded on the second call."""
     from corpus_engine.sources.files import stage_reload
