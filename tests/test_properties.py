@@ -99,7 +99,8 @@ def test_knn_limits_before_its_shuffle(spark):
 
 WRITES_FIRST = {"stream_ingest", "scan_text_files", "scan_binary_files", "stage_reload", "write_report",
                 "collection_write", "insert_if_absent", "answer_from_collection", "upload_status", "upload_retrieve",
-                "retrieve_expanded"}
+                "retrieve_expanded", "retrieve_feedback", "collection_compacted", "stream_uploads", "scan_convertible_files", "knn_ivf",
+                "ivf_recall", "upload_chunks"}
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES_FIRST))
