@@ -12,6 +12,11 @@ last line feed is one row and the line feed is the writer's separator; task comm
 executors harmless. Files are gzip as a whole. Reading streams the lines of a file through a
 parser that trusts Content-Length alone, so payloads may hold any text, headers included, and memory is bounded by one record.
 
+Archives of others: a record that starts with an HTTP status line is a response, whose header ends at its first empty line, with or without
+carriage returns, and need not name its length; any other record (``text/dns`` and the like) is a resource with its ARC
+type. ``filedesc`` blocks become no record of their own. Short dates are
+filled up. Bodies must be UTF-8: Spark's text reader changes other bytes, and the records' lengths no longer hold.
+
 Null html is an empty payload, a null url becomes ``urn:page:<id>``, and white space in an
 address is percent-encoded. Repeated rows with the largest page_id of their payload are all responses.
 A null page_id counts as the smallest; if all are null, all are responses. An empty table gives an
@@ -157,32 +162,52 @@ def parse_arc(stream: Bytes) -> Iterator[tuple[str, str, str, bytes]]:
                 raise ValueError(f"unknown ARC version {version}")
             continue
         n = len(ARC_FIELDS[version].split()) - 1
-        url, _, date, mime, *_, size = line.decode().rsplit(" ", n)
+        url, _, date, mime, *_, size = _text(line.rstrip(b"\r")).rsplit(" ", n)
         yield url, date, mime, stream.read(int(size))
 
 
-_RECORD = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("head", pa.string()),
+_RECORD = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("date", pa.string()), ("mime", pa.string()), ("head", pa.string()),
                      ("payload", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+_EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+
 
+def _text(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
-def _header(head: bytes, name: str) -> str | None:
-    m = re.search(rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", head.decode())
+
+def _header(head: str, name: str) -> str | None:
+    m = re.search(rf"(?im)^{re.escape(name)}:[ \t]*([^\r\n]*)", head)
     return m[1] if m else None
 
 
+def _whole_number(text: str | None) -> int | None:
+    return int(text) if text is not None and re.fullmatch(r"-?[0-9]{1,18}", text.strip()) else None
+
+
+def split_body(body: bytes) -> tuple[str, bytes]:
+    """The HTTP header of a record's body, with CRLF line ends, and the payload; no header if the body is not HTTP."""
+    if not body.startswith(b"HTTP/"):
+        return "", body
+    end = _EMPTY_LINE.search(body)
+    head, payload = (body, b"") if end is None else (body[:end.start()], body[end.end():])
+    return re.sub(r"\r?\n", "\r\n", _text(head).rstrip("\r\n")), payload
+
+
 def _from_arc(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
-            for uri, date, _, body in parse_arc(Bytes(_pieces(batches))):
-                head, _, payload = body.partition(b"\r\n\r\n")
-                key = _header(head, "X-Page-Id")
-                yield (None if key is None else int(key), uri, date, head.decode(), payload.decode() if keep else "",
+            for uri, date, mime, body in parse_arc(Bytes(_pieces(batches))):
+                head, payload = split_body(body)
+                yield (_whole_number(_header(head, "X-Page-Id")), uri, date, mime, head, payload.decode() if keep else "",
                        len(payload), hashlib.sha1(payload).hexdigest())
         return _batches(rows(), _RECORD)
     return run
 
 
-_RECORD_DDL = "page_id long, uri string, date string, head string, payload string, payload_bytes long, payload_digest string"
+_RECORD_DDL = "page_id long, uri string, date string, mime string, head string, payload string, payload_bytes long, payload_digest string"
 
 
 def arc_records(pieces: DataFrame, payloads: bool = True) -> DataFrame:
@@ -205,24 +230,26 @@ def _base32(data: bytes) -> str:
     return "sha1:" + base64.b32encode(data).decode()
 
 
-def warc_record(page_id, uri, date, head, payload, digest, refers_to) -> str:
-    """One WARC record (without its last line feed): a response, or a revisit without payload."""
+def warc_record(page_id, uri, date, mime, head, payload, size, digest, refers_to) -> str:
+    """One WARC record (without its last line feed): a response, a resource (no HTTP header), or a revisit without payload."""
+    date = (date + ARC_DATE[len(date):])[:14]  # short dates of old archives
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    block = head + "\r\n\r\n" + (payload if refers_to is None else "")
+    block = (head + "\r\n\r\n" if head else "") + (payload if refers_to is None else "")
     raw = block.encode()
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Target-URI: {uri}",
+    kind = "revisit" if refers_to is not None else "response" if head else "resource"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Target-URI: {uri}",
              f"WARC-Date: {iso}", f"WARC-Record-ID: {record_id(uri, date, digest, page_id)}",
              f"WARC-Payload-Digest: {_base32(bytes.fromhex(digest))}", f"WARC-Block-Digest: {_base32(hashlib.sha1(raw).digest())}"]
     if refers_to is not None:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"X-Refers-To-Page: {refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(raw)}"]
+    lines += [f"X-Payload-Length: {size}", f"Content-Type: {'application/http; msgtype=response' if head else mime}", f"Content-Length: {len(raw)}"]
     return "\r\n".join(lines) + "\r\n\r\n" + block + "\r\n\r"
 
 
 def _to_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            names = ("page_id", "uri", "date", "head", "payload", "payload_digest", "refers_to")
+            names = ("page_id", "uri", "date", "mime", "head", "payload", "payload_bytes", "payload_digest", "refers_to")
             for row in zip(*(b.column(b.schema.get_field_index(n)).to_pylist() for n in names), strict=True):
                 yield (warc_record(*row),)
     return _batches(rows(), pa.schema([("value", pa.string())]))
@@ -242,7 +269,7 @@ def convert(pieces: DataFrame, path: str, least: int = REVISIT_BYTES) -> None:
     records = records.withColumn("refers_to", F.when(older, F.col("top")))
     # a revisit's payload need not travel on
     records = records.withColumn("payload", F.when(older, F.lit("")).otherwise(F.col("payload")))
-    out = records.select("page_id", "uri", "date", "head", "payload", "payload_digest", "refers_to")
+    out = records.select("page_id", "uri", "date", "mime", "head", "payload", "payload_bytes", "payload_digest", "refers_to")
     out.mapInArrow(_to_warc, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
@@ -255,7 +282,7 @@ def parse_warc(stream: Bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"not a WARC record: {line[:40]!r}")
         headers = {}
         while (line := stream.line()) not in (b"\r", b"", None):
-            name, _, value = line.decode().partition(":")
+            name, _, value = _text(line).partition(":")
             headers[name.strip().lower()] = value.strip()
         yield headers, stream.read(int(headers["content-length"]))
 
@@ -269,22 +296,26 @@ def _from_warc(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for headers, block in parse_warc(Bytes(_pieces(batches))):
-                if headers["warc-type"] not in ("response", "revisit"):
+                kind = headers["warc-type"]
+                if kind not in ("response", "revisit", "resource"):
                     continue
-                head, _, payload = block.partition(b"\r\n\r\n")
-                key, ref = _header(head, "X-Page-Id"), headers.get("x-refers-to-page")
-                digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                size = int(_header(head, "Content-Length"))
-                if headers["warc-type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
-                yield (None if key is None else int(key), size, digest, headers["warc-type"], None if ref is None else int(ref),
+                head, payload = ("", block) if kind == "resource" else split_body(block)
+                found = hashlib.sha1(payload).hexdigest()
+                stated = headers.get("warc-payload-digest", "")
+                digest = base64.b32decode(stated.removeprefix("sha1:")).hex() if stated.startswith("sha1:") else found
+                size = _whole_number(headers.get("x-payload-length"))
+                if kind != "revisit":
+                    if found != digest:
+                        raise ValueError(f"payload of {headers['warc-record-id']} does not match its digest")
+                    size = len(payload)
+                yield (_whole_number(_header(head, "X-Page-Id")), size, digest, kind, _whole_number(headers.get("x-refers-to-page")),
                        headers["warc-target-uri"], headers["warc-record-id"], payload.decode() if keep else None)
         return _batches(rows(), _READ)
     return run
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """The response and revisit records under ``path``; payloads are checked against their digests."""
+    """The response, resource and revisit records under ``path``; payloads are checked against their digests."""
     lines = shipped(spark).read.option("lineSep", "\n").text(path)
     return lines.select("value").mapInArrow(_from_warc(payloads), "page_id long, payload_bytes long, payload_digest string, "
         "record_type string, refers_to long, uri string, record_id string, payload string")
