@@ -273,7 +273,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the contaminated documents, all columns kept. A null doc_id stays."""
-    bad = written(contaminated(docs, benchmark, **options).select(
-        F.col("doc_id").alias("_bad_doc")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["_bad_doc"], "left_anti")
+    """``docs`` without the contaminated rows, all columns kept.
+
+    Rows are judged by their text: a null doc_id saves no copy, and a clean text stays under an id that a
+    contaminated one shares. Rows of one text are judged alike."""
+    by_text = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+    bad = written(contaminated(by_text, benchmark, **options).select(F.col("doc_id").alias("_bad_text")).distinct(), "contaminated")
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad_text"], "left_anti")
