@@ -180,25 +180,26 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mark:
 
     Rows without a finding pass unchanged, and every row is kept."""
     names = docs.columns
-    hits = scan(docs, ledger, rules).where(F.size("spans") > 0).groupBy(F.col("blob").alias("_secret_blob")).agg(
-        F.first("spans").alias("_secret_spans"))
-    rows = docs.withColumn("_secret_key", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    rows = rows.join(hits, F.col("_secret_key") == F.col("_secret_blob"), "left")
+    hits = scan(docs, ledger, rules).where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    # the columns of the documents are packed, so none of theirs meets one of ours
+    rows = docs.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("doc"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("key"))
+    rows = rows.join(hits, F.col("key") == F.col("blob"), "left")
+    text = F.col("doc")["text"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s, x):
         # overlapping spans are one gap: a span that starts inside the last one only extends it
-        piece = F.when(x["start"] >= s["at"], F.concat(
-            F.col("text").substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))
+        piece = F.when(x["start"] >= s["at"], F.concat(text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], piece).alias("out"))
 
-    clean = F.aggregate("_secret_spans", start, step, lambda s: F.concat(
-        s["out"], F.col("text").substr(s["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("_secret_spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
+    found = F.col("spans").isNotNull()
+    rows = rows.withColumn("clean", F.when(found, clean).otherwise(text))
+    made = {"text": F.col("clean")}
     if "n_chars" in names:
-        rows = rows.withColumn("n_chars", F.when(F.col("_secret_spans").isNotNull(), F.length("text").cast(
-            dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*names)
+        n = F.col("doc")["n_chars"]
+        made["n_chars"] = F.when(found, F.length("clean").cast(dict(docs.dtypes)["n_chars"])).otherwise(n)
+    return rows.select(*(made.get(n, F.col("doc").getField(n)).alias(n) for n in names))
 
 
 def fresh_ledger(docs: DataFrame, name: str) -> str:
