@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_and_released(df: DataFrame, name: str) -> DataFrame:
+    """:func:`written`, in zstd; then the driver collects its garbage. The shuffle files of a plan stay on the executors' disks until
+    the driver finds that the plan is gone, which long chains of written tables would otherwise wait for."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "llm", name)
+    df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written table that no later plan reads."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers."""
     ship_package(spark)
@@ -72,3 +91,60 @@ def word_sizes(docs: DataFrame, *carry: str) -> DataFrame:
     kinds = dict(docs.select(*carry).dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", size long"
     return docs.select("text", *carry).mapInArrow(_count_words, schema)
+
+
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Which bytes are white space.
+SPACE_BYTES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _byte_values() -> np.ndarray:
+    """A 64-bit value for every byte (splitmix64 of its number), A-Z as a-z; white space has none."""
+    lower = np.arange(256, dtype=np.uint64)
+    lower[65:91] += np.uint64(32)
+    x = (lower + np.uint64(1)) * _GOLDEN
+    x = (x ^ (x >> np.uint64(30))) * _MIX
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.where(SPACE_BYTES, np.uint64(0), x ^ (x >> np.uint64(31)))
+
+
+_VALUES = _byte_values()
+_P = 0xD6E8FEB86659FD93
+#: They grow with the longest text met.
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of an odd number, and of its inverse, modulo 2^64, at least ``n`` of them."""
+    if len(_POWERS[0]) < n:
+        size = max(n, 2 * len(_POWERS[0]), 1 << 16)
+        for i, base in enumerate((_P, pow(_P, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(29)
+    x *= _MIX
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def word_starts(b: np.ndarray) -> np.ndarray:
+    """Places of the bytes that begin a word."""
+    space = SPACE_BYTES[b]
+    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of every word of a UTF-8 text, A-Z as a-z: the sum of its bytes' values times powers, moved to
+    the word's start, mixed. All words of the text are hashed by a few passes over its bytes."""
+    b = np.frombuffer(raw, np.uint8)
+    starts = word_starts(b)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(b))
+    return mixed(np.add.reduceat(_VALUES[b] * up[:len(b)], starts) * down[starts])

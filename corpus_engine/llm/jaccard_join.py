@@ -37,11 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpus_engine.llm.common import shipped, written
+from corpus_engine.llm.common import discard, mixed, shipped, word_hashes, written_and_released
 
 SHINGLE = 5
 #: A link is 100 * intersection >= LINK * union.
@@ -56,37 +55,18 @@ ROUNDS = 2
 #: Members of one block of a large group.
 BLOCK = 512
 _K = np.uint64(0x9E3779B97F4A7C15)
-_M = np.uint64(0xBF58476D1CE4E5B9)
-_WORDS: dict[bytes, int] = {}
-
-
-def _word_hashes(ws: list[bytes]) -> np.ndarray:
-    if len(_WORDS) > 1_000_000:
-        _WORDS.clear()
-    get = _WORDS.get
-    out = [get(w) for w in ws]
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _WORDS[ws[i]] = xxhash.xxh64_intdigest(ws[i])
-    return np.array(out, np.uint64)
-
-
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a text."""
-    ws = (text or "").encode().lower().split()
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = _word_hashes(ws)
+    h = word_hashes((text or "").encode())
+    if not len(h):
+        return h
     k = min(size, len(h))
     n = len(h) - k + 1
     out = np.full(n, np.uint64(k))
     for i in range(k):
         out = out * _K + h[i:i + n]
-    out ^= out >> np.uint64(29)
-    out *= _M
-    out ^= out >> np.uint64(32)
-    return np.unique(out)
+    out = np.sort(mixed(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def prefix_length(n: int, guarantee: int = GUARANTEE) -> int:
@@ -131,7 +111,7 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     a frequent shingle doubles until the table has its bounded size. Only the order of
     shingles depends on it, never a link."""
     counts = docs.select("doc_id", "text").mapInArrow(_count_repeated, "token long, n long")
-    counts = written(counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "shingle-counts")
+    counts = written_and_released(counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "shingle-counts")
     steps = counts.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()  # one row per power of two
     least, held = 64, 0
     for row in sorted(steps, key=lambda r: -r["k"]):
@@ -196,7 +176,7 @@ def _distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     full = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     out = full.select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long, both long, either long")
-    return written(out, "jaccard-distances")
+    return written_and_released(out, "jaccard-distances")
 
 
 def _linked(distances: DataFrame) -> DataFrame:
@@ -207,13 +187,13 @@ def components(links: DataFrame) -> DataFrame:
     """(v, comp): the smallest vertex reachable over ``links`` (a, b), for every linked vertex.
 
     Rounds of smallest-neighbour labels with pointer jumping, each written to the shared folder."""
-    edges = written(links.union(links.select("b", "a")).distinct().toDF("v", "w"), "links")
-    labels = written(edges.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("comp")), "labels")
+    edges = written_and_released(links.union(links.select("b", "a")).distinct().toDF("v", "w"), "links")
+    labels = written_and_released(edges.groupBy("v").agg(F.least(F.col("v"), F.min("w")).alias("comp")), "labels")
     while True:
         near = edges.join(labels.select(F.col("v").alias("w"), "comp"), "w").groupBy("v").agg(F.min("comp").alias("m"))
         low = labels.join(near, "v").select("v", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
         jump = low.select(F.col("v").alias("comp"), F.col("comp").alias("to"))
-        new = written(low.join(jump, "comp", "left").select("v", F.least("comp", F.coalesce("to", "comp")).alias("comp"),
+        new = written_and_released(low.join(jump, "comp", "left").select("v", F.least("comp", F.coalesce("to", "comp")).alias("comp"),
                                                             "old"), "labels")
         if new.where("comp < old").isEmpty():
             return new.select("v", "comp")
@@ -236,9 +216,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = shipped(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    base = written(docs.mapInArrow(_signed(frequent), "doc_id long, n long, hi long, lo long, prefix array<long>"), "sets")
+    base = written_and_released(docs.mapInArrow(_signed(frequent), "doc_id long, n long, hi long, lo long, prefix array<long>"), "sets")
     sets = base.where("n > 0 AND doc_id IS NOT NULL")
-    classes = written(sets.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "set-classes")
+    classes = written_and_released(sets.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "set-classes")
     members = base.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo"], "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep"))
 
@@ -246,7 +226,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token"))
     regions = rows.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where(
         "pivot < top").select("token", "pivot")
-    live = written(rows.join(regions, "token").select("token", "doc", "n", "pos").distinct(), "regions")
+    live = written_and_released(rows.join(regions, "token").select("token", "doc", "n", "pos").distinct(), "regions")
 
     # documents that meet others in too few regions have no link; without them regions shrink
     need = _need("n")
@@ -255,9 +235,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         rows = live.join(busy, "doc", "left_semi")
         regions = rows.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top"), F.count(
             F.lit(1)).alias("members")).where("pivot < top").select("token", "pivot", "members")
-        live = written(rows.select("token", "doc", "n", "pos").join(regions, "token"), "regions")
+        smaller = written_and_released(rows.select("token", "doc", "n", "pos").join(regions, "token"), "regions")
+        discard(live)
+        live = smaller
     rows = live
-    texts = written(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "busy-texts")
+    texts = written_and_released(docs.join(rows.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "busy-texts")
 
     # document pivots: members that share much of their boundary with the region's smallest document
     star = rows.where("doc <> pivot").groupBy("doc", "n", "pivot").agg(F.count(F.lit(1)).alias("c")).where(
@@ -271,11 +253,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # the largest regions of a document, as many as it can do without, search no pairs
     by_size = Window.partitionBy("doc", "n").orderBy(F.desc("members"), "token")
     rows = rows.withColumn("rank", F.row_number().over(by_size)).where(F.col("rank") >= need).drop("rank")
-    placed = written(rows.join(delta, ["doc", "pivot"], "left"), "placed")
+    placed = written_and_released(rows.join(delta, ["doc", "pivot"], "left"), "placed")
     for _ in range(ROUNDS):
         now = _with_comps(placed, comps)
         large = _open_regions(now).where(F.col("members") > LARGE).select("token", "c0")
-        inside = written(now.join(large, "token").where("comp <> c0"), "rest")
+        inside = written_and_released(now.join(large, "token").where("comp <> c0"), "rest")
         if inside.isEmpty():
             break
         # the next pivot is the smallest member outside the first component; it meets the whole region
@@ -292,9 +274,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         comps = components(links)
 
     # what remains: pairs across components within their regions
-    now = written(_with_comps(placed, comps), "placed-comps")
+    now = written_and_released(_with_comps(placed, comps), "placed-comps")
     rest = now.join(_open_regions(now).select("token", F.col("members").alias("held")), "token")
-    rest = written(rest.withColumn("big", F.sum(F.when(F.col("held") > LARGE, 1).otherwise(0)).over(
+    rest = written_and_released(rest.withColumn("big", F.sum(F.when(F.col("held") > LARGE, 1).otherwise(0)).over(
         Window.partitionBy("doc", "n"))), "open-regions")
     pairs = _small_pairs(rest.where(F.col("held") <= LARGE)).unionByName(
         _large_pairs(rest.where(F.col("held") > LARGE), base)).distinct()
@@ -394,7 +376,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share the kept doc_id are all kept, and so are rows with a null doc_id."""
     names = docs.columns
     kept = jaccard_components(docs.select("doc_id", "text"))
-    gone = written(kept.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    gone = written_and_released(kept.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*names)
 
 
