@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 from corpus_engine.llm import decontaminate, extract, jaccard_join, mixing, pii, quality, secrets, span_dedup, token_counts, warc
 from pyspark.sql import functions as F
@@ -197,14 +198,17 @@ def test_decontamination(spark):
     other = ITEM.replace("12", "57").replace("30", "99").replace("Anna", "Peter").replace("Boston", "Lagos")
     clash = "What is the total cost when Anna buys 12 boxes of 31 red pens"
     docs = spark.createDataFrame([(1, f"Intro words. {ITEM}. More words."), (2, f"Intro words. {other}. More."), (3, "clean " * 50), (4, None),
-                                  (5, ""), (6, f"Some. {clash}."), (None, ITEM), (7, "so tiny item here now stands")],
+                                  (5, ""), (6, f"Some. {clash}."), (None, ITEM), (7, "so tiny item here now stands"),
+                                  (None, "clean under no id " * 9), (1, "clean under an id " * 9)],
                                  "doc_id long, text string").withColumn("hash", F.lit(1))
     got = {(r["doc_id"], r["item_id"]): r["reworded"] for r in decontaminate.contaminated(docs, bench).collect()}
     assert got[(1, 1)] is False and got[(2, 1)] is True and got[(None, 1)] is False
     assert not any(d in (3, 4, 5) for d, _ in got)
     left = decontaminate.decontaminate(docs, bench)
     assert left.columns == docs.columns
-    assert {3, 4, 5, None} <= {r["doc_id"] for r in left.collect()} and not {1, 2} & {r["doc_id"] for r in left.collect()}
+    kept = [(r["doc_id"], (r["text"] or "")[:8]) for r in left.collect()]
+    assert {(3, "clean cl"), (4, ""), (5, ""), (None, "clean un"), (1, "clean un")} <= set(kept)
+    assert not [k for k in kept if k[0] in (2, 7)] and len([k for k in kept if k[0] in (1, None)]) == 2
 
 
 def found_items(spark, items, texts):
@@ -298,10 +302,80 @@ def test_every_repeated_passage_holds_a_span():
             gap = "" if kind is None else " "
             passage = text(50, kind)
             one, two = (gap.join((text(40, kind), passage, text(40, kind))) for _ in range(2))
-            held = [{h for _, _, h in span_dedup.spans(span_dedup.units(t))} for t in (one, two)]
+            held = [set(span_dedup.spans(t)[2].tolist()) for t in (one, two)]
             assert held[0] & held[1], (kind, passage)
 
 
+def plain_spans(text):
+    """(first, end, words) of the spans, from the units as strings."""
+    of = [w for w in (tuple(span_dedup.words(p.lower())) for p in span_dedup.units(text or "")) if w]
+    for i in range(len(of)):
+        for end in range(i + span_dedup.SPAN_UNITS, len(of) + 1):
+            ws = sum(of[i:end], ())
+            if len(ws) >= span_dedup.SPAN_WORDS:
+                yield i, end, ws
+                break
+
+
+def plain_dedup(docs):
+    """doc_id -> (text left, owners) of the documents that lose units."""
+    owner, met = {}, {}
+    for d, t in docs:
+        for _, _, ws in plain_spans(t):
+            met.setdefault(ws, []).append(d)
+    owner = {ws: min(x for x in ids if x is not None) for ws, ids in met.items() if any(x is not None for x in ids)}
+    out = []
+    for d, t in docs:
+        rest = (t or "").lstrip()
+        pieces = span_dedup.units(rest)
+        dead, owners, seen = set(), set(), set()
+        for i, end, ws in plain_spans(t):
+            if ws in seen or (d is not None and owner[ws] != d):
+                dead.update(range(i, end))
+                if ws in owner:
+                    owners.add(owner[ws])
+            seen.add(ws)
+        if dead:
+            left = "".join(p for i, p in enumerate(pieces) if i not in dead)
+            out.append((d, len(pieces), len(dead), t[:len(t) - len(rest)] + left, sorted(owners)))
+    return sorted(out, key=str)
+
+
+def odd_texts(seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)] + ["Ünï", "don't", '"Yes."', "(no)", "e.g.", "end…", "ΟΔΟΣ", "İst", "..", "a.b"]
+    passages = [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", "!", ",", '."', "\n"]) for _ in range(60)) for _ in range(4)]
+    spaces = [" ", " ", "\n", "  ", "\t", "\r\n", "\x0b"]
+    for _ in range(40):
+        parts = [rng.choice(passages)[rng.randrange(40):] if rng.random() < 0.4 else " ".join(rng.choice(words) for _ in range(rng.randrange(15)))
+                 for _ in range(rng.randrange(5))]
+        text = rng.choice(spaces).join(parts)
+        yield rng.choice(["", " ", "\n"]) + text + rng.choice(["", " ", ".", "\u00a0x", " \u4e2d\u6587。", "\x1c"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_span_dedup_against_brute_force(spark, seed):
+    docs = [(i, t) for i, t in enumerate(odd_texts(seed))] + [(None, next(odd_texts(seed))), (500, None), (501, ""), (502, PASSAGE), (503, PASSAGE.upper()),
+                                                             (504, "word " * 300)]
+    got = span_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    want = plain_dedup(docs)
+    assert sorted(((r["doc_id"], r["n_units"], r["n_removed"], r["text_kept"], sorted(r["first_doc_ids"])) for r in got), key=str) == want
+    assert len(want) > 10
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_cuts_by_bytes_are_those_of_the_units(seed):
+    """Words, units and spans found by passes over the bytes are those of the units as strings."""
+    for t in odd_texts(100 + seed):
+        of = [w for w in (span_dedup.words(p.lower()) for p in span_dedup.units(t)) if w]
+        h, starts = span_dedup._cut(t)
+        assert [len(w) for w in of] == np.diff(starts, append=len(h)).tolist(), t
+        first, end, hashes = span_dedup.spans(t)
+        plain = list(plain_spans(t))
+        assert list(zip(first.tolist(), end.tolist())) == [(i, e) for i, e, _ in plain]
+        assert len(set(hashes.tolist())) == len({ws for _, _, ws in plain})
+
+
 def test_units_join_to_the_text():
     for t in (PASSAGE, "a\n\nb. c", "no end", "x " * 100, "", "…!? a", "これは。長い文" * 9, "İİ " * 30 + "ไทย"):
         assert "".join(span_dedup.units(t)) == t
@@ -404,6 +478,34 @@ def test_warc_round_trip(spark):
     assert texts == {(i, h or "") for i, _, h in rows if i in (3, 4, 5, 6, 7, 8)}
 
 
+def test_archives_of_others(spark):
+    """Records without Content-Length, of LF header lines, of other kinds than HTTP, and repeats among them."""
+    big = "same body " * 200
+    bodies = [("http://a/", "text/html", "HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>no length</p>"), ("http://b/", "text/html", "HTTP/1.0 200 OK\nServer: y\n\n<p>lf</p>"),
+              ("dns:c", "text/dns", "20000101\nc. 1 IN A 1.2.3.4"), ("http://d/", "text/html", "HTTP/1.0 304 Not Modified\r\nX-Page-Id: none"),
+              ("http://e/", "text/html", "HTTP/1.0 200 OK\r\nX-Page-Id: 4\r\nContent-Length: 99\r\n\r\n" + big),
+              ("http://f/", "text/html", "HTTP/1.0 200 OK\r\nX-Page-Id: 7\r\n\r\n" + big), ("ftp://g/", "text/plain", "")]
+    pieces = [warc.arc_head(1)] + [warc.arc_record(1, *(b[0], b[2], b[1])) for b in bodies]
+    df = spark.createDataFrame([(x,) for x in pieces], "value string").coalesce(1)
+    path = warc.scratch_path(spark, "llm", "test-foreign")
+    warc.convert(df, path)
+    got = {r["uri"]: r for r in warc.read_warc(spark, path, payloads=True).collect()}
+    assert {u: r["record_type"] for u, r in got.items()} == {"http://a/": "response", "http://b/": "response", "dns:c": "resource", "http://d/": "response",
+                                                            "http://e/": "revisit", "http://f/": "response", "ftp://g/": "resource"}
+    assert got["http://a/"]["payload"] == "<p>no length</p>" and got["http://b/"]["payload"] == "<p>lf</p>"
+    assert got["dns:c"]["payload"] == bodies[2][2] and got["http://d/"]["payload"] == "" and got["http://d/"]["page_id"] is None
+    assert (got["http://e/"]["refers_to"], got["http://e/"]["payload_bytes"]) == (7, len(big)) and got["http://f/"]["payload"] == big
+
+
+def test_redact_of_clashing_columns(spark):
+    names = "doc_id long, text string, n_chars int, _secret_key string, key string, blob string, spans string, doc string, clean string"
+    rows = [(1, "password = hunter22x", 20, *"abcdef"), (2, None, 0, *"uvwxyz")]
+    df = spark.createDataFrame(rows, names)
+    got = {r["doc_id"]: tuple(r) for r in secrets.redact(df, secrets.fresh_ledger(df, "clash")).collect()}
+    assert got[1][1] != rows[0][1] and "hunter22x" not in got[1][1] and got[1][2] == len(got[1][1]) and got[1][3:] == tuple("abcdef")
+    assert got[2] == rows[1]
+
+
 def test_arc_versions():
     for v in (1, 2):
         pieces = [warc.arc_head(v), warc.arc_record(v, "http://a b", "line\n\nfiledesc://x 1"), warc.arc_record(v, "http://c", "é")]
