@@ -174,6 +174,18 @@ def _semantic_starts(n: int, sentence_vec, merged_vec, threshold: float) -> list
     return starts
 
 
+#: Token and text bytes of the documents whose chunks are made at a time.
+SLICE_BYTES = 1 << 23
+
+
+def _slices_of(rb, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about ``most`` bytes, a document at least, so that what a worker holds besides the
+    batch does not grow with the number of rows in it."""
+    step = max(1, int(rb.num_rows * most // max(1, rb.nbytes)))
+    for at in range(0, rb.num_rows, step):
+        yield rb.slice(at, step)
+
+
 def _semantic_batch(rb, keys: Sequence[str], dim: int, threshold: float, target, encode=None):
     """One Arrow batch of documents -> chunk rows. Hash embedder: the sentence vectors of a
     document come from one bincount and a grown chunk's vector is the sum of its
@@ -250,8 +262,8 @@ def chunk_semantic(df: DataFrame, text: str = "text", keys=("doc_id",), embedder
             from corpus_engine.operators.embed import worker_model
             encode = worker_model(factory, model_key)
         for rb in batches:
-            if rb.num_rows:
-                yield _semantic_batch(rb, keys, dim, threshold, target, encode)
+            for part in _slices_of(rb):
+                yield _semantic_batch(part, keys, dim, threshold, target, encode)
 
     out = prepared.mapInArrow(run, schema)
     return out.withColumn("id", F.concat(F.col(keys[0]).cast("string"), F.lit("_chunk_"),
