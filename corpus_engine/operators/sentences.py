@@ -29,10 +29,13 @@ _LAST = r"(?:^|" + T.WS + r")[\"'(\[{\p{Pi}]*(\p{L}+(?:\.\p{L}+)*)\.[\"')\]]*" +
 
 
 def period_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word, n_period and n_plain: uses of every type with and without a period after it."""
-    words = docs.select(F.explode(T.words(F.col(text))).alias("w"))
-    typed = words.select(F.lower(F.regexp_extract("w", _TYPE, 1)).alias("word"), (F.regexp_extract("w", _TYPE, 2) == ".").alias("p")).where("word <> ''")
-    return typed.groupBy("word").agg(F.count(F.when(F.col("p"), 1)).alias("n_period"), F.count(F.when(~F.col("p"), 1)).alias("n_plain"))
+    """word, n_period and n_plain: uses of every type with and without a period after it.
+
+    Words are counted as they stand before they are typed, so the patterns run once a spelling and not once a use."""
+    words = docs.select(F.explode(T.words(F.col(text))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    typed = words.select(F.lower(F.regexp_extract("w", _TYPE, 1)).alias("word"), (F.regexp_extract("w", _TYPE, 2) == ".").alias("p"), "n").where("word <> ''")
+    return typed.groupBy("word").agg(F.sum(F.when(F.col("p"), F.col("n")).otherwise(0)).alias("n_period"),
+                                     F.sum(F.when(~F.col("p"), F.col("n")).otherwise(0)).alias("n_plain"))
 
 
 def _likelihood(hits: Column, misses: Column, p: Column) -> Column:
@@ -48,14 +51,14 @@ def score(n_period: Column, n_plain: Column, share: Column, word: Column) -> Col
 
 
 def learn_abbreviations(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, min_count: int = MIN_COUNT) -> DataFrame:
-    """word, n_period, n_plain and score (rounded to 6 decimals) of the corpus's abbreviations."""
+    """word, n_period, n_plain and score (rounded to 6 decimals) of the corpus's abbreviations.
+
+    The share of periods is one row over the same counts, whose shuffle both read: the corpus is read once."""
     counts = period_counts(docs, text)
     total = counts.agg((F.sum("n_period") / F.sum(F.col("n_period") + F.col("n_plain"))).alias("share"))
-    share = total.first()["share"]
-    if not share or share >= 1:  # no period at all, or nothing else
-        return counts.where("false").withColumn("score", F.lit(0.0))
-    s = F.round(score(F.col("n_period"), F.col("n_plain"), F.lit(share), F.col("word")), 6)
-    return counts.withColumn("score", s).where((F.col("score") >= threshold) & (F.col("n_period") >= min_count))
+    some = counts.crossJoin(F.broadcast(total.where("share > 0 AND share < 1")))  # no row if there is no period at all, or nothing else
+    s = F.round(score(F.col("n_period"), F.col("n_plain"), F.col("share"), F.col("word")), 6)
+    return some.withColumn("score", s).drop("share").where((F.col("score") >= threshold) & (F.col("n_period") >= min_count))
 
 
 def sentences(text: str | Column, abbreviations: list[str]) -> Column:

@@ -106,6 +106,17 @@ def test_retrieval_embeds_once(spark, name):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall("MapInArrow", plan)) == 1 and plan.count("md5(") == 1, name
 
+
+def test_abbreviations_are_learnt_in_one_pass(spark):
+    df = QUERIES["learn_abbreviations"](spark, SF001)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1
+    # a spelling is counted before it is typed
+    lines = plan.splitlines()
+    typed = max(i for i, ln in enumerate(lines) if "regexp_extract" in ln)
+    assert any("HashAggregate(keys=[w" in ln for ln in lines[typed + 1:])
+
 WRITES_FIRST = {"stream_ingest", "scan_text_files", "scan_binary_files", "stage_reload", "write_report",
                 "collection_write", "insert_if_absent", "answer_from_collection", "upload_status", "upload_retrieve",
                 "retrieve_expanded", "retrieve_feedback", "collection_compacted", "stream_uploads", "scan_convertible_files", "knn_ivf",
