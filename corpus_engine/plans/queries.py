@@ -639,12 +639,12 @@ def q_scan_text_files(spark, sf):
     """K3 + S1: cleaned documents written one text file per safe name, then scanned back
     whole (the text writer ends each file with a newline)."""
     from corpus_engine.sources.files import scan_text_files
+    from corpus_engine.sources.sinks import write_text_files
     base = _scratch(spark, "texts")
     named = cleaned(spark, sf).withColumn("safe_name", T.safe_filename(F.col("doc_id").cast("string")))
-    named.filter(F.col("safe_name").isNotNull()).select("safe_name", "text") \
-        .write.partitionBy("safe_name").text(base)
+    write_text_files(named, base)
     scanned = scan_text_files(spark, base, glob="*.txt", recursive=True)
-    return scanned.select(F.regexp_extract("path", "safe_name=([^/]*)/", 1).alias("safe_name"), "text")
+    return scanned.select(F.col("id").alias("safe_name"), "text")
 
 
 def q_scan_binary_files(spark, sf):

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from corpus_engine.config import DEFAULTS
 from corpus_engine.functions.files import base_name, extension, has_extension
 
+#: Tasks per core of a scan, at most. Spark counts a file as 4 MB at least, so small files make a task for every few of them.
+SCAN_TASKS = 32
 COLLECTION_SCHEMA = "id string, doc_id string, chunk_index int, text string, embedding array<float>"
 
 
@@ -17,12 +19,20 @@ def scan_text_files(spark: SparkSession, path: str, glob: str = "*.txt",
                     recursive: bool = False) -> DataFrame:
     """One row per file ``(id = file name, text)``, read whole, UTF-8; the glob is
     case-sensitive and the listing is not recursive unless asked."""
-    df = (spark.read.option("pathGlobFilter", glob)
-          .option("recursiveFileLookup", recursive).text(path, wholetext=True))
+    reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
+    if glob.endswith(".txt"):
+        # the same rows: the text reader copies the session's configuration for every file, and unpacks files of other endings
+        df = reader.format("binaryFile").load(path).withColumn("value", F.col("content").cast("string"))
+    else:
+        df = reader.text(path, wholetext=True)
     # the metadata's names are URL-encoded but for a plus sign, which stands for itself
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return df.select(name.alias("id"), F.col("value").alias("text"),
-                     F.col("_metadata.file_path").alias("path"))
+    return _in_fewer_tasks(df.select(name.alias("id"), F.col("value").alias("text"),
+                                     F.col("_metadata.file_path").alias("path")))
+
+
+def _in_fewer_tasks(scan: DataFrame) -> DataFrame:
+    return scan.coalesce(SCAN_TASKS * scan.sparkSession.sparkContext.defaultParallelism)
 
 
 def scan_binary_files(spark: SparkSession, path: str, glob: str | None = "*.pdf",

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +14,12 @@ from corpus_engine.functions.files import stem
 from corpus_engine.functions.html import html_to_markdown
 from corpus_engine.functions.text import safe_filename
 from corpus_engine.operators.ingest import first_per_key, ledger_additions, salted_join
+from corpus_engine.session import ship_package
 from corpus_engine.sources.files import path_exists
 
+#: Files of one folder that :func:`write_text_files` makes.
+FOLDER_FILES = 2000
+
 
 def write_stage(df: DataFrame, path: str) -> None:
     """K1: always overwrite."""
@@ -54,6 +63,60 @@ def write_texts(df: DataFrame, path: str, id_col: str = "id", text: str = "text"
     return df.sparkSession.read.parquet(path).count()
 
 
+def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system of a full path, and the path in it."""
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _write_files(uri: str):
+    """(name, body) sorted by name to files, in folders of a task that appear when it has ended."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = _file_system(uri)
+        task = TaskContext.get()
+        # scans pass over names that begin with an underscore: a task that fails leaves nothing to read
+        own, final = f"{root}/_{task.taskAttemptId()}", f"{root}/{task.partitionId()}"
+        files, last, out = 0, None, None
+        for b in batches:
+            for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if name != last:
+                    if out is not None:
+                        out.close()
+                    folder = f"{own}/{files // FOLDER_FILES}"
+                    if files % FOLDER_FILES == 0:
+                        fs.create_dir(folder, recursive=True)
+                    out, last = fs.open_output_stream(f"{folder}/{name}"), name
+                    files += 1
+                out.write((body or b"") + b"\n")
+        if out is not None:
+            out.close()
+            if fs.get_file_info(final).type == pafs.FileType.NotFound:  # else an earlier attempt of the task has ended
+                fs.move(own, final)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    return run
+
+
+def write_text_files(df: DataFrame, path: str, name: str = "safe_name", text: str = "text") -> int:
+    """K3 as the reference has it: one file ``name`` per text, each text ended by a newline; rows without a name are
+    skipped. Returns the number of files. Equal names met in one task are one file, in several tasks several.
+
+    Tasks make the files themselves, in folders of ``FOLDER_FILES``, and move them to their place as one folder a
+    task. Spark's partitioned writer makes a folder per file instead, sets the rights of both by a command of their own
+    on local disks, and moves every folder again from the driver."""
+    spark = df.sparkSession
+    ship_package(spark)
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hpath)
+    full = fs.makeQualified(hpath)
+    uri = full.toString() if full.toUri().getScheme() == "file" else full.toUri().toString()
+    rows = df.where(F.col(name).isNotNull()).select(name, F.col(text).cast("binary")).sortWithinPartitions(name)
+    return rows.mapInArrow(_write_files(uri), "files long").agg(F.sum("files")).first()[0] or 0
+
+
 def write_collection(df: DataFrame, path: str, mode: str = "append") -> None:
     """K5/K6: append to the collection. File sizes follow the partitions' bytes (the reference's
     5,000 rows are a limit of one client call, not a file size)."""

@@ -103,6 +103,83 @@ def test_scanned_names_are_as_stored(spark):
         ("Report.PDF", ".pdf"), ("x.Docx", ".docx")]
 
 
+def _rows_dir(spark, name, rows, schema, parts=3):
+    """A table folder that holds one table of the given rows."""
+    base = tempfile.mkdtemp(prefix="rows-", dir="/tmp")
+    spark.createDataFrame(rows, schema).repartition(parts).write.parquet(f"{base}/{name}.parquet")
+    return base
+
+
+def test_text_files_share_folders(spark):
+    """A folder per file costs a listing task each."""
+    from corpus_engine.plans.queries import QUERIES
+
+    rows = [(i, f"the text of the document number {i}.", "en") for i in range(300)] + [(None, "It has no name.", "en")]
+    out = QUERIES["scan_text_files"](spark, _rows_dir(spark, "documents", rows, "doc_id long, text string, lang string"))
+    files = out.inputFiles()
+    assert len(files) == 300 and len({f.rsplit("/", 1)[0] for f in files}) <= 16
+    got = {r["safe_name"]: r["text"] for r in out.collect()}
+    assert len(got) == 300 and all(got[f"{i}.txt"] == f"the text of the document number {i}.\n" for i in range(300))
+
+
+def test_page_files_share_folders(spark):
+    """Pages without a number, or with one below zero, are pages too."""
+    from corpus_engine.plans.queries import QUERIES
+
+    rows = [(i, "u", "é" * i) for i in range(200)] + [(-7, "u", "x"), (None, "u", "xyz"), (1000, "u", None)]
+    out = QUERIES["scan_binary_files"](spark, _rows_dir(spark, "pages", rows, "page_id long, url string, html string"))
+    assert len({f.rsplit("/", 1)[0] for f in out.inputFiles()}) <= 16
+    want = [(i, ".txt", 2 * i + 1) for i in range(200)] + [(-7, ".txt", 2), (None, ".txt", 4), (1000, ".txt", 1)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_text_files_of_equal_names_and_full_folders(spark, monkeypatch):
+    """Texts of one name in a task are one file; a task that fails leaves nothing to read; a space in a path stays."""
+    from pyspark.errors import PySparkException
+
+    from corpus_engine.sources import sinks
+    from corpus_engine.sources.files import scan_text_files
+
+    monkeypatch.setattr(sinks, "FOLDER_FILES", 2)
+    base = tempfile.mkdtemp(prefix="files-", dir="/tmp") + "/a b"
+    rows = [("b.txt", "1"), ("a.txt", "x\ny"), ("b.txt", "1"), (None, "z"), ("c.txt", None), ("d.txt", ""), ("e.txt", "é")]
+    df = spark.createDataFrame(rows, "safe_name string, text string").coalesce(1)
+    assert sinks.write_text_files(df, base) == 5
+    got = sorted((r["id"], r["text"]) for r in scan_text_files(spark, base, recursive=True).collect())
+    assert got == [("a.txt", "x\ny\n"), ("b.txt", "1\n1\n"), ("c.txt", "\n"), ("d.txt", "\n"), ("e.txt", "é\n")]
+    bad = tempfile.mkdtemp(prefix="files-", dir="/tmp")
+    with pytest.raises(PySparkException):
+        sinks.write_text_files(spark.createDataFrame([("a.txt", "x"), ("no/where.txt", "y")], "safe_name string, text string").coalesce(1), bad)
+    assert scan_text_files(spark, bad, recursive=True).count() == 0
+    none = tempfile.mkdtemp(prefix="files-", dir="/tmp") + "/new"
+    assert sinks.write_text_files(df.where("text = 'no such'"), none) == 0
+    assert scan_text_files(spark, none, recursive=True).count() == 0
+
+
+def test_scans_of_small_files_are_few_tasks(spark):
+    """Spark counts a file as 4 MB at least; whatever the bytes, a .txt file's text is what the text reader gives."""
+    from corpus_engine.sources import files as S
+
+    base = tempfile.mkdtemp(prefix="small-", dir="/tmp")
+    odd = [b"", b"\xef\xbb\xbfmark", b"bad \xff\xfe bytes", b"a\r\nb\rc\n\n", b"nul \x00 byte", "é".encode()]
+    for i in range(500):
+        with open(f"{base}/{i}.txt", "wb") as fh:
+            fh.write(odd[i % len(odd)])
+    prev = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 << 20))
+    try:
+        most = S.SCAN_TASKS * spark.sparkContext.defaultParallelism
+        assert S.scan_text_files(spark, base).rdd.getNumPartitions() <= most
+        assert S.scan_binary_files(spark, base, "*.txt").rdd.getNumPartitions() <= most
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", prev)
+    hexed = F.hex(F.col("text").cast("binary")).alias("hexed")
+    plain = spark.read.text(base, wholetext=True).select(F.regexp_extract("_metadata.file_name", "(.*)", 1), F.hex(F.col("value").cast("binary")))
+    scanned = sorted(map(tuple, S.scan_text_files(spark, base).select("id", hexed).collect()))
+    assert scanned == sorted(map(tuple, plain.collect())) and len(scanned) >= 400  # Spark passes over empty files
+    assert scanned == sorted(map(tuple, S.scan_text_files(spark, base, glob="*.t?t").select("id", hexed).collect()))
+
+
 def test_document_qualified_ids_keep_both_documents(spark):
     """K8: per-document counters would give both documents the id chunk_0 and lose one."""
     from corpus_engine.plans.index_build import build_index
