@@ -650,11 +650,13 @@ def q_scan_text_files(spark, sf):
 def q_scan_binary_files(spark, sf):
     """Pages written as files, scanned back as bytes with name and extension."""
     from corpus_engine.sources.files import scan_binary_files
+    from corpus_engine.sources.sinks import write_text_files
     base = _scratch(spark, "pages")
     # the operator reads whole files, so this query needs a file per page: its input is made one
-    table(spark, sf, "pages").select("page_id", "html").write.partitionBy("page_id").text(base)
+    named = table(spark, sf, "pages").select(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(".txt")).alias("name"), "html")
+    write_text_files(named, base, "name", "html")
     scanned = scan_binary_files(spark, base, glob="*.txt", recursive=True, extensions=(".txt",))
-    return scanned.select(F.regexp_extract("path", "page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+    return scanned.select(FI.stem("name").try_cast("bigint").alias("page_id"),
                           "ext", F.length("content").cast("bigint").alias("n_bytes"))
 
 

@@ -45,7 +45,7 @@ def scan_binary_files(spark: SparkSession, path: str, glob: str | None = "*.pdf"
     df = reader.load(path).select("path", base_name("path").alias("name"), extension("path").alias("ext"), "content")
     if extensions:
         df = df.filter(F.col("ext").isin(list(extensions)))
-    return df
+    return _in_fewer_tasks(df)
 
 
 def file_info(df: DataFrame, path: str = "path", default_name: str = "document.pdf") -> DataFrame:
