@@ -226,7 +226,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "token"))
     regions = rows.groupBy("token").agg(F.min("doc").alias("pivot"), F.max("doc").alias("top")).where(
         "pivot < top").select("token", "pivot")
+    # a table of its own: its shuffle of all boundary rows is gone before the join shuffles them again
+    regions = written_and_released(regions, "region-pivots")
     live = written_and_released(rows.join(regions, "token").select("token", "doc", "n", "pos").distinct(), "regions")
+    discard(regions)
 
     # documents that meet others in too few regions have no link; without them regions shrink
     need = _need("n")

@@ -80,6 +80,23 @@ def test_jaccard_large_region_recursion(spark, monkeypatch):
     assert got == brute.components(list(enumerate(texts)))
 
 
+def test_jaccard_shuffles_boundary_rows_once_at_a_time(spark, monkeypatch):
+    """All boundary rows are shuffled to find the shared regions and again to join them, in plans of their own: the files
+    of the first are gone when the second writes its."""
+    plans, real = [], jaccard_join.written_and_released
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("Generate ")))
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard_join, "written_and_released", seen)
+    texts = variants(6)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute.components(list(enumerate(texts)))
+    assert sum(n for _, n in plans) >= 2 and max(n for _, n in plans) == 1, plans
+
+
 def test_near_duplicates_keep_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", 7), (2, "a b c d e f g", 8), (None, "a b c d e f g", 9), (3, None, 1), (4, "", 2)],
                                "doc_id long, text string, _gone int")
